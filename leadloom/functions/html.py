@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from leadloom import rules
 from leadloom.functions.phone import valid_phones
-from leadloom.functions.text import col_of, contains_any, first_of, let, null_if_empty
+from leadloom.functions.text import SEP, SUB, col_of, contains_any, first_of, let, null_if_empty, one_of, words
 
 HIDDEN = (
     r"(?is)<!--.*?(?:-->|$)|<script\b[^>]*>.*?(?:</script\s*>|$)"
     r"|<style\b[^>]*>.*?(?:</style\s*>|$)|<template\b[^>]*>.*?(?:</template\s*>|$)"
 )
 TAG = r"<[/!?a-zA-Z][^>]*>"
-GAP = "\u0001"
+GAP = SEP
 OUTER_SPACE = r"^[\s\x{00A0}]+|[\s\x{00A0}]+$"
 ANCHOR = r"(?is)<a\s[^>]*>.*?</a\s*>"
 PHONE_LIKE = r"(\+?\d[\d\s\-()]{7,}\d)"
@@ -45,10 +45,12 @@ def decode_entities(text: Column) -> Column:
 
     parts = F.split(text, "&#")
     numeric = F.concat(F.get(parts, 0), F.array_join(F.transform(F.slice(parts, 2, 1 << 30), tail), ""))
-    named = F.when(F.contains(text, F.lit("&#")), numeric).otherwise(text)
-    for name, char in rules.NAMED_ENTITIES.items():
-        named = F.replace(named, F.lit(f"&{name};"), F.lit(char))
-    named = F.replace(named, F.lit("&amp;"), F.lit("&"))
+    start = F.when(F.contains(text, F.lit("&#")), numeric).otherwise(text)
+    pairs = [f"&{name};{SUB}{char}" for name, char in rules.NAMED_ENTITIES.items()] + [f"&amp;{SUB}&"]
+    named = F.aggregate(
+        words(pairs), start,
+        lambda done, pair: F.replace(done, F.substring_index(pair, SUB, 1), F.substring_index(pair, SUB, -1)),
+    )
     return F.when(F.contains(text, F.lit("&")), named).otherwise(text)
 
 
@@ -114,11 +116,11 @@ def decode_hidden_emails(html: Column | str) -> Column:
 
 
 def useful_email(email: Column) -> Column:
-    low = F.lower(email)
-    bad_end = F.lit(False)
-    for ending in rules.PAGE_EMAIL_BAD_ENDINGS:
-        bad_end = bad_end | F.endswith(low, F.lit(ending))
-    return ~contains_any(low, rules.PAGE_EMAIL_JUNK) & ~bad_end
+    def useful(low: Column) -> Column:
+        bad_end = F.exists(words(rules.PAGE_EMAIL_BAD_ENDINGS), lambda ending: F.endswith(low, ending))
+        return ~contains_any(low, rules.PAGE_EMAIL_JUNK) & ~bad_end
+
+    return let(F.lower(email), useful)
 
 
 def emails_of(html: Column, links: Column, text: Column) -> Column:
@@ -136,7 +138,7 @@ def facebook_handle(href: Column) -> Column:
     """True for a link that names a page, not the bare host."""
     behind = F.regexp_replace(href, r"^.*?facebook\.com/", "")
     tail = F.regexp_replace(F.split_part(behind, F.lit("?"), F.lit(1)), r"^/+|/+$", "")
-    return (tail != "") & ~F.lower(tail).isin(rules.FACEBOOK_NO_HANDLE)
+    return (tail != "") & ~one_of(F.lower(tail), rules.FACEBOOK_NO_HANDLE)
 
 
 def social_profiles(links: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leadloom import rules
-from leadloom.functions.text import contains_any, count_hits, first_of, let, null_if_empty, personal_email
+from leadloom.functions.text import contains_any, first_of, hits_in, let, lookup, null_if_empty, one_of, personal_email
 
 PERSON = (
     r"(?:[A-Z][A-Za-z.\-]+(?:\s+[A-Z][A-Za-z.\-]+){1,2}"
@@ -24,58 +24,71 @@ def company_type(low: Column, category: Column) -> Column:
     A forwarder by weak words only gives way to the best customer type; a text without any hit
     falls back to the category.
     """
-    ranked = []
-    for order, (kind, phrases) in enumerate(rules.COMPANY_TYPE_SIGNALS.items()):
-        hits = count_hits(low, phrases)
-        if kind == "Ecommerce":
-            hits = hits + has_store(low).cast("int")
-        ranked.append(F.struct(hits.alias("hits"), F.lit(-order).alias("order"), F.lit(kind).alias("kind")))
-
-    def decide(scores: Column) -> Column:
-        best = F.array_max(scores)
-        customer = F.array_max(F.filter(scores, lambda s: s["kind"].isin(rules.CUSTOMER_TYPES)))
-        demoted = (best["kind"] == "Freight Forwarder") & (customer["hits"] > 0) & ~contains_any(low, rules.STRONG_FORWARDER)
-        cat = F.lower(F.coalesce(category, F.lit("")))
+
+    def scores(text: Column) -> Column:
+        ranked = []
+        for order, (kind, phrases) in enumerate(rules.COMPANY_TYPE_SIGNALS.items()):
+            hits = F.size(hits_in(text, phrases))
+            if kind == "Ecommerce":
+                hits = hits + has_store(text).cast("int")
+            ranked.append(F.struct(hits.alias("hits"), F.lit(-order).alias("order"), F.lit(kind).alias("kind")))
+        strong = contains_any(text, rules.STRONG_FORWARDER)
+        return F.struct(F.array(*ranked).alias("ranked"), strong.alias("strong"))
+
+    def decide(found: Column) -> Column:
+        best = F.array_max(found["ranked"])
+        customer = F.array_max(F.filter(found["ranked"], lambda s: one_of(s["kind"], rules.CUSTOMER_TYPES)))
+        weak = (best["kind"] == "Freight Forwarder") & (customer["hits"] > 0) & ~found["strong"]
         return (
-            F.when((best["hits"] > 0) & demoted, customer["kind"])
+            F.when((best["hits"] > 0) & weak, customer["kind"])
             .when(best["hits"] > 0, best["kind"])
-            .when(contains_any(cat, ["freight", "forwarder"]), F.lit("Freight Forwarder"))
+            .when(contains_any(F.lower(category), ["freight", "forwarder"]), F.lit("Freight Forwarder"))
             .otherwise(F.lit("Unknown"))
         )
 
-    return let(F.array(*ranked), decide)
+    return let(let(low, scores), decide)
 
 
 def shipping_intent(low: Column, kind: Column) -> Column:
     """Points of all phrases present, shop bonus and base of the type, at most 100."""
-    points = F.lit(0)
-    for phrase, value in rules.INTENT_SIGNALS.items():
-        points = points + F.when(F.contains(low, F.lit(phrase)), F.lit(value)).otherwise(0)
-    points = points + F.when(has_store(low), F.lit(rules.STORE_INTENT_BONUS)).otherwise(0)
-    base = F.lit(0)
-    for name, value in rules.TYPE_BASE_INTENT.items():
-        base = F.when(kind == name, F.lit(value)).otherwise(base)
-    return F.least(points + base, F.lit(rules.MAX_INTENT))
+
+    def points(text: Column) -> Column:
+        total = F.when(has_store(text), F.lit(rules.STORE_INTENT_BONUS)).otherwise(0)
+        for value in sorted(set(rules.INTENT_SIGNALS.values())):
+            phrases = [p for p, v in rules.INTENT_SIGNALS.items() if v == value]
+            total = total + F.size(hits_in(text, phrases)) * value
+        return total
+
+    base = F.coalesce(
+        F.try_element_at(lookup({k: str(v) for k, v in rules.TYPE_BASE_INTENT.items()}), kind).cast("int"), F.lit(0)
+    )
+    return F.least(let(low, points) + base, F.lit(rules.MAX_INTENT))
 
 
 def intent_phrases(low: Column) -> Column:
-    phrases = [F.when(F.contains(low, F.lit(p)), F.lit(p)) for p in rules.INTENT_SIGNALS]
-    return F.array_sort(F.array_compact(F.array(*phrases)))
+    return F.array_sort(let(low, lambda t: hits_in(t, list(rules.INTENT_SIGNALS))))
 
 
 def store_platform(low_markup: Column) -> Column:
     """First platform one of whose fingerprints occurs in the raw markup."""
-    out = F.lit(None).cast("string")
-    for name, marks in reversed(rules.STORE_PLATFORMS.items()):
-        out = F.when(contains_any(low_markup, marks), F.lit(name)).otherwise(out)
-    return out
+
+    def first(markup: Column) -> Column:
+        return F.coalesce(
+            *[F.when(contains_any(markup, marks), F.lit(name)) for name, marks in rules.STORE_PLATFORMS.items()]
+        )
+
+    return let(low_markup, first)
 
 
 def markets(low: Column) -> Column:
     """Markets named in the text, in rule order."""
-    padded = F.concat(F.lit(" "), low, F.lit(" "))
-    hits = [F.when(contains_any(padded, words), F.lit(m)) for m, words in rules.MARKET_SIGNALS.items()]
-    return F.when(low != "", F.array_compact(F.array(*hits))).otherwise(F.array().cast("array<string>"))
+
+    def named(text: Column) -> Column:
+        hits = [F.when(contains_any(text, marks), F.lit(m)) for m, marks in rules.MARKET_SIGNALS.items()]
+        return F.array_compact(F.array(*hits))
+
+    padded = F.concat(F.lit(" "), F.nullif(low, F.lit("")), F.lit(" "))
+    return F.coalesce(let(padded, named), F.array().cast("array<string>"))
 
 
 def site_intent(intent: Column, found_markets: Column, store: Column) -> Column:
@@ -87,13 +100,9 @@ def site_intent(intent: Column, found_markets: Column, store: Column) -> Column:
 
 def decision_maker(text: Column, emails: Column) -> Column:
     """(name, role, email) of the strongest role named in the text; null when none is."""
-    low = F.lower(text)
-    title = F.lit(None).cast("string")
-    role = F.lit(None).cast("string")
-    for label, words in reversed(rules.ROLE_TITLES.items()):
-        for word in reversed(words):
-            title = F.when(F.contains(low, F.lit(word)), F.lit(word)).otherwise(title)
-        role = F.when(contains_any(low, words), F.lit(label)).otherwise(role)
+    titles = [t for words_ in rules.ROLE_TITLES.values() for t in words_]
+    roles = lookup({t: role for role, words_ in rules.ROLE_TITLES.items() for t in words_})
+    title = let(F.lower(text), lambda t: first_of(hits_in(t, titles)))
 
     def near(title: Column) -> Column:
         quoted = F.concat(F.lit(r"\Q"), title, F.lit(r"\E"))
@@ -102,17 +111,21 @@ def decision_maker(text: Column, emails: Column) -> Column:
         found = [null_if_empty(F.call_function("regexp_extract", text, p, F.lit(1))) for p in (before, after)]
         return F.trim(F.coalesce(*found))
 
-    return F.when(
-        title.isNotNull(),
-        F.struct(let(title, near).alias("name"), role.alias("role"), personal_email(emails).alias("email")),
-    )
+    def contact(title: Column) -> Column:
+        return F.when(
+            title.isNotNull(),
+            F.struct(
+                near(title).alias("name"), F.try_element_at(roles, title).alias("role"), personal_email(emails).alias("email")
+            ),
+        )
+
+    return let(title, contact)
 
 
 def mapped_category(category: Column, needles: dict[str, str], default: str) -> Column:
     """Directory category by the first needle found; no category gives the default, no hit null."""
-    out = F.lit(None).cast("string")
-    for needle, name in reversed(needles.items()):
-        out = F.when(F.contains(F.lower(category), F.lit(needle)), F.lit(name)).otherwise(out)
+    hit = let(F.lower(category), lambda c: first_of(hits_in(c, list(needles))))
+    out = F.try_element_at(lookup(needles), hit)
     return F.when(category.isNull() | (category == ""), F.lit(default)).otherwise(out)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom import rules
@@ -35,20 +35,47 @@ def has_value(c: Column | str) -> Column:
     return c.isNotNull() & (c != "")
 
 
+SEP, SUB = "\u0001", "\u0002"
+
+
+def words(values: list[str]) -> Column:
+    """Array literal of texts; folds to a constant, so long lists stay one small expression."""
+    return F.split(F.lit(SEP.join(values)), SEP)
+
+
+def lookup(pairs: dict[str, str]) -> Column:
+    """Map literal of texts."""
+    return F.str_to_map(F.lit(SEP.join(f"{k}{SUB}{v}" for k, v in pairs.items())), F.lit(SEP), F.lit(SUB))
+
+
+def settle(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
+    """Add or replace columns that are computed once per row.
+
+    Unlike ``withColumns``, later filters and projections see them as plain attributes: costly
+    expressions are not copied into a pushed-down filter or into every use.
+    """
+    kept = [c for c in df.columns if c not in cols]
+    return df.select(*kept, F.inline(F.array(F.struct(*[v.alias(k) for k, v in cols.items()]))))
+
+
 def contains_any(text: Column, needles: list[str]) -> Column:
     """True when any needle is a substring of ``text``; false on null text."""
-    found = F.lit(False)
-    for needle in needles:
-        found = found | F.contains(text, F.lit(needle))
+    if len(needles) == 0:
+        return F.lit(False)
+    found = let(text, lambda t: F.exists(words(needles), lambda needle: F.contains(t, needle)))
     return F.coalesce(found, F.lit(False))
 
 
-def count_hits(text: Column, needles: list[str]) -> Column:
-    """How many of the needles occur in ``text`` at all."""
-    total = F.lit(0)
-    for needle in needles:
-        total = total + F.contains(text, F.lit(needle)).cast("int")
-    return F.coalesce(total, F.lit(0))
+def hits_in(text: Column, needles: list[str]) -> Column:
+    """The needles that occur in ``text``; ``text`` should be a column or a bound variable."""
+    return F.filter(words(needles), lambda needle: F.contains(text, needle))
+
+
+def one_of(value: Column, values: list[str]) -> Column:
+    """True when the value is in the list; false for null."""
+    if not values:
+        return F.lit(False)
+    return F.coalesce(F.array_contains(words(list(values)), value), F.lit(False))
 
 
 def first_of(array: Column) -> Column:
@@ -103,7 +130,7 @@ def personal_email(emails: Column) -> Column:
 
     def personal(address: Column) -> Column:
         mailbox = F.lower(F.split_part(address, F.lit("@"), F.lit(1)))
-        return (mailbox != "") & ~mailbox.isin(rules.ROLE_MAILBOXES)
+        return (mailbox != "") & ~one_of(mailbox, rules.ROLE_MAILBOXES)
 
     return first_of(F.filter(emails, personal))
 
@@ -126,20 +153,19 @@ def whatsapp_number(social_links: Column | str) -> Column:
 
 def reason_text(reasons: Column | str) -> Column:
     """Score breakdown in words; an unknown factor shows as it is."""
-    labels = F.create_map(*[F.lit(x) for pair in rules.REASON_LABELS.items() for x in pair])
-    words = F.transform(col_of(reasons), lambda r: F.coalesce(F.try_element_at(labels, r["factor"]), r["factor"]))
-    return F.coalesce(F.array_join(words, rules.REASON_SEPARATOR), F.lit(""))
+    labels = lookup(rules.REASON_LABELS)
+    named = F.transform(col_of(reasons), lambda r: F.coalesce(F.try_element_at(labels, r["factor"]), r["factor"]))
+    return F.coalesce(F.array_join(named, rules.REASON_SEPARATOR), F.lit(""))
 
 
 def status_label(status: Column | str) -> Column:
     s = col_of(status)
-    labels = F.create_map(*[F.lit(x) for pair in rules.STATUS_LABELS.items() for x in pair])
-    return F.coalesce(F.try_element_at(labels, s), s)
+    return F.coalesce(F.try_element_at(lookup(rules.STATUS_LABELS), s), s)
 
 
 def status_of_label(label: Column | str) -> Column:
     """Back from a label to the stage; anything unknown is a new lead."""
-    codes = F.create_map(*[F.lit(x) for k, v in rules.STATUS_LABELS.items() for x in (v, k)])
+    codes = lookup({v: k for k, v in rules.STATUS_LABELS.items()})
     return F.coalesce(F.try_element_at(codes, col_of(label)), F.lit("new"))
 
 

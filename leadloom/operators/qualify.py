@@ -10,7 +10,6 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from leadloom import rules
 from leadloom.functions import intel
@@ -18,21 +17,19 @@ from leadloom.functions import text as tx
 from leadloom.functions.phone import valid_phones
 
 REASONS_TYPE = "array<struct<factor:string,points:int>>"
-RAW_SCHEMA = T.StructType.fromDDL(
-    "pos long, company_name string, source string, source_url string, phone_raw string, "
-    "extra_phones array<string>, email string, website string, address string, city string, "
-    "governorate string, country string, category string, description string, "
-    "social_links map<string,string>, followers int, last_activity_date date, rating double, "
-    "branches int, has_online_store boolean"
-)
-
-
-def conform(df: DataFrame, schema: T.StructType = RAW_SCHEMA) -> DataFrame:
-    """Add the missing columns of ``schema`` as nulls and cast the present ones; extra columns stay."""
-    extra = [c for c in df.columns if c not in schema.names]
-    cols = [
-        (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields
-    ]
+RAW_FIELDS = {
+    "pos": "long", "company_name": "string", "source": "string", "source_url": "string", "phone_raw": "string",
+    "extra_phones": "array<string>", "email": "string", "website": "string", "address": "string", "city": "string",
+    "governorate": "string", "country": "string", "category": "string", "description": "string",
+    "social_links": "map<string,string>", "followers": "int", "last_activity_date": "date", "rating": "double",
+    "branches": "int", "has_online_store": "boolean",
+}
+
+
+def conform(df: DataFrame, fields: dict[str, str] = RAW_FIELDS) -> DataFrame:
+    """Add missing ``fields`` as nulls and cast the present ones; extra columns stay."""
+    extra = [c for c in df.columns if c not in fields]
+    cols = [(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in fields.items()]
     return df.select(*cols, *extra)
 
 
@@ -41,42 +38,45 @@ def normalize(df: DataFrame, region: str = rules.DEFAULT_REGION, country: str =
     texts = F.concat(
         F.array(F.col("phone_raw")), F.coalesce(F.col("extra_phones"), F.array().cast("array<string>"))
     )
-    df = df.withColumns(
+    name = F.trim(F.coalesce(F.col("company_name"), F.lit("")))
+    site = tx.null_if_empty(F.trim(F.col("website")))
+    links = F.coalesce(F.col("social_links"), F.create_map().cast("map<string,string>"))
+    df = tx.settle(
+        df,
         {
-            "company_name": F.trim(F.coalesce(F.col("company_name"), F.lit(""))),
-            "phones": valid_phones(F.array_compact(texts), region),
-            "website": tx.null_if_empty(F.trim(F.col("website"))),
+            "company_name": name,
+            "company_name_norm": tx.name_key(name),
+            "_phones": valid_phones(F.array_compact(texts), region),
+            "website": tx.url_with_scheme(site),
+            "domain": tx.site_domain(site),
+            "email": tx.cell_email("email"),
             "city": tx.null_if_empty("city"),
-            "social_links": F.coalesce(F.col("social_links"), F.create_map().cast("map<string,string>")),
-        }
+            "country": F.coalesce(tx.null_if_empty("country"), F.lit(country)),
+            "social_links": links,
+        },
     )
     return df.withColumns(
         {
-            "company_name_norm": tx.name_key("company_name"),
-            "phone_e164": tx.first_of(F.col("phones")),
-            "extra_phones": F.slice(F.col("phones"), 2, 1 << 30),
-            "domain": tx.site_domain("website"),
-            "website": tx.url_with_scheme("website"),
-            "email": tx.cell_email("email"),
-            "country": F.coalesce(tx.null_if_empty("country"), F.lit(country)),
+            "phone_e164": tx.first_of(F.col("_phones")),
+            "extra_phones": F.slice(F.col("_phones"), 2, 1 << 30),
             "facebook": F.try_element_at("social_links", F.lit("facebook")),
             "linkedin": F.try_element_at("social_links", F.lit("linkedin")),
         }
-    ).drop("phones")
+    ).drop("_phones")
 
 
 def classify(df: DataFrame) -> DataFrame:
     """Company type, intent and competitor flag from the description, else the category."""
     described = tx.has_value("description") | tx.has_value("category")
     low = F.lower(F.coalesce(F.col("description"), F.lit("")))
-    df = df.withColumn("_low", low)
-    df = df.withColumn("company_type", F.when(described, intel.company_type(F.col("_low"), F.col("category"))))
-    return df.withColumns(
+    df = tx.settle(
+        df,
         {
-            "shipping_intent": F.when(described, intel.shipping_intent(F.col("_low"), F.col("company_type"))),
-            "has_online_store": F.when(intel.has_store(F.col("_low")), F.lit(True)).otherwise(F.col("has_online_store")),
-        }
-    ).drop("_low")
+            "company_type": F.when(described, intel.company_type(low, F.col("category"))),
+            "has_online_store": F.when(intel.has_store(low), F.lit(True)).otherwise(F.col("has_online_store")),
+        },
+    )
+    return tx.settle(df, {"shipping_intent": F.when(described, intel.shipping_intent(low, F.col("company_type")))})
 
 
 ENRICHED_DEFAULTS = {
@@ -140,21 +140,17 @@ def filter_reason(cfg: dict = rules.FILTERS) -> Column:
 def segment(cfg: dict = rules.SEGMENTS) -> Column:
     """Targeting bucket: competitor, service, P1, P2, P3 or other."""
 
-    def among(c: str | Column, names: list[str]) -> Column:
-        c = F.col(c) if isinstance(c, str) else c
-        return F.coalesce(c.isin(list(names)), F.lit(False)) if names else F.lit(False)
-
     kind = F.coalesce(F.col("company_type"), F.lit(""))
     cat = F.trim(F.coalesce(F.col("category"), F.lit("")))
-    product = among(kind, rules.PRODUCT_TYPES) | among(cat, cfg.get("p1_categories", []))
+    product = tx.one_of(kind, rules.PRODUCT_TYPES) | tx.one_of(cat, cfg.get("p1_categories", []))
     shop = (
         F.coalesce(F.col("has_online_store"), F.lit(False))
         | tx.has_value("store_platform")
         | (kind == "Ecommerce")
-        | among(cat, cfg.get("p2_categories", []))
+        | tx.one_of(cat, cfg.get("p2_categories", []))
     )
     export = (
-        (kind == "Exporter") | among("source", cfg.get("p3_sources", [])) | among(cat, cfg.get("p3_categories", []))
+        (kind == "Exporter") | tx.one_of(F.col("source"), cfg.get("p3_sources", [])) | tx.one_of(cat, cfg.get("p3_categories", []))
     )
     words = F.lower(
         F.concat_ws(" ", *[tx.null_if_empty(c) for c in ("category", "company_name", "description", "product_type")])
@@ -290,7 +286,7 @@ def score(df: DataFrame, cfg: dict = rules.SCORING, as_of: dt.date | None = None
 
 def gate(df: DataFrame, filters: dict = rules.FILTERS) -> DataFrame:
     """Add ``outcome`` (keep, drop, quarantine) and ``reason``: integrity first, quality second."""
-    df = df.withColumns({"_broken": invalid_reason(), "_poor": filter_reason(filters)})
+    df = tx.settle(df, {"_broken": invalid_reason(), "_poor": filter_reason(filters)})
     outcome = (
         F.when(F.col("_broken").isNotNull(), F.lit("quarantine"))
         .when(F.col("_poor").isNotNull(), F.lit("drop"))

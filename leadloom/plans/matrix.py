@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from leadloom import rules
 from leadloom.functions.intel import search_text
+from leadloom.functions.text import lookup, words
 
+SUB_LIST = "\u0003"
 Request = tuple[str | None, str | None, str | None]
 
 
@@ -31,7 +33,7 @@ def plan_size(plan: dict = rules.PLAN) -> int:
 def matrix(spark: SparkSession, plan: dict = rules.PLAN) -> DataFrame:
     """Plan as a table with its running index."""
     one = spark.range(1)
-    lists = {k: F.array(*[F.lit(v) for v in plan[k]]) for k in ("categories", "roles", "places", "roleless_categories")}
+    lists = {k: words(plan[k]) for k in ("categories", "roles", "places", "roleless_categories")}
     n_roles, n_places = len(plan["roles"]), len(plan["places"])
     with_role = (
         one.select(F.posexplode(lists["categories"]).alias("i", "category"))
@@ -100,10 +102,9 @@ def interactive_requests(
 
 def keywords_of(df: DataFrame, category: str = "category") -> DataFrame:
     """Add the keyword list of the category, empty for an unknown one."""
-    table = F.create_map(
-        *[x for c, words in rules.CATEGORIES.items() for x in (F.lit(c), F.array(*[F.lit(w) for w in words]))]
-    )
-    return df.withColumn("keywords", F.coalesce(F.try_element_at(table, F.col(category)), F.array().cast("array<string>")))
+    table = lookup({c: SUB_LIST.join(w) for c, w in rules.CATEGORIES.items()})
+    found = F.split(F.try_element_at(table, F.col(category)), SUB_LIST)
+    return df.withColumn("keywords", F.coalesce(found, F.array().cast("array<string>")))
 
 
 def category_rule(name: Column, keywords: Column) -> Column:

@@ -50,63 +50,39 @@ def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw listings, ``pos`` = customer key = order of arrival."""
     latest = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("latest"))
     c = table(spark, sf_dir, "customer").join(latest, F.col("c_custkey") == F.col("o_custkey"), "left")
-    k = F.col("c_custkey")
-    c = c.withColumn("e", F.floor(k / 3).cast("long"))
-    e = F.col("e")
-    c = c.withColumn("d", F.when((e % 50 == 0) & (k % 3 == 2), e + 1).otherwise(e))
-    d = F.col("d")
-    site, mail = F.concat(F.lit("site"), txt(d), F.lit(".example")), F.concat(F.lit("info@site"), txt(d), F.lit(".net"))
-    sentence = F.lit(None).cast("string")
-    for i, s in enumerate(DESCRIPTIONS):
-        sentence = F.when(k % 8 == i, F.lit(s)).otherwise(sentence)
-    category = F.lit(None).cast("string")
-    for seg, cat in SEGMENT_CATEGORY.items():
-        category = F.when(F.col("c_mktsegment") == seg, F.lit(cat)).otherwise(category)
-    phone = (
-        F.when((k % 3 == 2) & (e % 4 == 0), None)
-        .when(e % 6 == 1, F.concat(F.lit("010"), pad(e, 8)))
-        .when(e % 6 == 2, F.concat(F.lit("+20 11 "), pad(e, 8)))
-        .when(e % 6 == 3, F.concat(F.lit("0020 12"), pad(e, 8)))
-        .when(e % 6 == 4, F.lit("123"))
-        .when(e % 6 == 5, F.concat(F.lit("02 2"), pad(e, 7)))
+    c = c.selectExpr("*", "c_custkey AS k", "c_custkey div 3 AS e").selectExpr(
+        "*", "CASE WHEN e % 50 = 0 AND k % 3 = 2 THEN e + 1 ELSE e END AS d",
+        "lpad(string(e), 8, '0') AS e8",
     )
-    website = (
-        F.when(k % 5 == 1, F.concat(F.lit("www.Site"), txt(d), F.lit(".example")))
-        .when(k % 5 == 2, F.concat(F.lit("https://www."), site, F.lit("/p?x=1")))
-        .when(k % 5 == 3, F.concat(F.lit("HTTP://"), site, F.lit(":8080/")))
-    )
-    email = (
-        F.when(k % 7 == 0, F.upper(mail))
-        .when(k % 7 == 1, F.concat(F.lit("%20"), mail))
-        .when(k % 7 == 2, F.concat(F.lit("sales@site"), txt(d), F.lit(".com.com")))
-        .when(k % 7 == 3, F.concat(F.lit("cs@site"), txt(d), F.lit(".org | "), mail))
-        .when(k % 7 == 4, F.concat(F.lit("noreply@site"), txt(d), F.lit(".net")))
-    )
-    none = F.array().cast("array<string>")
-    return c.select(
-        k.alias("pos"),
-        F.when(k % 53 == 0, "").when(k % 47 == 0, "--").otherwise(F.concat(F.lit("  Company  "), txt(e), F.lit(" & Co! "))).alias("company_name"),
-        F.concat(F.lit("src"), txt(F.col("c_nationkey") % 5)).alias("source"),
-        F.concat(F.lit("https://directory.example/c/"), txt(k)).alias("source_url"),
-        phone.alias("phone_raw"),
-        F.when(k % 6 == 0, F.array(F.concat(F.lit("012"), pad(k, 8)), F.lit("call us"))).otherwise(none).alias("extra_phones"),
-        email.alias("email"),
-        website.alias("website"),
-        F.when(k % 4 != 0, F.concat(F.lit("Street "), txt(k % 17), F.lit(", City"), txt(e % 9), F.lit(", Gov"), txt(e % 3), F.lit("."))).alias("address"),
-        F.when(k % 11 != 0, F.concat(F.lit("City"), txt(e % 9))).alias("city"),
-        F.when(k % 3 == 0, F.concat(F.lit("Gov"), txt(e % 3))).alias("governorate"),
-        F.when(k % 13 != 0, F.lit("Egypt")).alias("country"),
-        category.alias("category"),
-        sentence.alias("description"),
-        F.when(k % 10 == 0, F.create_map(F.lit("facebook"), F.concat(F.lit("https://facebook.com/site"), txt(d))))
-        .when(k % 10 == 5, F.create_map(F.lit("linkedin"), F.concat(F.lit("https://linkedin.com/company/site"), txt(d), F.lit("-"), txt(k % 3))))
-        .when(k % 10 == 7, F.create_map(F.lit("whatsapp"), F.concat(F.lit("https://wa.me/2010"), pad(e, 8))))
-        .otherwise(F.create_map().cast("map<string,string>")).alias("social_links"),
-        F.when(k % 9 != 0, F.col("c_acctbal").cast("int")).alias("followers"),
-        F.to_date("latest").alias("last_activity_date"),
-        F.when(k % 2 == 0, (k % 50) / F.lit(10.0)).alias("rating"),
-        (k % 4).cast("int").alias("branches"),
-        F.lit(None).cast("boolean").alias("has_online_store"),
+    sentences = " ".join(f"WHEN {i} THEN {_quoted(t)}" for i, t in enumerate(DESCRIPTIONS))
+    segments = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in SEGMENT_CATEGORY.items())
+    return c.selectExpr(
+        "k AS pos",
+        "CASE WHEN k % 53 = 0 THEN '' WHEN k % 47 = 0 THEN '--' ELSE concat('  Company  ', e, ' & Co! ') END AS company_name",
+        "concat('src', c_nationkey % 5) AS source",
+        "concat('https://directory.example/c/', k) AS source_url",
+        "CASE WHEN k % 3 = 2 AND e % 4 = 0 THEN NULL WHEN e % 6 = 1 THEN concat('010', e8) WHEN e % 6 = 2 THEN concat('+20 11 ', e8) "
+        "WHEN e % 6 = 3 THEN concat('0020 12', e8) WHEN e % 6 = 4 THEN '123' WHEN e % 6 = 5 THEN concat('02 2', lpad(string(e), 7, '0')) END AS phone_raw",
+        "IF(k % 6 = 0, array(concat('012', lpad(string(k), 8, '0')), 'call us'), cast(array() AS array<string>)) AS extra_phones",
+        "CASE k % 7 WHEN 0 THEN concat('INFO@SITE', d, '.NET') WHEN 1 THEN concat('%20info@site', d, '.net') "
+        "WHEN 2 THEN concat('sales@site', d, '.com.com') WHEN 3 THEN concat('cs@site', d, '.org | info@site', d, '.net') "
+        "WHEN 4 THEN concat('noreply@site', d, '.net') END AS email",
+        "CASE k % 5 WHEN 1 THEN concat('www.Site', d, '.example') WHEN 2 THEN concat('https://www.site', d, '.example/p?x=1') "
+        "WHEN 3 THEN concat('HTTP://site', d, '.example:8080/') END AS website",
+        "CASE WHEN k % 4 <> 0 THEN concat('Street ', k % 17, ', City', e % 9, ', Gov', e % 3, '.') END AS address",
+        "CASE WHEN k % 11 <> 0 THEN concat('City', e % 9) END AS city",
+        "CASE WHEN k % 3 = 0 THEN concat('Gov', e % 3) END AS governorate",
+        "CASE WHEN k % 13 <> 0 THEN 'Egypt' END AS country",
+        f"CASE c_mktsegment {segments} END AS category",
+        f"CASE k % 8 {sentences} END AS description",
+        "CASE k % 10 WHEN 0 THEN map('facebook', concat('https://facebook.com/site', d)) "
+        "WHEN 5 THEN map('linkedin', concat('https://linkedin.com/company/site', d, '-', k % 3)) "
+        "WHEN 7 THEN map('whatsapp', concat('https://wa.me/2010', e8)) ELSE cast(map() AS map<string,string>) END AS social_links",
+        "CASE WHEN k % 9 <> 0 THEN int(c_acctbal) END AS followers",
+        "date(latest) AS last_activity_date",
+        "CASE WHEN k % 2 = 0 THEN (k % 50) / double(10) END AS rating",
+        "int(k % 4) AS branches",
+        "cast(NULL AS boolean) AS has_online_store",
     )
 
 
@@ -207,73 +183,45 @@ PEOPLE = ["Amr Adel", "Mona", "Sara (team B)"]
 
 def crm_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored leads as the sales team sees them, one per order."""
-    o = table(spark, sf_dir, "orders")
-    key, cust = F.col("o_orderkey"), F.col("o_custkey")
-    urgency = F.substring("o_orderpriority", 1, 1).cast("int")
-    state = F.col("o_orderstatus")
-    status = (
-        F.when((state == "F") & (urgency <= 2), "won")
-        .when((state == "F") & (urgency == 3), "lost")
-        .when((state == "F") & (urgency == 4), "negotiation")
-        .when(state == "F", "quotation_sent")
-        .when((state == "O") & (urgency == 1), "interested")
-        .when((state == "O") & (urgency == 2), "contacted")
-        .when((state == "P") & (urgency == 1), rules.QUARANTINED)
-        .otherwise("new")
+    o = table(spark, sf_dir, "orders").selectExpr(
+        "*", "o_orderkey AS k", "o_custkey AS c", "int(left(o_orderpriority, 1)) AS u", "lpad(string(o_custkey), 8, '0') AS c8",
+        "int(least(floor(o_totalprice / 5000), 100)) AS score",
+        "concat('src', o_custkey % 5) AS source",
     )
-    kind = F.lit(None).cast("string")
-    for i, name in enumerate(TYPES):
-        kind = F.when(key % 7 == i, F.lit(name)).otherwise(kind)
-    person = F.lit(None).cast("string")
-    for i, name in enumerate(PEOPLE):
-        person = F.when(cust % 4 == i, F.lit(name)).otherwise(person)
-    score = F.least(F.floor(F.col("o_totalprice") / 5000), F.lit(100)).cast("int")
-    src = F.concat(F.lit("src"), txt(cust % 5))
-    return o.select(
-        key.alias("lead_id"),
-        F.concat(F.lit("Company "), txt(cust), F.when(cust % 5 == 0, " Trading").otherwise(" Co")).alias("company_name"),
-        F.concat(F.lit("company "), txt(cust)).alias("company_name_norm"),
-        F.when(key % 3 != 0, F.concat(F.lit("+2010"), pad(cust, 8))).alias("phone_e164"),
-        F.when(key % 5 != 0, F.concat(F.lit("site"), txt(cust), F.lit(".example"))).alias("domain"),
-        F.when(key % 5 != 0, F.concat(F.lit("https://site"), txt(cust), F.lit(".example"))).alias("website"),
-        F.when(key % 4 != 0, F.concat(F.lit("Buyer"), txt(cust), F.lit("@Mail.net"))).alias("email"),
-        F.when(key % 6 != 0, F.concat(F.lit("City"), txt(cust % 9))).alias("city"),
-        F.lit("Egypt").alias("country"),
-        F.when(key % 8 != 0, F.concat(F.lit("Street "), txt(key % 99))).alias("address"),
-        F.when(key % 10 != 0, F.lit("Furniture")).alias("category"),
-        kind.alias("company_type"),
-        F.when(key % 6 != 0, (key % 101).cast("int")).alias("shipping_intent"),
-        score.alias("score"),
-        F.when(score >= 65, "Hot").when(score >= 40, "Medium").otherwise("Weak").alias("tier"),
-        F.array(
-            F.struct(F.lit("band:trader").alias("factor"), F.lit(52).alias("points")),
-            F.struct(F.when(key % 2 == 0, "has_phone").otherwise("extra_rule").alias("factor"), F.lit(6).alias("points")),
-        ).alias("score_reasons"),
-        status.alias("status"),
-        F.when(status == rules.QUARANTINED, "no_contact").alias("quarantine_reason"),
-        person.alias("assigned_to"),
-        F.lit(None).cast("string").alias("notes"),
-        F.lit(None).cast("date").alias("last_contact_date"),
-        F.when(key % 4 != 0, F.date_add(F.to_date("o_orderdate"), (key % 20).cast("int"))).alias("next_followup_date"),
-        src.alias("source"),
-        F.when(key % 3 == 0, F.array_sort(F.array_distinct(F.array(src, F.lit("src0"))))).otherwise(F.array().cast("array<string>")).alias("sources_seen"),
-        F.concat(F.lit("https://directory.example/o/"), txt(key)).alias("source_url"),
-        F.when(key % 5 == 0, F.array(F.concat(F.lit("+2011"), pad(cust, 8)), F.lit("+20222222222"))).otherwise(F.array().cast("array<string>")).alias("extra_phones"),
-        F.when(key % 9 == 0, F.array(F.lit("GCC"), F.lit("Europe"))).alias("target_markets"),
-        F.when(key % 9 == 0, F.create_map(F.lit("whatsapp"), F.concat(F.lit("https://wa.me/2010"), pad(cust, 8))))
-        .otherwise(F.create_map().cast("map<string,string>")).alias("social_links"),
-        F.when(key % 7 == 0, F.concat(F.lit("facebook.com/c"), txt(cust))).alias("facebook"),
-        F.when(key % 7 == 1, F.concat(F.lit("https://linkedin.com/company/c"), txt(cust))).alias("linkedin"),
-        F.when(key % 2 == 0, F.lit("P1")).alias("segment"),
-        F.lit("Furniture").alias("product_type"),
-        F.when(key % 11 == 0, F.lit("Shopify")).alias("store_platform"),
-        F.lit(None).cast("string").alias("contact_name"),
-        F.when(key % 13 == 0, F.lit("Export Manager")).alias("contact_role"),
-        F.lit(None).cast("string").alias("contact_email"),
-        (key % 17 == 0).alias("pushed_to_sheet"),
-        F.lit(None).cast("timestamp_ntz").alias("sheet_synced_at"),
-        F.col("o_orderdate").cast("timestamp_ntz").alias("updated_at"),
+    kinds = " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(TYPES))
+    people = " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(PEOPLE))
+    rows = o.selectExpr(
+        "k AS lead_id", "concat('Company ', c, IF(c % 5 = 0, ' Trading', ' Co')) AS company_name", "concat('company ', c) AS company_name_norm",
+        "CASE WHEN k % 3 <> 0 THEN concat('+2010', c8) END AS phone_e164",
+        "CASE WHEN k % 5 <> 0 THEN concat('site', c, '.example') END AS domain",
+        "CASE WHEN k % 5 <> 0 THEN concat('https://site', c, '.example') END AS website",
+        "CASE WHEN k % 4 <> 0 THEN concat('Buyer', c, '@Mail.net') END AS email",
+        "CASE WHEN k % 6 <> 0 THEN concat('City', c % 9) END AS city", "'Egypt' AS country",
+        "CASE WHEN k % 8 <> 0 THEN concat('Street ', k % 99) END AS address",
+        "CASE WHEN k % 10 <> 0 THEN 'Furniture' END AS category",
+        f"CASE k % 7 {kinds} END AS company_type",
+        "CASE WHEN k % 6 <> 0 THEN int(k % 101) END AS shipping_intent", "score",
+        "CASE WHEN score >= 65 THEN 'Hot' WHEN score >= 40 THEN 'Medium' ELSE 'Weak' END AS tier",
+        "array(named_struct('factor', 'band:trader', 'points', 52), named_struct('factor', IF(k % 2 = 0, 'has_phone', 'extra_rule'), 'points', 6)) AS score_reasons",
+        "CASE WHEN o_orderstatus = 'F' AND u <= 2 THEN 'won' WHEN o_orderstatus = 'F' AND u = 3 THEN 'lost' "
+        "WHEN o_orderstatus = 'F' AND u = 4 THEN 'negotiation' WHEN o_orderstatus = 'F' THEN 'quotation_sent' "
+        "WHEN o_orderstatus = 'O' AND u = 1 THEN 'interested' WHEN o_orderstatus = 'O' AND u = 2 THEN 'contacted' "
+        "WHEN o_orderstatus = 'P' AND u = 1 THEN 'quarantined' ELSE 'new' END AS status",
+        f"CASE c % 4 {people} END AS assigned_to", "cast(NULL AS string) AS notes", "cast(NULL AS date) AS last_contact_date",
+        "CASE WHEN k % 4 <> 0 THEN date_add(date(o_orderdate), int(k % 20)) END AS next_followup_date", "source",
+        "IF(k % 3 = 0, array_sort(array_distinct(array(source, 'src0'))), cast(array() AS array<string>)) AS sources_seen",
+        "concat('https://directory.example/o/', k) AS source_url",
+        "IF(k % 5 = 0, array(concat('+2011', c8), '+20222222222'), cast(array() AS array<string>)) AS extra_phones",
+        "CASE WHEN k % 9 = 0 THEN array('GCC', 'Europe') END AS target_markets",
+        "IF(k % 9 = 0, map('whatsapp', concat('https://wa.me/2010', c8)), cast(map() AS map<string,string>)) AS social_links",
+        "CASE WHEN k % 7 = 0 THEN concat('facebook.com/c', c) END AS facebook",
+        "CASE WHEN k % 7 = 1 THEN concat('https://linkedin.com/company/c', c) END AS linkedin",
+        "CASE WHEN k % 2 = 0 THEN 'P1' END AS segment", "'Furniture' AS product_type",
+        "CASE WHEN k % 11 = 0 THEN 'Shopify' END AS store_platform", "cast(NULL AS string) AS contact_name",
+        "CASE WHEN k % 13 = 0 THEN 'Export Manager' END AS contact_role", "cast(NULL AS string) AS contact_email",
+        "k % 17 = 0 AS pushed_to_sheet", "cast(NULL AS timestamp_ntz) AS sheet_synced_at", "cast(o_orderdate AS timestamp_ntz) AS updated_at",
     )
+    return rows.withColumn("quarantine_reason", F.when(F.col("status") == rules.QUARANTINED, "no_contact"))
 
 
 CRM_SQL = f"""
@@ -314,19 +262,13 @@ crm AS (SELECT k AS lead_id, 'Company ' || c || CASE WHEN c % 5 = 0 THEN ' Tradi
 # ------------------------------------------------------------------ run records
 def processed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as one processed listing: source, outcome, reason, error text, run day and hour."""
-    ev = table(spark, sf_dir, "events")
-    kind, key = F.col("event_type"), F.col("event_id")
-    outcome = F.when(kind.isin("signup", "purchase", "view"), "keep").when(kind == "click", "drop").otherwise("quarantine")
-    reason = (
-        F.when(kind == "click", F.when(key % 3 == 0, "inactive").when(key % 3 == 1, "low_followers"))
-        .when(kind == "error", F.when(key % 2 == 0, "no_contact").otherwise("junk_name"))
-    )
-    error = F.when(kind == "error", F.when(key % 5 == 0, "HTTP 403 Forbidden").when(key % 5 == 1, "connection reset"))
-    return ev.select(
-        "event_id", "ts", F.concat(F.lit("src"), txt(F.col("user_id") % 5)).alias("source"),
-        outcome.alias("outcome"), reason.alias("reason"), error.alias("error"),
-        F.to_date("ts").alias("day"), F.date_trunc("hour", "ts").alias("hour"),
-        (key % 4 != 0).alias("created"),
+    return table(spark, sf_dir, "events").selectExpr(
+        "event_id", "ts", "concat('src', user_id % 5) AS source",
+        "CASE WHEN event_type IN ('signup', 'purchase', 'view') THEN 'keep' WHEN event_type = 'click' THEN 'drop' ELSE 'quarantine' END AS outcome",
+        "CASE WHEN event_type = 'click' THEN CASE event_id % 3 WHEN 0 THEN 'inactive' WHEN 1 THEN 'low_followers' END "
+        "WHEN event_type = 'error' THEN IF(event_id % 2 = 0, 'no_contact', 'junk_name') END AS reason",
+        "CASE WHEN event_type = 'error' THEN CASE event_id % 5 WHEN 0 THEN 'HTTP 403 Forbidden' WHEN 1 THEN 'connection reset' END END AS error",
+        "date(ts) AS day", "(unix_date(date(ts)) * 24 + hour(ts)) AS run_id", "event_id % 4 <> 0 AS created",
     )
 
 
@@ -336,6 +278,6 @@ ev AS (SELECT event_id, ts, 'src' || (user_id % 5) AS source,
     CASE WHEN event_type = 'click' THEN CASE event_id % 3 WHEN 0 THEN 'inactive' WHEN 1 THEN 'low_followers' END
       WHEN event_type = 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'no_contact' ELSE 'junk_name' END END AS reason,
     CASE WHEN event_type = 'error' THEN CASE event_id % 5 WHEN 0 THEN 'HTTP 403 Forbidden' WHEN 1 THEN 'connection reset' END END AS error,
-    CAST(ts AS DATE) AS day, date_trunc('hour', ts) AS hour, event_id % 4 <> 0 AS created FROM events)"""
+    CAST(ts AS DATE) AS day, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) * 24 + hour(ts) AS run_id, event_id % 4 <> 0 AS created FROM events)"""
 COUNTS_SQL = """count(*) AS found, count(*) FILTER (outcome = 'keep') AS kept, count(*) FILTER (outcome = 'drop') AS dropped,
     count(*) FILTER (outcome = 'quarantine') AS quarantined"""

@@ -44,13 +44,16 @@ def compare(spark, con, query, sql: str, sf_dir: str) -> str | None:
     """None when both agree, else a short description."""
     df = query(spark, sf_dir)
     cols = sorted(df.columns)
+    t = time.time()
     ours = Counter(tuple(plain(r[c]) for c in cols) for r in df.collect())
+    t1 = time.time()
     cur = con.execute(sql)
     names = [x[0] for x in cur.description]
     if sorted(names) != cols:
         return f"columns {cols} vs {sorted(names)}"
     at = [names.index(c) for c in cols]
     theirs = Counter(tuple(plain(r[i]) for i in at) for r in cur.fetchall())
+    print(f"    {t1 - t:.1f}s + {time.time() - t1:.1f}s sql", end=" ")
     if ours == theirs:
         return None
     return f"rows {sum(ours.values())} vs {sum(theirs.values())}; {cols}\n   ours   {list((ours - theirs))[:3]}\n   theirs {list((theirs - ours))[:3]}"
