@@ -326,9 +326,9 @@ def _subpages_sql() -> str:
     return f"""WITH src AS (SELECT page_id, url, html || {s.q(NAV)} AS html FROM pages), {ANCHORS_SQL},
     r AS (SELECT page_id, pos, text, regexp_extract(url, '^[a-z]+://[^/?#]*') || href AS "full", url, split_part(href, '?', 1) AS path FROM a WHERE href LIKE '/%'),
     g AS (SELECT *, {contact} AS contact, regexp_replace(path, '/+$', '') AS key FROM r WHERE {any_hint} AND "full" <> url),
-    f AS (SELECT * FROM g WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY page_id, key ORDER BY pos) = 1)
-    SELECT page_id, CAST(row_number() OVER w - 1 AS INT) AS rank, "full" AS subpage FROM f
-    QUALIFY row_number() OVER w <= 3 WINDOW w AS (PARTITION BY page_id ORDER BY contact DESC, pos)"""
+    f AS (SELECT * FROM g WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY page_id, key ORDER BY pos) = 1),
+    n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY contact DESC, pos) AS nth FROM f)
+    SELECT page_id, CAST(nth - 1 AS INT) AS rank, "full" AS subpage FROM n WHERE nth <= 3"""
 
 
 FORM_CASE = "CASE page_id % 6 " + " ".join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(LINK_FORMS)) + " END"
