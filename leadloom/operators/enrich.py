@@ -21,7 +21,7 @@ def site_pages(sites: DataFrame, pages: DataFrame, budget: int = rules.SITE_PAGE
     home page gives no rows. At most ``budget`` pages per site, as the crawl allows.
     """
     homes = sites.select("site").distinct().join(pages.select(F.col("url").alias("site"), "html"), "site")
-    homes = homes.withColumn("_links", h.anchors("html"))
+    homes = tx.settle(homes, {"_links": h.anchors("html")})
     wanted = homes.select(
         "site", F.posexplode(subpages(F.col("_links"), F.col("site"), budget - 1)).alias("page_no", "url")
     )
@@ -31,7 +31,7 @@ def site_pages(sites: DataFrame, pages: DataFrame, budget: int = rules.SITE_PAGE
 
 def read_page(pages: DataFrame, region: str = rules.DEFAULT_REGION) -> DataFrame:
     """Text, contacts and social links of every page; ``html`` stays for the platform check."""
-    read = pages.withColumns({"text": h.visible_text("html"), "links": h.anchors("html")})
+    read = tx.settle(pages, {"text": h.visible_text("html"), "links": h.anchors("html")})
     return read.withColumns(
         {
             "emails": h.emails_of(F.col("html"), F.col("links"), F.col("text")),
@@ -39,14 +39,16 @@ def read_page(pages: DataFrame, region: str = rules.DEFAULT_REGION) -> DataFrame
             "whatsapp": h.whatsapp_numbers("html", region),
             "socials": h.social_profiles(F.col("links")),
         }
-    ).drop("links")
+    ).withColumns(
+        {n: F.try_element_at("socials", F.lit(n)) for n in ("facebook", "linkedin")}
+    ).drop("links", "socials")
 
 
 def collect_sites(pages: DataFrame) -> DataFrame:
     """One row per site from its few read pages, everything in page order."""
     grouped = pages.groupBy("site").agg(
         F.array_sort(
-            F.collect_list(F.struct("page_no", "html", "text", "emails", "phones", "whatsapp", "socials"))
+            F.collect_list(F.struct("page_no", "html", "text", "emails", "phones", "whatsapp", "facebook", "linkedin"))
         ).alias("p")
     )
 
@@ -54,8 +56,7 @@ def collect_sites(pages: DataFrame) -> DataFrame:
         return F.array_distinct(F.flatten(F.transform("p", lambda x: x[name])))
 
     def first_link(network: str) -> Column:
-        found = F.transform("p", lambda x: F.try_element_at(x["socials"], F.lit(network)))
-        return tx.first_of(F.array_compact(found))
+        return tx.first_of(F.array_compact(F.transform("p", lambda x: x[network])))
 
     return grouped.select(
         "site",
@@ -74,8 +75,9 @@ def site_intel(collected: DataFrame, category: str | None = None) -> DataFrame:
     """Type, intent, shop, markets and decision-maker of each site; ``category`` names a column to keep."""
     cat = F.lit(None).cast("string") if category is None else F.col(category)
     kept = [category] if category else []
-    low = collected.withColumn("_low", F.lower("text"))
-    typed = low.withColumns(
+    low = tx.settle(collected, {"_low": F.lower("text")})
+    typed = tx.settle(
+        low,
         {
             "site_type": intel.company_type(F.col("_low"), cat),
             "_store": intel.has_store(F.col("_low")),
@@ -83,7 +85,7 @@ def site_intel(collected: DataFrame, category: str | None = None) -> DataFrame:
             "site_platform": intel.store_platform(F.lower("markup")),
             "contact": intel.decision_maker(F.col("text"), F.col("emails")),
             "signals": intel.intent_phrases(F.col("_low")),
-        }
+        },
     )
     return typed.select(
         "site", *kept, "pages_read", "emails", "phones", "whatsapp", "facebook", "linkedin", "markets", "signals",
@@ -182,6 +184,15 @@ def with_contact_columns(leads: DataFrame) -> DataFrame:
     )
 
 
+def rate_before_and_after(classified: DataFrame, pages: DataFrame, **rating) -> DataFrame:
+    """Rated leads after enrichment with the tier each one had before, both in one row."""
+    from leadloom.operators.qualify import rate
+
+    before = rate(classified, **rating).withColumn("tier_before", F.col("tier"))
+    before = before.drop("outcome", "reason", "segment", "score", "tier", "score_reasons", "is_competitor", "enriched", "store_platform", "target_markets")
+    return rate(enrich(before, pages), **rating)
+
+
 def enrich(leads: DataFrame, pages: DataFrame, region: str = rules.DEFAULT_REGION) -> DataFrame:
     """Read the landed websites of the leads and merge what they say."""
     ready = with_contact_columns(leads)

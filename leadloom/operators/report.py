@@ -112,7 +112,7 @@ def run_row(stats: DataFrame, run_id: int, started: Column, finished: Column, pa
 
 def zero_filled(counts: DataFrame, key: str, values: list[str], spark: SparkSession) -> DataFrame:
     """Counts for every listed value, zero when none occurred."""
-    frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"ord int, {key} string")
+    frame = spark.range(1).select(F.posexplode(tx.words(values)).alias("ord", key))
     return frame.join(counts, key, "left").select("ord", key, F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -309,11 +309,9 @@ def upsert(
     keys = key_columns(batch).withColumn("seed", F.lit(False))
     everything = batch
     if existing is not None:
+        # A stored score stands until a newer rating; stage and reason are taken over further down.
         stored = existing.withColumnRenamed("lead_id", "pos").withColumns(
-            {
-                "outcome": F.when(F.col("status") == rules.QUARANTINED, "quarantine").otherwise("keep"),
-                "reason": F.col("quarantine_reason"),
-            }
+            {"outcome": F.lit("keep"), "reason": F.lit(None).cast("string")}
         )
         keys = keys.unionByName(key_columns(stored).withColumn("seed", F.lit(True)))
         everything = batch.unionByName(stored.select([c for c in stored.columns if c in batch.columns]), allowMissingColumns=True)
@@ -329,7 +327,7 @@ def upsert(
         owned = {c: F.lit(None).cast(t) for c, t in crm.items()}
         leads = leads.withColumns(owned)
     else:
-        present = [c for c in (*crm, "sources_seen", "status") if c in existing.columns]
+        present = [c for c in (*crm, "sources_seen", "status", "quarantine_reason") if c in existing.columns]
         before = existing.select("lead_id", *[F.col(c).alias(f"_{c}") for c in present])
         leads = leads.join(before, "lead_id", "left")
         leads = leads.withColumns(
@@ -339,6 +337,8 @@ def upsert(
             leads = leads.withColumn("sources_seen", F.array_sort(F.array_union("sources_seen", F.coalesce("_sources_seen", F.col("sources_seen")))))
         if "status" in present:
             leads = leads.withColumn("status", F.coalesce("_status", "status"))
+        if "quarantine_reason" in present:
+            leads = leads.withColumn("quarantine_reason", F.coalesce("_quarantine_reason", "quarantine_reason"))
         leads = leads.drop(*[f"_{c}" for c in present])
     return leads.withColumns(
         {

@@ -9,14 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom import rules
+from leadloom.functions import text as tx
 
 Extractor = Callable[[DataFrame], DataFrame]
 _EXTRACTORS: dict[str, Extractor] = {}
 
 
 def catalogue(spark: SparkSession, sources: dict = rules.SOURCES) -> DataFrame:
-    rows = [(k, *v) for k, v in sources.items()]
-    return spark.createDataFrame(rows, "source string, label string, tier string, enabled boolean, flag string")
+    lines = [tx.SUB.join((key, label, tier, str(on), flag or "")) for key, (label, tier, on, flag) in sources.items()]
+    cells = spark.range(1).select(F.explode(tx.words(lines)).alias("line")).select(F.split("line", tx.SUB).alias("c"))
+    text = [F.get("c", i).alias(n) for i, n in enumerate(("source", "label", "tier"))]
+    return cells.select(*text, F.get("c", 3).cast("boolean").alias("enabled"), tx.null_if_empty(F.get("c", 4)).alias("flag"))
 
 
 def allowed(flags_on: list[str]):
@@ -36,8 +39,8 @@ def requested(cat: DataFrame, wanted: DataFrame, flags_on: list[str]) -> DataFra
 
 def category_table(spark: SparkSession) -> DataFrame:
     """Categories with their keywords as one text."""
-    rows = [(n, ", ".join(w)) for n, w in rules.CATEGORIES.items()]
-    return spark.createDataFrame(rows, "category string, keywords string")
+    table = tx.lookup({name: ", ".join(words) for name, words in rules.CATEGORIES.items()})
+    return spark.range(1).select(F.explode(table).alias("category", "keywords"))
 
 
 def flag_table(cat: DataFrame, flags_on: list[str]) -> DataFrame:

@@ -73,7 +73,7 @@ def _exploded(pages: DataFrame, opening: str) -> DataFrame:
     """One row per block with the position on its page."""
     keep = [c for c in pages.columns if c != "html"]
     rows = pages.select(*keep, F.posexplode(blocks(F.col("html"), opening)).alias("item", "block"))
-    return rows.withColumn("links", h.anchors("block"))
+    return tx.settle(rows, {"links": h.anchors("block")})
 
 
 def _request(pages: DataFrame, name: str) -> Column:
@@ -255,7 +255,7 @@ APPAREL_STOPS = ["TEL", "PHONE", "MOBILE", "FAX", "E-?MAILS?", "WEBSITE", "FACTO
 
 def member_details(pages: DataFrame, own_domain: str, labelled_site: bool, stops: list[str]) -> DataFrame:
     """Phones, e-mails, website and address of member pages; the directory's own mail is left out."""
-    read = pages.withColumns({"text": h.visible_text("html"), "links": h.anchors("html")})
+    read = tx.settle(pages, {"text": h.visible_text("html"), "links": h.anchors("html")})
     site = h.labelled_website(F.col("text")) if labelled_site else h.first_external(F.col("links"), own_domain)
     mails = h.emails_of(F.col("html"), F.col("links"), F.col("text"))
     return read.select(

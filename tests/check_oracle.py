@@ -56,7 +56,8 @@ def compare(spark, con, query, sql: str, sf_dir: str) -> str | None:
     print(f"    {t1 - t:.1f}s + {time.time() - t1:.1f}s sql", end=" ")
     if ours == theirs:
         return None
-    return f"rows {sum(ours.values())} vs {sum(theirs.values())}; {cols}\n   ours   {list((ours - theirs))[:3]}\n   theirs {list((theirs - ours))[:3]}"
+    at_fault = sorted({c for a, b in zip(sorted((ours - theirs), key=str), sorted((theirs - ours), key=str)) for c, x, y in zip(cols, a, b) if x != y})
+    return f"differ in {at_fault}; rows {sum(ours.values())} vs {sum(theirs.values())}\n   ours   {str(sorted((ours - theirs), key=str)[:2])[:700]}\n   theirs {str(sorted((theirs - ours), key=str)[:2])[:700]}"
 
 
 if __name__ == "__main__":
@@ -79,7 +80,7 @@ if __name__ == "__main__":
             else:
                 diff = None if queries[name](spark, folder).count() >= 0 else "none"
         except Exception as exc:
-            diff = f"{type(exc).__name__}: {str(exc)[:1500]}"
+            diff = f"{type(exc).__name__}: {str(exc)[:500]}"
         bad += diff is not None
         print(f"{'ok ' if diff is None else 'BAD'} {name} {time.time() - t:.1f}s {'' if name in oracle else '(rows only)'} {diff or ''}", flush=True)
     print(f"{len(chosen) - bad} of {len(chosen)} agree")
