@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom import rules
+from leadloom.session import spread
 
 AS_OF = dt.date(2001, 8, 2)
 CUTOFF_YEAR = 1999
@@ -35,7 +36,8 @@ SEGMENT_CATEGORY = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages", "customer") else rows
 
 
 def txt(c: Column) -> Column:
