@@ -56,9 +56,14 @@ def decode_entities(text: Column) -> Column:
 
 def visible_text(html: Column | str) -> Column:
     """What a reader sees: text pieces between tags, trimmed, joined by one space."""
-    bare = F.regexp_replace(F.regexp_replace(col_of(html), HIDDEN, ""), TAG, GAP)
-    pieces = F.transform(F.split(let(bare, decode_entities), GAP), squeeze_ends)
-    return F.array_join(F.filter(pieces, lambda p: p != ""), " ")
+
+    def read(markup: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(markup, HIDDEN, ""), TAG, GAP)
+        pieces = F.transform(F.split(let(bare, decode_entities), GAP), squeeze_ends)
+        joined = F.array_join(F.filter(pieces, lambda p: p != ""), " ")
+        return F.when(F.contains(markup, F.lit("<")), joined).otherwise(squeeze_ends(decode_entities(markup)))
+
+    return let(col_of(html), read)
 
 
 def attribute(tag: Column, name: str) -> Column:

@@ -14,7 +14,7 @@ from leadloom.operators.qualify import qualify
 from leadloom.queries import sqltext as s
 from leadloom.queries.base import AS_OF, FILTERS, norm_sql, rate_sql, raw_listings, rated_sql, reasons_plain, table
 from leadloom.queries.leads import classified, normalized
-from leadloom.session import shared_path
+from leadloom.session import cut, shared_path
 from leadloom.sources.sinks import read_leads, write_leads
 
 
@@ -103,9 +103,16 @@ def web_pages(spark, d) -> DataFrame:
     return home.unionByName(contact).unionByName(more)
 
 
+def landed_pages(spark, d) -> DataFrame:
+    """The web pages as a landed table."""
+    path = shared_path(spark, "pages")
+    web_pages(spark, d).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def site_profiles(spark, d):
     """What each landed website says about its company."""
-    rows = en.crawl_intel(classified(spark, d), web_pages(spark, d))
+    rows = en.crawl_intel(cut(classified(spark, d)), landed_pages(spark, d))
     return rows.select(
         "site", "asked_category", "pages_read", F.array_join("emails", ",").alias("emails"), F.array_join("phones", ",").alias("phones"),
         F.array_join("whatsapp", ",").alias("whatsapp"), "facebook", "linkedin", F.array_join("markets", ",").alias("markets"), "site_type", "site_platform",
@@ -114,7 +121,7 @@ def site_profiles(spark, d):
 
 
 def _enriched(spark, d) -> DataFrame:
-    return en.rate_before_and_after(classified(spark, d), web_pages(spark, d), filters=FILTERS, as_of=AS_OF)
+    return en.rate_before_and_after(cut(classified(spark, d)), landed_pages(spark, d), filters=FILTERS, as_of=AS_OF)
 
 
 def enriched_listings(spark, d):

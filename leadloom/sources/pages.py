@@ -81,9 +81,11 @@ def _request(pages: DataFrame, name: str) -> Column:
     return F.col(name) if name in pages.columns else F.lit(None).cast(NULL_TEXT)
 
 
-def _row(pages: DataFrame, key: str, **cols: Column) -> list[Column]:
-    carried = [F.col(c) for c in ("page_id", "item") if c in pages.columns]
-    return carried + [F.lit(key).alias("source")] + [v.alias(k) for k, v in cols.items()]
+def _listing(rows: DataFrame, key: str, **cols: Column) -> DataFrame:
+    """Listings with the given fields, each read once per block; blocks without a name drop out."""
+    carried = [c for c in ("page_id", "item") if c in rows.columns]
+    read = tx.settle(rows, {"source": F.lit(key), **cols})
+    return read.select(*carried, "source", *cols).where(F.col("company_name").isNotNull())
 
 
 # ----------------------------------------------------------------------------- the layouts
@@ -92,23 +94,27 @@ def company_cards(pages: DataFrame, base: str = "https://www.egydir.com") -> Dat
     """Cards with name link, dialable or written phone, website, address and category."""
     rows = _exploded(pages, with_class("div", "company-card"))
     block = F.col("block")
-    heading = inner(block, with_class(r"(\w+)", "company-name"))
-    link = tx.first_of(h.anchors(heading))
-    name = F.coalesce(tx.null_if_empty(link["text"]), tx.null_if_empty(h.visible_text(heading)))
-    tel = first_link(F.col("links"), lambda a: F.startswith(a["href"], F.lit("tel:")))
+    rows = tx.settle(
+        rows,
+        {
+            "_heading": inner(block, with_class(r"(\w+)", "company-name")),
+            "_tel": first_link(F.col("links"), lambda a: F.startswith(a["href"], F.lit("tel:"))),
+        },
+    )
+    rows = tx.settle(rows, {"_link": tx.first_of(h.anchors("_heading"))})
+    link, tel = F.col("_link"), F.col("_tel")
+    name = F.coalesce(tx.null_if_empty(link["text"]), tx.null_if_empty(h.visible_text("_heading")))
     dialled = F.coalesce(tx.null_if_empty(F.trim(F.substring(tel["href"], 5, 1 << 30))), tx.null_if_empty(tel["text"]))
-    return rows.select(
-        *_row(
-            rows, "egydir",
-            company_name=name,
-            source_url=F.when(tx.has_value(link["href"]), u.resolve(F.lit(base), link["href"])),
-            phone_raw=F.when(tel.isNotNull(), dialled).otherwise(field(block, "company-phone")),
-            website=tag_attribute(block, with_class("a", "company-website"), "href"),
-            address=field(block, "company-address"),
-            city=_request(pages, "city"),
-            category=F.coalesce(field(block, "company-category"), _request(pages, "category")),
-        )
-    ).where(F.col("company_name").isNotNull())
+    return _listing(
+        rows, "egydir",
+        company_name=name,
+        source_url=F.when(tx.has_value(link["href"]), u.resolve(F.lit(base), link["href"])),
+        phone_raw=F.when(tel.isNotNull(), dialled).otherwise(field(block, "company-phone")),
+        website=tag_attribute(block, with_class("a", "company-website"), "href"),
+        address=field(block, "company-address"),
+        city=_request(pages, "city"),
+        category=F.coalesce(field(block, "company-category"), _request(pages, "category")),
+    )
 
 
 @register_extractor("forwarding_companies")
@@ -117,20 +123,24 @@ def table_rows(pages: DataFrame, base: str = "https://forwardingcompanies.com")
     opening = with_class("tr", "company-data")
     rows = _exploded(pages, opening)
     block = F.col("block")
-    link = tx.first_of(h.anchors(inner(block, with_class(r"(\w+)", "company-name"))))
-    location = field(block, "address-wrap")
+    rows = tx.settle(
+        rows,
+        {
+            "_link": tx.first_of(h.anchors(inner(block, with_class(r"(\w+)", "company-name")))),
+            "_location": field(block, "address-wrap"),
+        },
+    )
+    link, location = F.col("_link"), F.col("_location")
     city, country = u.location_place(location)
     about = F.concat_ws(" ", field(block, "about-title"), field(block, "about-description"))
-    return rows.select(
-        *_row(
-            rows, "forwarding_companies",
-            company_name=F.coalesce(tag_attribute(block, opening, "data-name"), tx.null_if_empty(link["text"])),
-            source_url=F.when(tx.has_value(link["href"]), u.resolve(F.lit(base), link["href"])),
-            city=city, country=country, address=location,
-            category=_request(pages, "category"),
-            description=tx.null_if_empty(about),
-        )
-    ).where(F.col("company_name").isNotNull())
+    return _listing(
+        rows, "forwarding_companies",
+        company_name=F.coalesce(tag_attribute(block, opening, "data-name"), tx.null_if_empty(link["text"])),
+        source_url=F.when(tx.has_value(link["href"]), u.resolve(F.lit(base), link["href"])),
+        city=city, country=country, address=location,
+        category=_request(pages, "category"),
+        description=tx.null_if_empty(about),
+    )
 
 
 def company_links(pages: DataFrame, base: str = "https://www.freightclub.net") -> DataFrame:
@@ -169,20 +179,20 @@ def onclick_cards(pages: DataFrame, own_host: str = "wsdconnect.com") -> DataFra
     block, links = F.col("block"), F.col("links")
     mail = first_link(links, lambda a: F.startswith(a["href"], F.lit("mailto:")))
     meta = F.regexp_extract(block, rf"(?is){with_class(r'(?:div|ul|p)', 'listing-meta')}(.*)$", 1)
-    place = tx.null_if_empty(F.trim(F.regexp_replace(field(meta, "listing-item"), r"(?i)\s*\+\d+\s*more\s*$", "")))
+    item = F.regexp_replace(field(meta, "listing-item"), r"(?i)\s*\+\d+\s*more\s*$", "")
+    rows = tx.settle(rows, {"_place": tx.null_if_empty(F.trim(item))})
+    place = F.col("_place")
     city, country = u.location_place(place)
     target = F.regexp_extract(F.regexp_extract(block, f"(?is)^{opening}", 0), r"window\.location\s*=\s*'([^']+)'", 1)
-    return rows.select(
-        *_row(
-            rows, "wsdconnect",
-            company_name=field(block, "listing-company-name"),
-            source_url=tx.null_if_empty(target),
-            email=tx.null_if_empty(F.trim(F.split_part(F.substring(mail["href"], 8, 1 << 30), F.lit("?"), F.lit(1)))),
-            website=h.first_external(links, own_host),
-            city=city, country=country, address=place,
-            category=F.coalesce(field(block, "listing-category-tag"), _request(pages, "category")),
-        )
-    ).where(F.col("company_name").isNotNull())
+    return _listing(
+        rows, "wsdconnect",
+        company_name=field(block, "listing-company-name"),
+        source_url=tx.null_if_empty(target),
+        email=tx.null_if_empty(F.trim(F.split_part(F.substring(mail["href"], 8, 1 << 30), F.lit("?"), F.lit(1)))),
+        website=h.first_external(links, own_host),
+        city=city, country=country, address=place,
+        category=F.coalesce(field(block, "listing-category-tag"), _request(pages, "category")),
+    )
 
 
 def _first_per_link(rows: DataFrame) -> DataFrame:
@@ -196,15 +206,14 @@ def _first_per_link(rows: DataFrame) -> DataFrame:
 def member_grid(pages: DataFrame, base: str = "https://textile-egypt.org/textile-egypt.org") -> DataFrame:
     """Grid of members: picture text is the name, the member link leads to the contacts."""
     rows = _exploded(pages, with_class(r"(?:div|li|article)", "grid-item"))
-    link = first_link(F.col("links"), lambda a: F.contains(a["href"], F.lit("members/")))
-    out = rows.select(
-        *_row(
-            rows, "textile_council",
-            company_name=tag_attribute(F.col("block"), r"<img\b[^>]*\salt\s*=[^>]*>", "alt"),
-            href=link["href"],
-            source_url=u.resolve(F.lit(base.rstrip("/") + "/"), link["href"]),
-            category=F.lit("Textiles"), country=F.lit("Egypt"),
-        )
+    rows = tx.settle(rows, {"_link": first_link(F.col("links"), lambda a: F.contains(a["href"], F.lit("members/")))})
+    link = F.col("_link")
+    out = _listing(
+        rows, "textile_council",
+        company_name=tag_attribute(F.col("block"), r"<img\b[^>]*\salt\s*=[^>]*>", "alt"),
+        href=link["href"],
+        source_url=u.resolve(F.lit(base.rstrip("/") + "/"), link["href"]),
+        category=F.lit("Textiles"), country=F.lit("Egypt"),
     )
     return _first_per_link(out)
 
@@ -213,15 +222,14 @@ def member_grid(pages: DataFrame, base: str = "https://textile-egypt.org/textile
 def directory_table(pages: DataFrame, base: str = "https://aecegy.com", hint: str = "business-directory/") -> DataFrame:
     """Table whose first cell is the name and whose link contains a hint."""
     rows = _exploded(pages, r"<tr\b[^>]*>")
-    link = first_link(F.col("links"), lambda a: F.contains(a["href"], F.lit(hint)))
-    out = rows.select(
-        *_row(
-            rows, "aece",
-            company_name=tx.null_if_empty(h.visible_text(F.regexp_extract("block", r"(?is)<td\b[^>]*>(.*?)</td\s*>", 1))),
-            href=link["href"],
-            source_url=u.resolve(F.lit(base.rstrip("/") + "/"), link["href"]),
-            category=F.lit("Garments"), country=F.lit("Egypt"),
-        )
+    rows = tx.settle(rows, {"_link": first_link(F.col("links"), lambda a: F.contains(a["href"], F.lit(hint)))})
+    link = F.col("_link")
+    out = _listing(
+        rows, "aece",
+        company_name=tx.null_if_empty(h.visible_text(F.regexp_extract("block", r"(?is)<td\b[^>]*>(.*?)</td\s*>", 1))),
+        href=link["href"],
+        source_url=u.resolve(F.lit(base.rstrip("/") + "/"), link["href"]),
+        category=F.lit("Garments"), country=F.lit("Egypt"),
     )
     return _first_per_link(out)
 
@@ -232,20 +240,18 @@ def result_rows(pages: DataFrame, base: str = "https://www.yellowpages.com.eg")
     rows = _exploded(pages, with_class(r"\w[\w\-]*", "item-row"))
     block = F.col("block")
     title = with_class("a", "item-title")
-    href = tag_attribute(block, title, "href")
-    address = field(block, "address-text")
+    rows = tx.settle(rows, {"_href": tag_attribute(block, title, "href"), "_address": field(block, "address-text")})
+    href, address = F.col("_href"), F.col("_address")
     city, governorate = u.address_place(address)
     category = tx.first_of(h.anchors(inner(block, with_class(r"(\w+)", "category"))))["text"]
-    return rows.select(
-        *_row(
-            rows, "yellowpages_eg",
-            company_name=tx.null_if_empty(h.visible_text(inner(block, title))),
-            source_url=u.listing_url(href, base),
-            address=address, city=city, governorate=governorate, country=F.lit("Egypt"),
-            category=F.coalesce(tx.null_if_empty(category), _request(pages, "category")),
-            company_id=tx.null_if_empty(F.regexp_extract(F.coalesce(href, F.lit("")), r"/profile/[^/]+/(\d+)", 1)),
-        )
-    ).where(F.col("company_name").isNotNull())
+    return _listing(
+        rows, "yellowpages_eg",
+        company_name=tx.null_if_empty(h.visible_text(inner(block, title))),
+        source_url=u.listing_url(href, base),
+        address=address, city=city, governorate=governorate, country=F.lit("Egypt"),
+        category=F.coalesce(tx.null_if_empty(category), _request(pages, "category")),
+        company_id=tx.null_if_empty(F.regexp_extract(F.coalesce(href, F.lit("")), r"/profile/[^/]+/(\d+)", 1)),
+    )
 
 
 # ------------------------------------------------------------------------- detail pages
