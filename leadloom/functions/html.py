@@ -17,6 +17,7 @@ TAG = r"<[/!?a-zA-Z][^>]*>"
 GAP = SEP
 OUTER_SPACE = r"^[\s\x{00A0}]+|[\s\x{00A0}]+$"
 ANCHOR = r"(?is)<a\s[^>]*>.*?</a\s*>"
+# Patterns that decide which texts count as a phone, an e-mail or a WhatsApp link.
 PHONE_LIKE = r"(\+?\d[\d\s\-()]{7,}\d)"
 EMAIL_LIKE = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 HIDDEN_EMAIL = r'data-cfemail="([0-9a-fA-F]{6,})"'

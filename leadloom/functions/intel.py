@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leadloom import rules
 from leadloom.functions.text import contains_any, first_of, hits_in, let, lookup, null_if_empty, one_of, personal_email
 
+# Fixed value: how a person's name looks in Latin or Arabic letters.
 PERSON = (
     r"(?:[A-Z][A-Za-z.\-]+(?:\s+[A-Z][A-Za-z.\-]+){1,2}"
     r"|[\x{0600}-\x{06FF}]{2,}(?:\s+[\x{0600}-\x{06FF}]{2,}){1,3})"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leadloom import rules
 
+# Patterns of name characters and e-mail cells.
 # Letters, digits, underscore and the whole Arabic block count as word characters.
 NAME_GAP = r"[^\p{L}\p{N}_\x{0600}-\x{06FF}]+"
 WORD_CHAR = r"[\p{L}\p{N}_\x{0600}-\x{06FF}]"
@@ -58,6 +59,14 @@ def settle(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
     return df.select(*kept, F.inline(F.array(F.struct(*[v.alias(k) for k, v in cols.items()]))))
 
 
+def spread_key(key: Column | str, *salt: str) -> Column:
+    """Text key for probing a left join; a blank one gets a value of its own from the ``salt`` columns.
+
+    All-null keys would meet in one task although none of them can match.
+    """
+    return F.coalesce(col_of(key), F.concat(F.lit("\u0000"), F.xxhash64(*salt).cast("string")))
+
+
 def contains_any(text: Column, needles: list[str]) -> Column:
     """True when any needle is a substring of ``text``; false on null text."""
     if len(needles) == 0:

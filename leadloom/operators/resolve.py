@@ -46,11 +46,6 @@ def key_columns(df: DataFrame) -> DataFrame:
     )
 
 
-def _spread(key: str) -> Column:
-    """Key for probing; a blank one gets a value of its own, so blanks do not pile up in one task."""
-    return F.coalesce(F.col(key), F.concat(F.lit("\u0000"), F.col("pos").cast("string")))
-
-
 def match_existing(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """Lead each incoming record matches in a fixed table: phone, else domain, else name and city.
 
@@ -64,7 +59,7 @@ def match_existing(incoming: DataFrame, existing: DataFrame) -> DataFrame:
         return filled.groupBy(*cols).agg(F.min("lead_id").alias(out))
 
     probe = key_columns(incoming).select(
-        "pos", *[_spread(k).alias(k) for k in ("phone", "domain", "name")], F.coalesce("city", F.lit("")).alias("city_key")
+        "pos", *[tx.spread_key(k, "pos").alias(k) for k in ("phone", "domain", "name")], F.coalesce("city", F.lit("")).alias("city_key")
     )
     places = by(["name", "city"], "by_name").withColumn("city_key", F.coalesce("city", F.lit(""))).drop("city")
     return (
@@ -166,7 +161,7 @@ def _reassign(state: DataFrame) -> DataFrame:
     phones, domains, names = _holdings(_leads_of(state))
     pos = F.col("pos")
     probe = state.withColumns(
-        {"p_probe": _spread("phone"), "d_probe": _spread("domain"), "n_probe": _spread("name"),
+        {"p_probe": tx.spread_key("phone", "pos"), "d_probe": tx.spread_key("domain", "pos"), "n_probe": tx.spread_key("name", "pos"),
          "city_key": F.coalesce("city", F.lit(""))}
     )
     joined = (
@@ -221,6 +216,17 @@ FILL_FIELDS = {
 }
 
 
+# Numbers kept inside the lead row; a lead with more of them has them in ``lead_numbers`` only.
+NUMBERS_IN_ROW = 10_000
+
+
+def lead_numbers(sightings: DataFrame, assignment: DataFrame, keep_other_phones: bool = True) -> DataFrame:
+    """Every number seen per lead besides its rows' primary one, as ``(lead, number)``; never cut short."""
+    spoken = F.array_compact(F.array("phone_e164")) if keep_other_phones else F.array().cast("array<string>")
+    every = F.concat(F.coalesce(F.col("extra_phones"), F.array().cast("array<string>")), spoken)
+    return sightings.join(assignment, "pos").select("lead", F.explode(every).alias("number")).distinct()
+
+
 def merge(
     sightings: DataFrame, assignment: DataFrame,
     keep_score_on_quarantine: bool = True, unknown_type_is_blank: bool = True, keep_other_phones: bool = True,
@@ -229,7 +235,8 @@ def merge(
 
     Blank fields take the first value in order; type, product, segment, markets and intent the
     latest value; score, tier and reasons the latest rating; sources, extra phones and social
-    links are united. With all three switches off a broken sighting resets the score, an
+    links are united. ``numbers_seen`` counts all numbers of a lead; beyond ``NUMBERS_IN_ROW``
+    they stay in ``lead_numbers`` and the row's list is null. With all three switches off a broken sighting resets the score, an
     Unknown type replaces a known one, and a later sighting's own phone is not kept as extra.
     """
     rows = sightings.join(assignment, "pos")
@@ -269,11 +276,12 @@ def merge(
     )
     merged = merged.withColumn("status", F.when(F.col("_broken"), F.lit(rules.QUARANTINED)).otherwise("new"))
     spoken = F.array_compact(F.array("phone_e164")) if keep_other_phones else F.array().cast("array<string>")
-    # Numbers and links are reduced per lead and value first, so a busy lead is combined map-side.
-    numbers = rows.select(
-        "lead", F.explode(F.concat(F.coalesce(F.col("extra_phones"), F.array().cast("array<string>")), spoken)).alias("number")
-    ).groupBy("lead", "number").agg(F.lit(1).alias("one"))
-    extras = numbers.groupBy("lead").agg(F.array_sort(F.collect_list("number")).alias("numbers"))
+    # Numbers and links are reduced per lead and value first, so a busy lead is combined map-side;
+    # only leads with a row-sized number list have it gathered.
+    numbers = lead_numbers(sightings, assignment, keep_other_phones)
+    counts = numbers.groupBy("lead").agg(F.count(F.lit(1)).alias("numbers_seen"))
+    small = numbers.join(counts.where(F.col("numbers_seen") <= NUMBERS_IN_ROW).select("lead"), "lead", "left_semi")
+    extras = small.groupBy("lead").agg(F.array_sort(F.collect_list("number")).alias("numbers"))
     links = (
         rows.select("lead", "pos", F.explode("social_links").alias("network", "url"))
         .groupBy("lead", "network")
@@ -282,7 +290,8 @@ def merge(
         .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("network", "url")))).alias("social_links"))
     )
     return (
-        merged.join(extras, "lead", "left")
+        merged.join(counts, "lead", "left")
+        .join(extras, "lead", "left")
         .join(links, "lead", "left")
         .withColumn("numbers", F.array_remove("numbers", F.coalesce("phone_e164", F.lit(""))))
         .withColumn("extra_phones", F.when(F.col("sightings") == 1, F.col("_own_numbers")).otherwise(F.col("numbers")))

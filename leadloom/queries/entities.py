@@ -147,20 +147,24 @@ def enrichment_effect(spark, d):
 
 # ------------------------------------------------------------------ SQL
 def fold_sql(source: str) -> str:
-    """The fold as a recursion over arrival numbers: one step per record, state = list of leads."""
+    """The fold as a recursion over arrival numbers: one step per record, state = list of leads.
+
+    Phones, domains and names of the derived listings never cross blocks of 50 companies, so all
+    blocks step side by side.
+    """
     lead = "STRUCT(id BIGINT, p VARCHAR, d VARCHAR, n VARCHAR, c VARCHAR)"
     return f"""
-seq AS (SELECT row_number() OVER (ORDER BY pos) AS i, pos, nullif(phone_e164, '') AS p, nullif(domain, '') AS d, nullif(company_name_norm, '') AS n, nullif(city, '') AS c FROM {source}),
+seq AS (SELECT e // 50 AS blk, row_number() OVER (PARTITION BY e // 50 ORDER BY pos) AS i, pos, nullif(phone_e164, '') AS p, nullif(domain, '') AS d, nullif(company_name_norm, '') AS n, nullif(city, '') AS c FROM {source}),
 fold AS (
-  SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS pos, CAST(NULL AS BIGINT) AS lead, CAST([] AS {lead}[]) AS leads
+  SELECT DISTINCT blk, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS pos, CAST(NULL AS BIGINT) AS lead, CAST([] AS {lead}[]) AS leads FROM seq
   UNION ALL
-  SELECT i, pos, coalesce(hit, pos) AS lead,
+  SELECT blk, i, pos, coalesce(hit, pos) AS lead,
     CASE WHEN hit IS NULL THEN list_append(leads, CAST({{'id': pos, 'p': p, 'd': d, 'n': n, 'c': c}} AS {lead}))
       ELSE list_transform(leads, lambda l: CASE WHEN l.id = hit THEN CAST({{'id': l.id, 'p': coalesce(l.p, p), 'd': coalesce(l.d, d), 'n': l.n, 'c': coalesce(l.c, c)}} AS {lead}) ELSE l END) END AS leads
-  FROM (SELECT seq.i, seq.pos, seq.p, seq.d, seq.n, seq.c, f.leads,
+  FROM (SELECT seq.blk, seq.i, seq.pos, seq.p, seq.d, seq.n, seq.c, f.leads,
       coalesce(list_filter(f.leads, lambda l: l.p = seq.p)[1].id, list_filter(f.leads, lambda l: l.d = seq.d)[1].id,
         list_filter(f.leads, lambda l: l.n = seq.n AND l.c IS NOT DISTINCT FROM seq.c)[1].id) AS hit
-    FROM fold f JOIN seq ON seq.i = f.i + 1)),
+    FROM fold f JOIN seq ON seq.blk = f.blk AND seq.i = f.i + 1)),
 assigned AS (SELECT pos, lead FROM fold WHERE pos IS NOT NULL)"""
 
 

@@ -5,12 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-# Largest row count we let a broadcast hint cover; callers count first.
-BROADCAST_ROWS = 200_000
-
 
 def local_session(cores: str | int = "*", partitions: int = 8, app: str = "leadloom") -> SparkSession:
     """Session for one machine. A cluster brings its own session and its own settings."""
@@ -43,9 +39,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialize ``df`` reliably and forget how it was made."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and read it back: computed once, lineage forgotten.
+
+    A columnar table rather than a checkpoint: it is compressed, later reads take only the columns
+    they need, and its size is known when the next join is planned. It survives lost executors.
+    """
+    path = shared_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -60,8 +61,3 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """Cache for reuse by several consumers; lost blocks are recomputed."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)

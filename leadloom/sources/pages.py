@@ -255,6 +255,7 @@ def result_rows(pages: DataFrame, base: str = "https://www.yellowpages.com.eg")
 
 
 # ------------------------------------------------------------------------- detail pages
+# Labels that end an address.
 TEXTILE_STOPS = ["OFFICE", "FACTORY", "HEAD", "SHOWROOM", "WEBSITE", "E-?MAILS?", "PHONES?", "MOBILE", "FAX", "TEL", "CONTACT", "GENERAL"]
 APPAREL_STOPS = ["TEL", "PHONE", "MOBILE", "FAX", "E-?MAILS?", "WEBSITE", "FACTORY", "OFFICE", "CONTACT"]
 
@@ -283,7 +284,8 @@ def join_details(listing: DataFrame, details: DataFrame) -> DataFrame:
     def old(name: str, kind: str = NULL_TEXT) -> Column:
         return F.col(name) if name in known else F.lit(None).cast(kind)
 
-    joined = listing.join(details, listing["source_url"] == details["url"], "left")
+    salt = [c for c in ("page_id", "item", "company_name") if c in known]
+    joined = listing.join(details, tx.spread_key("source_url", *salt) == details["url"], "left")
     called = F.size("detail_phones") > 0
     return joined.withColumns(
         {
