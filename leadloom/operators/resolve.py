@@ -300,14 +300,20 @@ def merge(
     )
 
 
-def upsert(
+def upsert(sightings: DataFrame, existing: DataFrame | None = None, **options) -> DataFrame:
+    """Stored leads after a batch: see ``fold_batch``."""
+    return fold_batch(sightings, existing, **options)[0]
+
+
+def fold_batch(
     sightings: DataFrame, existing: DataFrame | None = None, run_id: int | None = None, now: Column | None = None, **policy
-) -> DataFrame:
-    """Stored leads after a batch: new leads inserted, matched ones merged.
+) -> tuple[DataFrame, DataFrame]:
+    """(stored leads after a batch, lead of every sighting).
 
-    ``sightings`` are rated leads with ``pos``; dropped ones do not take part. A stored lead
-    takes part as the first sighting of itself. New ids follow the highest stored id in order
-    of arrival (unique and ordered, not gapless, so no global numbering pass is needed).
+    New leads are inserted, matched ones merged. ``sightings`` are rated leads with ``pos``;
+    dropped ones do not take part. A stored lead takes part as the first sighting of itself. New
+    ids follow the highest stored id in order of arrival (unique and ordered, not gapless, so no
+    global numbering pass is needed). The second table holds ``pos``, ``lead_id`` and ``created``.
     """
     batch = sightings.where(F.col("outcome") != "drop")
     top = 0
@@ -324,7 +330,11 @@ def upsert(
         )
         keys = keys.unionByName(key_columns(stored).withColumn("seed", F.lit(True)))
         everything = batch.unionByName(stored.select([c for c in stored.columns if c in batch.columns]), allowMissingColumns=True)
-    leads = merge(everything, assign(keys), **policy).withColumnRenamed("lead", "lead_id")
+    assignment = assign(keys)
+    placed = assignment.where(F.col("pos") > top).select(
+        (F.col("pos") - (top + 1)).alias("pos"), F.col("lead").alias("lead_id"), (F.col("pos") == F.col("lead")).alias("created")
+    )
+    leads = merge(everything, assignment, **policy).withColumnRenamed("lead", "lead_id")
     stamp = F.lit(None).cast("timestamp_ntz") if now is None else now
     crm = {
         "notes": "string", "assigned_to": "string", "last_contact_date": "date", "next_followup_date": "date",
@@ -349,7 +359,7 @@ def upsert(
         if "quarantine_reason" in present:
             leads = leads.withColumn("quarantine_reason", F.coalesce("_quarantine_reason", "quarantine_reason"))
         leads = leads.drop(*[f"_{c}" for c in present])
-    return leads.withColumns(
+    leads = leads.withColumns(
         {
             "pushed_to_sheet": F.coalesce("pushed_to_sheet", F.lit(False)),
             "run_id": F.coalesce("run_id", F.lit(run_id).cast("long")),
@@ -357,3 +367,4 @@ def upsert(
             "updated_at": F.when(F.col("created") | (F.col("sightings") > 1), F.coalesce(stamp, F.col("updated_at"))).otherwise(F.col("updated_at")),
         }
     )
+    return leads, placed

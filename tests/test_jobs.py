@@ -137,3 +137,29 @@ def con(sf):
 @pytest.mark.parametrize("name", sorted(set(entry.oracle_sql()) - SLOW) + ["entity_leads", "streamed_leads"])
 def test_query_agrees_with_sql(spark, con, sf, name):
     assert compare(spark, con, entry.queries()[name], entry.oracle_sql()[name], sf) is None
+
+
+def test_runs_end_to_end(spark, tmp_path):
+    import datetime as dt
+
+    from leadloom.plans.run import daily_run, run_search
+    from leadloom.sources.sinks import read_leads
+
+    leads, runs, feed = (str(tmp_path / n) for n in ("leads", "runs", "feed"))
+    rows = [(i, f"Firm {i % 6}", "a" if i % 2 else "b", f"https://d.example/{i}", f"010{i % 6:08d}", "Cosmetics" if i % 3 else None, "Cairo") for i in range(12)]
+    rows += [(12, "--", "a", "u12", "01099999999", None, None), (13, "No Contact", "a", "u13", None, None, None)]
+    listings = spark.createDataFrame(rows, "pos long, company_name string, source string, source_url string, phone_raw string, category string, city string")
+    asked = spark.createDataFrame([("a",), ("b",), ("silent",), ("down",)], "source string")
+    errors = spark.createDataFrame([("down", "429 too many requests")], "source string, error string")
+    t = F.lit("2024-01-01").cast("timestamp_ntz")
+    row = run_search(listings, leads, runs, run_id=1, sources=asked, started=t, finished=t, errors=errors, max_results=100, params={"country": "Egypt"}).first()
+    assert (row.found, row.kept, row.dropped, row.quarantined, row.created, row.updated) == (14, 12, 0, 2, 6, 6)
+    assert {k: v.health for k, v in row.source_stats.items()} == {"a": "ok", "b": "ok", "silent": "empty", "down": "blocked"} and row.status == "done_with_errors"
+    again = run_search(listings, leads, runs, run_id=2, sources=asked, started=t, finished=t, max_results=2).first()
+    assert (again.found, again.created, again.updated) == (4, 0, 4)
+    assert read_leads(spark, leads).count() == 6 and spark.read.parquet(runs).count() == 2
+    plan = {**rules.PLAN, "daily_limit": 1000}
+    day = daily_run(listings, leads, runs, feed, day=dt.date(2024, 1, 2), run_id=3, sources=asked, plan=plan).first()
+    assert day.found == 14 and spark.read.parquet(feed).count() == 6
+    daily_run(listings, leads, runs, feed, day=dt.date(2024, 1, 3), run_id=4, sources=asked, plan=plan)
+    assert spark.read.parquet(feed).count() == 6 and read_leads(spark, leads).where("pushed_to_sheet").count() == 6
