@@ -156,11 +156,11 @@ def _holdings(leads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return phones, domains, names
 
 
-def _reassign(state: DataFrame) -> DataFrame:
-    """One round: new lead of every sighting from the holdings of the present assignment."""
-    phones, domains, names = _holdings(_leads_of(state))
+def _reassign(rows: DataFrame, leads: DataFrame) -> DataFrame:
+    """New lead of the given sightings from the holdings of ``leads``; the old one in ``lead_before``."""
+    phones, domains, names = _holdings(leads)
     pos = F.col("pos")
-    probe = state.withColumns(
+    probe = rows.withColumns(
         {"p_probe": tx.spread_key("phone", "pos"), "d_probe": tx.spread_key("domain", "pos"), "n_probe": tx.spread_key("name", "pos"),
          "city_key": F.coalesce("city", F.lit(""))}
     )
@@ -190,6 +190,25 @@ def _reassign(state: DataFrame) -> DataFrame:
     )
 
 
+def _affected(state: DataFrame, moved: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """Sightings whose outcome may change: those that share a key with a lead that gained or lost one.
+
+    The keys of touched leads are few after the first rounds, so these semi-joins scan ``state``
+    without shuffling it whenever Spark finds them small enough to broadcast.
+    """
+    touched = moved.select(F.explode(F.array("lead", "lead_before")).alias("lead")).distinct()
+    held = cut(before.unionByName(after).join(touched, "lead", "left_semi").select("phone", "domain", "name"))
+    hits = None
+    for key in ("phone", "domain", "name"):
+        part = state.join(held.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_semi").select("pos")
+        hits = part if hits is None else hits.unionByName(part)
+    return state.join(hits.distinct(), "pos", "left_semi")
+
+
+# From this many sightings on, rounds after the first only look at sightings that may still move.
+NARROW_ROUNDS_FROM = 5_000_000
+
+
 def assign(keys: DataFrame) -> DataFrame:
     """``(pos, lead)``: the founding position of the lead every sighting ends up in.
 
@@ -197,12 +216,24 @@ def assign(keys: DataFrame) -> DataFrame:
     standing for themselves and must have the lowest positions.
     """
     state = cut(keys.withColumn("lead", F.col("pos")))
+    narrow = state.count() >= NARROW_ROUNDS_FROM
+    leads = cut(_leads_of(state)) if narrow else _leads_of(state)
+    todo = state
     while True:
-        after = cut(_reassign(state))
-        moved = not after.where(F.col("lead") != F.col("lead_before")).isEmpty()
-        state = after.drop("lead_before")
-        if not moved:
+        done = cut(_reassign(todo, leads))
+        moved = done.where(F.col("lead") != F.col("lead_before")).select("pos", "lead", "lead_before")
+        if moved.isEmpty():
             return state.select("pos", "lead")
+        if not narrow:
+            todo = state = done.drop("lead_before")
+            leads = _leads_of(state)
+            continue
+        changed = moved.select("pos", F.col("lead").alias("new_lead"))
+        state = cut(
+            state.join(changed, "pos", "left").withColumn("lead", F.coalesce("new_lead", "lead")).drop("new_lead")
+        )
+        previous, leads = leads, cut(_leads_of(state))
+        todo = cut(_affected(state, moved, previous, leads))
 
 
 # Fields a lead fills from later sightings only while blank.

@@ -67,6 +67,13 @@ def test_independent_of_partitions_and_slices(spark, monkeypatch):
     assert assigned(spark, shuffled, 5) == first == fold(rows)
 
 
+@pytest.mark.parametrize("seed, seeds", [(6, 0.0), (7, 0.25)])
+def test_narrow_rounds_give_the_same(spark, monkeypatch, seed, seeds):
+    monkeypatch.setattr(rs, "NARROW_ROUNDS_FROM", 0)
+    rows = random_rows(seed, 120, seeds)
+    assert assigned(spark, rows) == fold(rows)
+
+
 def test_hot_keys(spark):
     """A third of all records share a phone, a third a domain, a third a name without city."""
     rnd = random.Random(5)
