@@ -30,7 +30,10 @@ def reason_histogram(spark, d):
 
 
 def reason_maps(spark, d):
-    return rp.reason_maps(processed_events(spark, d))
+    """Reasons of each outcome packed into one map, written out as text."""
+    entries = F.array_sort(F.map_entries("reasons"))
+    maps = rp.reason_maps(processed_events(spark, d))
+    return maps.select("outcome", F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias("reasons"))
 
 
 def source_errors(events: DataFrame, *by: str) -> DataFrame:
@@ -209,7 +212,7 @@ RUNS_SQL = f"""{E}, rs0 AS (SELECT run_id, source, {COUNTS_SQL}, arg_max(error,
 QUERIES = {
     "run_totals": (run_totals, f"{E} SELECT day, {COUNTS_SQL}, count(*) FILTER (outcome = 'keep' AND created) AS created, count(*) FILTER (outcome = 'keep' AND NOT created) AS updated FROM ev GROUP BY day"),
     "reason_histogram": (reason_histogram, f"{E} SELECT day, outcome, coalesce(reason, 'unknown') AS reason, count(*) AS n FROM ev WHERE outcome <> 'keep' GROUP BY ALL"),
-    "reason_maps": (reason_maps, None),
+    "reason_maps": (reason_maps, f"{E}, n AS (SELECT outcome, coalesce(reason, 'unknown') AS reason, count(*) AS n FROM ev WHERE outcome <> 'keep' GROUP BY 1, 2) SELECT outcome, string_agg(reason || '=' || n, ',' ORDER BY reason) AS reasons FROM n GROUP BY outcome"),
     "source_stats": (source_stats, f"{STATS_SQL} SELECT * FROM st"),
     "stats_as_map": (stats_as_map, f"{STATS_SQL} SELECT CAST(count(*) AS INT) AS sources, max(found) FILTER (source = 'src1') AS src1_found FROM st"),
     "run_log_row": (run_log_row, f"""{STATS_SQL} SELECT 1 AS run_id, CAST(sum(found) AS BIGINT) AS found, CAST(sum(kept) AS BIGINT) AS kept, CAST(sum(dropped) AS BIGINT) AS dropped,

@@ -377,7 +377,6 @@ QUERIES = {
         CASE k % 3 WHEN 0 THEN 'Street ' || k || ', City' || (k % 9) || ', Cairo .' WHEN 1 THEN 'Giza' ELSE k || ' Road, Giza.' END AS address,
         CASE k % 3 WHEN 0 THEN 'City' || (k % 9) WHEN 2 THEN k || ' Road' END AS city, CASE k % 3 WHEN 0 THEN 'Cairo' ELSE 'Giza' END AS governorate,
         CASE WHEN k % 2 = 0 THEN 'Plastics' ELSE 'Furniture' END AS category, CAST(k * 7 AS VARCHAR) AS company_id FROM {K}"""),
-    "all_layouts": (all_layouts, None),
     "member_details": (member_details, f"""WITH m AS (SELECT *, 'https://textile-egypt.org/textile-egypt.org/members/m' || k || '.html' AS url FROM {K} WHERE k % 6 <> 5),
         r AS (SELECT unnest(['labelled', 'linked']) AS rule)
         SELECT rule, url, '+2010' || k8 || ',+2022' || k7 AS phones, CASE WHEN k % 2 = 0 THEN 'mill' || k || '@mill.net' ELSE '' END AS emails,
@@ -388,3 +387,15 @@ QUERIES = {
         CASE WHEN k % 6 <> 5 AND k % 3 = 0 THEN 'http://mill' || k || '.example/a' END AS website, CASE WHEN k % 6 <> 5 THEN k || ' Mill St., Zone ' || (k % 9) END AS address
         FROM {K} WHERE k % 10 <> 9"""),
 }
+LAYOUT_SOURCES = {
+    "egydir": "company_cards", "forwarding_companies": "table_rows", "freightclub": "link_then_phone", "wsdconnect": "onclick_cards",
+    "textile_council": "member_grid", "aece": "directory_table", "yellowpages_eg": "result_rows",
+}
+WITH_PHONE = ("egydir", "freightclub")
+QUERIES["all_layouts"] = (
+    all_layouts,
+    " UNION ALL ".join(
+        f"SELECT '{source}' AS source, count(*) AS listings, {'count(phone_raw)' if source in WITH_PHONE else 'CAST(0 AS BIGINT)'} AS with_phone FROM ({QUERIES[name][1]})"
+        for source, name in LAYOUT_SOURCES.items()
+    ),
+)
