@@ -199,18 +199,25 @@ def tier_of(score: Column, tiers: dict[str, int]) -> Column:
 
 
 def _points(factors: list[tuple[Column, str, Column]], head: list[Column], top: int) -> tuple[Column, Column]:
-    """(score, breakdown): capped sum and the list of factors that gave points."""
-    rows = head + [
-        F.when(hit & (points != 0), F.struct(F.lit(name).alias("factor"), points.cast("int").alias("points")))
-        for hit, name, points in factors
-    ]
-    reasons = F.array_compact(F.array(*rows)).cast(REASONS_TYPE)
-    total = F.aggregate(reasons, F.lit(0), lambda acc, r: acc + r["points"])
-    return F.least(total, F.lit(top)), reasons
+    """(score, breakdown): capped sum and the list of factors that gave points.
+
+    Both are plain sums and concatenations, so the step stays inside generated code.
+    """
+    none = F.array().cast(REASONS_TYPE)
+    total = F.lit(0)
+    parts = [F.array(h).cast(REASONS_TYPE) for h in head]
+    for h in head:
+        total = total + h["points"]
+    for hit, name, points in factors:
+        given = F.when(hit, points.cast("int")).otherwise(0)
+        total = total + given
+        row = F.array(F.struct(F.lit(name).alias("factor"), given.alias("points"))).cast(REASONS_TYPE)
+        parts.append(F.when(given != 0, row).otherwise(none))
+    return F.least(total, F.lit(top)), F.concat(*parts)
 
 
 def band_score(cfg: dict = rules.SCORING) -> tuple[Column, Column]:
-    """(score, breakdown) of the band engine; reads the ``band`` column."""
+    """(score, breakdown) of the band engine; reads the ``band`` and ``_ships`` columns."""
     bands = {**rules.SCORING["base_bands"], **cfg.get("base_bands", {})}
     bonus = {**rules.SCORING["bonuses"], **cfg.get("bonuses", {})}
     base = F.lit(bands["default"])
@@ -221,7 +228,7 @@ def band_score(cfg: dict = rules.SCORING) -> tuple[Column, Column]:
     checks = [
         (tx.has_value("website") | tx.has_value("domain"), "has_website"),
         (F.coalesce(F.col("has_online_store"), F.lit(False)), "has_online_store"),
-        (ships(), "ships"),
+        (F.col("_ships"), "ships"),
         (tx.has_value("phone_e164"), "has_phone"),
         (tx.has_value("email"), "has_email"),
         (tx.has_value("contact_name") | tx.has_value("contact_role"), "has_contact_person"),
@@ -274,14 +281,14 @@ def additive_score(cfg: dict, as_of: dt.date) -> tuple[Column, Column]:
 def score(df: DataFrame, cfg: dict = rules.SCORING, as_of: dt.date | None = None) -> DataFrame:
     """Add score, tier and breakdown; bands in the config choose the engine."""
     if cfg.get("base_bands"):
-        df = df.withColumn("band", band_key())
+        df = df.withColumns({"band": band_key(), "_ships": ships()})
         points, reasons = band_score(cfg)
         tiers = cfg.get("tiers", rules.SCORING["tiers"])
     else:
         points, reasons = additive_score(cfg, as_of or dt.date.today())
         tiers = cfg.get("tiers", rules.ADDITIVE_TIERS)
     df = df.withColumns({"score": points.cast("int"), "score_reasons": reasons})
-    return df.withColumn("tier", tier_of(F.col("score"), tiers)).drop("band")
+    return df.withColumn("tier", tier_of(F.col("score"), tiers)).drop("band", "_ships")
 
 
 def gate(df: DataFrame, filters: dict = rules.FILTERS) -> DataFrame:
