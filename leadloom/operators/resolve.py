@@ -247,7 +247,7 @@ FILL_FIELDS = {
 }
 
 
-# Numbers kept inside the lead row; a lead with more of them has them in ``lead_numbers`` only.
+# Numbers kept inside the lead row; a lead with more of them has them all in the side table only.
 NUMBERS_IN_ROW = 10_000
 
 
@@ -259,15 +259,16 @@ def lead_numbers(sightings: DataFrame, assignment: DataFrame, keep_other_phones:
 
 
 def merge(
-    sightings: DataFrame, assignment: DataFrame,
+    sightings: DataFrame, assignment: DataFrame, side_numbers: DataFrame | None = None,
     keep_score_on_quarantine: bool = True, unknown_type_is_blank: bool = True, keep_other_phones: bool = True,
-) -> DataFrame:
-    """Merged lead per ``lead`` from its sightings, by aggregation alone.
+) -> tuple[DataFrame, DataFrame]:
+    """(merged lead per ``lead`` from its sightings, side table of numbers), by aggregation alone.
 
     Blank fields take the first value in order; type, product, segment, markets and intent the
     latest value; score, tier and reasons the latest rating; sources, extra phones and social
     links are united. ``numbers_seen`` counts all numbers of a lead; beyond ``NUMBERS_IN_ROW``
-    they stay in ``lead_numbers`` and the row's list is null. With all three switches off a broken sighting resets the score, an
+    the row's list is null and all of them are in the side table ``(lead, number)``, which goes
+    into the next merge as ``side_numbers``. With all three switches off a broken sighting resets the score, an
     Unknown type replaces a known one, and a later sighting's own phone is not kept as extra.
     """
     rows = sightings.join(assignment, "pos")
@@ -310,8 +311,11 @@ def merge(
     # Numbers and links are reduced per lead and value first, so a busy lead is combined map-side;
     # only leads with a row-sized number list have it gathered.
     numbers = lead_numbers(sightings, assignment, keep_other_phones)
+    if side_numbers is not None:
+        numbers = numbers.unionByName(side_numbers).distinct()
     counts = numbers.groupBy("lead").agg(F.count(F.lit(1)).alias("numbers_seen"))
     small = numbers.join(counts.where(F.col("numbers_seen") <= NUMBERS_IN_ROW).select("lead"), "lead", "left_semi")
+    aside = numbers.join(counts.where(F.col("numbers_seen") > NUMBERS_IN_ROW).select("lead"), "lead", "left_semi")
     extras = small.groupBy("lead").agg(F.array_sort(F.collect_list("number")).alias("numbers"))
     links = (
         rows.select("lead", "pos", F.explode("social_links").alias("network", "url"))
@@ -320,15 +324,19 @@ def merge(
         .groupBy("lead")
         .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("network", "url")))).alias("social_links"))
     )
-    return (
+    leads = (
         merged.join(counts, "lead", "left")
         .join(extras, "lead", "left")
         .join(links, "lead", "left")
         .withColumn("numbers", F.array_remove("numbers", F.coalesce("phone_e164", F.lit(""))))
-        .withColumn("extra_phones", F.when(F.col("sightings") == 1, F.col("_own_numbers")).otherwise(F.col("numbers")))
+        .withColumn(
+            "extra_phones",
+            F.when((F.col("sightings") == 1) & (F.coalesce("numbers_seen", F.lit(0)) <= NUMBERS_IN_ROW), F.col("_own_numbers")).otherwise(F.col("numbers")),
+        )
         .withColumn("extra_phones", F.when(F.size("extra_phones") > 0, F.col("extra_phones")))
         .drop("numbers", "_own_numbers", "_broken")
     )
+    return leads, aside
 
 
 def upsert(sightings: DataFrame, existing: DataFrame | None = None, **options) -> DataFrame:
@@ -337,14 +345,16 @@ def upsert(sightings: DataFrame, existing: DataFrame | None = None, **options) -
 
 
 def fold_batch(
-    sightings: DataFrame, existing: DataFrame | None = None, run_id: int | None = None, now: Column | None = None, **policy
-) -> tuple[DataFrame, DataFrame]:
-    """(stored leads after a batch, lead of every sighting).
+    sightings: DataFrame, existing: DataFrame | None = None, run_id: int | None = None, now: Column | None = None,
+    side_numbers: DataFrame | None = None, **policy,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(stored leads after a batch, lead of every sighting, side table of numbers).
 
     New leads are inserted, matched ones merged. ``sightings`` are rated leads with ``pos``;
     dropped ones do not take part. A stored lead takes part as the first sighting of itself. New
     ids follow the highest stored id in order of arrival (unique and ordered, not gapless, so no
-    global numbering pass is needed). The second table holds ``pos``, ``lead_id`` and ``created``.
+    global numbering pass is needed). The second table holds ``pos``, ``lead_id`` and ``created``; the
+    third, ``lead_id`` and ``number``, is handed to the next batch as ``side_numbers``.
     """
     batch = sightings.where(F.col("outcome") != "drop")
     top = 0
@@ -365,7 +375,9 @@ def fold_batch(
     placed = assignment.where(F.col("pos") > top).select(
         (F.col("pos") - (top + 1)).alias("pos"), F.col("lead").alias("lead_id"), (F.col("pos") == F.col("lead")).alias("created")
     )
-    leads = merge(everything, assignment, **policy).withColumnRenamed("lead", "lead_id")
+    held = None if side_numbers is None else side_numbers.withColumnRenamed("lead_id", "lead")
+    leads, aside = merge(everything, assignment, held, **policy)
+    leads, aside = leads.withColumnRenamed("lead", "lead_id"), aside.withColumnRenamed("lead", "lead_id")
     stamp = F.lit(None).cast("timestamp_ntz") if now is None else now
     crm = {
         "notes": "string", "assigned_to": "string", "last_contact_date": "date", "next_followup_date": "date",
@@ -398,4 +410,4 @@ def fold_batch(
             "updated_at": F.when(F.col("created") | (F.col("sightings") > 1), F.coalesce(stamp, F.col("updated_at"))).otherwise(F.col("updated_at")),
         }
     )
-    return leads, placed
+    return leads, placed, aside

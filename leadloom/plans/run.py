@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom import rules
@@ -13,24 +13,10 @@ from leadloom.operators.crm import mark_pushed
 from leadloom.operators.enrich import enrich, with_contact_columns
 from leadloom.operators.firsts import cap_per_source, keep_first
 from leadloom.operators.qualify import conform, qualify
-from leadloom.operators.resolve import fold_batch
 from leadloom.operators.sync import append_new, flag_new, known_keys
 from leadloom.plans.matrix import daily_requests
 from leadloom.session import cut
-from leadloom.sources.sinks import append_run, read_leads, write_leads
-
-RUN_ONLY = ("created", "sightings", "numbers_seen")
-
-
-def stored_leads(spark: SparkSession, path: str) -> DataFrame | None:
-    """The lead table with all records, None before the first run."""
-    try:
-        return read_leads(spark, path, with_quarantined=True)
-    except Exception as exc:
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
-        return None
-
+from leadloom.sources.sinks import append_run, fold_into_table, read_if_written, read_leads, write_leads
 
 def run_search(
     listings: DataFrame,
@@ -52,12 +38,10 @@ def run_search(
     ``listings`` carry ``pos``; ``sources(source)`` are the sources asked, so silent ones are
     logged as empty; ``errors(source, error)`` are those that failed. Returns the run-log row.
     """
-    spark = listings.sparkSession
     asked = conform(listings).join(sources.select("source").distinct(), "source", "left_semi")
     reading = None if pages is None else lambda df: enrich(with_contact_columns(df), pages)
     rated = cut(qualify(cap_per_source(asked, max_results), enrich=reading, **rating))
-    leads, placed = fold_batch(rated, stored_leads(spark, leads_path), run_id=run_id, now=started)
-    write_leads(leads.drop(*RUN_ONLY), leads_path)
+    placed = fold_into_table(rated, leads_path, run_id=run_id, now=started)
     flagged = rated.select("pos", "source", "outcome", "reason").join(placed, "pos", "left")
     stats = report.source_stats(flagged, sources, errors)
     folded = flagged.where("outcome = 'keep'").groupBy("source").agg(
@@ -99,11 +83,9 @@ def daily_run(
     leads = read_leads(spark, leads_path)
     today = F.lit(day.isoformat())
     tabs = list(other_tabs or [])
-    try:
-        tabs.append(spark.read.option("mergeSchema", "true").parquet(feed_path))
-    except Exception as exc:
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
+    feed = read_if_written(spark, feed_path)
+    if feed is not None:
+        tabs.append(feed)
     fresh = cut(flag_new(leads, known_keys(tabs)).where("is_new").select("lead_id") if tabs else leads.where("NOT pushed_to_sheet").select("lead_id"))
     append_new(leads.join(fresh, "lead_id", "left_semi"), feed_path, list(other_tabs or []), today)
     write_leads(mark_pushed(read_leads(spark, leads_path, with_quarantined=True), fresh, stamp), leads_path)

@@ -15,7 +15,7 @@ from leadloom.queries import sqltext as s
 from leadloom.queries.base import AS_OF, FILTERS, norm_sql, rate_sql, raw_listings, rated_sql, reasons_plain, table
 from leadloom.queries.leads import classified, normalized
 from leadloom.session import cut, shared_path
-from leadloom.sources.sinks import read_leads, write_leads
+from leadloom.sources.sinks import fold_into_table, read_leads
 
 
 def rated(spark, d) -> DataFrame:
@@ -61,9 +61,9 @@ def incremental_leads(spark, d):
     rows = rated(spark, d)
     half = rows.agg((F.max("pos") / 2).cast("long")).first()[0]
     path = shared_path(spark, "leads")
-    write_leads(rs.upsert(rows.where(F.col("pos") <= half)).drop("created", "sightings"), path)
-    stored = read_leads(spark, path, with_quarantined=True)
-    return _lead_columns(rs.upsert(rows.where(F.col("pos") > half), stored)).drop("sightings")
+    fold_into_table(rows.where(F.col("pos") <= half), path)
+    fold_into_table(rows.where(F.col("pos") > half), path)
+    return _lead_columns(read_leads(spark, path, with_quarantined=True).withColumn("sightings", F.lit(0))).drop("sightings")
 
 
 def upsert_counts(spark, d):

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom import rules
-from leadloom.operators.qualify import conform
+from leadloom.operators.resolve import fold_batch
 from leadloom.operators.sync import export_table, overwrite_rows
-from leadloom.session import shared_path
+from leadloom.session import cut, shared_path
 
 
 def read_leads(spark: SparkSession, path: str, with_quarantined: bool = False) -> DataFrame:
@@ -34,6 +34,35 @@ def write_leads(leads: DataFrame, path: str) -> None:
     spark.read.parquet(staged).write.mode("overwrite").parquet(path)
 
 
+RUN_ONLY = ("created", "sightings", "numbers_seen")
+
+
+def read_if_written(spark: SparkSession, path: str) -> DataFrame | None:
+    """A parquet table, or None before its first write."""
+    try:
+        return spark.read.option("mergeSchema", "true").parquet(path)
+    except Exception as exc:
+        if "PATH_NOT_FOUND" not in str(exc):
+            raise
+        return None
+
+
+def fold_into_table(rated: DataFrame, path: str, **options) -> DataFrame:
+    """Fold a rated batch into the lead table at ``path`` and return the lead of every sighting.
+
+    Leads with more numbers than a row holds have them in the side table next to the leads.
+    """
+    spark = rated.sparkSession
+    aside_path = path.rstrip("/") + "-numbers"
+    leads, placed, aside = fold_batch(
+        rated, read_if_written(spark, path), side_numbers=read_if_written(spark, aside_path), **options
+    )
+    placed, aside = cut(placed), cut(aside)
+    write_leads(leads.drop(*RUN_ONLY), path)
+    aside.write.mode("overwrite").parquet(aside_path)
+    return placed
+
+
 def append_run(row: DataFrame, path: str) -> None:
     row.write.mode("append").parquet(path)
 
@@ -43,6 +72,3 @@ def write_export(leads: DataFrame, path: str, fmt: str = "csv") -> None:
     table = overwrite_rows(export_table(leads))
     writer = table.write.mode("overwrite").format(fmt)
     (writer.option("header", "true") if fmt == "csv" else writer).save(path)
-
-
-__all__ = ["add_missing_columns", "append_run", "conform", "read_leads", "write_export", "write_leads"]

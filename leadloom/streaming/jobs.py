@@ -15,10 +15,9 @@ from pyspark.sql import types as T
 from leadloom import rules
 from leadloom.operators.qualify import qualify
 from leadloom.operators.report import outcome_counts
-from leadloom.operators.resolve import upsert
 from leadloom.operators.sync import append_new
 from leadloom.session import shared_path
-from leadloom.sources.sinks import read_leads, write_leads
+from leadloom.sources.sinks import fold_into_table
 
 
 def read_landed(spark: SparkSession, folder: str, schema: T.StructType, glob: str = "*.parquet", files_per_batch: int = 1000) -> DataFrame:
@@ -77,14 +76,7 @@ def upsert_batches(listings: DataFrame, leads_path: str, state: str, **rating) -
     """
 
     def fold(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        try:
-            stored = read_leads(spark, leads_path, with_quarantined=True).drop("created", "sightings")
-        except Exception as exc:  # first batch: no table yet
-            if "PATH_NOT_FOUND" not in str(exc):
-                raise
-            stored = None
-        write_leads(upsert(qualify(batch, **rating), stored).drop("created", "sightings"), leads_path)
+        fold_into_table(qualify(batch, **rating), leads_path)
 
     run_batches(listings, fold, state)
 

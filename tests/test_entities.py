@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leadloom.operators import qualify as ql
 from leadloom.operators import resolve as rs
 from leadloom.operators.enrich import enrich
-from leadloom.sources.sinks import read_leads, write_leads
+from leadloom.sources.sinks import fold_into_table, read_leads, write_leads
 
 
 def fold(rows):
@@ -155,6 +155,18 @@ def test_second_batch_updates_stored_leads(spark, tmp_path):
     assert new.created and new.run_id == 2 and new.lead_id > old.lead_id
 
 
+def test_many_numbers_move_to_the_side_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(rs, "NUMBERS_IN_ROW", 2)
+    path = str(tmp_path / "leads")
+    for batch in range(2):
+        rows = [listing(i, phone=f"0101234567{4 * batch + i}", site="one.example") for i in range(4)]
+        fold_into_table(rated(spark, rows), path)
+    lead = read_leads(spark, path).collect()
+    assert len(lead) == 1 and lead[0].extra_phones is None
+    kept = {r.number for r in spark.read.parquet(path + "-numbers").collect()}
+    assert kept == {f"+20101234567{i}" for i in range(8)}
+
+
 def test_match_priority(spark):
     known = spark.createDataFrame([(1, "+201", None, "a", None), (2, None, "d", "b", None), (3, None, None, "c", "x"), (4, None, "d", "c", None)],
                                   "lead_id long, phone_e164 string, domain string, company_name_norm string, city string")
