@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom import rules
-from leadloom.functions import text as tx
 from leadloom.operators import enrich as en
 from leadloom.operators import report as rp
 from leadloom.operators import resolve as rs
 from leadloom.operators.qualify import qualify
 from leadloom.queries import sqltext as s
-from leadloom.queries.base import AS_OF, FILTERS, norm_sql, rate_sql, raw_listings, rated_sql, reasons_plain, table
+from leadloom.queries.base import AS_OF, FILTERS, norm_sql, rate_sql, raw_listings, rated_sql, reasons_plain
 from leadloom.queries.leads import classified, normalized
 from leadloom.session import cut, shared_path
 from leadloom.sources.sinks import fold_into_table, read_leads

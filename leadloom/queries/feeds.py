@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from leadloom import rules
 from leadloom.functions import text as tx
 from leadloom.operators import sync
-from leadloom.queries import sqltext as s
 from leadloom.queries.base import CRM_SQL, crm_leads, table
 from leadloom.session import shared_path
 from leadloom.sources.sinks import add_missing_columns

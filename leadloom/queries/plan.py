@@ -101,9 +101,6 @@ def category_rules(spark, d):
     return rows.select("p_partkey", F.col("r.name").alias("name"), F.array_join("r.keywords", "|").alias("keywords"))
 
 
-ROWS = mx.plan_requests()
-
-
 def _matrix_sql() -> str:
     arrays = {k: "[" + ", ".join(s.q(v) for v in PLAN[k]) + "]" for k in ("categories", "roles", "places", "roleless_categories")}
     return f"""m AS (SELECT ((i * {len(PLAN['roles'])} + j) * {len(PLAN['places'])} + k) AS idx, {arrays['categories']}[i + 1] AS category, {arrays['roles']}[j + 1] AS role, {arrays['places']}[k + 1] AS place

@@ -1,6 +1,5 @@
 """Reports, feeds, plan, registry, streaming, and registered queries."""
 
-import duckdb  # noqa: F401
 import pytest
 from check_oracle import TABLES, compare, connect
 from pyspark.sql import functions as F
