@@ -28,12 +28,17 @@ def local_session(cores: str | int = "*", partitions: int = 8, app: str = "leadl
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; our own one only where none is named."""
+    """The folder the cluster names for checkpoints (``spark.checkpoint.dir``).
+
+    Only a session on one machine may go without: there a folder of its own serves.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="leadloom-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -46,7 +51,17 @@ def cut(df: DataFrame) -> DataFrame:
     """
     path = shared_path(df.sparkSession, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop_cut(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote, once nothing reads them any more."""
+    for df in tables:
+        if path := df.__dict__.get("_cut_path"):
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
