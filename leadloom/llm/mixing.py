@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadloom.llm.common import cut
+
 MAX_PASSES = 3
 BUCKETS = 1 << 12
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,7 +51,7 @@ def targets(sizes: DataFrame, budget: Column | None = None, max_passes: int = MA
     rows = rows.withColumn("full", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
     rows = rows.withColumn("rest", F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
     rows = rows.withColumn("level", (F.col("total") - F.col("full")) / F.col("rest"))
-    fits = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(whole)["level"]
+    fits = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "full", "level"))).over(whole)["level"]
     return rows.withColumn("target", F.least("cap", F.coalesce(F.col("weight") * fits, F.col("cap")))).drop("total", "cap", "ratio", "full", "rest", "level")
 
 
@@ -102,7 +104,7 @@ def _knots(schedule: dict[float, tuple[float, ...]]) -> Column:
 def mix(docs: DataFrame, schedule: dict[float, tuple[float, ...]] | None = None, buckets: int = BUCKETS, max_passes: int = MAX_PASSES) -> DataFrame:
     """Per document ``doc_id, source, size, source_size, target, taken`` and ``passes``: (position, words) of each pass taken."""
     slim = docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64("doc_id", "text").alias("draw"))
-    slim = slim.withColumn("bucket", F.pmod(F.shiftrightunsigned("draw", 20), F.lit(buckets)).cast("int"))
+    slim = cut(slim.withColumn("bucket", F.pmod(F.shiftrightunsigned("draw", 20), F.lit(buckets)).cast("int")))  # texts are read once
     sums = slim.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     sizes = sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))
     plan = with_steps(targets(default_weights(sizes), max_passes=max_passes).withColumn("knots", _knots(schedule or KNOTS)))
