@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import chat, common, decontam, jaccard, langid, mixing, quality, warc
+from leadloom.llm import chat, common, decontam, jaccard, langid, licenses, lm, mixing, quality, toxicity, warc
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,27 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(common.crc_rest("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(common.table(spark, sf_dir, "documents"))
+
+
+def op4_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = common.table(spark, sf_dir, "labels").where(F.col("quality") == 1).select("doc_id")
+    return lm.cross_entropy_difference(common.table(spark, sf_dir, "documents"), good)
+
+
+def toxic_scores(spark: SparkSession, docs: DataFrame, sf_dir: str, keep: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Scores of ``docs`` by a machine that learns from the rows not held out."""
+    labels = common.table(spark, sf_dir, "labels").where(common.crc_rest("doc_id", 5) != 0).select("doc_id", "toxic")
+    model = toxicity.learn(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), labels)
+    return toxicity.score(docs, model, text, keep)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxic_scores(spark, common.table(spark, sf_dir, "documents"), sf_dir, ["doc_id"])
+    return found.select("doc_id", F.coalesce(common.crc_rest("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archive_round_trip(common.table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -102,6 +123,9 @@ FROM t GROUP BY conv_id"""
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, None),
     "op2_language_id": (op2_language_id, None),
+    "op3_license_scan": (op3_license_scan, None),
+    "op4_cross_entropy": (op4_cross_entropy, None),
+    "op5_toxicity": (op5_toxicity, None),
     "op6_warc_index": (op6_warc_index, OP6_SQL),
     "op7_benchmark_leaks": (op7_benchmark_leaks, OP7_SQL),
     "op8_curriculum_mix": (op8_curriculum_mix, None),
