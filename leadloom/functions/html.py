@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadloom import rules
 from leadloom.functions.phone import valid_phones
-from leadloom.functions.text import SEP, SUB, col_of, contains_any, first_of, let, null_if_empty, one_of, words
+from leadloom.functions.text import SEP, col_of, contains_any, first_of, let, lookup, null_if_empty, one_of, words
 
 HIDDEN = (
     r"(?is)<!--.*?(?:-->|$)|<script\b[^>]*>.*?(?:</script\s*>|$)"
@@ -29,30 +29,30 @@ def squeeze_ends(c: Column) -> Column:
 
 
 def decode_entities(text: Column) -> Column:
-    """Character references to characters; ``&amp;`` last, so nothing is decoded twice."""
+    """Character references to characters, read once from left to right, so nothing is decoded twice.
+
+    A number that is no character becomes U+FFFD; an unknown name stays as it is.
+    """
 
     def character(code: Column) -> Column:
-        return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        real = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.decode(F.unhex(F.lpad(F.hex(F.when(real, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
 
     def tail(part: Column) -> Column:
-        decimal = F.regexp_extract(part, r"^([0-9]{1,7});", 1)
-        hexa = F.regexp_extract(part, r"^[xX]([0-9a-fA-F]{1,6});", 1)
+        decimal = F.regexp_extract(part, r"^#([0-9]{1,18});", 1)
+        hexa = F.regexp_extract(part, r"^#[xX]([0-9a-fA-F]{1,15});", 1)
+        name = F.regexp_extract(part, r"^([A-Za-z][A-Za-z0-9]{1,31});", 1)
         rest = F.regexp_replace(part, r"^[^;]*;", "")
         return (
             F.when(decimal != "", F.concat(character(decimal.cast("long")), rest))
             .when(hexa != "", F.concat(character(F.conv(hexa, 16, 10).cast("long")), rest))
-            .otherwise(F.concat(F.lit("&#"), part))
+            .otherwise(F.coalesce(F.concat(F.try_element_at(known, name), rest), F.concat(F.lit("&"), part)))
         )
 
-    parts = F.split(text, "&#")
-    numeric = F.concat(F.get(parts, 0), F.array_join(F.transform(F.slice(parts, 2, 1 << 30), tail), ""))
-    start = F.when(F.contains(text, F.lit("&#")), numeric).otherwise(text)
-    pairs = [f"&{name};{SUB}{char}" for name, char in rules.NAMED_ENTITIES.items()] + [f"&amp;{SUB}&"]
-    named = F.aggregate(
-        words(pairs), start,
-        lambda done, pair: F.replace(done, F.substring_index(pair, SUB, 1), F.substring_index(pair, SUB, -1)),
-    )
-    return F.when(F.contains(text, F.lit("&")), named).otherwise(text)
+    known = lookup(rules.NAMED_ENTITIES)
+    parts = F.split(text, "&")
+    read = F.concat(F.get(parts, 0), F.array_join(F.transform(F.slice(parts, 2, 1 << 30), tail), ""))
+    return F.when(F.contains(text, F.lit("&")), read).otherwise(text)
 
 
 def visible_text(html: Column | str) -> Column:

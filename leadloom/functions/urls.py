@@ -17,6 +17,21 @@ def path_of(url: Column | str) -> Column:
     return F.regexp_extract(col_of(url), r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
 
 
+def without_dots(path: Column) -> Column:
+    """A path from the root without ``.`` and ``..`` steps, however many there are; steps above the root stay at the root."""
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(part == "..", up).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    def walk(parts: Column) -> Column:
+        kept = F.aggregate(F.slice(parts, 2, 1 << 30), F.array().cast("array<string>"), step)
+        return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit("")))
+
+    dotted = F.rlike(path, F.lit(r"/\.\.?(?:/|$)"))
+    return F.when(dotted, let(F.split(path, "/"), walk)).otherwise(path)
+
+
 def resolve(base: Column | str, href: Column | str) -> Column:
     """Absolute form of a link found on page ``base``."""
     b, h = col_of(base), col_of(href)
@@ -24,14 +39,14 @@ def resolve(base: Column | str, href: Column | str) -> Column:
     root = F.regexp_extract(b, r"^([^:/?#]+://[^/?#]*)", 1)
     page = F.regexp_extract(b, r"^([^?#]*)", 1)
     folder = F.regexp_extract(path_of(b), r"^(.*/)", 1)
-    relative = F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), F.regexp_replace(h, r"^(?:\./)+", ""))
-    for _ in range(3):
-        relative = F.regexp_replace(relative, r"(?<!/)/[^/?#]+/\.\./", "/")
+    tail = F.regexp_extract(h, r"^[^?#]*((?s:.*))$", 1)
+    here = F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), F.regexp_extract(h, r"^[^?#]*", 0))
+    relative = F.concat(root, without_dots(here), tail)
     return (
         F.when(h == "", b)
         .when(F.rlike(h, F.lit(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:")), h)
         .when(F.startswith(h, F.lit("//")), F.concat(scheme, h))
-        .when(F.startswith(h, F.lit("/")), F.concat(root, h))
+        .when(F.startswith(h, F.lit("/")), F.concat(root, without_dots(F.regexp_extract(h, r"^[^?#]*", 0)), tail))
         .when(F.startswith(h, F.lit("?")), F.concat(page, h))
         .when(F.startswith(h, F.lit("#")), F.concat(F.regexp_extract(b, r"^([^#]*)", 1), h))
         .otherwise(relative)

@@ -57,15 +57,15 @@ def filter_view(
 def apply_changes(leads: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
     """Update the CRM fields of the leads named in ``changes(lead_id, field columns)``.
 
-    Only whitelisted fields are taken; an unknown id changes nothing; the last row per id wins
-    through ``seq`` where given.
+    Only whitelisted fields are taken; an unknown id changes nothing; the row with the highest ``seq``
+    per id wins. Without ``seq`` an id may be named once only.
     """
     fields = [c for c in rules.CRM_FIELDS if c in changes.columns]
     if "seq" in changes.columns:
-        last = F.max_by(F.struct(*fields), "seq").alias("c")
+        change = changes.groupBy("lead_id").agg(F.max_by(F.struct(*fields), "seq").alias("c"))
     else:
-        last = F.first(F.struct(*fields)).alias("c")
-    change = changes.groupBy("lead_id").agg(last)
+        once = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.concat(F.lit("several changes without seq for lead "), F.col("lead_id").cast("string"))))
+        change = changes.groupBy("lead_id").agg(F.max(F.struct(*fields)).alias("c"), once.alias("_once")).where(F.col("_once").isNull()).drop("_once")
     joined = leads.join(change, "lead_id", "left")
     hit = F.col("c").isNotNull()
     return joined.withColumns(

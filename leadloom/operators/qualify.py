@@ -27,9 +27,9 @@ RAW_FIELDS = {
 
 
 def conform(df: DataFrame, fields: dict[str, str] = RAW_FIELDS) -> DataFrame:
-    """Add missing ``fields`` as nulls and cast the present ones; extra columns stay."""
+    """Add missing ``fields`` as nulls and cast the present ones; a cell that does not fit becomes null. Extra columns stay."""
     extra = [c for c in df.columns if c not in fields]
-    cols = [(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in fields.items()]
+    cols = [(F.col(c).try_cast(t) if c in df.columns else F.lit(None).cast(t)).alias(c) for c, t in fields.items()]
     return df.select(*cols, *extra)
 
 

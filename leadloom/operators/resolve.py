@@ -25,7 +25,7 @@ from pyspark.sql.window import Window as W
 
 from leadloom import rules
 from leadloom.functions import text as tx
-from leadloom.session import cut
+from leadloom.session import cut, drop_cut
 
 FOREVER = (1 << 62)
 # Positions per slice when a key's history is thinned out; bounds the rows of one window group.
@@ -49,22 +49,28 @@ def match_existing(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """Lead each incoming record matches in a fixed table: phone, else domain, else name and city.
 
     ``incoming`` carries ``pos`` and ``existing`` carries ``lead_id`` besides the key columns.
-    Among several leads with one key the lowest id answers.
+    Among several leads with one key the lowest id answers. Who answers for a key is written before
+    it is joined, so both sides of each join come from exchanges alone and a hot key can be split.
     """
     known = key_columns(existing.withColumnRenamed("lead_id", "pos")).withColumnRenamed("pos", "lead_id")
 
-    def by(cols: list[str], out: str) -> DataFrame:
-        filled = known.where(F.col(cols[0]).isNotNull())
-        return filled.groupBy(*cols).agg(F.min("lead_id").alias(out))
+    def by(kind: str, cols: list[str]) -> DataFrame:
+        place = F.coalesce(cols[1], F.lit("")) if len(cols) > 1 else F.lit("")
+        filled = known.where(F.col(cols[0]).isNotNull()).groupBy(F.col(cols[0]).alias("key"), place.alias("place"))
+        return filled.agg(F.min("lead_id").alias("lead_id")).withColumn("kind", F.lit(kind))
+
+    held = cut(by("phone", ["phone"]).unionByName(by("domain", ["domain"])).unionByName(by("name", ["name", "city"])))
+
+    def of(kind: str, key: str) -> DataFrame:
+        return held.where(F.col("kind") == kind).select(F.col("key").alias(key), F.col("place").alias("city_key"), F.col("lead_id").alias(f"by_{key}"))
 
     probe = key_columns(incoming).select(
         "pos", *[tx.spread_key(k, "pos").alias(k) for k in ("phone", "domain", "name")], F.coalesce("city", F.lit("")).alias("city_key")
     )
-    places = by(["name", "city"], "by_name").withColumn("city_key", F.coalesce("city", F.lit(""))).drop("city")
     return (
-        probe.join(by(["phone"], "by_phone"), "phone", "left")
-        .join(by(["domain"], "by_domain"), "domain", "left")
-        .join(places, ["name", "city_key"], "left")
+        probe.join(of("phone", "phone").drop("city_key"), "phone", "left")
+        .join(of("domain", "domain").drop("city_key"), "domain", "left")
+        .join(of("name", "name"), ["name", "city_key"], "left")
         .select(
             "pos",
             F.coalesce("by_phone", "by_domain", "by_name").alias("lead_id"),
@@ -155,34 +161,30 @@ def _holdings(leads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return phones, domains, names
 
 
-def _reassign(rows: DataFrame, leads: DataFrame) -> DataFrame:
-    """New lead of the given sightings from the holdings of ``leads``; the old one in ``lead_before``."""
-    phones, domains, names = _holdings(leads)
+def _written(phones: DataFrame, domains: DataFrame, names: DataFrame) -> DataFrame:
+    """Holdings of all kinds as one written table: joins then read it straight from an exchange, and hot keys can be split."""
+    none = F.lit("")
+    parts = [
+        phones.select(F.lit("p").alias("kind"), F.col("phone").alias("key"), none.alias("place"), F.col("p_since").alias("since"), F.lit(FOREVER).alias("until"), F.col("p_lead").alias("lead")),
+        domains.select(F.lit("d").alias("kind"), F.col("domain").alias("key"), none.alias("place"), F.col("d_since").alias("since"), F.col("d_until").alias("until"), F.col("d_lead").alias("lead")),
+        names.select(F.lit("n").alias("kind"), F.col("name").alias("key"), F.col("city_key").alias("place"), F.col("n_since").alias("since"), F.col("n_until").alias("until"), F.col("n_lead").alias("lead")),
+    ]
+    return cut(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
+def _reassign(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """New lead of the given sightings from written holdings; the old one in ``lead_before``."""
     pos = F.col("pos")
-    probe = rows.withColumns(
+    out = rows.withColumns(
         {"p_probe": tx.spread_key("phone", "pos"), "d_probe": tx.spread_key("domain", "pos"), "n_probe": tx.spread_key("name", "pos"),
          "city_key": F.coalesce("city", F.lit(""))}
     )
-    joined = (
-        probe.join(
-            phones.withColumnRenamed("phone", "p_key"), (F.col("p_probe") == F.col("p_key")) & (F.col("p_since") < pos), "left"
-        )
-        .join(
-            domains.withColumnRenamed("domain", "d_key"),
-            (F.col("d_probe") == F.col("d_key")) & (F.col("d_since") < pos) & (pos <= F.col("d_until")),
-            "left",
-        )
-        .join(
-            names.withColumnRenamed("name", "n_key").withColumnRenamed("city_key", "c_key"),
-            (F.col("n_probe") == F.col("n_key"))
-            & (F.col("city_key") == F.col("c_key"))
-            & (F.col("n_since") < pos)
-            & (pos <= F.col("n_until")),
-            "left",
-        )
-    )
+    for kind in "pdn":
+        mine = held.where(F.col("kind") == kind).select(*[F.col(c).alias(f"{kind}_{c}") for c in ("key", "place", "since", "until", "lead")])
+        meets = (F.col(f"{kind}_probe") == F.col(f"{kind}_key")) & (F.col(f"{kind}_since") < pos) & (pos <= F.col(f"{kind}_until"))
+        out = out.join(mine, meets & (F.col("city_key") == F.col("n_place")) if kind == "n" else meets, "left")
     found = F.coalesce("p_lead", "d_lead", "n_lead", "pos")
-    return joined.select(
+    return out.select(
         "pos", "phone", "domain", "name", "city", "seed",
         F.col("lead").alias("lead_before"),
         F.when(F.col("seed"), pos).otherwise(found).alias("lead"),
@@ -196,7 +198,7 @@ def _affected(state: DataFrame, moved: DataFrame, before: DataFrame, after: Data
     without shuffling it whenever Spark finds them small enough to broadcast.
     """
     touched = moved.select(F.explode(F.array("lead", "lead_before")).alias("lead")).distinct()
-    held = cut(before.unionByName(after).join(touched, "lead", "left_semi").select("phone", "domain", "name"))
+    held = before.unionByName(after).join(touched, "lead", "left_semi").select("phone", "domain", "name")
     hits = None
     for key in ("phone", "domain", "name"):
         part = state.join(held.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_semi").select("pos")
@@ -204,35 +206,31 @@ def _affected(state: DataFrame, moved: DataFrame, before: DataFrame, after: Data
     return state.join(hits.distinct(), "pos", "left_semi")
 
 
-# From this many sightings on, rounds after the first only look at sightings that may still move.
-NARROW_ROUNDS_FROM = 5_000_000
-
-
 def assign(keys: DataFrame) -> DataFrame:
     """``(pos, lead)``: the founding position of the lead every sighting ends up in.
 
     ``keys`` has the columns of ``KEY_SCHEMA``; ``seed`` marks leads already stored, which keep
-    standing for themselves and must have the lowest positions.
+    standing for themselves and must have the lowest positions. Rounds after the first look only at
+    sightings that may still move. Tables of finished rounds are deleted.
     """
     state = cut(keys.withColumn("lead", F.col("pos")))
-    narrow = state.count() >= NARROW_ROUNDS_FROM
-    leads = cut(_leads_of(state)) if narrow else _leads_of(state)
-    todo = state
+    leads = cut(_leads_of(state))
+    todo, finished = state, []
     while True:
-        done = cut(_reassign(todo, leads))
+        held = _written(*_holdings(leads))
+        done = cut(_reassign(todo, held))
+        drop_cut(held, *finished)
         moved = done.where(F.col("lead") != F.col("lead_before")).select("pos", "lead", "lead_before")
         if moved.isEmpty():
+            drop_cut(done, leads)
             return state.select("pos", "lead")
-        if not narrow:
-            todo = state = done.drop("lead_before")
-            leads = _leads_of(state)
-            continue
         changed = moved.select("pos", F.col("lead").alias("new_lead"))
-        state = cut(
+        after = cut(
             state.join(changed, "pos", "left").withColumn("lead", F.coalesce("new_lead", "lead")).drop("new_lead")
         )
-        previous, leads = leads, cut(_leads_of(state))
-        todo = cut(_affected(state, moved, previous, leads))
+        new_leads = cut(_leads_of(after))
+        todo, finished = _affected(after, moved, leads, new_leads), [done, leads, state]
+        state, leads = after, new_leads
 
 
 # Fields a lead fills from later sightings only while blank.
@@ -246,29 +244,25 @@ FILL_FIELDS = {
 }
 
 
-# Numbers kept inside the lead row; a lead with more of them has them all in the side table only.
-NUMBERS_IN_ROW = 10_000
-
-
 def lead_numbers(sightings: DataFrame, assignment: DataFrame, keep_other_phones: bool = True) -> DataFrame:
-    """Every number seen per lead besides its rows' primary one, as ``(lead, number)``; never cut short."""
+    """Every number seen per lead, as ``(lead, number)``."""
     spoken = F.array_compact(F.array("phone_e164")) if keep_other_phones else F.array().cast("array<string>")
     every = F.concat(F.coalesce(F.col("extra_phones"), F.array().cast("array<string>")), spoken)
     return sightings.join(assignment, "pos").select("lead", F.explode(every).alias("number")).distinct()
 
 
 def merge(
-    sightings: DataFrame, assignment: DataFrame, side_numbers: DataFrame | None = None,
+    sightings: DataFrame, assignment: DataFrame,
     keep_score_on_quarantine: bool = True, unknown_type_is_blank: bool = True, keep_other_phones: bool = True,
-) -> tuple[DataFrame, DataFrame]:
-    """(merged lead per ``lead`` from its sightings, side table of numbers), by aggregation alone.
+) -> DataFrame:
+    """Merged lead per ``lead`` from its sightings, by aggregation alone.
 
     Blank fields take the first value in order; type, product, segment, markets and intent the
     latest value; score, tier and reasons the latest rating; sources, extra phones and social
-    links are united. ``numbers_seen`` counts all numbers of a lead; beyond ``NUMBERS_IN_ROW``
-    the row's list is null and all of them are in the side table ``(lead, number)``, which goes
-    into the next merge as ``side_numbers``. With all three switches off a broken sighting resets the score, an
-    Unknown type replaces a known one, and a later sighting's own phone is not kept as extra.
+    links are united. A lead's distinct numbers are one cell of its row, whole, as they are one cell of
+    export and feed; repeats are removed by many tasks before they meet. With all three switches off a
+    broken sighting resets the score, an Unknown type replaces a known one, and a later sighting's own
+    phone is not kept as extra.
     """
     rows = sightings.join(assignment, "pos")
     pos = F.col("pos")
@@ -307,15 +301,8 @@ def merge(
     )
     merged = merged.withColumn("status", F.when(F.col("_broken"), F.lit(rules.QUARANTINED)).otherwise("new"))
     spoken = F.array_compact(F.array("phone_e164")) if keep_other_phones else F.array().cast("array<string>")
-    # Numbers and links are reduced per lead and value first, so a busy lead is combined map-side;
-    # only leads with a row-sized number list have it gathered.
-    numbers = lead_numbers(sightings, assignment, keep_other_phones)
-    if side_numbers is not None:
-        numbers = numbers.unionByName(side_numbers).distinct()
-    counts = numbers.groupBy("lead").agg(F.count(F.lit(1)).alias("numbers_seen"))
-    small = numbers.join(counts.where(F.col("numbers_seen") <= NUMBERS_IN_ROW).select("lead"), "lead", "left_semi")
-    aside = numbers.join(counts.where(F.col("numbers_seen") > NUMBERS_IN_ROW).select("lead"), "lead", "left_semi")
-    extras = small.groupBy("lead").agg(F.array_sort(F.collect_list("number")).alias("numbers"))
+    # Numbers and links are reduced per lead and value first, so a busy lead is combined map-side.
+    extras = lead_numbers(sightings, assignment, keep_other_phones).groupBy("lead").agg(F.array_sort(F.collect_list("number")).alias("numbers"))
     links = (
         rows.select("lead", "pos", F.explode("social_links").alias("network", "url"))
         .groupBy("lead", "network")
@@ -323,19 +310,14 @@ def merge(
         .groupBy("lead")
         .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("network", "url")))).alias("social_links"))
     )
-    leads = (
-        merged.join(counts, "lead", "left")
-        .join(extras, "lead", "left")
+    return (
+        merged.join(extras, "lead", "left")
         .join(links, "lead", "left")
         .withColumn("numbers", F.array_remove("numbers", F.coalesce("phone_e164", F.lit(""))))
-        .withColumn(
-            "extra_phones",
-            F.when((F.col("sightings") == 1) & (F.coalesce("numbers_seen", F.lit(0)) <= NUMBERS_IN_ROW), F.col("_own_numbers")).otherwise(F.col("numbers")),
-        )
+        .withColumn("extra_phones", F.when(F.col("sightings") == 1, F.col("_own_numbers")).otherwise(F.col("numbers")))
         .withColumn("extra_phones", F.when(F.size("extra_phones") > 0, F.col("extra_phones")))
         .drop("numbers", "_own_numbers", "_broken")
     )
-    return leads, aside
 
 
 def upsert(sightings: DataFrame, existing: DataFrame | None = None, **options) -> DataFrame:
@@ -343,22 +325,35 @@ def upsert(sightings: DataFrame, existing: DataFrame | None = None, **options) -
     return fold_batch(sightings, existing, **options)[0]
 
 
+def touched_by(batch: DataFrame, existing: DataFrame) -> DataFrame:
+    """Ids of the stored leads that a batch may change: those with a phone, domain or name that a sighting has.
+
+    A sighting only ever looks at leads that hold one of its own keys, so all others stay as they are.
+    """
+    asked = cut(key_columns(batch).select("phone", "domain", "name"))
+    known = key_columns(existing.withColumnRenamed("lead_id", "pos"))
+    hits = None
+    for key in ("phone", "domain", "name"):
+        part = known.join(asked.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_semi").select(F.col("pos").alias("lead_id"))
+        hits = part if hits is None else hits.unionByName(part)
+    return hits.distinct()
+
+
 def fold_batch(
     sightings: DataFrame, existing: DataFrame | None = None, run_id: int | None = None, now: Column | None = None,
-    side_numbers: DataFrame | None = None, **policy,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(stored leads after a batch, lead of every sighting, side table of numbers).
+    top: int | None = None, **policy,
+) -> tuple[DataFrame, DataFrame]:
+    """(stored leads after a batch, lead of every sighting).
 
     New leads are inserted, matched ones merged. ``sightings`` are rated leads with ``pos``;
     dropped ones do not take part. A stored lead takes part as the first sighting of itself. New
     ids follow the highest stored id in order of arrival (unique and ordered, not gapless, so no
-    global numbering pass is needed). The second table holds ``pos``, ``lead_id`` and ``created``; the
-    third, ``lead_id`` and ``number``, is handed to the next batch as ``side_numbers``.
+    global numbering pass is needed); ``top`` names it where ``existing`` is a part of the stored leads
+    (see ``touched_by``). The second table holds ``pos``, ``lead_id`` and ``created``.
     """
     batch = sightings.where(F.col("outcome") != "drop")
-    top = 0
-    if existing is not None:
-        top = existing.agg(F.max("lead_id")).first()[0] or 0
+    if top is None:
+        top = 0 if existing is None else existing.agg(F.max("lead_id")).first()[0] or 0
     # The rated batch is read four times below: write it once instead of rating it four times.
     batch = cut(batch.withColumn("pos", F.col("pos") + F.lit(top + 1)))
     keys = key_columns(batch).withColumn("seed", F.lit(False))
@@ -374,9 +369,7 @@ def fold_batch(
     placed = assignment.where(F.col("pos") > top).select(
         (F.col("pos") - (top + 1)).alias("pos"), F.col("lead").alias("lead_id"), (F.col("pos") == F.col("lead")).alias("created")
     )
-    held = None if side_numbers is None else side_numbers.withColumnRenamed("lead_id", "lead")
-    leads, aside = merge(everything, assignment, held, **policy)
-    leads, aside = leads.withColumnRenamed("lead", "lead_id"), aside.withColumnRenamed("lead", "lead_id")
+    leads = merge(everything, assignment, **policy).withColumnRenamed("lead", "lead_id")
     stamp = F.lit(None).cast("timestamp_ntz") if now is None else now
     crm = {
         "notes": "string", "assigned_to": "string", "last_contact_date": "date", "next_followup_date": "date",
@@ -409,4 +402,4 @@ def fold_batch(
             "updated_at": F.when(F.col("created") | (F.col("sightings") > 1), F.coalesce(stamp, F.col("updated_at"))).otherwise(F.col("updated_at")),
         }
     )
-    return leads, placed, aside
+    return leads, placed

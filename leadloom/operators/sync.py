@@ -102,6 +102,8 @@ def known_keys(tabs: list[DataFrame]) -> DataFrame:
             cols.append(F.when(F.contains(mail, F.lit("@")), mail))
         if cols:
             parts.append(tab.select(F.explode(F.array_compact(F.array(*cols))).alias("key")))
+    if not parts:
+        return tabs[0].sparkSession.createDataFrame([], "key string")
     return reduce(DataFrame.unionByName, parts).distinct()
 
 

@@ -10,9 +10,5 @@ MODULES = ["leads", "web", "reports", "feeds", "plan", "entities", "streams"]
 def registered() -> dict:
     out = {}
     for module in MODULES:
-        try:
-            found = importlib.import_module(f"leadloom.queries.{module}").QUERIES
-        except ModuleNotFoundError:
-            continue
-        out.update(found)
+        out.update(importlib.import_module(f"leadloom.queries.{module}").QUERIES)
     return out

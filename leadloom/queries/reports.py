@@ -89,7 +89,7 @@ def health_rollup(spark, d):
 
 
 def health_table(spark, d):
-    return health_rollup(spark, d).orderBy("source").limit(20)
+    return health_rollup(spark, d).orderBy("source")
 
 
 def failing_sources(spark, d):
@@ -220,7 +220,7 @@ QUERIES = {
         string_agg(source || ': ' || error, '; ' ORDER BY source) AS error, CAST(count(*) AS INT) AS sources, 'Egypt' AS country FROM st"""),
     "newest_runs": (newest_runs, f"{E} SELECT run_id, CAST(count(DISTINCT source) AS INT) AS sources FROM ev GROUP BY 1 ORDER BY 1 DESC LIMIT 100"),
     "health_rollup": (health_rollup, f"{RUNS_SQL} SELECT * FROM roll"),
-    "health_table": (health_table, f"{RUNS_SQL} SELECT * FROM roll ORDER BY source LIMIT 20"),
+    "health_table": (health_table, f"{RUNS_SQL} SELECT * FROM roll ORDER BY source"),
     "failing_sources": (failing_sources, f"{RUNS_SQL} SELECT coalesce(string_agg(source, {s.q(rules.REASON_SEPARATOR)} ORDER BY source) FILTER (health IN ('blocked', 'error')), '') AS failing, coalesce(string_agg(source, {s.q(rules.REASON_SEPARATOR)} ORDER BY source) FILTER (health = 'empty'), '') AS empty FROM roll"),
     "newest_stat_per_source": (newest_stat_per_source, f"{RUNS_SQL} SELECT source, run_id, found, health FROM rs QUALIFY row_number() OVER (PARTITION BY source ORDER BY run_id DESC) = 1"),
     "sweep_rollup": (sweep_rollup, f"{E} SELECT count(DISTINCT day) AS requests, {COUNTS_SQL}, count(*) FILTER (outcome = 'keep' AND created) AS created, count(*) FILTER (outcome = 'keep' AND NOT created) AS updated FROM ev"),

@@ -213,8 +213,8 @@ def visible_text(html: str) -> str:
         "|<template\\b[^>]*>.*?(?:</template\\s*>|$)"
     )
     bare = f"regexp_replace(regexp_replace({html}, '{hidden}', '', 'g'), '<[/!?a-zA-Z][^>]*>', chr(1), 'g')"
-    for name, char in rules.NAMED_ENTITIES.items():
-        bare = f"replace({bare}, '&{name};', {q(char)})"
+    for name in ("lt", "gt", "quot", "apos", "nbsp", "copy", "hellip", "ndash", "mdash", "eacute"):  # those the pages may hold
+        bare = f"replace({bare}, '&{name};', {q(rules.NAMED_ENTITIES[name])})"
     bare = f"replace({bare}, '&amp;', '&')"
     ends = "'^[\\s\\x{00A0}]+|[\\s\\x{00A0}]+$'"
     return f"array_to_string(list_filter(list_transform(string_split({bare}, chr(1)), lambda p: regexp_replace(p, {ends}, '', 'g')), lambda p: p <> ''), ' ')"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from leadloom.queries.base import AS_OF, COUNTS_SQL, CRM_SQL, EVENTS_SQL, FILTERS, crm_leads, raw_listings, table
 from leadloom.queries.entities import _lead_columns, leads_sql
 from leadloom.session import shared_path
+from leadloom.sources.sinks import read_leads
 from leadloom.streaming import jobs
 
 DAY = "2002-01-01"
@@ -41,7 +42,7 @@ def streamed_leads(spark, d):
     raw_listings(spark, d).write.parquet(landing)
     stream = jobs.read_landed(spark, landing, spark.read.parquet(landing).schema)
     jobs.upsert_batches(stream, leads, state, filters=FILTERS, as_of=AS_OF)
-    return _lead_columns(spark.read.parquet(leads).withColumn("sightings", F.lit(0))).drop("sightings")
+    return _lead_columns(read_leads(spark, leads, with_quarantined=True).withColumn("sightings", F.lit(0))).drop("sightings")
 
 
 def streamed_feed(spark, d):

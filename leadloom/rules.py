@@ -7,6 +7,8 @@ and fixed in size; nothing grows with the data.
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 # --------------------------------------------------------------------------- fixed values
 # Business categories and the search keywords of each.
 CATEGORIES: dict[str, list[str]] = {
@@ -331,11 +333,6 @@ DEFAULT_REGION = "EG"
 DEFAULT_COUNTRY = "Egypt"
 
 # Named character references decoded in page text.
-NAMED_ENTITIES = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "copy": "©", "reg": "®", "trade": "™",
-    "middot": "·", "bull": "•", "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’",
-    "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "times": "×", "deg": "°", "euro": "€", "pound": "£",
-    "eacute": "é", "egrave": "è", "ecirc": "ê", "agrave": "à", "acirc": "â", "ccedil": "ç",
-    "ouml": "ö", "uuml": "ü", "auml": "ä", "szlig": "ß", "ntilde": "ñ",
-}
+# Named character references: the standard library's table of HTML names, and the one that XML adds.
+NAMED_ENTITIES = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
 # --------------------------------------------------------------------- end of fixed values

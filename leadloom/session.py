@@ -67,12 +67,3 @@ def drop_cut(*tables: DataFrame) -> None:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Even out an input that has fewer splits than cores, before costly work on its texts.
-
-    A large input has far more splits than cores and is left alone, so no shuffle is added there.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from leadloom import rules
 from leadloom.functions import text as tx
@@ -16,10 +17,8 @@ _EXTRACTORS: dict[str, Extractor] = {}
 
 
 def catalogue(spark: SparkSession, sources: dict = rules.SOURCES) -> DataFrame:
-    lines = [tx.SUB.join((key, label, tier, str(on), flag or "")) for key, (label, tier, on, flag) in sources.items()]
-    cells = spark.range(1).select(F.explode(tx.words(lines)).alias("line")).select(F.split("line", tx.SUB).alias("c"))
-    text = [F.get("c", i).alias(n) for i, n in enumerate(("source", "label", "tier"))]
-    return cells.select(*text, F.get("c", 3).cast("boolean").alias("enabled"), tx.null_if_empty(F.get("c", 4)).alias("flag"))
+    rows = [(key, label, tier, bool(on), flag) for key, (label, tier, on, flag) in sources.items()]
+    return spark.createDataFrame(rows, "source string, label string, tier string, enabled boolean, flag string")
 
 
 def allowed(flags_on: list[str]):
@@ -45,9 +44,8 @@ def category_table(spark: SparkSession) -> DataFrame:
 
 def flag_table(cat: DataFrame, flags_on: list[str]) -> DataFrame:
     """Flags of deferred sources, with a warning column set when any of them is on."""
-    return cat.where("flag is not null").select(
-        "flag", F.col("flag").isin(flags_on or [""]).alias("enabled"), F.lit(bool(flags_on)).alias("warning")
-    )
+    flags = cat.where("flag is not null").select("flag", F.col("flag").isin(flags_on or [""]).alias("enabled"))
+    return flags.withColumn("warning", F.max("enabled").over(W.partitionBy()))
 
 
 def register_extractor(key: str) -> Callable[[Extractor], Extractor]:

@@ -17,7 +17,7 @@ from leadloom.operators.qualify import qualify
 from leadloom.operators.report import outcome_counts
 from leadloom.operators.sync import append_new
 from leadloom.session import shared_path
-from leadloom.sources.sinks import fold_into_table
+from leadloom.sources.sinks import fold_into_table, folded_batches
 
 
 def read_landed(spark: SparkSession, folder: str, schema: T.StructType, glob: str = "*.parquet", files_per_batch: int = 1000) -> DataFrame:
@@ -71,12 +71,13 @@ def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], state
 def upsert_batches(listings: DataFrame, leads_path: str, state: str, **rating) -> None:
     """Qualify each micro-batch and fold it into the lead table.
 
-    A repeated batch (after a lost driver) merges sightings that are already merged, which
-    changes nothing but the stamps.
+    The table records the last batch of each job, named by its state folder; a batch that is repeated
+    after a lost driver is skipped, as sightings without any key would found their leads again.
     """
 
-    def fold(batch: DataFrame, _: int) -> None:
-        fold_into_table(qualify(batch, **rating), leads_path)
+    def fold(batch: DataFrame, number: int) -> None:
+        if folded_batches(batch.sparkSession, leads_path).get(state, -1) < number:
+            fold_into_table(qualify(batch, **rating), leads_path, writer=state, batch=number)
 
     run_batches(listings, fold, state)
 

@@ -68,8 +68,7 @@ def test_independent_of_partitions_and_slices(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("seed, seeds", [(6, 0.0), (7, 0.25)])
-def test_narrow_rounds_give_the_same(spark, monkeypatch, seed, seeds):
-    monkeypatch.setattr(rs, "NARROW_ROUNDS_FROM", 0)
+def test_rounds_narrow_to_what_may_move(spark, seed, seeds):
     rows = random_rows(seed, 120, seeds)
     assert assigned(spark, rows) == fold(rows)
 
@@ -155,16 +154,38 @@ def test_second_batch_updates_stored_leads(spark, tmp_path):
     assert new.created and new.run_id == 2 and new.lead_id > old.lead_id
 
 
-def test_many_numbers_move_to_the_side_table(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(rs, "NUMBERS_IN_ROW", 2)
+def test_all_numbers_stay_with_the_lead(spark, tmp_path):
     path = str(tmp_path / "leads")
     for batch in range(2):
         rows = [listing(i, phone=f"0101234567{4 * batch + i}", site="one.example") for i in range(4)]
         fold_into_table(rated(spark, rows), path)
     lead = read_leads(spark, path).collect()
-    assert len(lead) == 1 and lead[0].extra_phones is None
-    kept = {r.number for r in spark.read.parquet(path + "-numbers").collect()}
-    assert kept == {f"+20101234567{i}" for i in range(8)}
+    assert len(lead) == 1 and {lead[0].phone_e164, *lead[0].extra_phones} == {f"+20101234567{i}" for i in range(8)}
+
+
+def test_unfinished_version_is_not_read(spark, tmp_path):
+    path = str(tmp_path / "leads")
+    fold_into_table(rated(spark, [listing(1, phone="01012345678")]), path)
+    (tmp_path / "leads" / "version=2" / "leads").mkdir(parents=True)  # a run that died while writing
+    assert read_leads(spark, path).count() == 1
+    for i in range(3):
+        fold_into_table(rated(spark, [listing(1, f"Firm {i}", phone=f"0111234567{i}")]), path)
+    assert read_leads(spark, path).count() == 4
+    assert sorted(p.name for p in (tmp_path / "leads").iterdir()) == ["version=3", "version=4"]
+
+
+def test_repeated_batch_is_skipped(spark, tmp_path):
+    from leadloom.streaming import jobs
+
+    path, landing = str(tmp_path / "leads"), str(tmp_path / "in")
+    spark.createDataFrame([listing(1, phone="01012345678"), listing(2, "No Key"), listing(3, "--")], RAW).write.parquet(landing)
+    stream = jobs.read_landed(spark, landing, spark.read.parquet(landing).schema)
+    for _ in range(2):  # the second run has lost its progress and gets the batch again
+        state = str(tmp_path / "state")
+        jobs.upsert_batches(stream, path, state)
+        for name in ("0", ".0.crc"):
+            (tmp_path / "state" / "commits" / name).unlink()
+    assert read_leads(spark, path, True).count() == 3
 
 
 def test_match_priority(spark):
