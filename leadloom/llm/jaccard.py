@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from leadloom.llm import common
 from leadloom.llm.common import cut, drop_cut, signed
-from leadloom.llm.components import components
+from leadloom.llm.components import PART, Forest, components
 
 SLICE = 512
 SHORT_TIMES = 2  # occurrences that the short lists must hold
@@ -116,7 +116,7 @@ def _name_sets(size: int):
         for batch in common.chunks(batches, "text"):
             sets = common.shingle_sets(batch.column(1), size)
             found = [pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *found], ["rid", "doc_id", "node", "n_shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *found], ["rid", "doc_id", "tid", "node", "n_shingles"])
     return run
 
 
@@ -157,8 +157,8 @@ def _send_signatures(size: int, percent: int):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (signature, node) -> edges of each node with the first node of its signature."""
-    key, head = None, None
+    """Rows sorted by (signature, node) -> edges of each node with the first node of its signature, less those that close a ring."""
+    key, head, forest = None, None, Forest()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -170,8 +170,13 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, head = keys[-1], leader[-1]
         apart = leader != nodes
         if apart.any():
-            pairs = np.unique(np.stack([nodes[apart], leader[apart]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+            for a, b in np.unique(np.stack([nodes[apart], leader[apart]], axis=1), axis=0).tolist():
+                forest.join(a, b)
+        if len(forest.parent) >= PART:
+            yield forest.edges()
+            forest = Forest()
+    if forest.parent:
+        yield forest.edges()
 
 
 # ------------------------------------------------------------------ search in a block
@@ -270,7 +275,10 @@ class Groups:
 
 
 def link_sets(nodes: list[int], sets: list[np.ndarray], indexed: list[bool], percent: int, labels: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links that join all sets linked with an indexed one: a spanning forest. ``labels``: components known before."""
+    """Each set linked with an indexed one, directly or through others, and the smallest node it is joined with.
+
+    ``labels``: components known before; they are not searched again, but their names are joined with what is found.
+    """
     inside = [i for i, x in enumerate(indexed) if x]
     index = Index([sets[i] for i in inside], percent)
     groups = Groups(len(nodes))
@@ -278,16 +286,13 @@ def link_sets(nodes: list[int], sets: list[np.ndarray], indexed: list[bool], per
         seen: dict[int, int] = {}
         for i, label in enumerate(labels):
             groups.join(seen.setdefault(label, i), i)
-    found = []
     for i in range(len(nodes)):
         own = groups.top(i)
         skip = np.array([groups.top(j) == own for j in inside], bool)
-        if skip.all():
-            continue
-        for k in index.search(sets[i], skip):
-            if groups.join(i, inside[k]):
-                found.append((nodes[i], nodes[inside[k]]))
-    return found
+        if not skip.all():
+            for k in index.search(sets[i], skip):
+                groups.join(i, inside[k])
+    return [(node, nodes[top]) for i, node in enumerate(nodes) if (top := groups.top(i)) != i]  # nodes are in order: the top is the least
 
 
 def _search_blocks(percent: int):
@@ -321,14 +326,15 @@ def _search_blocks(percent: int):
 
 
 def _member_sets(size: int):
-    """(rid, text, node of the block member) -> (node, set), where the text is the member's."""
+    """(rid, text, node of the block member, block, its size) -> (node, block, its size, set), where the text is the member's."""
 
     def run(batches):
         for batch in common.chunks(batches, "text"):
             sets = common.shingle_sets(batch.column(1), size)
             wanted = batch.column(2).to_pylist()
-            rows = [(node, members.tobytes()) for members, node in zip(sets, wanted) if len(members) and node_of(members) == node]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "members"])
+            own = [i for i, (members, node) in enumerate(zip(sets, wanted)) if len(members) and node_of(members) == node]
+            take = pa.array(own, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(take) for k in (2, 3, 4)] + [pa.array([sets[i].tobytes() for i in own], pa.binary())], ["node", "block", "block_size", "members"])
     return run
 
 
@@ -342,35 +348,35 @@ def _slices(n: Column) -> Column:
 
 
 def _searched(rows: DataFrame, percent: int) -> DataFrame:
-    """Links of ``block, part, node, indexed, label, members`` rows, searched part by part."""
+    """Links (``a``, and ``b``, the smallest node it is linked with in its part) of ``block, part, node, indexed, label, members`` rows, searched part by part."""
     dealt = rows.select("block", "part", "node", "indexed", "label", "members").repartition("block", "part").sortWithinPartitions("block", "part", "node")
     return cut(dealt.mapInArrow(_search_blocks(percent), "a long, b long"))
 
 
 def similar_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """``doc_id, node, n_shingles, component`` of every row of ``docs`` (``rid, text, doc_id``): equal sets are
-    one node, ``component`` the smallest node reachable by links; both null for rows without shingles."""
-    named = cut(docs.mapInArrow(_name_sets(size), "rid long, doc_id long, node long, n_shingles long"))
-    heads = named.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("rid").alias("rid"))
+    """``rid, doc_id, tid, node, n_shingles, component`` of every row of ``docs`` (``rid, text, doc_id, tid``): equal sets
+    are one node, ``component`` the smallest node reachable by links; both null for rows without shingles."""
+    named = cut(docs.mapInArrow(_name_sets(size), "rid long, doc_id long, tid long, node long, n_shingles long"))
     sent = docs.mapInArrow(_send_signatures(size, percent), "signature long, node long")
-    shared = cut(sent.repartition("signature").sortWithinPartitions("signature", "node").mapInArrow(_shared, "a long, b long").distinct())
+    shared = sent.repartition("signature").sortWithinPartitions("signature", "node").mapInArrow(_shared, "a long, b long")
     blocks = cut(components(shared).withColumnRenamed("component", "block"))
-    sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("block_size"))
-    members = cut(blocks.join(cut(sizes), "block").join(heads, "node"))
-    sets = docs.join(members.select("rid", "node"), "rid").select("rid", "text", "node").mapInArrow(_member_sets(size), "node long, members binary")
-    sets = cut(sets.join(members.select("node", "block", "block_size"), "node"))
+    sizes = cut(blocks.groupBy("block").agg(F.count(F.lit(1)).alias("block_size")))
+    heads = named.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("rid").alias("rid"))
+    members = cut(heads.join(blocks, "node").join(sizes, "block"))
+    # always a shuffle of the texts, never a broadcast of the members: their number grows with the corpus
+    sets = docs.select("rid", "text").join(members.hint("merge"), "rid").select("rid", "text", "node", "block", "block_size")
+    sets = cut(sets.mapInArrow(_member_sets(size), "node long, block long, block_size long, members binary"))
     n = _slices(F.col("block_size"))
-    own = F.pmod(F.xxhash64("node"), n)
-    placed = sets.withColumn("slices", n).withColumn("slice", own).withColumn("label", F.col("node"))
+    placed = sets.withColumn("slices", n).withColumn("slice", F.pmod(F.xxhash64("node"), n)).withColumn("label", F.col("node"))
     asking = placed.select("block", F.col("slice").alias("part"), "node", (F.col("slices") == 1).alias("indexed"), "label", "members")
     first = placed.where((F.col("slices") > 1) & (F.col("slice") == 0)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    links = _searched(asking.union(first.select("block", "part", "node", F.lit(True).alias("indexed"), "label", "members")), percent)
+    found = _searched(asking.union(first.select("block", "part", "node", F.lit(True).alias("indexed"), "label", "members")), percent)
     large = placed.where(F.col("slices") > 1)
     if not large.isEmpty():
-        links = links.union(_second_search(large, links, percent))
-    found = components(links)
-    out = named.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return out.select("doc_id", "node", "n_shingles", "component")
+        found = components(found.union(_second_search(large, found, percent)))
+        found = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    out = named.join(found.withColumnRenamed("a", "node"), "node", "left").withColumn("component", F.coalesce("b", "node"))
+    return out.select("rid", "doc_id", "tid", "node", "n_shingles", "component")
 
 
 def _second_search(large: DataFrame, links: DataFrame, percent: int) -> DataFrame:
@@ -387,11 +393,26 @@ def _second_search(large: DataFrame, links: DataFrame, percent: int) -> DataFram
     return _searched(rows, percent)
 
 
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(row_id(key, text).alias("rid"), F.col(text).alias("text"), F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("tid"))
+
+
 def join(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row: documents linked at ``percent`` similarity of their
     sets of ``size``-word shingles, and the smallest id of their component."""
-    rows = docs.select(row_id(key, text).alias("rid"), F.col(text).alias("text"), F.col(key).cast("long").alias("doc_id"))
-    found = cut(similar_sets(rows, size, percent))
+    found = cut(similar_sets(_rows(docs, key, text), size, percent).select("doc_id", "n_shingles", "component"))
     named = cut(found.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("component_id")))
     out = found.join(named, "component", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one document of each component: that with the smallest id, once. Texts without
+    words are linked with nothing and all stay."""
+    found = similar_sets(_rows(docs, key, text), size, percent).where(F.col("component").isNotNull())
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("blank"), "rid", "tid")).alias("best")
+    kept = cut(found.groupBy("component").agg(best).select(F.col("best.rid").alias("_rid"), F.col("best.tid").alias("_tid")))
+    rows = docs.withColumn("_rid", row_id(key, text)).withColumn("_tid", F.xxhash64(text))
+    blank = ~F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    one = rows.where(~blank).join(kept.hint("merge"), ["_rid", "_tid"], "left_semi").dropDuplicates(["_rid", "_tid"])
+    return one.unionByName(rows.where(blank)).drop("_rid", "_tid")

@@ -226,9 +226,10 @@ def look_up(queries: DataFrame, index: str, read: bool = True) -> DataFrame:
     """Records of the index at ``queries`` (``capture``): ``page_id, payload_bytes, payload_digest, record_type,
     refers_to, url, file, offset, length``, one row for each record that has the capture asked for."""
     spark = queries.sparkSession
-    directory = spark.read.parquet(f"{index}/directory")
+    directory = spark.read.schema("file string, first string, offset long, length long, part int").parquet(f"{index}/directory")
     upper = sorted((r["first"], r["part"], r["file"]) for r in directory.groupBy("part", "file").agg(F.min("first").alias("first")).collect())  # one row a file: PARTS
-    wanted = queries.select("capture").distinct().repartitionByRange("capture").sortWithinPartitions("capture")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # named, so that few bytes of queries are not put in one task
+    wanted = queries.select("capture").distinct().repartitionByRange(tasks, "capture").sortWithinPartitions("capture")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges = Reader()

@@ -104,7 +104,11 @@ def test_similar_sets_share_a_signature():
             assert set(a.tolist()) & set(b.tolist())
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("part", [1 << 18, 12])
+def test_components_of_paths_and_stars(spark, part, monkeypatch):
+    from leadloom.llm import components as module
+
+    monkeypatch.setattr(module, "PART", part)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200)] + [(301, 300), (300, 301)]
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, 300: 300, 301: 300}
