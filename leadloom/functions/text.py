@@ -178,9 +178,17 @@ def status_of_label(label: Column | str) -> Column:
     return F.coalesce(F.try_element_at(codes, col_of(label)), F.lit("new"))
 
 
+# Common ways to write a day, month names in English; where both orders are possible the month comes first.
+DATE_FORMS = ["yyyyMMdd", "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "d.M.yyyy", "yyyy/M/d", "yyyy.M.d", "MMM d yyyy", "MMMM d yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM yyyy", "MMMM yyyy"]
+
+
 def lenient_date(value: Column | str) -> Column:
-    """Date of a loosely written cell, null when it is none."""
-    return F.try_to_timestamp(F.trim(col_of(value).cast("string"))).cast("date")
+    """Date of a loosely written cell, null when it is none. A time of day after the date is left out."""
+    cell = F.trim(col_of(value).cast("string"))
+    bare = F.regexp_replace(cell, r"(?i)(?:T|,?\s+)\d{1,2}:\d{2}.*$", "")
+    plain = F.regexp_replace(F.regexp_replace(bare, r"(?i)\b(\d{1,2})(?:st|nd|rd|th)\b", "$1"), r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+|[,\s]+", " ")
+    forms = [F.try_to_timestamp(F.trim(plain), F.lit(f)).cast("date") for f in DATE_FORMS]
+    return F.coalesce(F.when(F.rlike(cell, F.lit(r"^\d{4}-")), F.try_to_timestamp(cell).cast("date")), *forms)
 
 
 def looks_blocked(error: Column | str) -> Column:

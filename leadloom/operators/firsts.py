@@ -22,9 +22,9 @@ def keep_first(df: DataFrame, keys: list[str], order: str = "pos") -> DataFrame:
     return top_per(df, keys, [F.col(order).asc()], 1)
 
 
-def cap_per_source(df: DataFrame, n: int, order: str = "pos") -> DataFrame:
-    """First ``n`` listings of each source, in arrival order, before any gate."""
-    return top_per(df, ["source"], [F.col(order).asc()], n)
+def cap_per_source(df: DataFrame, n: int, order: str = "pos", keys: tuple[str, ...] = ("source",)) -> DataFrame:
+    """First ``n`` listings of each source (or of each of ``keys``), in arrival order, before any gate."""
+    return top_per(df, list(keys), [F.col(order).asc()], n)
 
 
 def newest(df: DataFrame, keys: list[str], at: str, tie: str) -> DataFrame:

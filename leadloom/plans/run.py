@@ -11,8 +11,8 @@ from leadloom import rules
 from leadloom.operators import report
 from leadloom.operators.crm import mark_pushed
 from leadloom.operators.enrich import enrich, with_contact_columns
-from leadloom.operators.firsts import cap_per_source, keep_first
-from leadloom.operators.qualify import conform, qualify
+from leadloom.operators.firsts import cap_per_source
+from leadloom.operators.qualify import RAW_FIELDS, conform, qualify
 from leadloom.operators.sync import append_new, flag_new, known_keys
 from leadloom.plans.matrix import daily_requests
 from leadloom.session import cut
@@ -27,20 +27,20 @@ def run_search(
     sources: DataFrame,
     started: Column,
     finished: Column,
-    max_results: int = 100,
+    max_results: int | None = 100,
     pages: DataFrame | None = None,
     errors: DataFrame | None = None,
     params: dict | None = None,
     **rating,
 ) -> DataFrame:
-    """One run: cap per source, qualify (with ``pages`` also enrich), fold into the lead table, log.
+    """One run: cap per source (None: capped before), qualify (with ``pages`` also enrich), fold into the lead table, log.
 
     ``listings`` carry ``pos``; ``sources(source)`` are the sources asked, so silent ones are
     logged as empty; ``errors(source, error)`` are those that failed. Returns the run-log row.
     """
     asked = conform(listings).join(sources.select("source").distinct(), "source", "left_semi")
     reading = None if pages is None else lambda df: enrich(with_contact_columns(df), pages)
-    rated = cut(qualify(cap_per_source(asked, max_results), enrich=reading, **rating))
+    rated = cut(qualify(asked if max_results is None else cap_per_source(asked, max_results), enrich=reading, **rating))
     placed = fold_into_table(rated, leads_path, run_id=run_id, now=started)
     flagged = rated.select("pos", "source", "outcome", "reason").join(placed, "pos", "left")
     stats = report.source_stats(flagged, sources, errors)
@@ -52,6 +52,20 @@ def run_search(
     return row
 
 
+def swept_listings(listings: DataFrame, day: int, plan: dict = rules.PLAN) -> DataFrame:
+    """The listings that a day's run takes: the councils' members, and what the directories answered to the requests due.
+
+    ``listings`` carry ``pos``, ``source`` and ``request_no``, the index of the request a page was asked for (null for
+    sources asked without one). Their own category and city may be others than the request's. The cap of the
+    plan holds for each source, and for directories for each request and source.
+    """
+    due = daily_requests(listings.sparkSession, day, plan).select(F.col("idx").alias("request_no"))
+    councils = listings.where(F.col("source").isin(plan["council_sources"])).withColumn("request_no", F.lit(None).cast("long"))
+    directories = listings.where(F.col("source").isin(plan["directory_sources"])).join(due, "request_no", "left_semi")
+    rows = councils.unionByName(directories.select(councils.columns))
+    return cap_per_source(rows, plan["max_results_per_source"], keys=("request_no", "source"))
+
+
 def daily_run(
     listings: DataFrame,
     leads_path: str,
@@ -60,25 +74,22 @@ def daily_run(
     *,
     day: dt.date,
     run_id: int,
-    sources: DataFrame,
+    pages: DataFrame | None = None,
     other_tabs: list[DataFrame] | None = None,
     plan: dict = rules.PLAN,
     **options,
 ) -> DataFrame:
-    """The unattended run of a day: all due requests in one job, then new contacts to the feed.
+    """The unattended run of a day: councils and all due requests in one job, then new contacts to the feed.
 
-    Listings of requested categories and places take part once each; listings of sources that
-    know no request (``category`` null) take part too, as the councils' member lists do.
+    See ``swept_listings`` for what takes part. ``pages``, landed pages of the listings' websites, are read
+    if the plan says ``enrich``.
     """
     spark = listings.sparkSession
-    due = daily_requests(spark, day.toordinal(), plan).select("category", F.col("place").alias("city")).distinct()
-    rows = conform(listings)
-    wanted = rows.join(due, ["category", "city"], "left_semi").unionByName(rows.where("category IS NULL"), allowMissingColumns=True)
     stamp = F.lit(dt.datetime.combine(day, dt.time())).cast("timestamp_ntz")
-    wanted = wanted.withColumn("_key", F.coalesce("source_url", "company_name"))
+    asked = spark.createDataFrame([(x,) for x in [*plan["council_sources"], *plan["directory_sources"]]], "source string")
     row = run_search(
-        keep_first(wanted, ["source", "_key"]).drop("_key"), leads_path, runs_path, run_id=run_id, sources=sources, started=stamp,
-        finished=stamp, max_results=plan["max_results_per_source"] * plan["daily_limit"], **options,
+        swept_listings(conform(listings, {**RAW_FIELDS, "request_no": "long"}), day.toordinal(), plan), leads_path, runs_path, run_id=run_id, sources=asked, started=stamp,
+        finished=stamp, max_results=None, pages=pages if plan["enrich"] else None, **options,
     )
     leads = read_leads(spark, leads_path)
     today = F.lit(day.isoformat())

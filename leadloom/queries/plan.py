@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leadloom import rules
 from leadloom.plans import matrix as mx
+from leadloom.plans.run import swept_listings
 from leadloom.queries import sqltext as s
 from leadloom.queries.base import RAW_SQL, processed_events, raw_listings, table
 from leadloom.sources import catalogue as cat
@@ -18,6 +19,16 @@ FLAGS_ON = ["FEATURE_LINKEDIN"]
 KEYS = [*rules.SOURCES, "nobody", "noone"]
 
 
+SWEEP = {**PLAN, "max_results_per_source": 3, "council_sources": ["src0"], "directory_sources": ["src1", "src2", "src3"]}
+SWEEP_DAY = 1  # requests 12 to 23
+
+
+def daily_sweep(spark, d):
+    """Listings that a day's run takes: council members, and directory rows by the request they answer, not by their own category or city."""
+    rows = raw_listings(spark, d).withColumn("request_no", F.when(F.col("source") != "src0", F.col("pos") % 40))
+    return swept_listings(rows, SWEEP_DAY, SWEEP).select("pos", "source", "request_no", "city", "category")
+
+
 def placed_listings(spark, d) -> DataFrame:
     """Listings with the plan's place: companies are spread over the places by number."""
     places = F.split(F.lit("|".join(PLAN["places"])), r"\|")
@@ -123,6 +134,9 @@ ASKED_SQL = f"ak AS (SELECT {'[' + ', '.join(s.q(k) for k in KEYS) + ']'}[CAST(u
 OPEN_SQL = f"(flag IS NULL OR flag IN {s.in_list(FLAGS_ON)})"
 
 QUERIES = {
+    "daily_sweep": (daily_sweep, f"""WITH {RAW_SQL}, lr AS (SELECT *, CASE WHEN source <> 'src0' THEN pos % 40 END AS request_no FROM raw),
+        tk AS (SELECT * FROM lr WHERE source = 'src0' OR source IN ('src1', 'src2', 'src3') AND request_no BETWEEN {LIMIT * SWEEP_DAY} AND {LIMIT * SWEEP_DAY + LIMIT - 1})
+        SELECT pos, source, request_no, city, category FROM tk QUALIFY row_number() OVER (PARTITION BY request_no, source ORDER BY pos) <= 3"""),
     "plan_yield": (plan_yield, f"WITH {RAW_SQL}, {_matrix_sql()}, {FOUND_SQL}, mc AS (SELECT *, 'Egypt' AS country FROM m) SELECT idx, category, role, place, {QUERY_SQL} AS query, idx // {LIMIT} AS day, coalesce(listings, 0) AS listings FROM mc LEFT JOIN fo USING (category, place)"),
     "requests_due": (requests_due, f"WITH {_matrix_sql()}, dy AS (SELECT CAST(ts AS DATE) AS day, count(*) AS events FROM events GROUP BY 1) SELECT day, events, idx, category, role, place FROM dy JOIN m ON idx // {LIMIT} = date_diff('day', DATE '1970-01-01', day) % {mx.days_per_sweep(SIZE, LIMIT)}"),
     "request_texts": (request_texts, f"WITH {LOG_SQL} SELECT idx, {QUERY_SQL} AS query FROM lg"),

@@ -286,6 +286,9 @@ PLAN = {
     "country": "Egypt",
     "daily_limit": 12,
     "max_results_per_source": 30,
+    "enrich": True,
+    "directory_sources": ["yellowpages_eg", "google_maps"],  # asked once per request
+    "council_sources": ["textile_council", "aece"],          # swept once per run, for no request
     "roles": ["Manufacturer", "Factory", "Importer", "Distributor", "Exporter"],
     "places": ["Cairo", "Giza", "Alexandria", "Qalyubia", "Sharqia", "Gharbia", "Dakahlia",
                "10th of Ramadan", "6th of October", "Port Said"],

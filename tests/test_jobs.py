@@ -157,8 +157,34 @@ def test_runs_end_to_end(spark, tmp_path):
     again = run_search(listings, leads, runs, run_id=2, sources=asked, started=t, finished=t, max_results=2).first()
     assert (again.found, again.created, again.updated) == (4, 0, 4)
     assert read_leads(spark, leads).count() == 6 and spark.read.parquet(runs).count() == 2
-    plan = {**rules.PLAN, "daily_limit": 1000}
-    day = daily_run(listings, leads, runs, feed, day=dt.date(2024, 1, 2), run_id=3, sources=asked, plan=plan).first()
+    plan = {**rules.PLAN, "daily_limit": 1000, "council_sources": ["b"], "directory_sources": ["a"]}
+    answers = listings.withColumn("request_no", F.when(F.col("source") == "a", F.col("pos"))).withColumn("city", F.lit("Elsewhere"))
+    day = daily_run(answers, leads, runs, feed, day=dt.date(2024, 1, 2), run_id=3, plan=plan).first()
     assert day.found == 14 and spark.read.parquet(feed).count() == 6
-    daily_run(listings, leads, runs, feed, day=dt.date(2024, 1, 3), run_id=4, sources=asked, plan=plan)
+    none = {**plan, "daily_limit": 1, "council_sources": []}
+    assert daily_run(answers.where("pos > 1"), leads, runs, feed, day=dt.date(1, 1, 1), run_id=4, plan=none).first().found == 0
     assert spark.read.parquet(feed).count() == 6 and read_leads(spark, leads).where("pushed_to_sheet").count() == 6
+
+
+def test_cells_that_do_not_fit_become_null(spark):
+    from leadloom.operators.qualify import conform
+
+    rows = spark.createDataFrame([("1", "12k", "n/a", "soon", "maybe"), ("2", "12", "4.5", "2024-01-02", "true")],
+                                 "pos string, followers string, rating string, last_activity_date string, has_online_store string")
+    got = [(r.pos, r.followers, r.rating, str(r.last_activity_date), r.has_online_store) for r in conform(rows).orderBy("pos").collect()]
+    assert got == [(1, None, None, "None", None), (2, 12, 4.5, "2024-01-02", True)]
+
+
+def test_keys_of_tabs_without_key_columns(spark):
+    from leadloom.operators.sync import known_keys
+
+    assert known_keys([spark.createDataFrame([("x",)], "Notes string")]).count() == 0
+
+
+def test_changes_need_an_order(spark):
+    from leadloom.operators import crm
+
+    leads = spark.createDataFrame([(1, "a", None)], "lead_id long, notes string, updated_at timestamp_ntz")
+    changes = spark.createDataFrame([(1, "x"), (1, "y")], "lead_id long, notes string")
+    with pytest.raises(Exception, match="several changes"):
+        crm.apply_changes(leads, changes, F.lit(None).cast("timestamp_ntz")).collect()

@@ -90,3 +90,30 @@ def test_search_text(spark):
 def test_phone_payload(values):
     cases = {'[["a1","b"],["a1"],[]]': ["a1", "b"], '["x"," x ","y"]': ["x", "y"], "call 010-1234567": ["010-1234567"], "closed": [], "[]": []}
     assert values(h.phone_payload, list(cases)) == list(cases.values())
+
+
+def test_links_resolve_as_the_standard_library_does(spark):
+    from urllib.parse import urljoin
+
+    from leadloom.functions import urls
+
+    bases = ["http://h.example/a/b/c/d/e/", "http://h.example/a/b", "http://h.example", "http://h.example/a/b/?q#f"]
+    links = ["../../../../x", "..", ".", "../", "./x", "../x?y=../z", "/a/../b/./c", "/../../x", "x/../../y", "a/..", "../" * 12 + "x/", "img.png", "/p", "?q", "#f"]
+    rows = [(b, x, urljoin(b, x)) for b in bases for x in links]
+    made = spark.createDataFrame(rows, "b string, h string, want string").withColumn("got", urls.resolve("b", "h"))
+    assert made.where("got <> want").collect() == []
+
+
+def test_references_and_bad_numbers(values):
+    from leadloom.functions.html import decode_entities
+
+    texts = ["&larr;x&Eacute;", "&#9999999;", "a&#0;b&#xD800;c", "&amp;lt;", "&nosuch; & &", "&#x41;&#66;", "&apos;&quot;"]
+    assert values(decode_entities, texts) == ["←xÉ", "\ufffd", "a\ufffdb\ufffdc", "&lt;", "&nosuch; & &", "AB", "'\""]
+
+
+def test_common_ways_to_write_a_day(values):
+    import datetime as dt
+
+    cells = ["12/31/2024", "Dec 5 2024", "5 March 2023", "20240105", "2024-03-05T10:00:00", "March 5th, 2023", "31/12/2024", "2024/1/9", "Tue, 5 Mar 2024 10:30", "1/2/2024", "soon", "99999999", ""]
+    want = ["2024-12-31", "2024-12-05", "2023-03-05", "2024-01-05", "2024-03-05", "2023-03-05", "2024-12-31", "2024-01-09", "2024-03-05", "2024-01-02", None, None, None]
+    assert values(tx.lenient_date, cells) == [w and dt.date.fromisoformat(w) for w in want]
