@@ -45,6 +45,8 @@ WORDS = 4000
 NEAR = 0.4        # kernel below which a word is near no landmark
 WIDTH = 24        # letters of a piece of a word; longer words are read in pieces that overlap by half
 RUN = 5           # letters of the runs that point to first witnesses, with the start mark
+POOL = 400        # most frequent words of a class that landmarks are chosen from
+BLOCK = 256       # words whose kernel is computed at a time
 HELD = 300_000    # words whose scores a task remembers
 MARK = "^"
 _SPELLED = re.compile(r"(?<![^\W_])(?:[^\W_][^\w\s]?\s){2,}[^\W_](?![^\W_])")
@@ -128,11 +130,13 @@ class Landmarks:
         words, triples, weights = _features(letters)
         own = np.bincount(words, weights ** 2, len(letters))
         out = np.zeros((len(letters), len(self.own)))
-        at = self.place[triples]
-        hit = at < len(self.triples)
-        if hit.any():
-            first = np.flatnonzero(np.concatenate(([True], words[hit][1:] != words[hit][:-1])))
-            out[words[hit][first]] = np.add.reduceat(self.table[at[hit]] * weights[hit][:, None], first, axis=0)
+        hit = self.place[triples] < len(self.triples)
+        words, at, weights = words[hit], self.place[triples[hit]], weights[hit]
+        cuts = np.searchsorted(words, np.arange(0, len(letters) + BLOCK, BLOCK))
+        for a, b in zip(cuts[:-1], cuts[1:]):  # a block of words at a time, for memory
+            if b > a:
+                first = np.flatnonzero(np.concatenate(([True], words[a + 1:b] != words[a:b - 1])))
+                out[words[a:b][first]] = np.add.reduceat(self.table[at[a:b]] * weights[a:b, None], first, axis=0)
         return out / np.sqrt(np.maximum(own[:, None] * self.own[None, :], 1e-30))
 
 
@@ -221,7 +225,7 @@ def _fit_machine(features: np.ndarray, signs: np.ndarray, costs: np.ndarray, pen
 
 def _choose(letters: np.ndarray, counts: np.ndarray, n: int) -> list[int]:
     """Words that cover the others: each time the one that most weight is still far from."""
-    pool = np.argsort(-counts, kind="stable")[:1000]
+    pool = np.argsort(-counts, kind="stable")[:POOL]
     k = Landmarks(letters[pool]).kernel(letters[pool])
     covered, chosen = np.zeros(len(pool)), []
     for _ in range(min(n, len(pool))):
