@@ -1,7 +1,8 @@
-"""Phone numbers to E.164 by a numbering plan per region.
+"""Phone numbers to E.164 by numbering plans.
 
-Supported regions are those of ``rules.NUMBERING``; a number of any other country is null.
-Extensions and vanity letters are not read.
+The regions of ``rules.NUMBERING`` have a full plan; numbers of all other countries, written with ``+`` or
+``00``, are checked by calling code and length (``rules.WORLD_LENGTHS``). An extension after the number is
+left out; vanity letters are not read.
 """
 
 from __future__ import annotations
@@ -14,15 +15,18 @@ from leadloom.functions.text import col_of, let
 
 ARABIC_DIGITS = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹"
 LATIN_DIGITS = "01234567890123456789"
-TRUNK_CODES = "|".join(code for code, trunk, _ in rules.NUMBERING.values() if trunk)
-INTERNATIONAL = "^(?:" + "|".join(f"{code}(?:{plan})" for code, _, plan in rules.NUMBERING.values()) + ")$"
+TRUNK_CODES = "|".join([code for code, trunk, _ in rules.NUMBERING.values() if trunk] + [c for c in rules.WORLD_LENGTHS if c not in rules.KEEP_ZERO])
+WORLD = [f"{code}(?:{plan})" for code, _, plan in rules.NUMBERING.values()]
+WORLD += [f"{code}\\d{{{a},{b}}}" if code in rules.KEEP_ZERO else f"{code}[1-9]\\d{{{a - 1},{b - 1}}}" for code, (a, b) in rules.WORLD_LENGTHS.items()]
+INTERNATIONAL = "^(?:" + "|".join(WORLD) + ")$"
+EXTENSION = r"(?i)[\s,;]*(?:ext\.?|extension|x|#|;ext=)[\s.:=]*\d{1,7}\s*$"
 
 
 def e164(raw: Column | str, region: str = rules.DEFAULT_REGION) -> Column:
     """Validated E.164 form of a phone text, or null."""
     code, trunk, plan = rules.NUMBERING[region]
     latin = F.translate(col_of(raw), ARABIC_DIGITS, LATIN_DIGITS)
-    written = F.regexp_extract(latin, r"[+0-9](?s:.*)", 0)
+    written = F.regexp_replace(F.regexp_extract(latin, r"[+0-9](?s:.*)", 0), EXTENSION, "")
 
     def read(written: Column) -> Column:
         return let(F.regexp_replace(written, r"[^0-9]", ""), lambda digits: number(written, digits))

@@ -75,6 +75,31 @@ ORDER_PHONE_SQL = """SELECT o_orderkey AS id, CASE o_orderkey % 9 WHEN 0 THEN '+
  WHEN 7 THEN 'call ' || lpad(o_orderkey::VARCHAR, 6, '0') END AS raw FROM orders"""
 
 
+# How numbers of many countries are written, and their E.164 form; four more digits follow (before an extension).
+WRITTEN = [
+    ("+1 212 555 ", "+1212555", ""), ("001-416-555-", "+1416555", ""), ("+44 (0)20 7946 ", "+44207946", ""), ("+44 7700 90", "+44770090", ""), ("+33 1 42 68 ", "+3314268", ""),
+    ("+49 30 9018 ", "+49309018", " ext. 12"), ("+39 06 6982 ", "+39066982", ""), ("+34 912 34 ", "+3491234", ""), ("+90 212 555 ", "+90212555", ""), ("+86 138 0013 ", "+861380013", ""),
+    ("+91 98765 4", "+91987654", ""), ("+92 300 123 ", "+92300123", ""), ("+81 3 1234 ", "+8131234", ""), ("+82 2 312 ", "+822312", ""), ("+65 6123 ", "+656123", ""),
+    ("+60 3 2161 ", "+6032161", ""), ("+62 21 3983 ", "+62213983", ""), ("+63 2 8123 ", "+6328123", ""), ("+66 2 123 ", "+662123", ""), ("+84 24 3825 ", "+84243825", ""),
+    ("+61 2 9374 ", "+6129374", ""), ("+64 9 355 ", "+649355", ""), ("+55 11 95555 ", "+551195555", ""), ("+52 55 5080 ", "+52555080", ""), ("+54 11 4379 ", "+54114379", ""),
+    ("+27 11 326 ", "+2711326", ""), ("+234 803 123 ", "+234803123", ""), ("+254 712 34", "+25471234", ""), ("+212 522 43", "+21252243", ""), ("+213 21 63 ", "+2132163", ""),
+    ("+216 71 56", "+2167156", ""), ("+961 1 34", "+961134", "5"), ("+964 770 12", "+96477012", "3"), ("+968 2469 ", "+9682469", ""), ("+973 1721 ", "+9731721", ""),
+    ("+7 495 123 ", "+7495123", ""), ("+380 44 123 ", "+38044123", ""), ("+48 22 694 ", "+4822694", ""), ("+31 20 551 ", "+3120551", ""), ("+32 2 548 ", "+322548", ""),
+    ("02 2593 ", "+2022593", " x5"), ("+20 2 2593 ", "+2022593", " extension 77"), ("+999 123 45 ", None, ""), ("+1 12 ", None, ""), ("+44 1 ", None, ""),
+]
+
+
+def phone_world(spark, d):
+    """Numbers of many countries as people write them, with and without extensions."""
+    one = F.element_at(F.array(*[F.struct(F.lit(a).alias("head"), F.lit(c).alias("tail")) for a, _, c in WRITTEN]), (F.col("c_custkey") % len(WRITTEN) + 1).cast("int"))
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(one["head"], F.lpad((F.col("c_custkey") % 10_000).cast("string"), 4, "0"), one["tail"]).alias("raw"))
+    return rows.select("id", e164("raw").alias("phone"))
+
+
+WORLD_SQL = ("SELECT c_custkey AS id, CASE c_custkey % " + str(len(WRITTEN))
+             + " ".join(f" WHEN {i} THEN '{b}' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') || '{c.strip() if c.isdigit() else ''}'" for i, (_, b, c) in enumerate(WRITTEN) if b) + " END AS phone FROM customer")
+
+
 def site_domain(spark, d):
     a = raw_listings(spark, d).select(F.col("website").alias("address"))
     b = table(spark, d, "pages").select(F.col("url").alias("address"))
@@ -340,6 +365,7 @@ QUERIES = {
     "raw_listing_union": (raw_listing_union, f"{ALL} SELECT pos, source, company_name, phone_raw, city FROM raw"),
     "phone_e164": (phone_e164, f"{ALL} SELECT pos, phone_raw, {s.e164('phone_raw')} AS phone FROM raw"),
     "phone_e164_regions": (order_number_phones, f"SELECT id, raw, {s.e164('raw')} AS phone FROM ({ORDER_PHONE_SQL})"),
+    "phone_world": (phone_world, WORLD_SQL),
     "site_domain": (site_domain, f"{ALL} SELECT address, {s.domain('address')} AS domain FROM (SELECT website_raw AS address FROM raw UNION ALL SELECT url FROM pages)"),
     "name_key": (name_key, f"{ALL} SELECT md5({s.name_key('name')}) AS key_hash, length({s.name_key('name')}) AS key_length FROM (SELECT company_name AS name FROM raw UNION ALL SELECT text FROM documents)"),
     "cell_email": (cell_email, f"{ALL} SELECT pos, {s.cell_email('email_raw')} AS email FROM raw"),

@@ -32,12 +32,13 @@ def filled(c: str) -> str:
 def e164(raw: str, region: str = rules.DEFAULT_REGION) -> str:
     """One SQL expression; the written part and its digits are taken once through a one-element list."""
     code, trunk, plan = rules.NUMBERING[region]
-    trunks = "|".join(c for c, t, _ in rules.NUMBERING.values() if t)
-    world = "|".join(f"{c}(?:{p})" for c, _, p in rules.NUMBERING.values())
+    trunks = "|".join([c for c, t, _ in rules.NUMBERING.values() if t] + [c for c in rules.WORLD_LENGTHS if c not in rules.KEEP_ZERO])
+    world = "|".join([f"{c}(?:{p})" for c, _, p in rules.NUMBERING.values()]
+                     + [f"{c}\\d{{{a},{b}}}" if c in rules.KEEP_ZERO else f"{c}[1-9]\\d{{{a - 1},{b - 1}}}" for c, (a, b) in rules.WORLD_LENGTHS.items()])
     home = "regexp_replace(x.d, '^0', '')" if trunk else "x.d"
     abroad = f"regexp_replace(CASE WHEN x.w LIKE '+%' THEN x.d ELSE substr(x.d, 3) END, '^({trunks})0', '\\1')"
     bare = f"regexp_replace(x.d, '^({code})0', '\\1')"
-    written = f"regexp_extract({raw}, '[+0-9](?s:.*)')"
+    written = f"regexp_replace(regexp_extract({raw}, '[+0-9](?s:.*)'), '(?i)[\\s,;]*(?:ext\\.?|extension|x|#|;ext=)[\\s.:=]*\\d{{1,7}}\\s*$', '')"
     return (
         f"list_transform([{{'w': {written}, 'd': regexp_replace({written}, '[^0-9]', '', 'g')}}], lambda x: "
         f"CASE WHEN length(x.d) > 17 OR regexp_matches(x.w, '(?:[A-Za-z][^A-Za-z]*){{3}}') THEN NULL "
@@ -213,7 +214,7 @@ def visible_text(html: str) -> str:
         "|<template\\b[^>]*>.*?(?:</template\\s*>|$)"
     )
     bare = f"regexp_replace(regexp_replace({html}, '{hidden}', '', 'g'), '<[/!?a-zA-Z][^>]*>', chr(1), 'g')"
-    for name in ("lt", "gt", "quot", "apos", "nbsp", "copy", "hellip", "ndash", "mdash", "eacute"):  # those the pages may hold
+    for name in "lt gt quot apos nbsp copy reg trade middot bull hellip ndash mdash lsquo rsquo ldquo rdquo laquo raquo times deg euro pound eacute egrave agrave ouml uuml auml szlig ntilde".split():  # those the pages may hold
         bare = f"replace({bare}, '&{name};', {q(rules.NAMED_ENTITIES[name])})"
     bare = f"replace({bare}, '&amp;', '&')"
     ends = "'^[\\s\\x{00A0}]+|[\\s\\x{00A0}]+$'"

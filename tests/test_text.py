@@ -15,7 +15,8 @@ def test_phone(values):
         "+20 100 123 4567": "+201001234567", "0100 123 4567": "+201001234567", "01012345678": "+201012345678",
         "+20226785885": "+20226785885", "201001234567": "+201001234567", "0020 11 12345678": "+201112345678",
         "+966 51 234 5678": "+966512345678", "٠١٠١٢٣٤٥٦٧٨": "+201012345678", "+20 0100 1234567": "+201001234567",
-        None: None, "": None, "hello": None, "123": None, "4111 1111 1111 1111": None, "+44 20 7946 0958": None, "0130": None,
+        None: None, "": None, "hello": None, "123": None, "4111 1111 1111 1111": None, "+44 20 7946 0958": "+442079460958", "+44 (0)20 7946 0958": "+442079460958", "0130": None,
+        "02 25937958 ext 5": "+20225937958", "+1 212 555 0123 x99": "+12125550123", "+999 1234567": None, "+1 12 3": None,
     }
     assert values(e164, list(cases)) == list(cases.values())
 
