@@ -70,6 +70,16 @@ def intent_phrases(low: Column) -> Column:
     return F.array_sort(let(low, lambda t: hits_in(t, list(rules.INTENT_SIGNALS))))
 
 
+def platform_rank(low_markup: Column) -> Column:
+    """Place in the rules of the first platform one of whose fingerprints occurs in the raw markup, from 1; null for none."""
+    marks = list(rules.STORE_PLATFORMS.values())
+    return let(low_markup, lambda markup: F.coalesce(*[F.when(contains_any(markup, m), F.lit(i)) for i, m in enumerate(marks, 1)]))
+
+
+def platform_of_rank(rank: Column) -> Column:
+    return F.try_element_at(F.array(*map(F.lit, rules.STORE_PLATFORMS)), rank)
+
+
 def store_platform(low_markup: Column) -> Column:
     """First platform one of whose fingerprints occurs in the raw markup."""
 

@@ -18,8 +18,11 @@ def site_pages(sites: DataFrame, pages: DataFrame, budget: int = rules.SITE_PAGE
     """Pages read for each site: its home page (0) and the landed sub-pages it leads to.
 
     ``sites(site)`` joins ``pages(url, html)`` on the address twice; a site without a landed
-    home page gives no rows. At most ``budget`` pages per site, as the crawl allows.
+    home page gives no rows. At most ``budget`` pages per site, as the crawl allows. Of several landings of
+    an address the newest is read (by ``fetched_at`` where the pages carry it).
     """
+    order = ["fetched_at", "html"] if "fetched_at" in pages.columns else ["html"]
+    pages = pages.groupBy("url").agg(F.max_by("html", F.struct(*order)).alias("html"))
     homes = sites.select("site").distinct().join(pages.select(F.col("url").alias("site"), "html"), "site")
     homes = tx.settle(homes, {"_links": h.anchors("html")})
     wanted = homes.select(
@@ -30,8 +33,8 @@ def site_pages(sites: DataFrame, pages: DataFrame, budget: int = rules.SITE_PAGE
 
 
 def read_page(pages: DataFrame, region: str = rules.DEFAULT_REGION) -> DataFrame:
-    """Text, contacts and social links of every page; ``html`` stays for the platform check."""
-    read = tx.settle(pages, {"text": h.visible_text("html"), "links": h.anchors("html")})
+    """Text, contacts, social links and shop platform of every page. The markup ends here: it is not shuffled again."""
+    read = tx.settle(pages, {"text": h.visible_text("html"), "links": h.anchors("html"), "platform": intel.platform_rank(F.lower("html"))})
     return read.withColumns(
         {
             "emails": h.emails_of(F.col("html"), F.col("links"), F.col("text")),
@@ -41,14 +44,14 @@ def read_page(pages: DataFrame, region: str = rules.DEFAULT_REGION) -> DataFrame
         }
     ).withColumns(
         {n: F.try_element_at("socials", F.lit(n)) for n in ("facebook", "linkedin")}
-    ).drop("links", "socials")
+    ).drop("links", "socials", "html")
 
 
 def collect_sites(pages: DataFrame) -> DataFrame:
     """One row per site from its few read pages, everything in page order."""
     grouped = pages.groupBy("site").agg(
         F.array_sort(
-            F.collect_list(F.struct("page_no", "html", "text", "emails", "phones", "whatsapp", "facebook", "linkedin"))
+            F.collect_list(F.struct("page_no", "text", "platform", "emails", "phones", "whatsapp", "facebook", "linkedin"))
         ).alias("p")
     )
 
@@ -62,7 +65,7 @@ def collect_sites(pages: DataFrame) -> DataFrame:
         "site",
         F.size("p").alias("pages_read"),
         F.array_join(F.transform("p", lambda x: x["text"]), " ").alias("text"),
-        F.array_join(F.transform("p", lambda x: x["html"]), " ").alias("markup"),
+        intel.platform_of_rank(F.array_min(F.transform("p", lambda x: x["platform"]))).alias("site_platform"),
         united("emails").alias("emails"),
         united("phones").alias("phones"),
         united("whatsapp").alias("whatsapp"),
@@ -82,7 +85,6 @@ def site_intel(collected: DataFrame, category: str | None = None) -> DataFrame:
             "site_type": intel.company_type(F.col("_low"), cat),
             "_store": intel.has_store(F.col("_low")),
             "markets": intel.markets(F.col("_low")),
-            "site_platform": intel.store_platform(F.lower("markup")),
             "contact": intel.decision_maker(F.col("text"), F.col("emails")),
             "signals": intel.intent_phrases(F.col("_low")),
         },

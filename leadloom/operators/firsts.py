@@ -32,12 +32,12 @@ def newest(df: DataFrame, keys: list[str], at: str, tie: str) -> DataFrame:
     return top_per(df, keys, [F.col(at).desc(), F.col(tie).desc()], 1)
 
 
-def pair_with_preceding(links: DataFrame, page: str = "page_id", pos: str = "pos") -> DataFrame:
+def pair_with_preceding(links: DataFrame, page: str = "page_id", pos: str = "pos", carried: list[str] | None = None) -> DataFrame:
     """Attach each phone link to the nearest company link before it on the same page.
 
     ``links`` has ``is_company``, ``is_phone``, ``name``, ``url`` and ``phone``. A company takes
     its first phone only, and a later company replaces one still waiting. A window group is one
-    page, which is one input row, so groups are bounded by the page.
+    page, which is one input row, so groups are bounded by the page. ``carried`` columns belong to the page.
     """
     in_order = W.partitionBy(page).orderBy(pos)
     islands = links.where(F.col("is_company") | F.col("is_phone")).withColumn(
@@ -49,6 +49,7 @@ def pair_with_preceding(links: DataFrame, page: str = "page_id", pos: str = "pos
         .agg(
             F.max(F.when(F.col("is_company"), F.struct(pos, "name", "url"))).alias("company"),
             F.min_by("phone", F.when(F.col("is_phone"), F.col(pos))).alias("phone_raw"),
+            *[F.max(c).alias(c) for c in carried or []],
         )
         .where(F.col("phone_raw").isNotNull())
         .select(
@@ -57,5 +58,6 @@ def pair_with_preceding(links: DataFrame, page: str = "page_id", pos: str = "pos
             F.col("company.name").alias("company_name"),
             F.col("company.url").alias("source_url"),
             "phone_raw",
+            *(carried or []),
         )
     )

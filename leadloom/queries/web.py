@@ -178,6 +178,10 @@ DECISION_SQL = """SELECT c_custkey AS k,
 
 
 # ---------------------------------------------------------------- listing layouts
+# After the last block: nothing here belongs to a listing.
+FOOTER = '<footer><a href="mailto:desk@directory.example">write</a><a href="https://ads.example/offer">ad</a></footer>'
+
+
 def listing_pages(spark, d, source: str, block: str, before: str = "", after: str = "") -> DataFrame:
     """Pages of twenty companies in a layout; ``block`` is SQL text over k, k8, k7."""
     rows = companies(spark, d).selectExpr(f"k div {PER_PAGE} AS page_id", "k", f"{block} AS block")
@@ -185,13 +189,13 @@ def listing_pages(spark, d, source: str, block: str, before: str = "", after: st
     body = F.array_join(F.transform("b", lambda x: x["block"]), "\n")
     return grouped.select(
         "page_id", F.lit(source).alias("source"),
-        F.concat(F.lit("<html><body><h1>Directory</h1>" + before), body, F.lit(after + "</body></html>")).alias("html"),
+        F.concat(F.lit("<html><body><h1>Directory</h1>" + before), body, F.lit(after + FOOTER + "</body></html>")).alias("html"),
         F.lit("Cairo").alias("city"), F.lit("Furniture").alias("category"),
     )
 
 
 CARD = (
-    "concat('<div class=\"company-card big\"><h3 class=\"company-name\"><a href=\"/c/', k, '\"> Firm ', k, ' &amp; Co</a></h3>', "
+    "concat('<div class=\"company-card big\"><h3 class=\"company-name\"><h3></h3><a href=\"/c/', k, '\"> Firm ', k, ' &amp; Co</a></h3>', "
     "CASE k % 3 WHEN 0 THEN concat('<a href=\"tel:010', k8, '\">ring</a>') WHEN 1 THEN concat('<span class=\"company-phone\">02 2', k7, '</span>') ELSE '' END, "
     "IF(k % 2 = 0, concat('<a class=\"company-website\" href=\"http://firm', k, '.example\">site</a>'), ''), "
     "'<p class=\"company-address\">Street ', k, '</p>', IF(k % 5 = 0, '<span class=\"company-category\">Textiles</span>', ''), '</div>')"
@@ -207,7 +211,7 @@ LINKS = (
     "IF(k % 3 <> 2, concat('<a href=\"tel: 010', k8, '\">p</a>'), ''), IF(k % 6 = 0, concat('<a href=\"tel:011', k8, '\">q</a>'), ''), '</div>')"
 )
 ONCLICK = (
-    "concat('<div class=\"listing-card\" onclick=\"window.location=''https://wsd.example/l/', k, '''\"><div class=\"listing-company-name\">Firm ', k, '</div>"
+    "concat('<div class=\"listing-card\" onclick=\"window.location=''https://wsd.example/l/', k, '''\"><div class=\"listing-company-name\"><div>Firm</div> ', k, '</div>"
     "<span class=\"listing-category-tag\">Freight</span><div class=\"listing-meta\"><div class=\"listing-item\">', "
     "CASE k % 3 WHEN 0 THEN concat('Port ', k, ', Zone, Egypt +3 more') WHEN 1 THEN 'Jordan' ELSE 'City, Sudan' END, '</div><div class=\"listing-item\">Air, Sea</div></div>"
     "<a href=\"mailto:ops', k, '@firm.example?x=1\">m</a><a href=\"https://wsdconnect.com/l/', k, '\">own</a><a href=\"https://www.facebook.com/f\">f</a>"

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 
 from leadloom import rules
 from leadloom.functions import text as tx
+from leadloom.session import cut
 
 Extractor = Callable[[DataFrame], DataFrame]
 _EXTRACTORS: dict[str, Extractor] = {}
@@ -62,6 +63,36 @@ def extractors() -> dict[str, Extractor]:
     return dict(_EXTRACTORS)
 
 
+def known_sources(keys: list[str] | None = None) -> list[str]:
+    """The named sources that have an extractor (all of them by default); others are skipped with a warning."""
+    for key in keys or []:
+        if key not in _EXTRACTORS:
+            warnings.warn(f"unknown source {key!r} skipped", stacklevel=3)
+    return [k for k in (keys if keys is not None else _EXTRACTORS) if k in _EXTRACTORS]
+
+
+def extract_each(pages: DataFrame, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(listings of all named sources, ``source, error`` of those that failed).
+
+    Every source is read by a job of its own and written to the shared folder, so one that fails leaves the
+    others' listings whole; ``run_search`` takes both tables.
+    """
+    from leadloom.operators.qualify import RAW_FIELDS, conform
+
+    spark = pages.sparkSession
+    out, failed = None, []
+    for key in known_sources(keys):
+        try:
+            rows = cut(conform(_EXTRACTORS[key](pages.where(F.col("source") == key))))
+        except Exception as exc:
+            failed.append((key, f"{type(exc).__name__}: {exc}"[:500]))
+            continue
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    if out is None:
+        out = conform(spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in RAW_FIELDS.items())))
+    return out, spark.createDataFrame(failed, "source string, error string")
+
+
 def extract_all(pages: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Listings of all named sources, each extractor reading only its own source's pages.
 
@@ -71,10 +102,7 @@ def extract_all(pages: DataFrame, keys: list[str] | None = None) -> DataFrame:
     from leadloom.operators.qualify import conform
 
     out = None
-    for key in keys if keys is not None else list(_EXTRACTORS):
-        if key not in _EXTRACTORS:
-            warnings.warn(f"unknown source {key!r} skipped", stacklevel=2)
-            continue
+    for key in known_sources(keys):
         rows = conform(_EXTRACTORS[key](pages.where(F.col("source") == key)))
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     if out is None:

@@ -14,6 +14,7 @@ from leadloom import rules
 from leadloom.functions import html as h
 from leadloom.functions import text as tx
 from leadloom.functions import urls as u
+from leadloom.functions.text import let
 from leadloom.operators.firsts import keep_first, pair_with_preceding
 from leadloom.sources.catalogue import register_extractor
 
@@ -36,10 +37,37 @@ def fresh_pages(pages: DataFrame, as_of: Column, ttl_seconds: int = rules.PAGE_T
 
 
 # ------------------------------------------------------------------ reading inside a block
+def element(markup: Column) -> Column:
+    """The element that ``markup`` starts with, up to its own closing tag, which is left out.
+
+    Opening and closing tags of its kind are counted in order, so elements of the same kind inside it are
+    part of it and what follows it is not. An element that is never closed runs to the end.
+    """
+
+    def whole(text: Column) -> Column:
+        tag = F.lower(F.regexp_extract(text, r"^<(\w[\w\-]*)", 1))
+        marked = F.regexp_replace(text, F.concat(F.lit("(?i)(</?"), tag, F.lit(r"(?=[\s/>]))")), F.lit(h.GAP + "$1"))
+        return let(F.split(marked, h.GAP), closed)
+
+    def closed(pieces: Column) -> Column:
+        none = F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), F.lit(1 << 30).alias("end"))
+
+        def step(at: Column, piece: Column) -> Column:
+            turn = F.when(F.startswith(piece, F.lit("</")), -1).when(F.startswith(piece, F.lit("<")), 1).otherwise(0)
+            depth = at["depth"] + turn
+            ends = (turn == -1) & (depth == 0) & (at["end"] == 1 << 30)
+            return F.struct((at["i"] + 1).alias("i"), depth.alias("depth"), F.when(ends, at["i"]).otherwise(at["end"]).alias("end"))
+
+        end = F.aggregate(pieces, none, step, lambda at: at["end"])
+        return F.array_join(F.slice(pieces, F.lit(1), end), "")
+
+    return let(markup, whole)
+
+
 def blocks(html: Column, opening: str) -> Column:
-    """Pieces of a page from one match of ``opening`` to the next."""
+    """The elements of a page that start with a match of ``opening``, each to its own end or the next match."""
     marked = F.regexp_replace(F.regexp_replace(html, h.HIDDEN, ""), f"(?is)({opening})", h.GAP + "$1")
-    return F.slice(F.split(marked, h.GAP), 2, 1 << 30)
+    return F.transform(F.slice(F.split(marked, h.GAP), 2, 1 << 30), element)
 
 
 def with_class(tag: str, name: str) -> str:
@@ -49,10 +77,7 @@ def with_class(tag: str, name: str) -> str:
 
 def inner(block: Column, opening: str) -> Column:
     """Markup inside the first element that starts with ``opening``; '' when there is none."""
-    tag = opening.split(r"\b", 1)[0].lstrip("<")
-    closing = r"</\1\s*>" if tag.startswith("(") else rf"</{tag}\s*>"
-    group = 2 if tag.startswith("(") else 1
-    return F.regexp_extract(block, rf"(?is){opening}(.*?){closing}", group)
+    return F.regexp_replace(element(F.regexp_extract(block, rf"(?is)({opening}.*)$", 1)), r"^<[^>]*>", "")
 
 
 def field(block: Column, name: str, tag: str = r"(\w+)") -> Column:
@@ -164,10 +189,11 @@ def company_links(pages: DataFrame, base: str = "https://www.freightclub.net") -
 
 @register_extractor("freightclub")
 def link_then_phone(pages: DataFrame) -> DataFrame:
-    """Company links followed by a phone link; pages are named by ``page_id``."""
-    paired = pair_with_preceding(company_links(pages))
+    """Company links followed by a phone link; pages are named by ``page_id``. Category and country are the request's."""
+    asked = [c for c in ("category", "country") if c in pages.columns]
+    paired = pair_with_preceding(company_links(pages), carried=asked)
     return paired.select(
-        "page_id", F.col("pos").alias("item"), F.lit("freightclub").alias("source"), "company_name", "source_url", "phone_raw"
+        "page_id", F.col("pos").alias("item"), F.lit("freightclub").alias("source"), "company_name", "source_url", "phone_raw", *asked
     )
 
 
@@ -226,7 +252,7 @@ def directory_table(pages: DataFrame, base: str = "https://aecegy.com", hint: st
     link = F.col("_link")
     out = _listing(
         rows, "aece",
-        company_name=tx.null_if_empty(h.visible_text(F.regexp_extract("block", r"(?is)<td\b[^>]*>(.*?)</td\s*>", 1))),
+        company_name=tx.null_if_empty(h.visible_text(inner(F.col("block"), r"<td\b[^>]*>"))),
         href=link["href"],
         source_url=u.resolve(F.lit(base.rstrip("/") + "/"), link["href"]),
         category=F.lit("Garments"), country=F.lit("Egypt"),

@@ -87,3 +87,44 @@ def test_freshness(spark):
     df = spark.createDataFrame(rows, "url string, html string, t string").withColumn("fetched_at", F.col("t").cast("timestamp")).drop("t")
     got = pg.fresh_pages(df, F.lit("2024-01-02 06:00:00").cast("timestamp")).collect()
     assert [(r.url, r.html) for r in got] == [("u", "new")]
+
+
+def test_elements_end_where_they_end(values):
+    from leadloom.sources.pages import element
+
+    cases = {
+        "<div a><div>x</div>y</div>z": "<div a><div>x</div>y", "<p>a</p><p>b</p>": "<p>a", "<div>open <p>x</p>": "<div>open <p>x</p>",
+        "<td><table><tr><td>i</td></tr></table>t</td><td>n</td>": "<td><table><tr><td>i</td></tr></table>t", "<b>x</b>": "<b>x", "<DIV><div></DIV>k</div>r": "<DIV><div></DIV>k",
+        "<div><divider>q</divider></div>r": "<div><divider>q</divider>", "": "",
+    }
+    assert values(element, list(cases)) == list(cases.values())
+
+
+def test_last_card_ends_before_the_footer(spark):
+    from leadloom.sources import pages as pg
+
+    html = ("<div class='listing-card' onclick=\"window.location='https://w.example/1'\"><div class='listing-company-name'><div>A</div> Co</div></div>"
+            "<footer><a href='mailto:foot@x.example'>m</a><a href='https://ads.example'>ad</a></footer>")
+    got = pg.onclick_cards(spark.createDataFrame([(1, html)], "page_id long, html string")).collect()
+    assert [(r.company_name, r.email, r.website) for r in got] == [("A Co", None, None)]
+
+
+def test_one_failing_source_leaves_the_others(spark):
+    from leadloom.sources import catalogue as cat
+
+    pages = spark.createDataFrame([(1, "egydir", "<div class='company-card'><h3 class='company-name'>Firm</h3></div>"), (2, "broken", "x")], "page_id long, source string, html string")
+    cat._EXTRACTORS["broken"] = lambda rows: rows.select("source", F.raise_error(F.lit("layout changed")).alias("company_name"))
+    try:
+        rows, errors = cat.extract_each(pages, ["egydir", "broken"])
+    finally:
+        del cat._EXTRACTORS["broken"]
+    assert [r.company_name for r in rows.collect()] == ["Firm"]
+    assert [(r.source, "layout changed" in r.error) for r in errors.collect()] == [("broken", True)]
+
+
+def test_request_fields_reach_paired_links(spark):
+    from leadloom.sources import pages as pg
+
+    html = "<a href='/companies/firm-1/'>Firm</a><a href='tel:010'>c</a>"
+    row = pg.link_then_phone(spark.createDataFrame([(1, html, "Freight Forwarder", "Jordan")], "page_id long, html string, category string, country string")).first()
+    assert (row.company_name, row.category, row.country) == ("Firm", "Freight Forwarder", "Jordan")
