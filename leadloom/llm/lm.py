@@ -175,8 +175,8 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, size: int =
     """Score all ``docs``; the target are those whose key is in ``target_ids`` (one column)."""
     name = target_ids.columns[0]
     ids = target_ids.select(F.col(name).cast("long").alias("_id")).where(F.col("_id").isNotNull()).distinct().withColumn("_in", F.lit(True))
-    # keys are marked first, without texts; the marks are then read beside the texts
-    marked = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("text")).join(ids, F.col("_key") == F.col("_id"), "left")
+    # always a shuffle, never a broadcast of the ids: the target grows with the corpus
+    marked = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("text")).join(ids.hint("merge"), F.col("_key") == F.col("_id"), "left")
     texts = cut(marked.select("text", F.coalesce("_in", F.lit(False)).alias("target")))
     model = learn(texts, size)
     common.drop_cut(texts)

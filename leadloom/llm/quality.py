@@ -170,18 +170,29 @@ def learn(codes: np.ndarray, counts: np.ndarray, rules: list[Rule] = RULES, roun
     return found[:, -1], {"shares": shares, "bad_vote": rates, "kinds": kinds}
 
 
-def judge(counted: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """``counted`` with ``p_good``, ``base_failed`` and ``kept``. Reads its input twice: give a written table."""
-    coded = counted.withColumn("votes", votes_code(rules))
-    found = coded.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("votes")  # at most 3 ** len(rules) rows
+def posteriors(counted: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+    """``votes, p_good``: the posterior of every code of votes that occurs; at most ``3 ** len(rules)`` rows."""
+    found = counted.groupBy(votes_code(rules).alias("votes")).agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("votes")
     codes, counts = found["votes"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
     share, _ = learn(codes, counts, rules)
-    known = counted.sparkSession.createDataFrame([(int(c), float(s)) for c, s in zip(codes, share)], "votes int, p_good double")
+    return counted.sparkSession.createDataFrame([(int(c), float(s)) for c, s in zip(codes, share)], "votes int, p_good double")
+
+
+def judge(counted: DataFrame, known: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+    """``counted`` with ``p_good``, ``base_failed`` and ``kept``."""
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return (coded.join(F.broadcast(known), "votes", "left").withColumn("base_failed", base)
+    return (counted.withColumn("votes", votes_code(rules)).join(F.broadcast(known), "votes", "left").withColumn("base_failed", base)
             .withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5)))
 
 
 def quality(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Counts and verdict per row of ``docs``."""
-    return judge(common.cut(count_texts(docs, text, keep)))
+    """Counts and verdict per row of ``docs``, beside the columns ``keep``. The counts are written once."""
+    counted = common.cut(count_texts(docs, text, keep))
+    return judge(counted, posteriors(counted))
+
+
+def kept_rows(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept. Texts are read twice, to learn and to judge, rather than written beside their counts."""
+    known = posteriors(count_texts(docs, text, []))
+    columns = docs.columns
+    return judge(count_texts(docs, text, columns), known).where("kept").select(*columns)

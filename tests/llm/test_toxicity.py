@@ -35,7 +35,8 @@ def test_kernel_equals_all_subsequences():
 
 
 def clean_text(rng, n=40):
-    return " ".join("".join(rng.choice(["tha", "re", "on", "ing", "st", "er", "wh", "ou"]) for _ in range(rng.randint(1, 4))) for _ in range(n)) + "."
+    parts = ["tha", "re", "on", "ing", "st", "er", "wh", "ou", "ble", "ti", "ea"]
+    return " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) + "." * (i % 9 == 8) for i in range(n)) + "."
 
 
 def toxic_text(rng, word):
