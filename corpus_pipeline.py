@@ -46,7 +46,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, place = _renamed(docs)
-    return _named(quality.quality(rows, place["text"], list(place.values())).where("kept"), place)
+    return _named(quality.kept_rows(rows, place["text"]), place)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
