@@ -7,7 +7,7 @@ order drawn by hash, are laid end to end along that demand, pass after pass, and
 give every pass of a document its position in training. The mix is range-sorted by position.
 
 The words before a document come from two levels: sums per (source, hash bucket), a window over these
-``BUCKETS`` sums of each source, and a window inside each bucket. So the rows of a source are never in one
+sums of each source, and a window inside each bucket. So the rows of a source are never in one
 task, whatever its share of all rows.
 
 Defined results: a null text has size 0 and takes nothing; a null source is a source of its own, last in
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from leadloom.llm.common import cut
 
 MAX_PASSES = 3
-BUCKETS = 1 << 12
+BUCKET_DIGITS = 3  # hexadecimal digits of the draw: 4,096 buckets a source
 WORD = r"[^\x20\x09-\x0D]+"
 #: Density of demand at the knots (evenly spaced over training time) by weight: light sources come early, heavy ones late.
 KNOTS = {1.0: (1.5, 1.25, 1.0, 0.75, 0.5), 2.0: (1.0, 1.0, 1.0, 1.0, 1.0), 3.0: (0.75, 0.85, 1.0, 1.15, 1.25)}
@@ -101,10 +101,11 @@ def _knots(schedule: dict[float, tuple[float, ...]]) -> Column:
     return out
 
 
-def mix(docs: DataFrame, schedule: dict[float, tuple[float, ...]] | None = None, buckets: int = BUCKETS, max_passes: int = MAX_PASSES) -> DataFrame:
+def mix(docs: DataFrame, schedule: dict[float, tuple[float, ...]] | None = None, digits: int = BUCKET_DIGITS, max_passes: int = MAX_PASSES) -> DataFrame:
     """Per document ``doc_id, source, size, source_size, target, taken`` and ``passes``: (position, words) of each pass taken."""
-    slim = docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64("doc_id", "text").alias("draw"))
-    slim = cut(slim.withColumn("bucket", F.pmod(F.shiftrightunsigned("draw", 20), F.lit(buckets)).cast("int")))  # texts are read once
+    draw = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).cast("binary"))
+    slim = docs.select("doc_id", "source", word_count().alias("size"), draw.alias("draw"))
+    slim = cut(slim.withColumn("bucket", F.substring("draw", 1, digits)))  # texts are read once
     sums = slim.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     sizes = sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))
     plan = with_steps(targets(default_weights(sizes), max_passes=max_passes).withColumn("knots", _knots(schedule or KNOTS)))

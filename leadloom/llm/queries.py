@@ -74,13 +74,48 @@ GROUP BY d.id, i.id HAVING 100 * count(*) >= 80 * any_value(n)"""
 
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.by_first_position(mixing.mix(common.table(spark, sf_dir, "documents")))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "position")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
+
+
+def _listed(values: dict) -> str:
+    return "CASE weight " + " ".join(f"WHEN {int(w)} THEN {list(v)}" for w, v in values.items()) + " END"
+
+
+_STEPS = {w: [0.0, *(round(sum((a + b) / 2 for a, b in zip(k[:i], k[1:i + 1])), 9) for i in range(1, len(k)))] for w, k in mixing.KNOTS.items()}
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
+    md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS draw FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
+r AS (SELECT *, sum(source_size) OVER () AS total, 3.0 * source_size / weight AS ratio FROM s),
+f AS (SELECT *, coalesce(sum(3.0 * source_size) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
+    sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM r),
+l AS (SELECT arg_min((total - filled) / rest, filled) AS level FROM f WHERE (total - filled) / rest <= ratio),
+p AS (SELECT f.*, least(3.0 * source_size, weight * CAST(level AS DOUBLE)) AS target, {_listed(mixing.KNOTS)} AS k, {_listed(_STEPS)} AS st FROM f, l),
+o AS (SELECT d.*, p.source_size, target, k, st, CAST(round(target) AS BIGINT) AS goal,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+    FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+t AS (SELECT *, list_sum(list_transform([0, 1, 2, 3], lambda i: greatest(0, least(size, goal - start - i * source_size)))) AS taken, start * st[5] / goal AS want FROM o),
+a AS (SELECT *, least(len(list_filter(st, lambda x: x <= want)), 4) AS i FROM t),
+b AS (SELECT *, k[i] AS low, k[i + 1] - k[i] AS slope, greatest(want - st[i], 0) AS rest FROM a)
+SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken,
+    CASE WHEN taken > 0 THEN round((i - 1 + least(CASE WHEN low + sqrt(greatest(low * low + 2 * slope * rest, 0)) > 0 THEN 2 * rest / (low + sqrt(greatest(low * low + 2 * slope * rest, 0))) ELSE 0 END, 1)) / 4, 6) END AS position
+FROM b"""
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(common.table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
+OP9_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({FOLDED}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM w, UNNEST(range(1, greatest(len(w) - 1, least(len(w) + 1, 2)))) t(i)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id JOIN n p ON p.doc_id = a.doc_id JOIN n q ON q.doc_id = b.doc_id
+    GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 90 * (any_value(p.n) + any_value(q.n) - count(*))),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, pairs.y FROM reach JOIN pairs ON reach.r = pairs.x)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id"""
+
+
 def _as_records(rows: DataFrame) -> DataFrame:
     """Turn rows as JSON records of several layouts: prompts and instructions, replies and outputs, messages, shared turns."""
     text, role, turn = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit("")), F.coalesce("turn", F.lit(0))
@@ -128,7 +163,7 @@ QUERIES = {
     "op5_toxicity": (op5_toxicity, None),
     "op6_warc_index": (op6_warc_index, OP6_SQL),
     "op7_benchmark_leaks": (op7_benchmark_leaks, OP7_SQL),
-    "op8_curriculum_mix": (op8_curriculum_mix, None),
-    "op9_ngram_jaccard": (op9_ngram_jaccard, None),
+    "op8_curriculum_mix": (op8_curriculum_mix, OP8_SQL),
+    "op9_ngram_jaccard": (op9_ngram_jaccard, OP9_SQL),
     "op10_chat_format": (op10_chat_format, OP10_SQL),
 }
