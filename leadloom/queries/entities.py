@@ -10,7 +10,7 @@ from leadloom.operators import report as rp
 from leadloom.operators import resolve as rs
 from leadloom.operators.qualify import qualify
 from leadloom.queries import sqltext as s
-from leadloom.queries.base import AS_OF, FILTERS, norm_sql, rate_sql, raw_listings, rated_sql, reasons_plain
+from leadloom.queries.base import AS_OF, FILTERS, norm_sql, rate_sql, raw_listings, rated_sql, reasons_plain, table
 from leadloom.queries.leads import classified, normalized
 from leadloom.session import cut, shared_path
 from leadloom.sources.sinks import fold_into_table, read_leads
@@ -38,6 +38,19 @@ def entity_assignment(spark, d):
     return rs.assign(keys)
 
 
+def entity_hot_keys(spark, d):
+    """Fold of one record per customer where a third of all share a phone and half of all a domain."""
+    keys = table(spark, d, "customer").selectExpr(
+        "c_custkey AS pos", "CASE WHEN c_custkey % 3 = 0 THEN '+201000000000' END AS phone", "CASE WHEN c_custkey % 2 = 0 THEN 'hot.example' END AS domain",
+        "concat('company ', c_custkey) AS name", "cast(NULL AS string) AS city", "false AS seed",
+    )
+    return rs.assign(keys)
+
+
+HOT_SQL = """WITH c AS (SELECT c_custkey AS k FROM customer), first AS (SELECT min(k) FILTER (k % 3 = 0) AS p, min(k) FILTER (k % 2 = 0) AS h FROM c)
+    SELECT k AS pos, CASE WHEN k % 3 = 0 THEN p WHEN k % 2 = 0 THEN h ELSE k END AS lead FROM c, first"""
+
+
 def _lead_columns(leads: DataFrame) -> DataFrame:
     return leads.select(
         "sightings", "company_name", "company_name_norm", "phone_e164", "email", "website", "domain", "address", "city", "governorate", "country",
@@ -249,6 +262,7 @@ enr AS (SELECT pos, company_name, company_name_norm, source, source_url, domain,
 QUERIES = {
     "existing_matches": (existing_matches, MATCH_SQL),
     "entity_assignment": (entity_assignment, recursive(f"WITH {norm_sql()}, {fold_sql('norm')} SELECT pos, lead FROM assigned")),
+    "entity_hot_keys": (entity_hot_keys, HOT_SQL),
     "entity_leads": (entity_leads, leads_sql(True)),
     "incremental_leads": (incremental_leads, leads_sql(False)),
     "upsert_counts": (upsert_counts, recursive(f"""{rated_sql()}, part AS (SELECT * FROM rated WHERE outcome <> 'drop'), {fold_sql('part')}

@@ -214,3 +214,23 @@ def test_enrichment(spark):
     assert (shop.contact_name, shop.contact_role, shop.contact_email) == ("Sara Nabil", "Owner / CEO", "sara@shop.net")
     assert shop.store_platform == "Shopify" and shop.has_online_store and shop.target_markets == ["GCC", "Europe"] and shop.company_type == "Exporter"
     assert shop.tier == "Hot" and not got["Gone"].enriched and got["None"].phone_e164 == "+201012345679"
+
+
+def test_hot_keys_are_split(spark):
+    """A phone, a domain and a name that very many records share: adaptive execution splits their rows."""
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.files.maxPartitionBytes": "64k"}
+    before = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        for hot in ("phone_e164", "domain", "company_name_norm"):
+            rows = spark.range(40_000).repartition(8).selectExpr("id AS pos", *[
+                f"CASE WHEN id % 2 = 0 THEN 'hot' ELSE concat('k', id) END AS {c}" if c == hot else f"cast(NULL AS string) AS {c}" for c in ("phone_e164", "domain", "company_name_norm", "city")])
+            known = spark.range(3000).selectExpr("id AS lead_id", *[f"IF(id = 0, 'hot', concat('k', id)) AS {c}" if c == hot else f"cast(NULL AS string) AS {c}" for c in ("phone_e164", "domain", "company_name_norm", "city")])
+            found = rs.match_existing(rows, known)
+            assert len(found.collect()) == 40_000
+            assert "skew=true" in found._jdf.queryExecution().executedPlan().toString(), hot
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
