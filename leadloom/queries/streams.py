@@ -26,14 +26,21 @@ def streamed_pages(spark, d):
     return jobs.run_available(jobs.page_stream(pages)).select("url")
 
 
-def streamed_daily_yield(spark, d):
-    """Counters per source and finished day."""
-    events = _landed(spark, d, "events").selectExpr(
+def _outcomes(spark, d):
+    return _landed(spark, d, "events").selectExpr(
         "cast(ts AS timestamp) AS ts", "concat('src', user_id % 5) AS source",
         "CASE WHEN event_type IN ('signup', 'purchase', 'view') THEN 'keep' WHEN event_type = 'click' THEN 'drop' ELSE 'quarantine' END AS outcome",
     )
-    out = jobs.run_available(jobs.daily_yield_stream(events))
-    return out.withColumn("day", F.to_date("day"))
+
+
+def streamed_daily_yield(spark, d):
+    """Counters per source and finished day; the last days are still open and come with ``streamed_daily_progress``."""
+    return jobs.run_available(jobs.daily_yield_stream(_outcomes(spark, d))).withColumn("day", F.to_date("day"))
+
+
+def streamed_daily_progress(spark, d):
+    """Counters per source and day as they stand, open days included."""
+    return jobs.run_latest(jobs.daily_yield_stream(_outcomes(spark, d)), ["day", "source"]).withColumn("day", F.to_date("day"))
 
 
 def streamed_leads(spark, d):
@@ -57,6 +64,7 @@ def streamed_feed(spark, d):
 QUERIES = {
     "streamed_pages": (streamed_pages, "SELECT DISTINCT regexp_replace(url, '[?#].*$', '') AS url FROM pages"),
     "streamed_daily_yield": (streamed_daily_yield, f"WITH {EVENTS_SQL} SELECT day, source, {COUNTS_SQL} FROM ev WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL"),
+    "streamed_daily_progress": (streamed_daily_progress, f"WITH {EVENTS_SQL} SELECT day, source, {COUNTS_SQL} FROM ev GROUP BY ALL"),
     "streamed_leads": (streamed_leads, leads_sql(False)),
     "streamed_feed": (streamed_feed, f"""WITH {CRM_SQL} SELECT lead_id, company_name AS "Company", coalesce(phone_e164, '') AS "Phone" FROM crm WHERE NOT pushed_to_sheet"""),
 }

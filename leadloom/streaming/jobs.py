@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadloom import rules
+from leadloom.operators.firsts import top_per
 from leadloom.operators.qualify import qualify
 from leadloom.operators.report import outcome_counts
 from leadloom.operators.sync import append_new
@@ -63,6 +64,21 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def run_latest(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Process everything that has landed in update mode and return the latest row of each key, open windows included.
+
+    Batches are appended with their number; a batch that is repeated brings the same rows under the same number.
+    """
+    spark = stream.sparkSession
+    out, state = shared_path(spark, "latest"), shared_path(spark, "state")
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(out)
+
+    stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return top_per(spark.read.parquet(out), keys, [F.col("_batch").desc()], 1).drop("_batch")
+
+
 def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], state: str) -> None:
     """Drive a ``foreachBatch`` job to the end of what has landed."""
     stream.writeStream.foreachBatch(each).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
