@@ -9,6 +9,7 @@ different shingles meet in one number is below 1e-12.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -150,6 +151,16 @@ def crc_rest(key: str | Column, n: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary") if isinstance(key, str) else key.cast("string").cast("binary")) % n
 
 
+def let_go(spark: SparkSession) -> None:
+    """Collect garbage on the driver, so that Spark deletes the files of shuffles that nothing refers to any more.
+
+    It does so by itself once the driver happens to collect; a long job with several large shuffles would
+    hold the files of all of them until then. Drop the references first.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def send(spark: SparkSession, value):
     """Give a value of bounded size to all tasks once per executor."""
     return spark.sparkContext.broadcast(value)

@@ -120,10 +120,15 @@ def _name_sets(size: int):
     return run
 
 
-def _send_signatures(size: int, percent: int):
-    """(signature, node) rows. Sets of one task that share a signature send it once; the others name their leader instead."""
+def _send_signatures(size: int, percent: int, buckets: int):
+    """Signatures in packets: per flush and bucket one row of signatures, the place of each one's node, and the nodes.
 
-    def combined(keys: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
+    Sets of one flush that share a signature send it once; the others name their leader instead, by a
+    signature of its own. Packets keep 48 bits of a signature beside its bucket: should two meet in them,
+    their sets are searched in vain, no link is lost. A row a signature would be twice the bytes.
+    """
+
+    def packets(keys: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
         key, node = np.concatenate(keys), np.concatenate(nodes)
         order = np.lexsort((node, key))
         key, node = key[order], node[order]
@@ -134,7 +139,18 @@ def _send_signatures(size: int, percent: int):
         heads = np.unique(pairs[:, 0])
         with np.errstate(over="ignore"):
             named = [common.mix(common.mix(x.view(np.uint64)) + np.uint64(99)) for x in (np.ascontiguousarray(pairs[:, 0]), heads)]
-        return pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate([key[first], *named]))), pa.array(np.concatenate([node[first], pairs[:, 1], heads]))], ["signature", "node"])
+        key, node = np.concatenate([key[first], *named]), np.concatenate([node[first], pairs[:, 1], heads])
+        bucket = key % np.uint64(buckets)
+        order = np.lexsort((key, bucket))
+        key, node, bucket = key[order], node[order], bucket[order]
+        cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+        rows = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            names, place = np.unique(node[a:b], return_inverse=True)
+            high = (key[a:b] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
+            rows.append((int(bucket[a]), high.tobytes(), place.astype(np.uint32).tobytes(), names.tobytes()))
+        types = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["bucket", "signatures", "places", "nodes"])
 
     def run(batches):
         classes = Classes(percent)
@@ -149,32 +165,47 @@ def _send_signatures(size: int, percent: int):
                     nodes.append(np.full(len(got), node, np.int64))
                     held += len(got)
             if held >= FLUSH:
-                yield combined(keys, nodes)
+                yield packets(keys, nodes)
                 keys, nodes, held = [], [], 0
         if held:
-            yield combined(keys, nodes)
+            yield packets(keys, nodes)
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (signature, node) -> edges of each node with the first node of its signature, less those that close a ring."""
-    key, head, forest = None, None, Forest()
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        first = np.concatenate(([keys[0] != key if key is not None else True], keys[1:] != keys[:-1]))
-        runs = np.cumsum(first)
-        heads = np.concatenate(([0 if head is None else head], nodes[first]))
-        leader = heads[runs]
-        key, head = keys[-1], leader[-1]
-        apart = leader != nodes
+    """Packets sorted by bucket -> edges of each node with the first node of its signature, less those that close a ring.
+
+    One bucket is held at a time: a ``buckets``-th of the signatures.
+    """
+    forest = Forest()
+
+    def link(keys: list[np.ndarray], nodes: list[np.ndarray]) -> None:
+        key, node = np.concatenate(keys), np.concatenate(nodes)
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        first = np.concatenate(([True], key[1:] != key[:-1]))
+        leader = node[np.flatnonzero(first)][np.cumsum(first) - 1]
+        apart = leader != node
         if apart.any():
-            for a, b in np.unique(np.stack([nodes[apart], leader[apart]], axis=1), axis=0).tolist():
+            for a, b in np.unique(np.stack([node[apart], leader[apart]], axis=1), axis=0).tolist():
                 forest.join(a, b)
-        if len(forest.parent) >= PART:
-            yield forest.edges()
-            forest = Forest()
+
+    now, keys, nodes = None, [], []
+    for batch in batches:
+        for bucket, high, places, names in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if bucket != now and keys:
+                link(keys, nodes)
+                keys, nodes = [], []
+                if len(forest.parent) >= PART:
+                    yield forest.edges()
+                    forest = Forest()
+            now = bucket
+            wide = np.zeros((len(high) // 6, 8), np.uint8)
+            wide[:, :6] = np.frombuffer(high, np.uint8).reshape(-1, 6)
+            keys.append(wide.view(np.uint64)[:, 0])
+            nodes.append(np.frombuffer(names, np.int64)[np.frombuffer(places, np.uint32)])
+    if keys:
+        link(keys, nodes)
     if forest.parent:
         yield forest.edges()
 
@@ -296,45 +327,49 @@ def link_sets(nodes: list[int], sets: list[np.ndarray], indexed: list[bool], per
 
 
 def _search_blocks(percent: int):
-    """Rows sorted by (block, slice): (node, indexed, label, set) of one slice at a time -> links."""
+    """Rows sorted by (block, part): (node, indexed, keep, label, set) of one part at a time -> links, and the sets to keep."""
 
     def close(rows: list) -> pa.RecordBatch:
         links = []
-        unique = {}
-        for node, indexed, label, members in rows:
+        unique, kept = {}, {}
+        for node, indexed, keep, label, members in rows:
             if node not in unique or indexed:
                 unique[node] = (indexed, label, members)
+            if keep:
+                kept[node] = members
         if len(unique) > 1 and any(x[0] for x in unique.values()):
             nodes = sorted(unique)
             known = [unique[x][1] for x in nodes]
             links = link_sets(nodes, [np.frombuffer(unique[x][2], np.uint64) for x in nodes], [unique[x][0] for x in nodes], percent, known)
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+        blank = [None] * len(links)
+        return pa.RecordBatch.from_arrays([
+            pa.array([x[0] for x in links] + [None] * len(kept), pa.int64()), pa.array([x[1] for x in links] + [None] * len(kept), pa.int64()),
+            pa.array(blank + list(kept), pa.int64()), pa.array(blank + list(kept.values()), pa.binary())], ["a", "b", "node", "members"])
 
     def run(batches):
         now, rows = None, []
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(5)]
-            for block, part, node, indexed, (label, members) in zip(*columns[:4], zip(columns[4], batch.column(5).to_pylist())):
+            for block, part, *row in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 if (block, part) != now and rows:
                     yield close(rows)
                     rows = []
                 now = (block, part)
-                rows.append((node, indexed, label, members))
+                rows.append(row)
         if rows:
             yield close(rows)
     return run
 
 
 def _member_sets(size: int):
-    """(rid, text, node of the block member, block, its size) -> (node, block, its size, set), where the text is the member's."""
+    """(text, node, block, label, parts) -> (node, block, label, parts, set), where the text is the node's."""
 
     def run(batches):
         for batch in common.chunks(batches, "text"):
-            sets = common.shingle_sets(batch.column(1), size)
-            wanted = batch.column(2).to_pylist()
+            sets = common.shingle_sets(batch.column(0), size)
+            wanted = batch.column(1).to_pylist()
             own = [i for i, (members, node) in enumerate(zip(sets, wanted)) if len(members) and node_of(members) == node]
             take = pa.array(own, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(k).take(take) for k in (2, 3, 4)] + [pa.array([sets[i].tobytes() for i in own], pa.binary())], ["node", "block", "block_size", "members"])
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(take) for k in range(1, 5)] + [pa.array([sets[i].tobytes() for i in own], pa.binary())], ["node", "block", "label", "parts", "members"])
     return run
 
 
@@ -347,50 +382,75 @@ def _slices(n: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(n / SLICE)).cast("long")
 
 
-def _searched(rows: DataFrame, percent: int) -> DataFrame:
-    """Links (``a``, and ``b``, the smallest node it is linked with in its part) of ``block, part, node, indexed, label, members`` rows, searched part by part."""
-    dealt = rows.select("block", "part", "node", "indexed", "label", "members").repartition("block", "part").sortWithinPartitions("block", "part", "node")
-    return cut(dealt.mapInArrow(_search_blocks(percent), "a long, b long"))
+PARTS = "parts array<struct<part:long,indexed:boolean,keep:boolean>>"
+
+
+def _searched(sets: DataFrame, percent: int) -> DataFrame:
+    """Search the parts of blocks. ``sets`` (``node, block, label, parts, members``) says in which parts of its block a set
+    takes part, where it is indexed, and where it is kept.
+
+    Returns links (``a``, and ``b``, the smallest node it is linked with in its part) and kept sets (``node, members``).
+    """
+    dealt = sets.select("block", "node", "label", "members", F.explode("parts").alias("p")).select("block", "p.part", "node", "p.indexed", "p.keep", "label", "members")
+    dealt = dealt.repartition("block", "part").sortWithinPartitions("block", "part", "node")
+    return cut(dealt.mapInArrow(_search_blocks(percent), "a long, b long, node long, members binary"))
+
+
+def _links(searched: DataFrame) -> DataFrame:
+    return searched.where(F.col("a").isNotNull()).select("a", "b")
+
+
+def _parts(numbers: Column, part, indexed: bool | Column, keep) -> Column:
+    flag = indexed if isinstance(indexed, Column) else F.lit(indexed)
+    return F.transform(numbers, lambda i: F.struct(part(i).cast("long").alias("part"), flag.alias("indexed"), keep(i).alias("keep")))
 
 
 def similar_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """``rid, doc_id, tid, node, n_shingles, component`` of every row of ``docs`` (``rid, text, doc_id, tid``): equal sets
     are one node, ``component`` the smallest node reachable by links; both null for rows without shingles."""
     named = cut(docs.mapInArrow(_name_sets(size), "rid long, doc_id long, tid long, node long, n_shingles long"))
-    sent = docs.mapInArrow(_send_signatures(size, percent), "signature long, node long")
-    shared = sent.repartition("signature").sortWithinPartitions("signature", "node").mapInArrow(_shared, "a long, b long")
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = docs.mapInArrow(_send_signatures(size, percent, buckets), "bucket long, signatures binary, places binary, nodes binary")
+    shared = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "a long, b long")
     blocks = cut(components(shared).withColumnRenamed("component", "block"))
+    del sent, shared
+    common.let_go(docs.sparkSession)  # the signatures, before the texts are shuffled
     sizes = cut(blocks.groupBy("block").agg(F.count(F.lit(1)).alias("block_size")))
     heads = named.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("rid").alias("rid"))
-    members = cut(heads.join(blocks, "node").join(sizes, "block"))
-    # always a shuffle of the texts, never a broadcast of the members: their number grows with the corpus
-    sets = docs.select("rid", "text").join(members.hint("merge"), "rid").select("rid", "text", "node", "block", "block_size")
-    sets = cut(sets.mapInArrow(_member_sets(size), "node long, block long, block_size long, members binary"))
     n = _slices(F.col("block_size"))
-    placed = sets.withColumn("slices", n).withColumn("slice", F.pmod(F.xxhash64("node"), n)).withColumn("label", F.col("node"))
-    asking = placed.select("block", F.col("slice").alias("part"), "node", (F.col("slices") == 1).alias("indexed"), "label", "members")
-    first = placed.where((F.col("slices") > 1) & (F.col("slice") == 0)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    found = _searched(asking.union(first.select("block", "part", "node", F.lit(True).alias("indexed"), "label", "members")), percent)
-    large = placed.where(F.col("slices") > 1)
+    members = heads.join(blocks, "node").join(sizes, "block").withColumn("slices", n).withColumn("slice", F.pmod(F.xxhash64("node"), n))
+    members = cut(members.select("rid", "node", "block", "slices", "slice"))
+    many = F.col("slices") > 1
+    own = _parts(F.array("slice"), lambda i: i, ~many, lambda i: many)
+    first = _parts(F.sequence(F.lit(0), F.col("slices") - 1), lambda i: i, True, lambda i: i == 0)
+    asked = members.select("rid", "node", "block", F.col("node").alias("label"), F.when(many & (F.col("slice") == 0), first).otherwise(own).alias("parts"))
+    # the texts are always shuffled to the members of blocks, which grow with the corpus, never the other way round;
+    # sets are made from them there, and only those of large blocks are kept for a second search
+    sets = docs.select("rid", "text").join(asked.hint("merge"), "rid").select("text", "node", "block", "label", "parts")
+    searched = _searched(sets.mapInArrow(_member_sets(size), f"node long, block long, label long, {PARTS}, members binary"), percent)
+    del sets
+    common.let_go(docs.sparkSession)  # the texts and sets
+    found = _links(searched)
+    large = members.where(many)
     if not large.isEmpty():
-        found = components(found.union(_second_search(large, found, percent)))
-        found = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        again = _second_search(large.drop("rid"), searched.where(F.col("node").isNotNull()).select("node", "members"), found, percent)
+        found = components(found.union(_links(again))).select(F.col("node").alias("a"), F.col("component").alias("b"))
     out = named.join(found.withColumnRenamed("a", "node"), "node", "left").withColumn("component", F.coalesce("b", "node"))
     return out.select("rid", "doc_id", "tid", "node", "n_shingles", "component")
 
 
-def _second_search(large: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+def _second_search(large: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """Search the sets outside the largest component of their block against the whole block."""
-    known = cut(large.drop("label").join(components(links), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"))
+    known = cut(large.join(components(links), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"))
     groups = known.groupBy("block", "label").agg(F.count(F.lit(1)).alias("n"))
     main = groups.groupBy("block").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("outside"))
     rest = known.join(cut(main.where(F.col("outside") > 0)), "block")
     rest = rest.withColumn("turns", _slices(F.col("outside"))).withColumn("turn", F.pmod(F.xxhash64("node", F.lit(1)), F.col("turns")))
-    every = F.sequence(F.lit(0), F.col("turns") - 1)
-    asking = rest.withColumn("t", F.explode(every)).withColumn("s", F.col("slice")).withColumn("indexed", F.lit(False))
-    asked = rest.where(F.col("label") != F.col("main")).withColumn("t", F.col("turn")).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).withColumn("indexed", F.lit(True))
-    rows = asking.unionByName(asked).withColumn("part", F.col("t") * F.col("slices") + F.col("s"))
-    return _searched(rows, percent)
+    no = lambda i: F.lit(False)
+    asking = _parts(F.sequence(F.lit(0), F.col("turns") - 1), lambda t: t * F.col("slices") + F.col("slice"), False, no)
+    asked = _parts(F.sequence(F.lit(0), F.col("slices") - 1), lambda i: F.col("turn") * F.col("slices") + i, True, no)
+    parts = F.when(F.col("label") != F.col("main"), F.concat(asking, asked)).otherwise(asking)
+    return _searched(rest.select("node", "block", "label", parts.alias("parts")).join(sets, "node"), percent)
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:

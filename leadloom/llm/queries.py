@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from leadloom.llm import chat, common, decontam, jaccard, langid, licenses, lm, mixing, quality, toxicity, warc
 
+FOLDED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality(common.table(spark, sf_dir, "documents"))
@@ -27,7 +29,8 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = common.table(spark, sf_dir, "labels").where(F.col("quality") == 1).select("doc_id")
-    return lm.cross_entropy_difference(common.table(spark, sf_dir, "documents"), good)
+    scored = lm.cross_entropy_difference(common.table(spark, sf_dir, "documents"), good)
+    return scored.select("doc_id", "n_words", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
 
 
 def toxic_scores(spark: SparkSession, docs: DataFrame, sf_dir: str, keep: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -55,12 +58,27 @@ SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN page_id < top THEN 'r
 FROM p LEFT JOIN last ON p.payload_digest = last.payload_digest AND payload_bytes >= 1000"""
 
 
+OP4_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array({FOLDED}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS target FROM documents),
+words AS (SELECT rid, target, i, w[i] AS word FROM d, UNNEST(range(1, len(w) + 1)) t(i)),
+vocab AS (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) + 1 AS id FROM words WHERE target GROUP BY word QUALIFY id <= {lm.VOCABULARY + 1}),
+tok AS (SELECT rid, target, i, coalesce(id, 1) AS b FROM words LEFT JOIN vocab USING (word)),
+pairs AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY i), 0) AS a FROM tok),
+pc AS (SELECT a, b, CAST(count(*) FILTER (target) AS DOUBLE) AS t, CAST(count(*) AS DOUBLE) AS g FROM pairs GROUP BY a, b),
+sc AS (SELECT b, sum(t) AS t, sum(g) AS g FROM pc GROUP BY b), bc AS (SELECT a, sum(t) AS t, sum(g) AS g FROM pc GROUP BY a),
+tot AS (SELECT sum(t) AS t, sum(g) AS g, {lm.STRENGTH} AS s, 1.0 / ((SELECT count(*) FROM vocab) + 1) AS even FROM pc),
+loss AS (SELECT pc.a, pc.b, -log2((pc.t + s * (sc.t + s * even) / (tot.t + s)) / (bc.t + s)) AS t, -log2((pc.g + s * (sc.g + s * even) / (tot.g + s)) / (bc.g + s)) AS g
+    FROM pc JOIN sc ON sc.b = pc.b JOIN bc ON bc.a = pc.a, tot),
+sums AS (SELECT rid, count(*) AS n, sum(t) AS t, sum(g) AS g FROM pairs JOIN loss USING (a, b) GROUP BY rid)
+SELECT doc_id, coalesce(n, 0) AS n_words, round(t / n, 6) AS target_loss, round(g / n, 6) AS background_loss, round(t / n - g / n, 6) AS score FROM d LEFT JOIN sums USING (rid)"""
+
+
 def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_common", "n_item", "containment")
 
 
-FOLDED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 PLAIN = rf"list_filter(regexp_split_to_array({FOLDED}, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 OP7_SQL = f"""
 WITH parts AS (SELECT 'd' AS kind, doc_id AS id, {PLAIN} AS w FROM documents
@@ -159,7 +177,7 @@ QUERIES = {
     "op1_quality_rules": (op1_quality_rules, None),
     "op2_language_id": (op2_language_id, None),
     "op3_license_scan": (op3_license_scan, None),
-    "op4_cross_entropy": (op4_cross_entropy, None),
+    "op4_cross_entropy": (op4_cross_entropy, OP4_SQL),
     "op5_toxicity": (op5_toxicity, None),
     "op6_warc_index": (op6_warc_index, OP6_SQL),
     "op7_benchmark_leaks": (op7_benchmark_leaks, OP7_SQL),
