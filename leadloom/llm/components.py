@@ -80,7 +80,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     A round contracts the edges in parts of about ``PART``, then links neighbours by a large and a small star,
     until the edges are stars: rounds grow with the logarithm of the longest path. Edges that fit in one part
-    are stars after one contraction. A node without an edge to another is left out.
+    are stars after one contraction. A node without an edge to another is left out. Parts may name an edge
+    each, so equal rows are removed at the end: each node is one row at every size.
     """
     now = cut(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
@@ -94,4 +95,5 @@ def components(edges: DataFrame) -> DataFrame:
         after = _star(wide, large=False)
         drop_cut(now, wide)
         now = after
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    ends = now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")))
+    return ends.distinct()

@@ -113,3 +113,14 @@ def test_components_of_paths_and_stars(spark, part, monkeypatch):
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, 300: 300, 301: 300}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("first", [0, 30])
+def test_components_name_each_node_once(spark, first, monkeypatch):
+    from leadloom.llm import components as module
+
+    monkeypatch.setattr(module, "PART", 12)
+    triangle = [(first + 2, first + 1), (first + 3, first + 1), (first + 3, first + 2)]
+    edges = triangle + [(100 + i, 100) for i in range(1, 18)]
+    found = sorted(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert found == [(first + i, first + 1) for i in (1, 2, 3)] + [(100 + i, 100) for i in range(18)]
