@@ -339,10 +339,10 @@ WORLD_LENGTHS: dict[str, tuple[int, int]] = {
     "52": (10, 10), "53": (6, 8), "54": (10, 11), "55": (10, 11), "56": (9, 9), "57": (8, 10), "58": (10, 10), "60": (8, 10), "61": (9, 9), "62": (8, 12),
     "63": (8, 10), "64": (8, 10), "65": (8, 8), "66": (8, 9), "81": (9, 10), "82": (8, 10), "84": (9, 10), "86": (10, 11), "90": (10, 10), "91": (10, 10),
     "92": (9, 10), "93": (9, 9), "94": (9, 9), "95": (7, 10), "98": (10, 10), "211": (9, 9), "212": (9, 9), "213": (8, 9), "216": (8, 8), "220": (7, 7),
-    "221": (9, 9), "222": (8, 8), "223": (8, 8), "224": (8, 9), "225": (10, 10), "226": (8, 8), "227": (8, 8), "228": (8, 8), "229": (8, 10), "230": (7, 8),
+    "221": (9, 9), "222": (8, 8), "223": (8, 8), "224": (8, 9), "225": (10, 10), "226": (8, 8), "227": (8, 8), "228": (8, 8), "229": (8, 8), "230": (7, 8),
     "231": (7, 9), "232": (8, 8), "233": (9, 9), "234": (8, 10), "235": (8, 8), "236": (8, 8), "237": (9, 9), "238": (7, 7), "239": (7, 7), "240": (9, 9),
     "241": (7, 8), "242": (9, 9), "243": (9, 9), "244": (9, 9), "245": (7, 9), "248": (7, 7), "250": (9, 9), "251": (9, 9), "252": (7, 9), "253": (8, 8),
-    "254": (9, 9), "255": (9, 9), "256": (9, 9), "257": (8, 8), "258": (8, 9), "260": (9, 9), "261": (9, 10), "262": (9, 9), "263": (8, 10), "264": (8, 9),
+    "254": (9, 9), "255": (9, 9), "256": (9, 9), "257": (8, 8), "258": (8, 9), "260": (9, 9), "261": (9, 10), "262": (9, 9), "263": (5, 10), "264": (8, 9),
     "265": (7, 9), "266": (8, 8), "267": (7, 8), "268": (8, 8), "269": (7, 7), "291": (7, 7), "297": (7, 7), "298": (6, 6), "299": (6, 6), "350": (8, 8),
     "351": (9, 9), "352": (6, 9), "353": (7, 9), "354": (7, 7), "355": (8, 9), "356": (8, 8), "357": (8, 8), "358": (6, 11), "359": (7, 9), "370": (8, 8),
     "371": (8, 8), "372": (7, 8), "373": (8, 8), "374": (8, 8), "375": (9, 9), "376": (6, 6), "377": (8, 9), "378": (6, 10), "380": (9, 9), "381": (8, 9),
@@ -352,9 +352,12 @@ WORLD_LENGTHS: dict[str, tuple[int, int]] = {
     "676": (5, 7), "677": (5, 7), "679": (7, 7), "685": (5, 7), "687": (6, 6), "689": (6, 8), "852": (8, 8), "853": (8, 8), "855": (8, 9), "856": (8, 10),
     "880": (8, 10), "886": (8, 9), "960": (7, 7), "961": (7, 8), "963": (8, 9), "964": (8, 10), "967": (7, 9), "968": (8, 8), "970": (8, 9), "972": (8, 9),
     "973": (8, 8), "975": (7, 8), "976": (8, 8), "977": (8, 10), "992": (9, 9), "993": (8, 8), "994": (9, 9), "995": (9, 9), "996": (9, 9), "998": (9, 9),
+    "246": (7, 7), "247": (5, 6), "290": (4, 5), "500": (5, 5), "508": (6, 9), "672": (6, 6), "674": (7, 7), "678": (5, 7), "680": (7, 7), "681": (6, 9),
+    "682": (5, 5), "683": (4, 7), "686": (5, 8), "688": (5, 7), "690": (4, 7), "691": (7, 7), "692": (7, 7), "850": (8, 10),
+    "22901": (8, 8),  # the ten digits of today, beside the eight of before
 }
 # Codes whose national numbers keep a leading zero.
-KEEP_ZERO = ("39", "378")
+KEEP_ZERO = ("39", "378", "225", "229", "22901", "242")
 DEFAULT_REGION = "EG"
 DEFAULT_COUNTRY = "Egypt"
 

@@ -21,6 +21,35 @@ def test_phone(values):
     assert values(e164, list(cases)) == list(cases.values())
 
 
+def test_phone_of_every_calling_code(values):
+    numbers = """
+    +12015550123 +78123456789 +27101234567 +302123456789 +31101234567 +3212345678 +33123456789 +34810123456 +3611234567 +390212345678 +40211234567
+    +41212345678 +431234567890 +441212345678 +4532123456 +468123456 +4721234567 +48123456789 +4930123456 +5111234567 +522001234567 +5371234567
+    +541123456789 +551123456789 +56221234567 +576012345678 +582121234567 +60323856789 +61212345678 +622112345678 +63212345678 +6432345678 +6561234567
+    +6621234567 +81312345678 +8222123456 +842101234567 +861012345678 +902123456789 +917410410123 +922123456789 +93234567890 +94112345678 +951234567
+    +982123456789 +211181234567 +212520123456 +21312345678 +21630010123 +2205661234 +221301012345 +22235123456 +22320212345 +22430241234 +2250123456789
+    +22620491234 +22720201234 +22822212345 +2290195123456 +22997123456 +2302012345 +23121234567 +23222221234 +233302345678 +23412345678 +23522501234
+    +23621612345 +237222123456 +2382211234 +2392221234 +240333091234 +2416123456 +242222123456 +242061234567 +243123456789 +244222123456 +2454432012
+    +2463709100 +24762889 +2484217123 +250250123456 +251111112345 +2525522010 +25321360003 +254202012345 +255222345678 +256312345678 +25722201234
+    +25821123456 +260211234567 +261202123456 +262262161234 +2631312345 +26461221234 +2651234567 +26622123456 +2672401234 +26822171234 +2697712345
+    +29022158 +2918370362 +2975212345 +298201234 +299321000 +35020012345 +351212345678 +35227123456 +35322123456 +3544101234 +35522345678 +35621001234
+    +35722345678 +358131234567 +35921234567 +37052123456 +37163123456 +3723212345 +37322212345 +37410123456 +375152450911 +376712345 +37799123456
+    +3780549886377 +380311234567 +381101234567 +38230234567 +38328012345 +38512345678 +38612345678 +38730212345 +38922012345 +420212345678 +421221234567
+    +4232345678 +50031234 +5012221234 +50222456789 +50321234567 +50422123456 +50521234567 +50622123456 +5072001234 +508430123 +50922453300 +590590201234
+    +59122123456 +5922191234 +59322123456 +594594101234 +595212345678 +596596301234 +597211234 +59821231234 +5997151234 +67021121234 +672106609
+    +6732345678 +6744441234 +6753123456 +67620123 +67740123 +67822123 +6793212345 +6802771234 +681499712 +68221234 +6834002 +68522123 +68631234 +687201234
+    +68820123 +68940412345 +6903010 +6913201234 +6922471234 +85021123456 +85221234567 +85328212345 +85523756789 +85621212862 +88027111234 +886221234567
+    +9606701234 +9611123456 +96315213456 +96412345678 +9671234567 +96823123456 +97022234567 +97221234567 +97317001234 +9752345678 +97653123456
+    +97714567890 +992372123456 +99312345678 +994123123456 +995322123456 +996312123456 +998612345678 +201001234567 +966512345678 +971501234567 +96522345678
+    +97444123456 +96262001234 +218912345678 +249912345678
+    """.split()
+    codes = {code for code, _, _ in rules.NUMBERING.values()} | set(rules.WORLD_LENGTHS)
+    assert not [c for c in codes if not any(n.startswith("+" + c) for n in numbers)]
+    assert dict(zip(numbers, values(e164, numbers))) == {n: n for n in numbers}
+    cases = {"00225 07 12 34 56 78": "+2250712345678", "+229 01 97 12 34 56": "+2290197123456", "+242 06 123 4567": "+242061234567", "+229 197123456": None, "+225 712345678": None}
+    assert values(e164, list(cases)) == list(cases.values())
+
+
 def test_domain(values):
     cases = {
         "https://www.Example.com/path?x=1": "example.com", "HTTP://Sub.Site.CO/": "sub.site.co", "example.com": "example.com",
