@@ -71,3 +71,12 @@ def test_no_target_and_empty(spark, texts):
     assert lm.cross_entropy_difference(documents(spark, texts).where("false"), none).count() == 0
     rows = spark.createDataFrame([(1, "a b", 3, 4)], "doc_id long, text string, target int, score int")
     assert lm.cross_entropy_difference(rows, rows.select("doc_id")).first().n_words == 2
+
+
+def test_every_word_of_the_target_counts(spark):
+    rows = [(i, " ".join(f"common{j % 7} w{i * 50 + j}" for j in range(50))) for i in range(60)]
+    rows += [(100, "common1 w2998"), (101, "common1 w2999 w1"), (102, "common1 nowhere")]
+    found = sorted(map(tuple, lm.cross_entropy_difference(documents(spark, rows), spark.createDataFrame([(i,) for i in range(60)], "doc_id long")).collect()))
+    for got, want in zip(found, sorted(plain(rows, set(range(60)), 10**9)), strict=True):
+        assert got[:2] == want[:2] and all(abs(a - b) < 1e-9 for a, b in zip(got[2:], want[2:]))
+    assert found[-3][4] != found[-1][4]  # of 3007 words in the target, the last is no unknown word
