@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import chat, common, decontam, jaccard, langid, licenses, lm, mixing, quality, toxicity, warc
+from leadloom.llm import chat, common, decontam, jaccard, langid, licenses, lm, mixing, quality, toxicity, warc, whitening
 
 FOLDED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -173,6 +173,11 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id"""
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(common.table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, None),
     "op2_language_id": (op2_language_id, None),
@@ -184,4 +189,5 @@ QUERIES = {
     "op8_curriculum_mix": (op8_curriculum_mix, OP8_SQL),
     "op9_ngram_jaccard": (op9_ngram_jaccard, OP9_SQL),
     "op10_chat_format": (op10_chat_format, OP10_SQL),
+    "op13_embedding_whitening": (op13_embedding_whitening, None),
 }
