@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import chat, common, decontam, jaccard, langid, licenses, lm, mixing, quality, toxicity, warc, whitening
+from leadloom.llm import chat, common, decontam, jaccard, langid, licenses, lm, mixing, quality, search, toxicity, warc, whitening
 
 FOLDED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -173,6 +173,24 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id"""
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {PLAIN} AS w FROM documents),
+g AS (SELECT CAST(count(*) FILTER (len(w) > 0) AS BIGINT) AS docs, CAST(sum(len(w)) AS BIGINT) AS words FROM d),
+q AS (SELECT item, item_id, unnest(list_distinct(w)) AS term FROM (SELECT row_number() OVER () AS item, item_id, {PLAIN} AS w FROM benchmark)),
+p AS (SELECT rid, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf FROM (SELECT rid, doc_id, len(w) AS n, unnest(w) AS term FROM d)
+    WHERE term IN (SELECT term FROM q) GROUP BY rid, term),
+t AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight FROM p, g GROUP BY term),
+s AS (SELECT item, any_value(item_id) AS item_id, rid, any_value(doc_id) AS doc_id,
+    CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // words))))) AS BIGINT) AS score
+    FROM q JOIN p USING (term) JOIN t USING (term), g GROUP BY item, rid),
+r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= {search.TOP}"""
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whiten(common.table(spark, sf_dir, "embeddings"))
     return found.withColumn("deviation", F.expr("try_cast(deviation as long)"))
@@ -189,5 +207,6 @@ QUERIES = {
     "op8_curriculum_mix": (op8_curriculum_mix, OP8_SQL),
     "op9_ngram_jaccard": (op9_ngram_jaccard, OP9_SQL),
     "op10_chat_format": (op10_chat_format, OP10_SQL),
+    "op12_ranked_search": (op12_ranked_search, OP12_SQL),
     "op13_embedding_whitening": (op13_embedding_whitening, None),
 }
