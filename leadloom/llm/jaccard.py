@@ -1,26 +1,20 @@
 """Exact n-gram Jaccard self-join: links between texts whose shingle sets are similar, and their components.
 
 1. Every text becomes the set of its shingles. Equal sets are one node, so copies cost nothing further.
-2. *Blocks.* Two sets of similarity ``t`` differ in at most ``k = (1 - t) / (1 + t) * (|x| + |y|)`` shingles.
+2. *Signatures.* Two sets of similarity ``t`` differ in at most ``k = (1 - t) / (1 + t) * (|x| + |y|)`` shingles.
    Cut the range of shingle numbers into ``k + 1`` parts: in one part at least the two sets are the same.
-   So a set sends out one signature per part, for its own size class and for the class below, and sets
-   with a signature in common share a block. That loses no link, and unlike single shingles a signature
-   is hardly ever shared by texts that only have a passage in common. (A part empty on both sides is no
-   signature; see ``signatures``.)
+   So a set sends out one signature per part, for its own size class and for the class below, and similar sets
+   have a signature in common. That loses no link. (A part empty on both sides is no signature; see
+   ``signatures``.) A signature covers few shingles, so texts with a passage in common often share one too: sets
+   only form a block if their odd sketches are near as well, which loses no link either (see ``blocks``).
 3. *T-occurrence search in each block* (DivideSkip): a query set must occur on ``T`` of the inverted lists
    of its shingles. The longest lists are set aside, the short ones merged with a heap that skips ahead,
    and what is left is looked up by binary search in the long ones until ``T`` is reached or out of reach.
-4. A large block is cut into slices of about ``SLICE`` sets. Its first slice is searched against all
-   others; what that leaves outside the block's largest component is searched against all, too. Every
-   pair of sets is then either searched or known to be in one component, and no task holds more than
-   two slices.
-
-Nodes are 64-bit numbers of whole sets, shingles 64-bit numbers of word runs (see ``common``).
 
 Defined results: a null or empty text has no shingles, links with nothing and is its own component; a text
-of fewer words than a shingle is one shingle. Repeated rows have equal sets, so they are one component. The
-component is named by the smallest ``doc_id`` in it, null only if all its ids are null. Other columns of
-the input are ignored, whatever their names. An empty table gives an empty result.
+of fewer words than a shingle is one shingle. Repeated rows have equal sets, so they are one component. Very long
+texts are read whole. The component is named by the smallest ``doc_id`` in it, null only if all its ids are null.
+Other columns of the input are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,34 +22,20 @@ from __future__ import annotations
 import heapq
 import math
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm import common
-from leadloom.llm.common import cut, drop_cut, signed
-from leadloom.llm.components import PART, Forest, components
+from leadloom.llm import blocks, common
+from leadloom.llm.blocks import Groups, required
+from leadloom.llm.common import cut, drop_cut
 
-SLICE = 512
 SHORT_TIMES = 2  # occurrences that the short lists must hold
-FLUSH = 1 << 20  # signatures that are combined before they leave a task
-
-
-def node_of(members: np.ndarray) -> int:
-    """64-bit number of a set of shingles."""
-    with np.errstate(over="ignore"):
-        return int(common.mix(common.mix(members).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(members))).view(np.int64)[0])
 
 
 # ------------------------------------------------------------------ sizes
-def required(a: int, b: int, percent: int) -> int:
-    """Least common shingles of sets of ``a`` and ``b`` with ``100 * common >= percent * union``."""
-    return -(-percent * (a + b) // (100 + percent))
-
-
 class Classes:
     """Size classes: a set of a class is similar to sets of its own class and the two beside it only."""
 
@@ -110,106 +90,6 @@ def signatures(members: np.ndarray, classes: Classes) -> list[np.ndarray]:
     return out
 
 
-# ------------------------------------------------------------------ passes over the texts
-def _name_sets(size: int):
-    def run(batches):
-        for batch in common.chunks(batches, "text"):
-            sets = common.shingle_sets(batch.column(1), size)
-            found = [pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *found], ["rid", "doc_id", "tid", "node", "n_shingles"])
-    return run
-
-
-def _send_signatures(size: int, percent: int, buckets: int):
-    """Signatures in packets: per flush and bucket one row of signatures, the place of each one's node, and the nodes.
-
-    Sets of one flush that share a signature send it once; the others name their leader instead, by a
-    signature of its own. Packets keep 48 bits of a signature beside its bucket: should two meet in them,
-    their sets are searched in vain, no link is lost. A row a signature would be twice the bytes.
-    """
-
-    def packets(keys: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
-        key, node = np.concatenate(keys), np.concatenate(nodes)
-        order = np.lexsort((node, key))
-        key, node = key[order], node[order]
-        first = np.concatenate(([True], key[1:] != key[:-1]))
-        leader = node[np.flatnonzero(first)][np.cumsum(first) - 1]
-        follow = node != leader
-        pairs = np.unique(np.stack([leader[follow], node[follow]], axis=1), axis=0)
-        heads = np.unique(pairs[:, 0])
-        with np.errstate(over="ignore"):
-            named = [common.mix(common.mix(x.view(np.uint64)) + np.uint64(99)) for x in (np.ascontiguousarray(pairs[:, 0]), heads)]
-        key, node = np.concatenate([key[first], *named]), np.concatenate([node[first], pairs[:, 1], heads])
-        bucket = key % np.uint64(buckets)
-        order = np.lexsort((key, bucket))
-        key, node, bucket = key[order], node[order], bucket[order]
-        cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-        rows = []
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            names, place = np.unique(node[a:b], return_inverse=True)
-            high = (key[a:b] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
-            rows.append((int(bucket[a]), high.tobytes(), place.astype(np.uint32).tobytes(), names.tobytes()))
-        types = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["bucket", "signatures", "places", "nodes"])
-
-    def run(batches):
-        classes = Classes(percent)
-        keys, nodes, held = [], [], 0
-        for batch in common.chunks(batches, "text"):
-            for members in common.shingle_sets(batch.column(1), size):
-                if not len(members):
-                    continue
-                node = node_of(members)
-                for got in signatures(members, classes):
-                    keys.append(got)
-                    nodes.append(np.full(len(got), node, np.int64))
-                    held += len(got)
-            if held >= FLUSH:
-                yield packets(keys, nodes)
-                keys, nodes, held = [], [], 0
-        if held:
-            yield packets(keys, nodes)
-    return run
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packets sorted by bucket -> edges of each node with the first node of its signature, less those that close a ring.
-
-    One bucket is held at a time: a ``buckets``-th of the signatures.
-    """
-    forest = Forest()
-
-    def link(keys: list[np.ndarray], nodes: list[np.ndarray]) -> None:
-        key, node = np.concatenate(keys), np.concatenate(nodes)
-        order = np.lexsort((node, key))
-        key, node = key[order], node[order]
-        first = np.concatenate(([True], key[1:] != key[:-1]))
-        leader = node[np.flatnonzero(first)][np.cumsum(first) - 1]
-        apart = leader != node
-        if apart.any():
-            for a, b in np.unique(np.stack([node[apart], leader[apart]], axis=1), axis=0).tolist():
-                forest.join(a, b)
-
-    now, keys, nodes = None, [], []
-    for batch in batches:
-        for bucket, high, places, names in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            if bucket != now and keys:
-                link(keys, nodes)
-                keys, nodes = [], []
-                if len(forest.parent) >= PART:
-                    yield forest.edges()
-                    forest = Forest()
-            now = bucket
-            wide = np.zeros((len(high) // 6, 8), np.uint8)
-            wide[:, :6] = np.frombuffer(high, np.uint8).reshape(-1, 6)
-            keys.append(wide.view(np.uint64)[:, 0])
-            nodes.append(np.frombuffer(names, np.int64)[np.frombuffer(places, np.uint32)])
-    if keys:
-        link(keys, nodes)
-    if forest.parent:
-        yield forest.edges()
-
-
 # ------------------------------------------------------------------ search in a block
 class Index:
     """Inverted lists over a few sets, searched by T-occurrence."""
@@ -287,24 +167,6 @@ class Index:
         return found
 
 
-class Groups:
-    """Which sets are known to be linked, directly or through others."""
-
-    def __init__(self, n: int):
-        self.parent = list(range(n))
-
-    def top(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.top(i), self.top(j)
-        self.parent[max(i, j)] = min(i, j)
-        return i != j
-
-
 def link_sets(nodes: list[int], sets: list[np.ndarray], indexed: list[bool], percent: int, labels: list[int] | None = None) -> list[tuple[int, int]]:
     """Each set linked with an indexed one, directly or through others, and the smallest node it is joined with.
 
@@ -326,153 +188,34 @@ def link_sets(nodes: list[int], sets: list[np.ndarray], indexed: list[bool], per
     return [(node, nodes[top]) for i, node in enumerate(nodes) if (top := groups.top(i)) != i]  # nodes are in order: the top is the least
 
 
-def _search_blocks(percent: int):
-    """Rows sorted by (block, part): (node, indexed, keep, label, set) of one part at a time -> links, and the sets to keep."""
-
-    def close(rows: list) -> pa.RecordBatch:
-        links = []
-        unique, kept = {}, {}
-        for node, indexed, keep, label, members in rows:
-            if node not in unique or indexed:
-                unique[node] = (indexed, label, members)
-            if keep:
-                kept[node] = members
-        if len(unique) > 1 and any(x[0] for x in unique.values()):
-            nodes = sorted(unique)
-            known = [unique[x][1] for x in nodes]
-            links = link_sets(nodes, [np.frombuffer(unique[x][2], np.uint64) for x in nodes], [unique[x][0] for x in nodes], percent, known)
-        blank = [None] * len(links)
-        return pa.RecordBatch.from_arrays([
-            pa.array([x[0] for x in links] + [None] * len(kept), pa.int64()), pa.array([x[1] for x in links] + [None] * len(kept), pa.int64()),
-            pa.array(blank + list(kept), pa.int64()), pa.array(blank + list(kept.values()), pa.binary())], ["a", "b", "node", "members"])
-
-    def run(batches):
-        now, rows = None, []
-        for batch in batches:
-            for block, part, *row in zip(*(batch.column(i).to_pylist() for i in range(7))):
-                if (block, part) != now and rows:
-                    yield close(rows)
-                    rows = []
-                now = (block, part)
-                rows.append(row)
-        if rows:
-            yield close(rows)
-    return run
-
-
-def _member_sets(size: int):
-    """(text, node, block, label, parts) -> (node, block, label, parts, set), where the text is the node's."""
-
-    def run(batches):
-        for batch in common.chunks(batches, "text"):
-            sets = common.shingle_sets(batch.column(0), size)
-            wanted = batch.column(1).to_pylist()
-            own = [i for i, (members, node) in enumerate(zip(sets, wanted)) if len(members) and node_of(members) == node]
-            take = pa.array(own, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(k).take(take) for k in range(1, 5)] + [pa.array([sets[i].tobytes() for i in own], pa.binary())], ["node", "block", "label", "parts", "members"])
-    return run
-
-
 # ------------------------------------------------------------------ the join
-def row_id(key: str = "doc_id", text: str = "text") -> Column:
-    return F.coalesce(F.col(key).cast("long"), F.xxhash64(text))
-
-
-def _slices(n: Column) -> Column:
-    return F.greatest(F.lit(1), F.ceil(n / SLICE)).cast("long")
-
-
-PARTS = "parts array<struct<part:long,indexed:boolean,keep:boolean>>"
-
-
-def _searched(sets: DataFrame, percent: int) -> DataFrame:
-    """Search the parts of blocks. ``sets`` (``node, block, label, parts, members``) says in which parts of its block a set
-    takes part, where it is indexed, and where it is kept.
-
-    Returns links (``a``, and ``b``, the smallest node it is linked with in its part) and kept sets (``node, members``).
-    """
-    dealt = sets.select("block", "node", "label", "members", F.explode("parts").alias("p")).select("block", "p.part", "node", "p.indexed", "p.keep", "label", "members")
-    dealt = dealt.repartition("block", "part").sortWithinPartitions("block", "part", "node")
-    return cut(dealt.mapInArrow(_search_blocks(percent), "a long, b long, node long, members binary"))
-
-
-def _links(searched: DataFrame) -> DataFrame:
-    return searched.where(F.col("a").isNotNull()).select("a", "b")
-
-
-def _parts(numbers: Column, part, indexed: bool | Column, keep) -> Column:
-    flag = indexed if isinstance(indexed, Column) else F.lit(indexed)
-    return F.transform(numbers, lambda i: F.struct(part(i).cast("long").alias("part"), flag.alias("indexed"), keep(i).alias("keep")))
+def _signer(percent: int) -> Callable[[], blocks.Signer]:
+    def start() -> blocks.Signer:
+        classes = Classes(percent)
+        return lambda members: signatures(members, classes)
+    return start
 
 
 def similar_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """``rid, doc_id, tid, node, n_shingles, component`` of every row of ``docs`` (``rid, text, doc_id, tid``): equal sets
-    are one node, ``component`` the smallest node reachable by links; both null for rows without shingles."""
-    named = cut(docs.mapInArrow(_name_sets(size), "rid long, doc_id long, tid long, node long, n_shingles long"))
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = docs.mapInArrow(_send_signatures(size, percent, buckets), "bucket long, signatures binary, places binary, nodes binary")
-    shared = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "a long, b long")
-    blocks = cut(components(shared).withColumnRenamed("component", "block"))
-    del sent, shared
-    common.let_go(docs.sparkSession)  # the signatures, before the texts are shuffled
-    sizes = cut(blocks.groupBy("block").agg(F.count(F.lit(1)).alias("block_size")))
-    heads = named.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("rid").alias("rid"))
-    n = _slices(F.col("block_size"))
-    members = heads.join(blocks, "node").join(sizes, "block").withColumn("slices", n).withColumn("slice", F.pmod(F.xxhash64("node"), n))
-    members = cut(members.select("rid", "node", "block", "slices", "slice"))
-    many = F.col("slices") > 1
-    own = _parts(F.array("slice"), lambda i: i, ~many, lambda i: many)
-    first = _parts(F.sequence(F.lit(0), F.col("slices") - 1), lambda i: i, True, lambda i: i == 0)
-    asked = members.select("rid", "node", "block", F.col("node").alias("label"), F.when(many & (F.col("slice") == 0), first).otherwise(own).alias("parts"))
-    # the texts are always shuffled to the members of blocks, which grow with the corpus, never the other way round;
-    # sets are made from them there, and only those of large blocks are kept for a second search
-    sets = docs.select("rid", "text").join(asked.hint("merge"), "rid").select("text", "node", "block", "label", "parts")
-    searched = _searched(sets.mapInArrow(_member_sets(size), f"node long, block long, label long, {PARTS}, members binary"), percent)
-    del sets
-    common.let_go(docs.sparkSession)  # the texts and sets
-    found = _links(searched)
-    large = members.where(many)
-    if not large.isEmpty():
-        again = _second_search(large.drop("rid"), searched.where(F.col("node").isNotNull()).select("node", "members"), found, percent)
-        found = components(found.union(_links(again))).select(F.col("node").alias("a"), F.col("component").alias("b"))
-    out = named.join(found.withColumnRenamed("a", "node"), "node", "left").withColumn("component", F.coalesce("b", "node"))
-    return out.select("rid", "doc_id", "tid", "node", "n_shingles", "component")
-
-
-def _second_search(large: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Search the sets outside the largest component of their block against the whole block."""
-    known = cut(large.join(components(links), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"))
-    groups = known.groupBy("block", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = groups.groupBy("block").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("outside"))
-    rest = known.join(cut(main.where(F.col("outside") > 0)), "block")
-    rest = rest.withColumn("turns", _slices(F.col("outside"))).withColumn("turn", F.pmod(F.xxhash64("node", F.lit(1)), F.col("turns")))
-    no = lambda i: F.lit(False)
-    asking = _parts(F.sequence(F.lit(0), F.col("turns") - 1), lambda t: t * F.col("slices") + F.col("slice"), False, no)
-    asked = _parts(F.sequence(F.lit(0), F.col("slices") - 1), lambda i: F.col("turn") * F.col("slices") + i, True, no)
-    parts = F.when(F.col("label") != F.col("main"), F.concat(asking, asked)).otherwise(asking)
-    return _searched(rest.select("node", "block", "label", parts.alias("parts")).join(sets, "node"), percent)
-
-
-def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(row_id(key, text).alias("rid"), F.col(text).alias("text"), F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("tid"))
+    """``rid, doc_id, tid, node, n_shingles, component`` of every row of ``docs`` (see ``blocks.similar_sets``)."""
+    return blocks.similar_sets(docs, size, percent, _signer(percent), link_sets)
 
 
 def join(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row: documents linked at ``percent`` similarity of their
     sets of ``size``-word shingles, and the smallest id of their component."""
-    found = cut(similar_sets(_rows(docs, key, text), size, percent).select("doc_id", "n_shingles", "component"))
-    named = cut(found.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("component_id")))
-    out = found.join(named, "component", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return blocks.named_components(similar_sets(blocks.rows_of(docs, key, text), size, percent))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with one document of each component: that with the smallest id, once. Texts without
-    words are linked with nothing and all stay."""
-    found = similar_sets(_rows(docs, key, text), size, percent).where(F.col("component").isNotNull())
+    words are linked with nothing and all stay. Columns may have any names."""
+    every = similar_sets(blocks.rows_of(docs, key, text), size, percent)
+    found = every.where(F.col("component").isNotNull())
     best = F.min(F.struct(F.col("doc_id").isNull().alias("blank"), "rid", "tid")).alias("best")
-    kept = cut(found.groupBy("component").agg(best).select(F.col("best.rid").alias("_rid"), F.col("best.tid").alias("_tid")))
-    rows = docs.withColumn("_rid", row_id(key, text)).withColumn("_tid", F.xxhash64(text))
-    blank = ~F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    one = rows.where(~blank).join(kept.hint("merge"), ["_rid", "_tid"], "left_semi").dropDuplicates(["_rid", "_tid"])
-    return one.unionByName(rows.where(blank)).drop("_rid", "_tid")
+    kept = cut(found.groupBy("component").agg(best).select(F.col("best.rid").alias("r"), F.col("best.tid").alias("t")))
+    drop_cut(every)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), blocks.row_id(key, text).alias("r"), F.xxhash64(text).alias("t"),
+                       (~F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).alias("blank"))
+    one = rows.where(~F.col("blank")).join(kept.hint("merge"), ["r", "t"], "left_semi").dropDuplicates(["r", "t"])
+    return one.select("row").union(rows.where("blank").select("row")).select("row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import chat, common, decontam, jaccard, langid, licenses, lm, mixing, quality, search, toxicity, warc, whitening
+from leadloom.llm import chat, common, decontam, jaccard, langid, licenses, lm, minmax, mixing, quality, search, toxicity, warc, whitening
 
 FOLDED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -124,16 +124,28 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(common.table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
-OP9_SQL = rf"""
+def _linked_sql(percent: int) -> str:
+    """Set sizes and components of documents linked by three-word shingles, by comparing all pairs with one in common."""
+    return rf"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({FOLDED}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM w, UNNEST(range(1, greatest(len(w) - 1, least(len(w) + 1, 2)))) t(i)),
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
 pairs AS (SELECT a.doc_id AS x, b.doc_id AS y FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id JOIN n p ON p.doc_id = a.doc_id JOIN n q ON q.doc_id = b.doc_id
-    GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 90 * (any_value(p.n) + any_value(q.n) - count(*))),
+    GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= {percent} * (any_value(p.n) + any_value(q.n) - count(*))),
 reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, pairs.y FROM reach JOIN pairs ON reach.r = pairs.x)
 SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id"""
 
 
+OP9_SQL = _linked_sql(90)
+
+
+def op11_minmax_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.near_duplicates(common.table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
+OP11_SQL = f"SELECT *, doc_id = component_id AS kept FROM ({_linked_sql(85)})"
+
+
 def _as_records(rows: DataFrame) -> DataFrame:
     """Turn rows as JSON records of several layouts: prompts and instructions, replies and outputs, messages, shared turns."""
     text, role, turn = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit("")), F.coalesce("turn", F.lit(0))
@@ -207,6 +219,7 @@ QUERIES = {
     "op8_curriculum_mix": (op8_curriculum_mix, OP8_SQL),
     "op9_ngram_jaccard": (op9_ngram_jaccard, OP9_SQL),
     "op10_chat_format": (op10_chat_format, OP10_SQL),
+    "op11_minmax_duplicates": (op11_minmax_duplicates, OP11_SQL),
     "op12_ranked_search": (op12_ranked_search, OP12_SQL),
     "op13_embedding_whitening": (op13_embedding_whitening, None),
 }

@@ -4,7 +4,7 @@ import pytest
 from helpers import DOCS, documents, linked_groups, shingle_set
 from pyspark.sql import functions as F
 
-from leadloom.llm import common, jaccard
+from leadloom.llm import blocks, common, jaccard
 from leadloom.llm.components import components
 
 
@@ -46,7 +46,9 @@ def test_large_blocks_are_searched_in_slices(spark, texts, monkeypatch):
     rng = random.Random(8)
     base = text(rng, 60)
     rows = texts + [(8000 + k, edited(rng, base, rng.randint(0, 3))) for k in range(150)]
-    monkeypatch.setattr(jaccard, "SLICE", 8)
+    monkeypatch.setattr(blocks, "SLICE", 8)
+    monkeypatch.setattr(blocks, "CROWD", 5)
+    monkeypatch.setattr(blocks, "FLUSH", 3000)
     found = {r.doc_id: r.component_id for r in jaccard.join(documents(spark, rows), 3, 90).collect()}
     assert found == linked_groups(rows, 3, 90)[0]
 
@@ -84,6 +86,38 @@ def test_search_equals_counting():
             assert index.search(a) == want
 
 
+def test_sketches_differ_no_more_than_sets():
+    import numpy as np
+
+    rng = random.Random(3)
+    for _ in range(300):
+        base = {rng.getrandbits(64) for _ in range(rng.choice([1, 2, 5, 32, 33, 100, 700]))}
+        other = {x for x in base if rng.random() > 0.1} | {rng.getrandbits(64) for _ in range(rng.randint(1, 60))}
+        a, b = (np.array(sorted(x), np.uint64) for x in (base, other))
+        words = min(len(blocks.sketch(a)), len(blocks.sketch(b)))
+        x, y = (blocks.folded(blocks.sketch(s)[None, :], words)[0] for s in (a, b))
+        assert np.bitwise_count(x ^ y).sum() <= len(base ^ other)
+        assert len(blocks.sketch(a)) == 1 or blocks.folded(blocks.sketch(a)[None, :], 1)[0, 0] == np.bitwise_xor.reduce(blocks.sketch(a))
+
+
+def test_near_links_join_all_near_pairs():
+    import numpy as np
+
+    rng = random.Random(4)
+    sets = [{rng.getrandbits(64) for _ in range(60)} for _ in range(4)]
+    sets = [s if k < 4 else {x for x in rng.choice(sets) if rng.random() > 0.1} for k, s in enumerate(sets + [None] * 60)]
+    sizes = np.array([len(s) for s in sets])
+    sketches = np.array([blocks.folded(blocks.sketch(np.array(sorted(s), np.uint64))[None, :], 1)[0] for s in sets])
+    top = {i: i for i in range(len(sets))}
+    for a, b in blocks.near_links(np.arange(len(sets)), sizes, sketches, 80):
+        low, high = sorted((top[a], top[b]))
+        top = {k: low if v == high else v for k, v in top.items()}
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            if 100 * len(a & b) >= 80 * len(a | b):
+                assert top[i] == top[j]
+
+
 def test_similar_sets_share_a_signature():
     import numpy as np
 
