@@ -10,6 +10,8 @@ from leadloom.functions import html as h
 from leadloom.functions import intel
 from leadloom.functions import text as tx
 from leadloom.functions.urls import subpages
+from leadloom.session import cut
+from leadloom.sources.pages import PLACE, located, newest_places
 
 NO_TEXTS = "array<string>"
 
@@ -19,16 +21,24 @@ def site_pages(sites: DataFrame, pages: DataFrame, budget: int = rules.SITE_PAGE
 
     ``sites(site)`` joins ``pages(url, html)`` on the address twice; a site without a landed
     home page gives no rows. At most ``budget`` pages per site, as the crawl allows. Of several landings of
-    an address the newest is read (by ``fetched_at`` where the pages carry it).
+    an address the newest is read (by ``fetched_at`` where the pages carry it, else the last in the files).
+
+    Which landing is read is decided on addresses, times and places in the files; markup is fetched by place, so
+    that of unwanted and older landings is never shuffled.
     """
-    order = ["fetched_at", "html"] if "fetched_at" in pages.columns else ["html"]
-    pages = pages.groupBy("url").agg(F.max_by("html", F.struct(*order)).alias("html"))
-    homes = sites.select("site").distinct().join(pages.select(F.col("url").alias("site"), "html"), "site")
-    homes = tx.settle(homes, {"_links": h.anchors("html")})
-    wanted = homes.select(
-        "site", F.posexplode(subpages(F.col("_links"), F.col("site"), budget - 1)).alias("page_no", "url")
-    )
-    subs = wanted.join(pages.select("url", "html"), "url").select("site", (F.col("page_no") + 1).alias("page_no"), "html")
+    places = located(pages)
+    order = ["fetched_at"] if "fetched_at" in pages.columns else []
+
+    def newest(wanted: DataFrame) -> DataFrame:
+        return newest_places(places.join(wanted.select("url").distinct(), "url", "left_semi"), order)
+
+    def markup(chosen: DataFrame) -> DataFrame:
+        return places.select(*PLACE, "html").join(chosen, PLACE)
+
+    homes = markup(newest(sites.select(F.col("site").alias("url"))).withColumnRenamed("url", "site")).select("site", "html")
+    homes = cut(homes.withColumn("subpages", subpages(h.anchors("html"), F.col("site"), budget - 1)))  # read twice below
+    wanted = homes.select("site", F.posexplode("subpages").alias("page_no", "url"))
+    subs = markup(newest(wanted).join(wanted, "url")).select("site", (F.col("page_no") + 1).alias("page_no"), "html")
     return homes.select("site", F.lit(0).alias("page_no"), "html").unionByName(subs)
 
 

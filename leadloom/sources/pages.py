@@ -7,6 +7,7 @@ widening; nothing is shuffled until a caller asks for first-per-key.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from leadloom.functions import text as tx
 from leadloom.functions import urls as u
 from leadloom.functions.text import let
 from leadloom.operators.firsts import keep_first, pair_with_preceding
+from leadloom.session import cut
 from leadloom.sources.catalogue import register_extractor
 
 NULL_TEXT = "string"
@@ -25,15 +27,40 @@ def scan_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+PLACE = ["file", "row"]
+
+
+def located(pages: DataFrame) -> DataFrame:
+    """``pages`` with the ``file`` and ``row`` each was read from. What does not come straight from files is written first."""
+    try:
+        pages.select("_metadata.row_index")
+    except AnalysisException:
+        pages = cut(pages)
+    return pages.withColumns({"file": F.col("_metadata.file_path"), "row": F.col("_metadata.row_index")})
+
+
+def fetch(pages: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Whole rows of ``pages`` (as files, see ``located``) by ``file`` and ``row`` in ``chosen``, which has each place once."""
+    return located(pages).join(chosen.select(*PLACE), PLACE, "left_semi").drop(*PLACE)
+
+
+def newest_places(pages: DataFrame, order: list[str]) -> DataFrame:
+    """``url, file, row`` of the newest landing of each address, from ``located`` pages: only keys and times are shuffled."""
+    newest = pages.select("url", *order, *PLACE).groupBy("url").agg(F.max_by(F.struct(*PLACE), F.struct(*order, *PLACE)).alias("at"))
+    return newest.select("url", "at.*")
+
+
 def fresh_pages(pages: DataFrame, as_of: Column, ttl_seconds: int = rules.PAGE_TTL_SECONDS) -> DataFrame:
     """Newest landing of each address, as long as it is younger than the time to live.
 
-    The age filter runs before the shuffle; only fresh landings compete for "newest".
+    The age filter runs before the shuffle, and the newest is chosen by address, time and place in its file (with
+    equal times by the other short columns); markup is only fetched for what is chosen.
     """
-    young = pages.where(F.col("fetched_at") > as_of - F.make_dt_interval(secs=F.lit(ttl_seconds)))
-    rest = [c for c in pages.columns if c not in ("url", "fetched_at")]
-    newest = young.groupBy("url").agg(F.max(F.struct("fetched_at", *rest)).alias("n"))
-    return newest.select("url", "n.*")
+    places = located(pages)
+    young = places.where(F.col("fetched_at") > as_of - F.make_dt_interval(secs=F.lit(ttl_seconds)))
+    ties = [c for c in pages.columns if c not in ("url", "fetched_at", "html")]
+    chosen = newest_places(young, ["fetched_at", *ties])
+    return places.join(chosen.select(*PLACE), PLACE, "left_semi").select("url", *[c for c in pages.columns if c not in ("url", "fetched_at")])
 
 
 # ------------------------------------------------------------------ reading inside a block

@@ -189,3 +189,33 @@ def test_changes_need_an_order(spark):
     changes = spark.createDataFrame([(1, "x"), (1, "y")], "lead_id long, notes string")
     with pytest.raises(Exception, match="several changes"):
         crm.apply_changes(leads, changes, F.lit(None).cast("timestamp_ntz")).collect()
+
+
+def test_pages_land_again_after_their_time_to_live(spark, tmp_path):
+    from leadloom.streaming import jobs
+
+    def landing(folder, rows):
+        df = spark.createDataFrame([(u, t, f"{u} {t}") for u, t in rows], "url string, t string, html string").withColumn("fetched_at", F.col("t").cast("timestamp")).drop("t")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / folder))
+        return df.schema
+
+    def kept(folder):
+        return sorted((r.url, r.html.split(" ", 1)[1]) for r in spark.read.parquet(str(tmp_path / f"{folder}-out")).collect())
+
+    def ingest(folder, schema, files):
+        jobs.ingest_pages(spark, str(tmp_path / folder), schema, str(tmp_path / f"{folder}-out"), str(tmp_path / f"{folder}-state"), files_per_batch=files)
+
+    days = [[("u", "2024-01-01 00:00:00"), ("v", "2024-01-01 10:00:00"), ("u", "2024-01-01 23:59:59"), ("v", "2024-01-02 10:00:00")],
+            [("u", "2024-01-05 00:00:00"), ("v", "2024-01-02 11:00:00"), ("u", "2024-01-05 00:00:00")], [("u", "2024-01-09 00:00:00"), ("u", "2024-01-04 12:00:00")]]
+    want = [("u", "2024-01-01 00:00:00"), ("u", "2024-01-05 00:00:00"), ("u", "2024-01-09 00:00:00"), ("v", "2024-01-01 10:00:00"), ("v", "2024-01-02 10:00:00")]
+    for day in days:  # three runs
+        schema = landing("runs", day)
+        ingest("runs", schema, 1000)
+    assert kept("runs") == want
+    for day in days:  # one run, a batch a file
+        landing("files", day)
+    ingest("files", schema, 1)
+    assert kept("files") == want
+    landing("one", [row for day in days for row in day if row[1] != "2024-01-04 12:00:00"])  # one file
+    ingest("one", schema, 1000)
+    assert kept("one") == want

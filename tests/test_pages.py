@@ -1,5 +1,7 @@
 """Reading HTML: contacts, links, entities, layouts, freshness."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from leadloom.functions import html as h
@@ -89,6 +91,31 @@ def test_freshness(spark):
     assert [(r.url, r.html) for r in got] == [("u", "new")]
 
 
+def shuffled_columns(df):
+    """Columns that any shuffle of the plan carries."""
+    plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    parts = [p for p in plan.split("\n\n") if re.match(r"\(\d+\) Exchange\b", p.strip())]
+    return {c for p in parts for c in re.findall(r"(\w+)#", re.search(r"Input[^:]*: \[(.*)\]", p).group(1))}
+
+
+def test_markup_is_fetched_for_the_newest_landings_only(spark, tmp_path):
+    from leadloom.operators.enrich import site_pages
+
+    home = "<a href='/contact'>c</a>"
+    rows = [(u, f"{html}{k}", k) for u, html in (("https://a.eg", home), ("https://a.eg/contact", "<p>tel</p>"), ("https://b.eg", "x")) for k in range(3)]
+    pages = spark.createDataFrame(rows, "url string, html string, k int").withColumn("fetched_at", F.timestamp_add("HOUR", "k", F.lit("2024-01-01").cast("timestamp"))).drop("k")
+    pages.repartition(3).write.parquet(f"{tmp_path}/pages")
+    landed = spark.read.parquet(f"{tmp_path}/pages")
+    fresh = pg.fresh_pages(landed, F.lit("2024-01-01 12:00:00").cast("timestamp"))
+    assert sorted((r.url, r.html) for r in fresh.collect()) == [("https://a.eg", home + "2"), ("https://a.eg/contact", "<p>tel</p>2"), ("https://b.eg", "x2")]
+    assert "url" in shuffled_columns(fresh) and "html" not in shuffled_columns(fresh)
+    sites = spark.createDataFrame([("https://a.eg",), ("https://c.eg",)], "site string")
+    read = site_pages(sites, landed)
+    assert sorted(map(tuple, read.collect())) == [("https://a.eg", 0, home + "2"), ("https://a.eg", 1, "<p>tel</p>2")]
+    assert "html" not in shuffled_columns(read)
+    assert sorted(map(tuple, site_pages(sites, pages.drop("fetched_at").where("html like '%2'")).collect())) == sorted(map(tuple, read.collect()))
+
+
 def test_elements_end_where_they_end(values):
     from leadloom.sources.pages import element
 
