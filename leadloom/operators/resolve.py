@@ -325,20 +325,6 @@ def upsert(sightings: DataFrame, existing: DataFrame | None = None, **options) -
     return fold_batch(sightings, existing, **options)[0]
 
 
-def touched_by(batch: DataFrame, existing: DataFrame) -> DataFrame:
-    """Ids of the stored leads that a batch may change: those with a phone, domain or name that a sighting has.
-
-    A sighting only ever looks at leads that hold one of its own keys, so all others stay as they are.
-    """
-    asked = cut(key_columns(batch).select("phone", "domain", "name"))
-    known = key_columns(existing.withColumnRenamed("lead_id", "pos"))
-    hits = None
-    for key in ("phone", "domain", "name"):
-        part = known.join(asked.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_semi").select(F.col("pos").alias("lead_id"))
-        hits = part if hits is None else hits.unionByName(part)
-    return hits.distinct()
-
-
 def fold_batch(
     sightings: DataFrame, existing: DataFrame | None = None, run_id: int | None = None, now: Column | None = None,
     top: int | None = None, **policy,
@@ -349,7 +335,7 @@ def fold_batch(
     dropped ones do not take part. A stored lead takes part as the first sighting of itself. New
     ids follow the highest stored id in order of arrival (unique and ordered, not gapless, so no
     global numbering pass is needed); ``top`` names it where ``existing`` is a part of the stored leads
-    (see ``touched_by``). The second table holds ``pos``, ``lead_id`` and ``created``.
+    (see ``sources.lead_table``). The second table holds ``pos``, ``lead_id`` and ``created``.
     """
     batch = sightings.where(F.col("outcome") != "drop")
     if top is None:

@@ -16,7 +16,8 @@ from leadloom.operators.qualify import RAW_FIELDS, conform, qualify
 from leadloom.operators.sync import append_new, flag_new, known_keys
 from leadloom.plans.matrix import daily_requests
 from leadloom.session import cut
-from leadloom.sources.sinks import append_run, fold_into_table, read_if_written, read_leads, write_leads
+from leadloom.sources.lead_table import fold_into_table, leads_by_id, read_leads, replace_leads
+from leadloom.sources.sinks import append_run, read_if_written
 
 def run_search(
     listings: DataFrame,
@@ -99,5 +100,5 @@ def daily_run(
         tabs.append(feed)
     fresh = cut(flag_new(leads, known_keys(tabs)).where("is_new").select("lead_id") if tabs else leads.where("NOT pushed_to_sheet").select("lead_id"))
     append_new(leads.join(fresh, "lead_id", "left_semi"), feed_path, list(other_tabs or []), today)
-    write_leads(mark_pushed(read_leads(spark, leads_path, with_quarantined=True), fresh, stamp), leads_path)
+    replace_leads(mark_pushed(leads_by_id(spark, leads_path, fresh), fresh, stamp), leads_path)
     return row

@@ -13,7 +13,7 @@ from leadloom.queries import sqltext as s
 from leadloom.queries.base import AS_OF, FILTERS, norm_sql, rate_sql, raw_listings, rated_sql, reasons_plain, table
 from leadloom.queries.leads import classified, normalized
 from leadloom.session import cut, shared_path
-from leadloom.sources.sinks import fold_into_table, read_leads
+from leadloom.sources.lead_table import compact, fold_into_table, folded_batches, read_leads
 
 
 def rated(spark, d) -> DataFrame:
@@ -68,12 +68,15 @@ def entity_leads(spark, d):
 
 
 def incremental_leads(spark, d):
-    """Stored leads after two batches, the second folded into the stored first; same as one batch."""
-    rows = rated(spark, d)
-    half = rows.agg((F.max("pos") / 2).cast("long")).first()[0]
+    """Stored leads after five batches, one of them sent twice and a compaction between; same as one batch."""
+    rows = cut(rated(spark, d))
+    fifth = (rows.agg(F.max("pos")).first()[0] or 0) // 5 + 1
     path = shared_path(spark, "leads")
-    fold_into_table(rows.where(F.col("pos") <= half), path)
-    fold_into_table(rows.where(F.col("pos") > half), path)
+    for batch in (0, 1, 1, 2, 3, 4):
+        if folded_batches(spark, path).get("listings", -1) < batch:
+            fold_into_table(rows.where((F.col("pos") >= batch * fifth) & (F.col("pos") < (batch + 1) * fifth)), path, "listings", batch)
+        if batch == 2:
+            compact(spark, path)
     return _lead_columns(read_leads(spark, path, with_quarantined=True).withColumn("sightings", F.lit(0))).drop("sightings")
 
 

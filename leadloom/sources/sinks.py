@@ -1,51 +1,12 @@
-"""Sinks: lead table, run log, contact feed, export."""
+"""Sinks: run log, contact feed, export; the lead table has a module of its own."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom import rules
-from leadloom.operators.resolve import fold_batch, touched_by
 from leadloom.operators.sync import export_table, overwrite_rows
-from leadloom.session import cut
-
-
-VERSION = "version="
-KEPT_VERSIONS = 2
-
-
-def _folder(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
-
-
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Finished versions of a lead table, oldest first: those whose last part, ``meta``, is complete."""
-    files, where = _folder(spark, path)
-    if not files.exists(where):
-        return []
-    names = [s.getPath().getName() for s in files.listStatus(where)]
-    found = sorted(int(n.removeprefix(VERSION)) for n in names if n.startswith(VERSION))
-    return [v for v in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{VERSION}{v}/meta/_SUCCESS"))]
-
-
-def _newest(spark: SparkSession, path: str, part: str) -> DataFrame | None:
-    done = _versions(spark, path)
-    return spark.read.parquet(f"{path}/{VERSION}{done[-1]}/{part}") if done else None
-
-
-def lead_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """The lead table as last written, or None before its first write."""
-    return _newest(spark, path, "leads")
-
-
-def read_leads(spark: SparkSession, path: str, with_quarantined: bool = False) -> DataFrame:
-    """Lead table without quarantined records unless asked for."""
-    leads = lead_table(spark, path)
-    if leads is None:
-        raise ValueError(f"no lead table at {path}")
-    return leads if with_quarantined else leads.where(~F.col("status").eqNullSafe(rules.QUARANTINED))
+from leadloom.sources.lead_table import compact, fold_into_table, folded_batches, lead_table, read_leads, replace_leads, write_leads  # noqa: F401  (the lead table is a sink)
 
 
 def add_missing_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -54,35 +15,6 @@ def add_missing_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.withColumns(missing) if missing else df
 
 
-def write_leads(leads: DataFrame, path: str, writer: str | None = None, batch: int | None = None) -> None:
-    """Write a new version of the lead table beside the present one, which stays until the new one is complete.
-
-    A version is a folder with the leads and, written last, ``meta``: the last batch folded per writer.
-    Readers take the newest version whose ``meta`` is complete, so a run that dies leaves the table as it
-    was. The version before stays for readers that have begun; older ones are deleted.
-    """
-    spark = leads.sparkSession
-    done = _versions(spark, path)
-    folder = f"{path}/{VERSION}{done[-1] + 1 if done else 1}"
-    leads.write.mode("overwrite").parquet(f"{folder}/leads")
-    batches = folded_batches(spark, path)
-    if writer is not None:
-        batches[writer] = batch
-    spark.createDataFrame(list(batches.items()), "writer string, batch long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/meta")
-    for old in done[:-KEPT_VERSIONS + 1]:
-        files, where = _folder(spark, f"{path}/{VERSION}{old}")
-        files.delete(where, True)
-
-
-def folded_batches(spark: SparkSession, path: str) -> dict[str, int]:
-    """Last batch that each writer has folded into the table; one row per streaming job."""
-    meta = _newest(spark, path, "meta")
-    return {} if meta is None else {r.writer: r.batch for r in meta.collect()}
-
-
-RUN_ONLY = ("created", "sightings")
-
-
 def read_if_written(spark: SparkSession, path: str) -> DataFrame | None:
     """A parquet table, or None before its first write."""
     try:
@@ -93,29 +25,6 @@ def read_if_written(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def fold_into_table(rated: DataFrame, path: str, writer: str | None = None, batch: int | None = None, **options) -> DataFrame:
-    """Fold a rated batch into the lead table at ``path`` and return the lead of every sighting.
-
-    Only stored leads that share a key with the batch take part; the others are carried over as they
-    are. ``writer`` and ``batch`` are recorded with the new version (see ``folded_batches``).
-    """
-    spark = rated.sparkSession
-    stored = lead_table(spark, path)
-    if stored is None:
-        leads, placed = fold_batch(rated, **options)
-        rest = None
-    else:
-        rated = cut(rated)
-        ids = cut(touched_by(rated.where("outcome <> 'drop'"), stored))
-        top = stored.agg(F.max("lead_id")).first()[0] or 0
-        leads, placed = fold_batch(rated, stored.join(ids, "lead_id", "left_semi"), top=top, **options)
-        rest = stored.join(ids, "lead_id", "left_anti")
-    placed = cut(placed)
-    leads = leads.drop(*RUN_ONLY)
-    write_leads(leads if rest is None else leads.unionByName(rest, allowMissingColumns=True), path, writer, batch)
-    return placed
-
-
 def append_run(row: DataFrame, path: str) -> None:
     row.write.mode("append").parquet(path)
 

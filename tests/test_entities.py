@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from leadloom.operators import qualify as ql
 from leadloom.operators import resolve as rs
 from leadloom.operators.enrich import enrich
-from leadloom.sources.sinks import fold_into_table, read_leads, write_leads
+from leadloom.sources import lead_table as lt
+from leadloom.sources.lead_table import compact, fold_into_table, read_leads, write_leads
 
 
 def fold(rows):
@@ -166,12 +167,66 @@ def test_all_numbers_stay_with_the_lead(spark, tmp_path):
 def test_unfinished_version_is_not_read(spark, tmp_path):
     path = str(tmp_path / "leads")
     fold_into_table(rated(spark, [listing(1, phone="01012345678")]), path)
-    (tmp_path / "leads" / "version=2" / "leads").mkdir(parents=True)  # a run that died while writing
+    (tmp_path / "leads" / "version=2").mkdir()  # runs that died while writing
+    (tmp_path / "leads" / "part=2" / "leads").mkdir(parents=True)
     assert read_leads(spark, path).count() == 1
     for i in range(3):
         fold_into_table(rated(spark, [listing(1, f"Firm {i}", phone=f"0111234567{i}")]), path)
     assert read_leads(spark, path).count() == 4
-    assert sorted(p.name for p in (tmp_path / "leads").iterdir()) == ["version=3", "version=4"]
+    assert sorted(p.name for p in (tmp_path / "leads").iterdir() if p.name.startswith("version")) == ["version=3", "version=4"]
+    fold_into_table(rated(spark, [listing(1, "--")]).where("false"), str(tmp_path / "none"))
+    assert read_leads(spark, str(tmp_path / "none"), True).count() == 0
+    fold_into_table(rated(spark, [listing(1, phone="01012345678")]), str(tmp_path / "none"))
+    assert read_leads(spark, str(tmp_path / "none")).count() == 1
+
+
+def _plain(leads):
+    kept = [c for c in leads.columns if c not in ("lead_id", "created", "sightings", "created_at", "updated_at", "run_id")]
+    return sorted(str(r) for r in leads.select(*sorted(kept)).collect())
+
+
+def test_batches_equal_one_fold(spark, tmp_path, monkeypatch):
+    """Many small batches with parts merged on the way, and a compaction, give the leads of one fold."""
+    rng = random.Random(5)
+    rows = [listing(i, rng.choice(["Nile Co", "Delta Co", f"Firm {i}"]), phone=rng.choice([None, f"010123456{rng.randint(10, 25)}"]), site=rng.choice([None, f"https://s{rng.randint(1, 9)}.example"]),
+                    city=rng.choice([None, "Cairo", "Giza"])) for i in range(60)]
+    monkeypatch.setattr(lt, "FANOUT", 3)
+    all_rated = rated(spark, rows).cache()
+    path = str(tmp_path / "leads")
+    parts = []
+    for k, (low, high) in enumerate([(0, 40), (40, 45), (45, 50), (50, 55), (55, 60)]):
+        fold_into_table(all_rated.where(f"pos >= {low} and pos < {high}"), path, writer="w", batch=k)
+        parts.append(len(lt.newest_version(spark, path).parts))
+        if k == 1:
+            compact(spark, path)
+            assert len(lt.newest_version(spark, path).parts) == 1
+    assert parts == [1, 2, 2, 3, 2] and lt.folded_batches(spark, path) == {"w": 4}
+    assert _plain(read_leads(spark, path, True)) == _plain(rs.upsert(all_rated))
+    assert read_leads(spark, path, True).groupBy("lead_id").count().where("count > 1").isEmpty()
+
+
+def test_a_batch_reads_and_writes_by_its_size(spark, tmp_path):
+    """Files opened and bytes written for a batch do not follow the table's size."""
+    def size(folder):
+        return sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+
+    written, opened, table = [], [], []
+    for n in (40, 400):
+        path = str(tmp_path / f"leads{n}")
+        fold_into_table(rated(spark, [listing(i, f"Firm {i}", phone=f"0101234{i:04d}", site=f"https://s{i}.example") for i in range(n)]), path)
+        batch = rated(spark, [listing(1, "Firm 7", phone="01012340007", site="https://new.example"), listing(2, "Fresh", phone="01112345678")])
+        version = lt.newest_version(spark, path)
+        asked = lt.match_keys(batch, "pos").select("kind", "key").distinct()
+        found = lt.leads_holding(spark, path, asked, version)
+        stored = lt.leads_by_id(spark, path, found, version)
+        assert [r.company_name for r in stored.collect()] == ["Firm 7"]
+        opened.append((len(found.inputFiles()), len(stored.select("lead_id").inputFiles())))
+        fold_into_table(batch, path)
+        table.append(size(tmp_path / f"leads{n}" / "part=1"))
+        written.append(size(tmp_path / f"leads{n}" / "part=2"))
+        assert read_leads(spark, path).count() == n + 1
+    assert table[1] > 2 * table[0] and written[1] < 1.1 * written[0]
+    assert max(opened[1]) <= 5 + 1  # a bucket a key, and one a lead
 
 
 def test_repeated_batch_is_skipped(spark, tmp_path):
