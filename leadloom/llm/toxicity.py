@@ -5,23 +5,27 @@ each weighted by ``DECAY`` to the power of the stretch it spans in both words, s
 character only lowers the value: ``i-d-i-o-t`` and ``idxiot`` are near ``idiot``. A word starts with a mark,
 which anchors stems. Letters spelled out with spaces are read as one word as well.
 
-*Landmarks.* The kernel to ``LANDMARKS`` words, times the inverse root of the kernel among them, is a feature
-vector whose inner products approximate the kernel; the machine is linear on it.
+*Landmarks.* The kernel to the landmarks, times the inverse root of the kernel among them, is a feature
+vector whose inner products approximate the kernel; the machine is linear on it. Landmarks are added, the most frequent
+words first, until every witness word has one with a kernel of ``COVER`` or more; clean words near a toxic landmark
+are covered likewise. Their number follows the labelled sample, not a constant.
 
 *Learning.* A sentence is a bag of words: every word of a clean one is clean, and a toxic one has a word that
 makes it toxic, its witness. At first that is the word with the letter run most often seen in toxic and not
-in clean texts. Clean words are drawn at random, and in a second round those that look most toxic to the
-first machine. The fit reads a bounded sample: ``sample`` labelled texts a class, the first by a hash of
-their key, and at most ``WORDS`` words a class.
-
-*Scoring.* A text is as toxic as its most toxic word; a logistic curve fitted to the sample's texts turns
-that into a probability. Words are scored in batches in numpy, each distinct word of a stretch of texts
-once. The kernel is computed for words that an upper bound, one table look-up a triple, leaves able to reach
-``NEAR`` with a toxic landmark; for the others it is 0.
-
-Defined results: a null or empty text, or one without words, has the score of no evidence. Without labelled
-texts of both classes every score is 0. Null keys are never learned from; repeated rows are scored alike; null
-labels are left out. Other columns are ignored. An empty table gives an empty result.
+in clean texts. Clean words are ``CLEAN`` drawn by a hash, and in further rounds as many of those that look most toxic to
+the machine so far. The fit reads a bounded sample: ``sample`` labelled texts a class, the first by a hash of their key.
+
+*Scoring.* The machine is linear in a word's subsequences too, so its landmarks and weights become one table with a
+number for each triple of letters: a word's value is the sum of its entries over its length in the kernel's space,
+for any number of landmarks. A text is as toxic as its most toxic word; a logistic curve fitted to the sample's
+texts turns that into a probability. Words are scored in batches in numpy, each distinct word of a stretch of texts
+once. The length is only computed for words whose value might exceed ``floor``, the value with a chance of ``SETTLED``, by
+the least length that a word of so many letters can have: the others cannot change the score, as no text scores less.
+
+Defined results: a null or empty text, or one without words, has the score of no evidence, the least there is.
+Without labelled texts of both classes every score is 0. Null keys are never learned from; repeated rows are scored
+alike; null labels are left out. Very long texts and words are read whole. Other columns are ignored. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -40,13 +44,14 @@ from leadloom.llm.common import cut, drop_cut
 
 SPAN = 7          # letters that a subsequence of three may spread over
 DECAY = 0.6
-LANDMARKS = 48
-WORDS = 4000
-NEAR = 0.4        # kernel below which a word is near no landmark
+COVER = 0.7       # kernel to a landmark from which on a word needs none of its own
+NEAR = 0.4        # kernel to a toxic landmark from which on a clean word may need one
+CLEAN = 2000      # clean words drawn for the fit, and as many again that look most toxic
+SETTLED = 0.05    # least score of a text; words that cannot reach more are not looked at further
 WIDTH = 24        # letters of a piece of a word; longer words are read in pieces that overlap by half
 RUN = 5           # letters of the runs that point to first witnesses, with the start mark
-POOL = 400        # most frequent words of a class that landmarks are chosen from
 BLOCK = 256       # words whose kernel is computed at a time
+STEP = 64         # words that landmarks are chosen from at a time
 HELD = 300_000    # words whose scores a task remembers
 MARK = "^"
 _SPELLED = re.compile(r"(?<![^\W_])(?:[^\W_][^\w\s]?\s){2,}[^\W_](?![^\W_])")
@@ -125,9 +130,9 @@ class Landmarks:
         self.place = np.full(1 << 18, len(self.triples), np.int32)
         self.place[self.triples] = np.arange(len(self.triples))
 
-    def kernel(self, letters: np.ndarray) -> np.ndarray:
-        """Kernel of every word (rows) with every landmark (columns), 1 for equal words."""
-        words, triples, weights = _features(letters)
+    def kernel(self, letters: np.ndarray, features: tuple | None = None) -> np.ndarray:
+        """Kernel of every word (rows) with every landmark (columns), 1 for equal words. ``features``: of the words, if known."""
+        words, triples, weights = _features(letters) if features is None else features
         own = np.bincount(words, weights ** 2, len(letters))
         out = np.zeros((len(letters), len(self.own)))
         hit = self.place[triples] < len(self.triples)
@@ -140,40 +145,66 @@ class Landmarks:
         return out / np.sqrt(np.maximum(own[:, None] * self.own[None, :], 1e-30))
 
 
+def cover(letters: np.ndarray, counts: np.ndarray, features: tuple, near: np.ndarray | None = None) -> tuple[list[int], np.ndarray]:
+    """Words that every other one (of those ``near``) has a kernel of ``COVER`` or more with, the most frequent first, and
+    the kernel of all words with them."""
+    order = np.argsort(-counts, kind="stable")
+    order = order if near is None else order[near[order]]
+    covered, chosen, columns = np.zeros(len(letters)), [], [np.zeros((len(letters), 0))]
+    for at in range(0, len(order), STEP):
+        open_ = order[at:at + STEP]
+        open_ = open_[covered[open_] < COVER]
+        if not len(open_):
+            continue
+        among, best, new = Landmarks(letters[open_]).kernel(letters[open_]), np.zeros(len(open_)), []
+        for i in range(len(open_)):
+            if best[i] < COVER:
+                new.append(int(open_[i]))
+                best = np.maximum(best, among[:, i])
+        kernel = Landmarks(letters[new]).kernel(letters, features)
+        chosen += new
+        columns.append(kernel)
+        covered = np.maximum(covered, kernel.max(axis=1))
+        covered[new] = 1.0  # words too short for a subsequence have no kernel even with themselves
+    return chosen, np.concatenate(columns, axis=1)
+
+
 # ------------------------------------------------------------------ model
 class Model:
-    """Landmarks with their weights; scores words, and texts by their most toxic word."""
-
-    def __init__(self, landmarks: list[str], toxic: list[bool]):
-        self.names, self.toxic, self.offset = landmarks, np.array(toxic), 0.0
-        self.landmarks = Landmarks(_letters(landmarks))
-        self.weights = np.zeros(len(landmarks))
-        self.curve = (4.0, 0.0)
-        bad = self.landmarks.table[:-1, self.toxic] / np.sqrt(np.maximum(self.landmarks.own[self.toxic], 1e-30))
-        self.most = np.zeros(1 << 18, np.float32)                      # of a triple: what it can add to the kernel with a toxic landmark
-        self.most[self.landmarks.triples] = bad.max(axis=1, initial=0)
-        self.least = np.ones(WIDTH + 1)                                # of a length: the least kernel of a word with itself
+    """A number for each triple of letters: scores words, and texts by their most toxic word."""
+
+    def __init__(self, landmarks: list[str], weights: np.ndarray, offset: float):
+        self.names, self.weights, self.offset = landmarks, weights, offset
+        self.floor, self.curve = offset, (4.0, 0.0)
+        words, triples, values = _features(_letters(landmarks))
+        own = np.sqrt(np.maximum(np.bincount(words, values ** 2, len(landmarks)), 1e-30))
+        self.table = np.bincount(triples, values * (weights / own)[words], 1 << 18)
+        self.least = np.ones(WIDTH + 1)  # of a number of letters: the least length, squared, of a word in the kernel's space
         for n in range(3, WIDTH + 1):
             self.least[n] = sum(w * w for _, w in _triples(np.ones((1, n), np.int32)))
 
-    def near(self, letters: np.ndarray) -> np.ndarray:
-        """Words whose kernel with a toxic landmark may reach ``NEAR``: the best value of each triple, added up, is an upper bound."""
-        bound = np.zeros(len(letters), np.float32)
-        for triple, weight in _triples(letters):
-            bound += np.float32(weight) * self.most[triple]
-        return bound >= NEAR * np.sqrt(self.least[(letters > 0).sum(axis=1)])
-
-    def features(self, letters: np.ndarray) -> np.ndarray:
-        """Kernel with the landmarks; 0 for words that are near no toxic one."""
-        out = np.zeros((len(letters), len(self.names)))
-        close = np.flatnonzero(self.near(letters)) if len(letters) else np.zeros(0, int)
-        for at in range(0, len(close), 4096):
-            part = close[at:at + 4096]
-            out[part] = self.landmarks.kernel(letters[part])
-        return out
+    def settle(self) -> None:
+        """The floor, once the curve is known."""
+        a, b = self.curve
+        self.floor = max(self.offset, (np.log(SETTLED / (1 - SETTLED)) - b) / a)
 
-    def words(self, words: list[str]) -> np.ndarray:
-        """Signed distance from the margin's middle, by word."""
+    def values(self, letters: np.ndarray, floor: float) -> np.ndarray:
+        """Signed distance from the margin's middle, exact where it exceeds ``floor``, else ``floor`` or a bound below it."""
+        sums = np.zeros(len(letters))
+        for triple, weight in _triples(letters):
+            sums += weight * self.table[triple]
+        out = self.offset + sums / np.sqrt(self.least[(letters > 0).sum(axis=1)])
+        exact = np.flatnonzero((out > floor) & (sums > 0) | (floor == -np.inf))
+        for at in range(0, len(exact), 4096):
+            part = exact[at:at + 4096]
+            words, _, weights = _features(letters[part])
+            own = np.bincount(words, weights ** 2, len(part))
+            out[part] = self.offset + sums[part] / np.sqrt(np.maximum(own, 1e-30))
+        return out if floor == -np.inf else np.maximum(out, floor)
+
+    def words(self, words: list[str], floor: float | None = None) -> np.ndarray:
+        """Value by word, no less than ``floor`` (the model's own by default)."""
+        floor = self.floor if floor is None else floor
         pieces, owner = [], []
         for i, w in enumerate(words):
             for piece in _pieces(w):
@@ -184,8 +215,8 @@ class Model:
         value = np.empty(len(pieces))
         for at in range(0, len(pieces), 16_384):
             part = order[at:at + 16_384]
-            value[part] = self.offset + self.features(letters[part]) @ self.weights
-        out = np.full(len(words), -np.inf)
+            value[part] = self.values(letters[part], floor)
+        out = np.full(len(words), floor)
         np.maximum.at(out, np.array(owner, int), value)
         return out
 
@@ -202,11 +233,11 @@ def texts_values(model: Model, texts: list[str | None], held: dict[str, float])
         fresh = list(set().union(*bags))
     held.update(zip(fresh, model.words(fresh).tolist()))
     get = held.__getitem__
-    return np.array([max(map(get, bag), default=model.offset) for bag in bags])
+    return np.array([max(map(get, bag), default=model.floor) for bag in bags])
 
 
 # ------------------------------------------------------------------ learning
-def _fit_machine(features: np.ndarray, signs: np.ndarray, costs: np.ndarray, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
+def _fit_machine(features: np.ndarray, signs: np.ndarray, costs: np.ndarray, penalty: float) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, by Newton steps over the words inside the margin."""
     x = np.concatenate([features, np.ones((len(features), 1))], axis=1)
     w = np.zeros(x.shape[1])
@@ -223,38 +254,27 @@ def _fit_machine(features: np.ndarray, signs: np.ndarray, costs: np.ndarray, pen
     return w[:-1], float(w[-1])
 
 
-def _choose(letters: np.ndarray, counts: np.ndarray, n: int) -> list[int]:
-    """Words that cover the others: each time the one that most weight is still far from."""
-    pool = np.argsort(-counts, kind="stable")[:POOL]
-    k = Landmarks(letters[pool]).kernel(letters[pool])
-    covered, chosen = np.zeros(len(pool)), []
-    for _ in range(min(n, len(pool))):
-        gain = (np.maximum(k - covered[None, :], 0) * np.sqrt(counts[pool])[None, :]).sum(axis=1)
-        best = int(gain.argmax())
-        if gain[best] <= 1e-6:
-            break
-        chosen.append(int(pool[best]))
-        covered = np.maximum(covered, k[best])
-    return chosen
-
-
 def fit(toxic: dict[str, int], clean: dict[str, int]) -> Model:
     """Machine from witness words and clean words with their counts."""
     sides = [(sorted(d), d) for d in (toxic, clean)]
     pieces = [[_pieces(w)[0] for w in names] for names, _ in sides]
-    letters = [_letters(p) for p in pieces]
+    letters = _letters(pieces[0] + pieces[1])
     counts = [np.array([d[w] for w in names], float) for names, d in sides]
-    marks = [[p[i] for i in _choose(x, n, k)] for p, x, n, k in zip(pieces, letters, counts, (LANDMARKS * 3 // 4, LANDMARKS // 4))]
-    model = Model(marks[0] + marks[1], [True] * len(marks[0]) + [False] * len(marks[1]))
-    among = model.landmarks.kernel(_letters(model.names))
+    features, bad = _features(letters), np.arange(len(letters)) < len(pieces[0])
+    every = np.concatenate(counts)
+    marks, kernel = cover(letters, every, features, bad)
+    more, further = cover(letters, every, features, ~bad & (kernel.max(axis=1, initial=0) >= NEAR))
+    marks, kernel = marks + more, np.concatenate([kernel, further], axis=1)
+    among = kernel[marks]
     values, vectors = np.linalg.eigh((among + among.T) / 2)
     keep = values > 1e-4
-    root = (vectors[:, keep] / np.sqrt(values[keep])) @ vectors[:, keep].T
-    signs = np.concatenate([np.ones(len(pieces[0])), -np.ones(len(pieces[1]))])
+    root = vectors[:, keep] / np.sqrt(values[keep])
     weight = np.concatenate([np.sqrt(n) / np.sqrt(n).sum() for n in counts])
-    w, model.offset = _fit_machine(model.features(np.concatenate(letters)) @ root, signs, weight)
-    model.weights = root @ w
-    return model
+    # the margin is as dear as a tenth of the rarest witness: however many there are, each of them can be learned
+    penalty = min(1e-3, 0.05 * float(weight[bad].min()))
+    w, offset = _fit_machine(kernel @ root, np.where(bad, 1.0, -1.0), weight, penalty)
+    names = pieces[0] + pieces[1]
+    return Model([names[i] for i in marks], root @ w, offset)
 
 
 def _fit_curve(values: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
@@ -300,9 +320,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 2000, key: str = "do
             yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.string()), pa.array([t for _, t in out], pa.int32())], ["run", "toxic"])
 
     seen = texts.mapInArrow(runs, "run string, toxic int").groupBy("run").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    least = max(2, sizes[1] // 500)
+    least = 2 + sizes[1] // 2000
     pointing = seen.where((F.col("bad") >= least) & (F.col("good") * sizes[1] * 20 <= F.col("bad") * sizes[0]))
-    points = {r["run"]: r["bad"] / (1 + 20 * r["good"]) for r in pointing.orderBy(F.col("bad").desc(), "run").limit(WORDS).collect()}
+    points = {r["run"]: r["bad"] / (1 + 20 * r["good"]) for r in pointing.collect()}  # runs of at most ``sample`` texts
 
     def witnesses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.chunks(batches, "text"):
@@ -310,11 +330,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 2000, key: str = "do
             for x in batch.column(0).to_pylist():
                 scored = [(max((points.get(r, 0.0) for r in _runs(w)), default=0.0), w.strip(_PUNCTUATION)) for w in words_of(x)]
                 best = max(scored, default=(0.0, ""))[0]
-                out += [w for s, w in scored if s > 0 and s >= 0.5 * best]
+                out += [w for s, w in scored if s > 0 and s >= 0.99 * best]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["word"])
 
     def most(words: DataFrame) -> dict[str, int]:
-        return {r["word"]: r["n"] for r in words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "word").limit(WORDS).collect()}
+        return {r["word"]: r["n"] for r in words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}  # witnesses of at most ``sample`` texts
 
     toxic = most(texts.where("toxic = 1").select("text").mapInArrow(witnesses, "word string"))
     clean = texts.where("toxic = 0").select("text")
@@ -324,7 +344,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 2000, key: str = "do
             yield pa.RecordBatch.from_arrays([pa.array([w for x in batch.column(0).to_pylist() for w in {w.strip(_PUNCTUATION) for w in words_of(x)}], pa.string())], ["word"])
 
     clean_words = cut(clean.mapInArrow(plain, "word string").groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    drawn = {r["word"]: r["n"] for r in clean_words.orderBy(F.xxhash64("word"), "word").limit(WORDS // 2).collect()}
+    drawn = {r["word"]: r["n"] for r in clean_words.orderBy(F.xxhash64("word"), "word").limit(CLEAN).collect()}
     toxic = {w: n for w, n in toxic.items() if w and w not in drawn}
     if not toxic or not drawn:
         drop_cut(texts, clean_words)
@@ -338,11 +358,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 2000, key: str = "do
                 words = batch.column(0).to_pylist()
                 for at in range(0, len(words), 20_000):
                     part = words[at:at + 20_000]
-                    value = sent.value.words(part)
+                    value = sent.value.words(part, -np.inf)
                     up = np.flatnonzero(value > -1)
                     yield pa.RecordBatch.from_arrays([pa.array([part[i] for i in up], pa.string()), batch.column(1).slice(at, len(part)).take(pa.array(up)), pa.array(value[up])], ["word", "n", "value"])
 
-        worst = clean_words.select("word", "n").mapInArrow(hard, "word string, n long, value double").orderBy(F.col("value").desc(), "word").limit(WORDS // 2).collect()
+        worst = clean_words.select("word", "n").mapInArrow(hard, "word string, n long, value double").orderBy(F.col("value").desc(), "word").limit(CLEAN).collect()
         drawn |= {r["word"]: r["n"] for r in worst}
         toxic = {w: n for w, n in toxic.items() if w not in drawn or n > 20 * drawn[w]}
         model = fit(toxic, {w: n for w, n in drawn.items() if w not in toxic})
@@ -355,6 +375,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 2000, key: str = "do
 
     table = texts.mapInArrow(judged, "value double, toxic int").toPandas()  # 2 * sample rows at most
     model.curve = _fit_curve(table["value"].to_numpy(float), table["toxic"].to_numpy(float))
+    model.settle()
     drop_cut(texts, clean_words)
     return model
 

@@ -2,6 +2,7 @@ import itertools
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from helpers import documents
 
@@ -68,12 +69,51 @@ def test_gaps_and_inserted_characters(spark, model):
     assert not low
 
 
-def test_near_is_an_upper_bound(model):
+def test_table_equals_kernels_and_skips_change_no_score(model):
     rng = random.Random(5)
     words = ["^" + "".join(rng.choice("idotmrnwhles") for _ in range(rng.randint(1, 14))) for _ in range(3000)]
     letters = toxicity._letters(words)
-    value = model.landmarks.kernel(letters)[:, model.toxic].max(axis=1)
-    assert model.near(letters)[value >= toxicity.NEAR].all()
+    plain = toxicity.Landmarks(toxicity._letters(model.names)).kernel(letters) @ model.weights + model.offset
+    assert np.abs(model.values(letters, -np.inf) - plain).max() < 1e-9
+    for floor in (model.floor, model.offset, 0.5):
+        assert np.abs(model.values(letters, floor) - np.maximum(plain, floor)).max() < 1e-9
+
+
+def test_every_witness_is_covered():
+    rng = random.Random(8)
+    words = ["^" + "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    letters = toxicity._letters(words)
+    chosen, kernel = toxicity.cover(letters, np.array([rng.randint(1, 9) for _ in words], float), toxicity._features(letters))
+    assert np.abs(kernel - toxicity.Landmarks(letters[chosen]).kernel(letters)).max() < 1e-9
+    assert (kernel.max(axis=1) >= toxicity.COVER - 1e-9).all() and len(chosen) < len(words)
+
+
+def test_three_hundred_stems_in_four_scripts(spark):
+    """Fresh texts with stems that were seen a few times each: nearly all are caught, hardly a clean one is flagged."""
+    rng = random.Random(11)
+    scripts = ["abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшыэюя", "αβγδεζηθικλμνξοπρστυφχψω", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"]
+
+    def word(letters):
+        return "".join(rng.choice(letters) for _ in range(rng.randint(5, 9)))
+
+    stems = [word(scripts[i % 4]) for i in range(300)]
+    plain = [[word(s) for _ in range(1000)] for s in scripts]
+
+    def text(stem=None):
+        own = rng.choice(plain)
+        out = [rng.choice(own) for _ in range(20)]
+        if stem:
+            out.insert(rng.randrange(len(out)), stem)
+        return " ".join(out)
+
+    train = [(i, text()) for i in range(1500)] + [(5000 + i, text(stems[i % 300])) for i in range(1500)]
+    model = toxicity.learn(documents(spark, train), spark.createDataFrame([(i, int(i >= 5000)) for i, _ in train], "doc_id long, toxic int"))
+    fresh = [(i, text()) for i in range(600)] + [(5000 + i, text(s)) for i, s in enumerate(stems)]
+    found = {r.doc_id: r.score >= 0.5 for r in toxicity.score(documents(spark, fresh), model).collect()}
+    recall = sum(found[5000 + i] for i in range(300)) / 300
+    flagged = sum(found[i] for i in range(600)) / 600
+    print(f"recall {recall:.2f}, clean texts flagged {flagged:.2f}, landmarks {len(model.names)}")
+    assert recall > 0.95 and flagged < 0.05
 
 
 def test_awkward_rows(spark, model):
