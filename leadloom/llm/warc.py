@@ -6,11 +6,12 @@ response and the others revisit it: they hold the HTTP header, the digest and th
 
 Archives are written by Spark's text writer, so they can go to any file system Spark writes to, and lost
 tasks leave nothing behind. A record is one row, raw bytes read as text; the line separator is an empty
-gzip member, which readers of gzip skip. Files hold at most ``records_per_file`` records.
+gzip member, which readers of gzip skip. Files hold at most ``RECORDS`` records, and fewer where the largest page is so
+large that they could exceed ``FILE_BYTES``: they are read back whole, which ends at 2 GB a file.
 
 *Index.* Captures (key, id, file, offset, length) are range-sorted by reversed-host key and packed in
-blocks of ``BLOCK`` lines, each a gzip member; the index has ``parts`` files, a fixed number, so the list of
-the first keys of all files, the upper level, is of bounded size and is sent to all tasks. The lower level
+blocks of ``BLOCK`` lines, each a gzip member, ``PART`` captures a file on average; the list of the first keys of all
+files, the upper level, is one row for a quarter of a million captures and is sent to all tasks. The lower level
 is a sparse directory: the first key, offset and length of each block of a file. A look-up searches both
 levels by halving, reads the range of one block, searches that, and reads the range of each record.
 
@@ -46,7 +47,9 @@ from leadloom.llm.common import cut, shared_path
 
 REVISIT_BYTES = 1000
 BLOCK = 1000
-PARTS = 64
+PART = 1 << 18         # captures of an index file
+RECORDS = 2000         # records of an archive
+FILE_BYTES = 1 << 30   # of an archive, before compression
 EMPTY = gzip.compress(b"", mtime=0)  # 20 bytes: the separator of records
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -132,8 +135,14 @@ def _decide(pages: DataFrame) -> DataFrame:
     return slim.join(last, "digest").where(F.col("page_id") < F.col("refers_to")).distinct()
 
 
-def write_archives(pages: DataFrame, path: str, records_per_file: int = 2000) -> None:
+def records_for(largest: int) -> int:
+    """Records of a file whose largest page has so many bytes."""
+    return max(1, min(RECORDS, FILE_BYTES // (largest + 4096)))
+
+
+def write_archives(pages: DataFrame, path: str) -> None:
     """Archives of ``page_id, url, html`` under ``path``."""
+    largest = pages.agg(F.coalesce(F.max(F.octet_length("html")), F.lit(0)).alias("n")).first()["n"]
     revisits = _decide(pages).select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "refers_to")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
@@ -145,7 +154,7 @@ def write_archives(pages: DataFrame, path: str, records_per_file: int = 2000) ->
             yield pa.RecordBatch.from_arrays([pa.array([_zip(_record(p, u, h.encode(), d, r)) for p, u, h, d, r in zip(page, url, html, digest, refers)], pa.binary())], ["record"])
 
     records = rows.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, "record binary")
-    _write_members(records, "record", path, records_per_file)
+    _write_members(records, "record", path, records_for(largest))
 
 
 def _write_members(rows: DataFrame, column: str, path: str, per_file: int) -> None:
@@ -172,9 +181,11 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ index
-def write_index(spark: SparkSession, archives: str, path: str, parts: int = PARTS, block: int = BLOCK) -> None:
+def write_index(spark: SparkSession, archives: str, path: str, block: int = BLOCK) -> None:
     """Index of the archives: ``path``/blocks (compressed lines) and ``path``/directory (file, first, offset, length)."""
-    rows = cut(captures(spark, archives)).repartitionByRange(parts, "capture", "file", "offset").sortWithinPartitions("capture", "file", "offset")
+    found = cut(captures(spark, archives))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-found.count() // PART))
+    rows = found.repartitionByRange(parts, "capture", "file", "offset").sortWithinPartitions("capture", "file", "offset")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[str] = []
@@ -227,7 +238,7 @@ def look_up(queries: DataFrame, index: str, read: bool = True) -> DataFrame:
     refers_to, url, file, offset, length``, one row for each record that has the capture asked for."""
     spark = queries.sparkSession
     directory = spark.read.schema("file string, first string, offset long, length long, part int").parquet(f"{index}/directory")
-    upper = sorted((r["first"], r["part"], r["file"]) for r in directory.groupBy("part", "file").agg(F.min("first").alias("first")).collect())  # one row a file: PARTS
+    upper = sorted((r["first"], r["part"], r["file"]) for r in directory.groupBy("part", "file").agg(F.min("first").alias("first")).collect())  # one row a file: one for PART captures
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # named, so that few bytes of queries are not put in one task
     wanted = queries.select("capture").distinct().repartitionByRange(tasks, "capture").sortWithinPartitions("capture")
 

@@ -41,10 +41,13 @@ def test_round_trip(spark, rows, monkeypatch):
     assert got == want
 
 
-def test_small_blocks_and_files(spark, rows, tmp_path):
+def test_small_blocks_and_files(spark, rows, tmp_path, monkeypatch):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    warc.write_archives(pages.repartition(3), f"{tmp_path}/a", records_per_file=4)
-    warc.write_index(spark, f"{tmp_path}/a", f"{tmp_path}/i", parts=5, block=3)
+    monkeypatch.setattr(warc, "FILE_BYTES", 4 * (4096 + max(len((h or "").encode()) for _, _, h in rows)))  # four records a file
+    monkeypatch.setattr(warc, "PART", 3)
+    assert warc.records_for(1 << 40) == 1 and warc.records_for(0) > 1
+    warc.write_archives(pages.repartition(3), f"{tmp_path}/a")
+    warc.write_index(spark, f"{tmp_path}/a", f"{tmp_path}/i", block=3)
     every = pages.select(warc.capture_of().alias("capture"))
     assert made(warc.look_up(every, f"{tmp_path}/i")) == plain(rows)
     none = spark.createDataFrame([("zz", ), ("", ), ("example,host)/p/1 x", )], "capture string")
