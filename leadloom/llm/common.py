@@ -146,6 +146,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with numbered columns, so that no name clashes with an operator's own, and the number of each name."""
+    place = {name: f"c{i}" for i, name in enumerate(docs.columns)}
+    return docs.toDF(*place.values()), place
+
+
+def renamed(docs: DataFrame, place: dict[str, str]) -> DataFrame:
+    """The columns that ``numbered`` has numbered, under their names."""
+    return docs.select(*[F.col(now).alias(name) for name, now in place.items()])
+
+
 def crc_rest(key: str | Column, n: int) -> Column:
     """crc32 of a key as text, modulo ``n``; null for a null key."""
     return F.crc32(F.col(key).cast("string").cast("binary") if isinstance(key, str) else key.cast("string").cast("binary")) % n

@@ -7,10 +7,11 @@ partitioned by size: for the class of items of up to ``u`` shingles a document i
 its MinHash values meet those of the item. ``HASHES`` values a window, one shared value is a candidate: at
 containment 0.8 a pair is missed with a chance below 1e-5, in one window; then exact containment decides.
 
-A window's values are tested against a Bloom filter of the items' values. Its size is fixed by ``bits``,
-whatever the number of items, so it may be sent to all tasks: full, it only lets more values pass. Values
-that pass are joined with the items' (both plain rows; Spark picks the join), and so are the shingles,
-as text, of documents with a value that passed. The documents are read once and never shuffled.
+A window's values are tested against a Bloom filter of the items' values. It has ``SPARSE`` bits a value and ``2 ** BITS``
+(32 MB) at most, so it may be sent to all tasks: full, it only lets more values pass. Values that pass are joined
+with the items' (both plain rows; Spark picks the join), which gives candidate pairs; the shingles, as text, of
+a document are only compared with those of its candidates, so a shingle that many documents and many items have
+costs nothing. The documents are read once and never shuffled.
 
 Defined results: null or empty items and documents match nothing. An item of fewer words than ``SIZE`` is
 one shingle, of all its words, and is looked for as such. Rows equal in id and text, of documents or of
@@ -32,7 +33,9 @@ from leadloom.llm.common import cut, signed
 SIZE = 5
 PERCENT = 80
 HASHES = 64
-BITS = 24
+BITS = 28       # places of a filter at most: their number as a power of two
+SPARSE = 64     # places for each value, while there is room
+TURNS = 4       # places of a value
 #: Bytes that are no part of a word: white space and ASCII punctuation.
 BREAKS = np.zeros(256, bool)
 BREAKS[[*range(0, 48), *range(58, 65), *range(91, 97), *range(123, 128)]] = True
@@ -86,25 +89,46 @@ def item_sets(items: DataFrame, size: int = SIZE, key: str = "item_id", text: st
     return rows.mapInArrow(_items(size), "item long, item_id long, length int, level int, n_shingles long, keys array<long>, shingles array<string>")
 
 
-def _bloom(values: DataFrame, bits: int) -> np.ndarray:
-    """Bit table of 64-bit values, two bits a value. At most ``2 ** bits`` places come to the driver."""
-    mask = (1 << bits) - 1
-    places = values.select(F.explode(F.array(F.col("v").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("v", 40).bitwiseAND(F.lit(mask)))).alias("p")).distinct()
-    table = np.zeros(1 << bits, bool)
-    for batch in places.toArrow().to_batches():
-        table[batch.column(0).to_numpy()] = True
-    return np.packbits(table)
-
+def _place(values: np.ndarray, turn: int, bits: int) -> np.ndarray:
+    """One of the places of 64-bit values in a filter of ``2 ** bits``; the values are scrambled as they come."""
+    with np.errstate(over="ignore"):
+        return (common.mix(values + np.uint64(turn)) if turn else values) & np.uint64((1 << bits) - 1)
 
-def _holds(table: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
-    mask = np.uint64((1 << bits) - 1)
-    out = np.ones(values.shape, bool)
-    for place in (values & mask, (values >> np.uint64(40)) & mask):
-        out &= (table[place >> np.uint64(3)] >> (7 - (place & np.uint64(7))).astype(np.uint8)) & 1 == 1
-    return out
 
+def _bloom(values: DataFrame, most: int) -> tuple[np.ndarray, int]:
+    """Bit table of 64-bit values and its size as a power of two: what comes to the driver are the table's own bytes."""
+    n = values.count()
+    bits = min(most, max(16, (SPARSE * n).bit_length()))
 
-def _scan(kinds: list[tuple[int, int]], sent, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column(0).to_numpy().view(np.uint64)
+            places = np.unique(np.concatenate([_place(found, turn, bits) for turn in range(TURNS)]))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(places))], ["p"])
+
+    place = F.col("p") + 1
+    parts = values.mapInArrow(run, "p long").groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    table = np.zeros(1 << max(bits - 3, 12), np.uint8)
+    for r in parts.toLocalIterator():  # 4 KB a row
+        cell = np.frombuffer(r["bits"], np.uint8)
+        at = (r["part"] - 1) * len(cell)
+        table[at:at + len(cell)] = cell
+    return table, bits
+
+
+def _holds(sent: tuple[np.ndarray, int], values: np.ndarray) -> np.ndarray:
+    """Which values may be in the table: each place is only looked up for those that had the ones before."""
+    (table, bits), flat = sent, np.ravel(values)
+    left = np.arange(len(flat))
+    for turn in range(TURNS):
+        place = _place(flat[left], turn, bits)
+        left = left[table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1 == 1]
+    out = np.zeros(len(flat), bool)
+    out[left] = True
+    return out.reshape(np.shape(values))
+
+
+def _scan(kinds: list[tuple[int, int]], sent):
     """Documents -> those with a value that passed: the values, and the shingles that may be an item's."""
     lengths = sorted({length for length, _ in kinds})
 
@@ -137,7 +161,7 @@ def _scan(kinds: list[tuple[int, int]], sent, bits: int):
                     same = owner[:-1] == owner[1:]
                     low[:, :-1][:, same] = pair[:, same]
                     keys = _keys(low, level, length)
-                    slot, at = np.nonzero(_holds(values_table, keys, bits))
+                    slot, at = np.nonzero(_holds(values_table, keys))
                     for who in np.unique(owner[at]).tolist():
                         hits[who].append(np.unique(keys[slot, at][owner[at] == who]))
             rows = []
@@ -149,7 +173,7 @@ def _scan(kinds: list[tuple[int, int]], sent, bits: int):
                 for length in lengths:
                     own = common.windows(numbers[a:b], length)
                     # a document's shingles are looked up by number; the numbers of the items' are in the table
-                    found.update(_texts(words, a + np.flatnonzero(_holds(shingles_table, own, bits)), length))
+                    found.update(_texts(words, a + np.flatnonzero(_holds(shingles_table, own)), length))
                 rows.append((batch.column(0)[i].as_py(), batch.column(2)[i].as_py(), signed(np.unique(np.concatenate(hits[i]))).tolist(), sorted(found)))
             columns = list(zip(*rows)) if rows else [[]] * 4
             types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())]
@@ -175,12 +199,12 @@ def find(docs: DataFrame, items: DataFrame, percent: int = PERCENT, size: int =
     texts = known.select(F.explode("shingles").alias("text")).distinct()
     sent = common.send(docs.sparkSession, (_bloom(values, bits), _bloom(texts.mapInArrow(_numbers(size), "v long"), bits)))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(key, text).alias("row"))
-    scanned = cut(rows.mapInArrow(_scan(kinds, sent, bits), "doc_id long, row long, keys array<long>, shingles array<string>"))
+    scanned = cut(rows.mapInArrow(_scan(kinds, sent), "doc_id long, row long, keys array<long>, shingles array<string>"))
     ask = scanned.select("row", F.explode("keys").alias("v")).join(known.select("item", F.explode("keys").alias("v")), "v")
     candidates = cut(ask.select("row", "item").distinct())
     lists = scanned.select("doc_id", "row", F.explode("shingles").alias("shingle")).distinct()
     mine = known.select("item", "item_id", "n_shingles", F.explode("shingles").alias("shingle"))
-    common_ = lists.join(mine, "shingle").join(candidates, ["row", "item"], "left_semi")
+    common_ = lists.join(candidates, "row").join(mine, ["item", "shingle"])
     counted = common_.groupBy("row", "item").agg(F.first("doc_id").alias("doc_id"), F.first("item_id").alias("item_id"), F.count(F.lit(1)).alias("n_common"), F.first("n_shingles").alias("n_item"))
     verified = counted.where(100 * F.col("n_common") >= percent * F.col("n_item"))
     return verified.select("doc_id", "item_id", "n_common", "n_item", (F.col("n_common") / F.col("n_item")).alias("containment"), "row")
@@ -189,4 +213,5 @@ def find(docs: DataFrame, items: DataFrame, percent: int = PERCENT, size: int =
 def without_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents that contain no test item."""
     found = find(docs, items, key=key, text=text, **options).select("row").distinct()
-    return docs.withColumn("_row", F.xxhash64(key, text)).join(found.withColumnRenamed("row", "_row"), "_row", "left_anti").drop("_row")
+    rows, place = common.numbered(docs)
+    return common.renamed(rows.withColumn("row", F.xxhash64(place[key], place[text])).join(found, "row", "left_anti"), place)
