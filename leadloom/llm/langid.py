@@ -66,6 +66,11 @@ def _learn_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])], ["label", "bucket", "n"])
 
 
+def _threshold(wanted: int, size: int) -> int:
+    """Largest 64-bit hash of a text that is drawn, so that about ``wanted`` of ``size`` are, whatever the size."""
+    return (1 << 63) - 1 if wanted >= size else (wanted << 64) // size - (1 << 63)
+
+
 def learn(labelled: DataFrame, sample_per_label: int = 20_000) -> tuple[list[str], np.ndarray]:
     """Labels and log probabilities (labels x ``BUCKETS`` + 1, the last column the prior) from ``key``, ``text``, ``label``."""
     rows = labelled.where(F.col("label").isNotNull() & F.col("text").isNotNull())
@@ -73,9 +78,8 @@ def learn(labelled: DataFrame, sample_per_label: int = 20_000) -> tuple[list[str
     if not sizes:
         return [], np.zeros((0, BUCKETS + 1))
     labels = sorted(sizes)
-    steps = 1 << 20
-    rate = F.create_map(*[F.lit(x) for name in labels for x in (name, int(min(1.0, sample_per_label / sizes[name]) * steps))])
-    chosen = rows.where(F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit(7)), F.lit(steps)) < rate[F.col("label")])
+    rate = F.create_map(*[x for name in labels for x in (F.lit(name), F.lit(_threshold(sample_per_label, sizes[name])).cast("long"))])
+    chosen = rows.where(F.xxhash64(F.col("key").cast("string"), F.lit(7)) <= rate[F.col("label")])
     counted = chosen.select("text", "label").mapInArrow(_learn_counts, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
     matrix = np.full((len(labels), BUCKETS), SMOOTHING)
     place = {name: i for i, name in enumerate(labels)}
