@@ -58,7 +58,7 @@ RULES = [
 # What is believed of the votes (good, bad; an abstention says nothing) before they are seen. A bad document
 # is bad in one way, so every kind of rule has a class of its own and the other rules may well find it good.
 PRIOR_GOOD, FIRST_GOOD, FIRST_OWN, FIRST_OTHER = 0.7, 0.007, 0.6, 0.02  # chance of a bad vote: good document, own kind, other kind
-FALSE_ALARMS = 0.02  # the share of good documents on which a rule may vote bad, at most
+TRUST = 1.0  # weight of what is believed of good documents (a Beta prior at FIRST_GOOD), as a share of all documents
 
 
 def _counts(batches: Iterator[pa.RecordBatch], text: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
@@ -145,13 +145,17 @@ def learn(codes: np.ndarray, counts: np.ndarray, rules: list[Rule] = RULES, roun
     """Posterior of "good" per code, and the model, by EM over the counted codes.
 
     Classes are "good" and a bad class for each kind of rule. The model has the share of every class and,
-    per class and rule, the chance that a vote is bad: the rule's accuracy there.
+    per class and rule, the chance that a vote is bad: the rule's accuracy there. An abstention carries no
+    weight. The good class has a Beta prior whose weight follows the corpus, so it stays what its name says at every
+    size; every round gains in likelihood times prior.
     """
     votes = (codes[:, None] // 3 ** np.arange(len(rules))) % 3
     good, bad, weight = (votes == GOOD).astype(float), (votes == BAD).astype(float), counts.astype(float)
     kinds = list(dict.fromkeys(r.kind for r in rules))
     rates = np.array([[FIRST_OWN if r.kind == kind else FIRST_OTHER for r in rules] for kind in kinds] + [[FIRST_GOOD] * len(rules)])
     shares = np.array([(1 - PRIOR_GOOD) / len(kinds)] * len(kinds) + [PRIOR_GOOD])
+    trust = TRUST * weight.sum()
+    gains: list[float] = []
     before, found = -np.inf, np.zeros((len(codes), len(shares)))
     for _ in range(rounds):
         logs = bad @ np.log(rates).T + good @ np.log1p(-rates).T + np.log(shares)
@@ -159,15 +163,18 @@ def learn(codes: np.ndarray, counts: np.ndarray, rules: list[Rule] = RULES, roun
         found = np.exp(logs - top)
         total = found.sum(axis=1, keepdims=True)
         found /= total
-        likelihood = float((weight * (top + np.log(total))[:, 0]).sum() / max(1.0, weight.sum()))
+        prior = trust * (FIRST_GOOD * np.log(rates[-1]) + (1 - FIRST_GOOD) * np.log1p(-rates[-1])).sum()
+        prior += 0.5 * (np.log(rates) + np.log1p(-rates)).sum() + 0.5 * np.log(shares).sum()
+        likelihood = float(((weight * (top + np.log(total))[:, 0]).sum() + prior) / max(1.0, weight.sum()))
+        gains.append(likelihood)
         if abs(likelihood - before) < tolerance:
             break
         before = likelihood
         mass = found.T * weight
-        rates = (mass @ bad + 0.5) / (mass @ (bad + good) + 1)
-        rates[-1] = np.minimum(rates[-1], FALSE_ALARMS)
+        held = np.array([0.0] * len(kinds) + [trust])[:, None]
+        rates = (mass @ bad + 0.5 + held * FIRST_GOOD) / (mass @ (bad + good) + 1 + held)
         shares = (mass.sum(axis=1) + 0.5) / (weight.sum() + 0.5 * len(shares))
-    return found[:, -1], {"shares": shares, "bad_vote": rates, "kinds": kinds}
+    return found[:, -1], {"shares": shares, "bad_vote": rates, "kinds": kinds, "gains": gains}
 
 
 def posteriors(counted: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
@@ -194,5 +201,5 @@ def quality(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
 def kept_rows(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept. Texts are read twice, to learn and to judge, rather than written beside their counts."""
     known = posteriors(count_texts(docs, text, []))
-    columns = docs.columns
-    return judge(count_texts(docs, text, columns), known).where("kept").select(*columns)
+    rows, place = common.numbered(docs)
+    return common.renamed(judge(count_texts(rows, place[text], list(place.values())), known).where("kept"), place)
