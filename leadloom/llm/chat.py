@@ -1,8 +1,10 @@
 """Chat formatting: records of any known layout to canonical turns, turns to marked text with a loss mask.
 
-*Schema fingerprinting.* A record is JSON. Its fingerprint is a hash of its sorted nested field paths (lists
-as ``[]``), and picks a declarative mapping that names where turns, roles and texts are found: no layout is
-guessed from contents, and a record of an unknown layout keeps its fingerprint and has no turns.
+*Schema fingerprinting.* A record is JSON. Its nested field paths (lists as ``[]``) are cut to those that a mapping
+names and hashed; the fingerprint picks the declarative mapping that says where turns, roles and texts are found.
+Further fields do not matter, and of several mappings that fit the one with the most required paths is taken. No
+layout is guessed from contents; a record of an unknown layout keeps the fingerprint of all its paths and has no
+turns. Contents in parts (a list of texts, or of objects with a ``text``) are the parts' texts, one after the other.
 
 *Template.* A turn is ``### role: text </turn>`` and a line end. Inside roles and texts a backslash is put
 before every backslash, ``###``, ``</turn>`` and, in roles, ``:``, so marks never occur there unescaped and
@@ -14,7 +16,9 @@ conversation of any length takes no more memory than its longest turn.
 
 Defined results: a null text is empty, a null role is empty and not trained on; a null conversation id is a
 conversation of its own. Turns equal in number are ordered by role and text, null numbers come first, and
-repeated rows are repeated turns. An empty table gives an empty result. Other columns are ignored.
+repeated rows are repeated turns. Text that is no JSON, or nested too deep to read, is a record without layout; halves of
+surrogate pairs become U+FFFD. Very long texts are read whole. An empty table gives an empty result. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -54,6 +58,8 @@ class Mapping:
 
 MAPPINGS = [
     Mapping("messages", ("messages[].role", "messages[].content"), turns="messages", role="role", text="content"),
+    Mapping("parts", ("messages[].role", "messages[].content[].text"), turns="messages", role="role", text="content"),
+    Mapping("listed", ("messages[].role", "messages[].content[]"), turns="messages", role="role", text="content"),
     Mapping("shared", ("conversations[].from", "conversations[].value"), turns="conversations", role="from", text="value"),
     Mapping("message", ("role", "content"), fields=(("content", "@role"),)),
     Mapping("prompt", ("prompt", "response"), ("system",), (("system", "system"), ("prompt", "user"), ("response", "assistant"))),
@@ -80,7 +86,7 @@ def field_paths(value, at: str = "") -> set[str]:
 
 
 def fingerprint(paths) -> str:
-    return hashlib.sha1("\n".join(sorted(paths)).encode()).hexdigest()[:16]
+    return hashlib.sha1("\n".join(sorted(paths)).encode("utf-8", "replace")).hexdigest()[:16]
 
 
 def registry(mappings: list[Mapping] = MAPPINGS) -> dict[str, Mapping]:
@@ -93,40 +99,65 @@ def registry(mappings: list[Mapping] = MAPPINGS) -> dict[str, Mapping]:
     return out
 
 
+def layout_of(paths: frozenset[str], mappings: list[Mapping], known: dict[str, Mapping]) -> tuple[Mapping | None, str]:
+    """Mapping whose fingerprint the paths have, once cut to those it names, and that fingerprint."""
+    for m in sorted(mappings, key=lambda m: -len(m.paths)):
+        mark = fingerprint(paths & {*m.paths, *m.optional})
+        if known.get(mark) is m:
+            return m, mark
+    return None, fingerprint(paths)
+
+
+_HALF = re.compile("[\ud800-\udfff]")
+
+
 def _texts(value) -> str:
-    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    if isinstance(value, list):
+        value = "".join(_texts(x.get("text") if isinstance(x, dict) else x) for x in value)
+    text = "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return _HALF.sub("\ufffd", text)
+
 
+def turns_of(record: dict, m: Mapping, roles: dict[str, str] = ROLES) -> list[tuple[str, str]]:
+    def named(role) -> str:
+        role = _texts(role)
+        return roles.get(role, role)
 
-def turns_of(record: dict, m: Mapping) -> list[tuple[str, str]]:
     if m.turns:
         for part in m.turns.split("."):
             record = record[part]
-        return [(ROLES.get(t.get(m.role), _texts(t.get(m.role))), _texts(t.get(m.text))) for t in record]
+        return [(named(t.get(m.role)), _texts(t.get(m.text))) for t in record if isinstance(t, dict)]
     added = {}
     for path, to in m.join:
         if record.get(path):
             added[to] = "\n\n" + _texts(record[path])
-    return [(_texts(record.get(role[1:])) if role[0] == "@" else role, _texts(record[path]) + added.get(path, "")) for path, role in m.fields if path in record]
+    return [(named(record.get(role[1:])) if role[0] == "@" else role, _texts(record[path]) + added.get(path, "")) for path, role in m.fields if path in record]
 
 
-def canonical_turns(records: DataFrame, record: str = "record", keep: list[str] | None = None, mappings: list[Mapping] = MAPPINGS) -> DataFrame:
+def canonical_turns(records: DataFrame, record: str = "record", keep: list[str] | None = None, mappings: list[Mapping] = MAPPINGS, roles: dict[str, str] = ROLES) -> DataFrame:
     """Rows of JSON text -> ``keep`` columns, ``layout`` (null: unknown), ``fingerprint`` and one row per turn:
-    ``part`` (its place in the record), ``role``, ``text``. A record without turns gives one row with null ``part``."""
+    ``part`` (its place in the record), ``role``, ``text``. A record without turns gives one row with null ``part``.
+    ``roles``: the canonical role for names that layouts use; others stay as they are."""
     keep = keep or []
     known = registry(mappings)
     rows = records.select(*keep, F.col(record).alias("_record"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        layouts: dict[frozenset, tuple] = {}
         for batch in batches:
             at, out = [], []
             for i, raw in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 try:
                     value = json.loads(raw) if raw is not None else None
-                except ValueError:
-                    value = None
-                mark = fingerprint(field_paths(value)) if isinstance(value, dict) else None
-                m = known.get(mark)
-                for part, (role, text) in enumerate(turns_of(value, m)) if m else ():
+                    paths = frozenset(field_paths(value)) if isinstance(value, dict) else None
+                except (ValueError, RecursionError):
+                    paths = None
+                if len(layouts) > 10_000:
+                    layouts.clear()
+                if paths is not None and paths not in layouts:
+                    layouts[paths] = layout_of(paths, mappings, known)
+                m, mark = layouts[paths] if paths is not None else (None, None)
+                for part, (role, text) in enumerate(turns_of(value, m, roles)) if m else ():
                     at.append(i)
                     out.append((m.name, mark, part, role, text))
                 if not m or not at or at[-1] != i:

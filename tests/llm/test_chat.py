@@ -38,6 +38,27 @@ def test_layouts_become_turns(spark):
     assert all(found[i] == [None, (None, None)] for i in range(10, 15))
 
 
+def test_further_fields_parts_and_malformed_records(spark):
+    deep = "[" * 100_000 + "]" * 100_000
+    records = [
+        json.dumps({"id": 7, "meta": {"lang": "en"}, "messages": [{"role": "user", "content": "u", "name": "x"}, {"role": "assistant", "content": None}], "source": None}),
+        json.dumps({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "image", "url": "u"}, {"type": "text", "text": "b"}]}]}),
+        json.dumps({"messages": [{"role": "user", "content": ["a", "b"]}, {"role": "gpt", "content": "c"}]}),
+        json.dumps({"role": "gpt", "content": "x"}), json.dumps({"prompt": "p", "completion": "c", "response": "r"}),
+        '{"role": "user", "content": "\\ud800 half \\ud83d\\ude00"}', '{"prompt": "p", "\\udfff": 1}', deep, '{"prompt": ' + deep + "}", '{"messages": [1, {"role": "user", "content": "u"}]}',
+    ]
+    found = turns(spark, records)
+    assert found[0] == ["messages", ("user", "u"), ("assistant", "")]
+    assert found[1] == ["parts", ("user", "ab")]
+    assert found[2] == ["messages", ("user", "ab"), ("assistant", "c")]
+    assert found[3] == ["message", ("assistant", "x")]
+    assert found[4] == ["prompt", ("user", "p"), ("assistant", "r")]
+    assert found[5] == ["message", ("user", "\ufffd half \U0001F600")]
+    assert found[6] == ["prompt_only", ("user", "p")]
+    assert found[7] == found[8] == [None, (None, None)]
+    assert found[9] == ["messages", ("user", "u")]
+
+
 def test_fingerprints_follow_paths_alone():
     paths = chat.field_paths({"a": [{"b": 1}, {"c": {"d": None}}], "e": "x"})
     assert paths == {"a[].b", "a[].c.d", "e"}
