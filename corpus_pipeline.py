@@ -28,36 +28,22 @@ from leadloom.llm import common, decontam, jaccard, mixing, quality  # noqa: E40
 from leadloom.llm.queries import toxic_scores  # noqa: E402
 
 
-def _renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with numbered columns, so that no name clashes with a stage's own, and the number of each name."""
-    place = {name: f"c{i}" for i, name in enumerate(docs.columns)}
-    return docs.toDF(*place.values()), place
-
-
-def _named(docs: DataFrame, place: dict[str, str]) -> DataFrame:
-    return docs.select(*[F.col(now).alias(name) for name, now in place.items()])
-
-
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows, place = _renamed(docs)
+    rows, place = common.numbered(docs)
     scored = toxic_scores(spark, rows, sf_dir, list(place.values()), key=place["doc_id"], text=place["text"])
-    return _named(scored.where(F.col("score") < 0.5), place)
+    return common.renamed(scored.where(F.col("score") < 0.5), place)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows, place = _renamed(docs)
-    return _named(quality.kept_rows(rows, place["text"]), place)
+    return quality.kept_rows(docs)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows, place = _renamed(docs)
-    return _named(jaccard.keep_one(rows, size=5, percent=80, key=place["doc_id"], text=place["text"]), place)
+    return jaccard.keep_one(docs, size=5, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows, place = _renamed(docs)
-    items = common.table(spark, sf_dir, "benchmark")
-    return _named(decontam.without_leaks(rows, items, key=place["doc_id"], text=place["text"]), place)
+    return decontam.without_leaks(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
