@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadloom import rules
 from leadloom.functions.phone import valid_phones
-from leadloom.functions.text import SEP, col_of, contains_any, first_of, let, lookup, null_if_empty, one_of, words
+from leadloom.functions.text import SEP, col_of, contains_any, first_of, hashed, let, null_if_empty, one_of, prefix_tree, words
 
 HIDDEN = (
     r"(?is)<!--.*?(?:-->|$)|<script\b[^>]*>.*?(?:</script\s*>|$)"
@@ -28,28 +28,36 @@ def squeeze_ends(c: Column) -> Column:
     return F.regexp_replace(c, OUTER_SPACE, "")
 
 
-def decode_entities(text: Column) -> Column:
+def decode_entities(text: Column, in_attribute: bool = False) -> Column:
     """Character references to characters, read once from left to right, so nothing is decoded twice.
 
-    A number that is no character becomes U+FFFD; an unknown name stays as it is.
+    All names of HTML are known; some may go without ``;``, of those the longest is read, in an attribute only if no letter,
+    digit or ``=`` follows. A number that is no character becomes U+FFFD; an unknown name stays as it is.
     """
+    known = hashed(rules.NAMED_ENTITIES)
+    open_names = prefix_tree([n for n in rules.NAMED_ENTITIES if not n.endswith(";")])
+    bare = rf"^({open_names}){'(?![A-Za-z0-9=])' if in_attribute else ''}"
 
     def character(code: Column) -> Column:
         real = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        return F.decode(F.unhex(F.lpad(F.hex(F.when(real, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+        exact = F.decode(F.unhex(F.lpad(F.hex(F.when(real, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+        return F.when(code.between(128, 159), F.get(words(rules.NUMBERED_ENTITIES), (code - 128).cast("int"))).otherwise(exact)
+
+    def numbered(part: Column) -> Column:
+        decimal = F.regexp_extract(part, r"^#([0-9]{1,18})(?![0-9])", 1)
+        hexa = F.regexp_extract(part, r"^#[xX]([0-9a-fA-F]{1,15})(?![0-9a-fA-F])", 1)
+        code = F.when(decimal != "", decimal.cast("long")).when(hexa != "", F.conv(hexa, 16, 10).cast("long"))
+        return F.concat(character(code), F.regexp_replace(part, r"^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", ""))
+
+    def named(part: Column) -> Column:
+        whole = F.regexp_extract(part, r"^([A-Za-z][A-Za-z0-9]{1,31};)", 1)
+        short = F.regexp_extract(part, bare, 1)
+        found = lambda name: F.concat(known(name), F.substr(part, F.length(name) + 1))
+        return F.coalesce(F.when(whole != "", let(whole, found)), F.when(short != "", let(short, found)), F.concat(F.lit("&"), part))
 
     def tail(part: Column) -> Column:
-        decimal = F.regexp_extract(part, r"^#([0-9]{1,18});", 1)
-        hexa = F.regexp_extract(part, r"^#[xX]([0-9a-fA-F]{1,15});", 1)
-        name = F.regexp_extract(part, r"^([A-Za-z][A-Za-z0-9]{1,31});", 1)
-        rest = F.regexp_replace(part, r"^[^;]*;", "")
-        return (
-            F.when(decimal != "", F.concat(character(decimal.cast("long")), rest))
-            .when(hexa != "", F.concat(character(F.conv(hexa, 16, 10).cast("long")), rest))
-            .otherwise(F.coalesce(F.concat(F.try_element_at(known, name), rest), F.concat(F.lit("&"), part)))
-        )
+        return F.when(F.startswith(part, F.lit("#")), F.coalesce(numbered(part), F.concat(F.lit("&"), part))).otherwise(named(part))
 
-    known = lookup(rules.NAMED_ENTITIES)
     parts = F.split(text, "&")
     read = F.concat(F.get(parts, 0), F.array_join(F.transform(F.slice(parts, 2, 1 << 30), tail), ""))
     return F.when(F.contains(text, F.lit("&")), read).otherwise(text)
@@ -60,7 +68,7 @@ def visible_text(html: Column | str) -> Column:
 
     def read(markup: Column) -> Column:
         bare = F.regexp_replace(F.regexp_replace(markup, HIDDEN, ""), TAG, GAP)
-        pieces = F.transform(F.split(let(bare, decode_entities), GAP), squeeze_ends)
+        pieces = F.transform(F.split(let(bare, lambda t: decode_entities(t)), GAP), squeeze_ends)
         joined = F.array_join(F.filter(pieces, lambda p: p != ""), " ")
         return F.when(F.contains(markup, F.lit("<")), joined).otherwise(squeeze_ends(decode_entities(markup)))
 
@@ -82,7 +90,7 @@ def anchors(html: Column | str) -> Column:
         linked,
         lambda a, i: F.struct(
             i.alias("pos"),
-            squeeze_ends(decode_entities(attribute(a, "href"))).alias("href"),
+            squeeze_ends(decode_entities(attribute(a, "href"), in_attribute=True)).alias("href"),
             visible_text(a).alias("text"),
         ),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leadloom import rules
-from leadloom.functions.text import contains_any, first_of, hits_in, let, lookup, null_if_empty, one_of, personal_email
+from leadloom.functions.text import among, contains_any, first_of, hits_in, let, lookup, null_if_empty, occurring, personal_email, words
 
 # Fixed value: how a person's name looks in Latin or Arabic letters.
 PERSON = (
@@ -15,65 +15,70 @@ PERSON = (
 )
 
 
-def has_store(low: Column) -> Column:
-    return contains_any(low, rules.STORE_MARKERS)
+SIGNALS = [
+    *[p for phrases in rules.COMPANY_TYPE_SIGNALS.values() for p in phrases], *rules.STRONG_FORWARDER, *rules.INTENT_SIGNALS, *rules.STORE_MARKERS,
+    *[p for phrases in rules.MARKET_SIGNALS.values() for p in phrases], *[t for titles in rules.ROLE_TITLES.values() for t in titles],
+]
 
 
-def company_type(low: Column, category: Column) -> Column:
+def phrases(low: Column) -> Column:
+    """All phrases of the rules that occur in a lower-cased text, read in one pass. Settle it before using it more than once.
+
+    The text is read between blanks, as some phrases are whole words by their blanks.
+    """
+    return occurring(F.concat(F.lit(" "), low, F.lit(" ")), SIGNALS)
+
+
+def has_store(found: Column) -> Column:
+    return among(found, rules.STORE_MARKERS)
+
+
+def company_type(found: Column, category: Column) -> Column:
     """Type with most phrase hits, earlier type on a tie.
 
     A forwarder by weak words only gives way to the best customer type; a text without any hit
     falls back to the category.
     """
-
-    def scores(text: Column) -> Column:
-        ranked = []
-        for order, (kind, phrases) in enumerate(rules.COMPANY_TYPE_SIGNALS.items()):
-            hits = F.size(hits_in(text, phrases))
-            if kind == "Ecommerce":
-                hits = hits + has_store(text).cast("int")
-            ranked.append(F.struct(hits.alias("hits"), F.lit(-order).alias("order"), F.lit(kind).alias("kind")))
-        strong = contains_any(text, rules.STRONG_FORWARDER)
-        return F.struct(F.array(*ranked).alias("ranked"), strong.alias("strong"))
-
-    def decide(found: Column) -> Column:
-        best = F.array_max(found["ranked"])
-        customer = F.array_max(F.filter(found["ranked"], lambda s: one_of(s["kind"], rules.CUSTOMER_TYPES)))
-        weak = (best["kind"] == "Freight Forwarder") & (customer["hits"] > 0) & ~found["strong"]
+    ranked = []
+    for order, (kind, own) in enumerate(rules.COMPANY_TYPE_SIGNALS.items()):
+        hits = F.size(F.array_intersect(found, words(own)))
+        if kind == "Ecommerce":
+            hits = hits + has_store(found).cast("int")
+        ranked.append(F.struct(hits.alias("hits"), F.lit(-order).alias("order"), F.lit(kind).alias("kind")))
+    customers = [r for r, kind in zip(ranked, rules.COMPANY_TYPE_SIGNALS) if kind in rules.CUSTOMER_TYPES]
+    scores = F.struct(F.greatest(*ranked).alias("best"), F.greatest(*customers).alias("customer"), among(found, rules.STRONG_FORWARDER).alias("strong"))
+
+    def decide(s: Column) -> Column:
+        weak = (s["best"]["kind"] == "Freight Forwarder") & (s["customer"]["hits"] > 0) & ~s["strong"]
         return (
-            F.when((best["hits"] > 0) & weak, customer["kind"])
-            .when(best["hits"] > 0, best["kind"])
+            F.when((s["best"]["hits"] > 0) & weak, s["customer"]["kind"])
+            .when(s["best"]["hits"] > 0, s["best"]["kind"])
             .when(contains_any(F.lower(category), ["freight", "forwarder"]), F.lit("Freight Forwarder"))
             .otherwise(F.lit("Unknown"))
         )
 
-    return let(let(low, scores), decide)
+    return let(scores, decide)
 
 
-def shipping_intent(low: Column, kind: Column) -> Column:
+def shipping_intent(found: Column, kind: Column) -> Column:
     """Points of all phrases present, shop bonus and base of the type, at most 100."""
-
-    def points(text: Column) -> Column:
-        total = F.when(has_store(text), F.lit(rules.STORE_INTENT_BONUS)).otherwise(0)
-        for value in sorted(set(rules.INTENT_SIGNALS.values())):
-            phrases = [p for p, v in rules.INTENT_SIGNALS.items() if v == value]
-            total = total + F.size(hits_in(text, phrases)) * value
-        return total
-
+    total = F.when(has_store(found), F.lit(rules.STORE_INTENT_BONUS)).otherwise(0)
+    for value in sorted(set(rules.INTENT_SIGNALS.values())):
+        total = total + F.size(F.array_intersect(found, words([p for p, v in rules.INTENT_SIGNALS.items() if v == value]))) * value
     base = F.coalesce(
         F.try_element_at(lookup({k: str(v) for k, v in rules.TYPE_BASE_INTENT.items()}), kind).cast("int"), F.lit(0)
     )
-    return F.least(let(low, points) + base, F.lit(rules.MAX_INTENT))
+    return F.least(total + base, F.lit(rules.MAX_INTENT))
 
 
-def intent_phrases(low: Column) -> Column:
-    return F.array_sort(let(low, lambda t: hits_in(t, list(rules.INTENT_SIGNALS))))
+def intent_phrases(found: Column) -> Column:
+    return F.array_sort(F.array_intersect(found, words(list(rules.INTENT_SIGNALS))))
 
 
 def platform_rank(low_markup: Column) -> Column:
     """Place in the rules of the first platform one of whose fingerprints occurs in the raw markup, from 1; null for none."""
     marks = list(rules.STORE_PLATFORMS.values())
-    return let(low_markup, lambda markup: F.coalesce(*[F.when(contains_any(markup, m), F.lit(i)) for i, m in enumerate(marks, 1)]))
+    return let(occurring(low_markup, [m for own in marks for m in own]), lambda found: F.coalesce(*[F.when(among(found, own), F.lit(i)) for i, own in enumerate(marks, 1)]))
 
 
 def platform_of_rank(rank: Column) -> Column:
@@ -82,24 +87,12 @@ def platform_of_rank(rank: Column) -> Column:
 
 def store_platform(low_markup: Column) -> Column:
     """First platform one of whose fingerprints occurs in the raw markup."""
+    return platform_of_rank(platform_rank(low_markup))
 
-    def first(markup: Column) -> Column:
-        return F.coalesce(
-            *[F.when(contains_any(markup, marks), F.lit(name)) for name, marks in rules.STORE_PLATFORMS.items()]
-        )
-
-    return let(low_markup, first)
 
-
-def markets(low: Column) -> Column:
+def markets(found: Column) -> Column:
     """Markets named in the text, in rule order."""
-
-    def named(text: Column) -> Column:
-        hits = [F.when(contains_any(text, marks), F.lit(m)) for m, marks in rules.MARKET_SIGNALS.items()]
-        return F.array_compact(F.array(*hits))
-
-    padded = F.concat(F.lit(" "), F.nullif(low, F.lit("")), F.lit(" "))
-    return F.coalesce(let(padded, named), F.array().cast("array<string>"))
+    return F.array_compact(F.array(*[F.when(among(found, marks), F.lit(m)) for m, marks in rules.MARKET_SIGNALS.items()]))
 
 
 def site_intent(intent: Column, found_markets: Column, store: Column) -> Column:
@@ -109,11 +102,11 @@ def site_intent(intent: Column, found_markets: Column, store: Column) -> Column:
     return F.least(intent + rules.MARKET_INTENT_BONUS * foreign + bonus, F.lit(rules.MAX_INTENT))
 
 
-def decision_maker(text: Column, emails: Column) -> Column:
-    """(name, role, email) of the strongest role named in the text; null when none is."""
+def decision_maker(text: Column, emails: Column, found: Column) -> Column:
+    """(name, role, email) of the strongest role named in the text; null when none is. ``found``: its ``phrases``."""
     titles = [t for words_ in rules.ROLE_TITLES.values() for t in words_]
     roles = lookup({t: role for role, words_ in rules.ROLE_TITLES.items() for t in words_})
-    title = let(F.lower(text), lambda t: first_of(hits_in(t, titles)))
+    title = first_of(F.array_intersect(words(titles), found))
 
     def near(title: Column) -> Column:
         quoted = F.concat(F.lit(r"\Q"), title, F.lit(r"\E"))
@@ -159,10 +152,10 @@ def country_named(address: Column, country: Column, name: Column, wanted: str) -
 def search_text(category: Column, role: Column, place: Column, country: Column) -> Column:
     """Search phrase of a request: category, role word, place, country."""
     empty = F.lit("")
-    words = F.coalesce(role, empty)
-    phrase = F.lower(words)
+    named = F.coalesce(role, empty)
+    phrase = F.lower(named)
     for name, word in rules.ROLE_WORDS.items():
-        phrase = F.when(words == name, F.lit(word)).otherwise(phrase)
+        phrase = F.when(named == name, F.lit(word)).otherwise(phrase)
     what = F.concat_ws(" ", null_if_empty(category), null_if_empty(phrase))
     what = F.when(what == "", F.lit("companies")).otherwise(what)
     where = F.when(F.coalesce(place, empty) != "", F.concat(F.lit(" in "), place)).otherwise(empty)

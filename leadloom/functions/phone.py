@@ -1,8 +1,9 @@
 """Phone numbers to E.164 by numbering plans.
 
-The regions of ``rules.NUMBERING`` have a full plan; numbers of all other countries, written with ``+`` or
-``00``, are checked by calling code and length (``rules.WORLD_LENGTHS``). An extension after the number is
-left out; vanity letters are not read.
+The regions of ``rules.NUMBERING`` have a full plan; numbers of other countries, written with ``+`` or ``00``, are
+checked by calling code, leading digits (``rules.WORLD_LEADING``) and length (``rules.WORLD_LENGTHS``). All plans are one
+pattern, a tree of the digits of calling codes, so a number is only held against the plan of its own code. An
+extension after the number is left out; vanity letters are not read.
 """
 
 from __future__ import annotations
@@ -16,9 +17,26 @@ from leadloom.functions.text import col_of, let
 ARABIC_DIGITS = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹"
 LATIN_DIGITS = "01234567890123456789"
 TRUNK_CODES = "|".join([code for code, trunk, _ in rules.NUMBERING.values() if trunk] + [c for c in rules.WORLD_LENGTHS if c not in rules.KEEP_ZERO])
-WORLD = [f"{code}(?:{plan})" for code, _, plan in rules.NUMBERING.values()]
-WORLD += [f"{code}\\d{{{a},{b}}}" if code in rules.KEEP_ZERO else f"{code}[1-9]\\d{{{a - 1},{b - 1}}}" for code, (a, b) in rules.WORLD_LENGTHS.items()]
-INTERNATIONAL = "^(?:" + "|".join(WORLD) + ")$"
+
+
+def _plans() -> dict[str, str]:
+    """Calling code -> pattern of national numbers."""
+    out = {code: plan for code, _, plan in rules.NUMBERING.values()}
+    for code, (low, high) in rules.WORLD_LENGTHS.items():
+        first = rules.WORLD_LEADING.get(code, r"\d" if code in rules.KEEP_ZERO else "[1-9]")
+        out[code] = rf"(?=(?:{first}))\d{{{low},{high}}}"
+    return out
+
+
+def _digit_tree(plans: dict[str, str]) -> str:
+    """One pattern for all codes: a branch a digit, at its end the plan, beside it longer codes."""
+    ways = [f"(?:{plans['']})$"] if "" in plans else []
+    for digit in sorted({code[0] for code in plans if code}):
+        ways.append(digit + _digit_tree({code[1:]: plan for code, plan in plans.items() if code[:1] == digit}))
+    return f"(?:{'|'.join(ways)})" if len(ways) > 1 else ways[0]
+
+
+INTERNATIONAL = "^" + _digit_tree(_plans())
 EXTENSION = r"(?i)[\s,;]*(?:ext\.?|extension|x|#|;ext=)[\s.:=]*\d{1,7}\s*$"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ def has_value(c: Column | str) -> Column:
     return c.isNotNull() & (c != "")
 
 
-SEP, SUB = "\u0001", "\u0002"
+SEP, SUB, SLOT = "\u0001", "\u0002", "\u0003"
 
 
 def words(values: list[str]) -> Column:
@@ -49,6 +51,23 @@ def lookup(pairs: dict[str, str]) -> Column:
     return F.str_to_map(F.lit(SEP.join(f"{k}{SUB}{v}" for k, v in pairs.items())), F.lit(SEP), F.lit(SUB))
 
 
+def hashed(pairs: dict[str, str], slots: int = 1024):
+    """Look-up in a long fixed table: ``hashed(pairs)(key)`` is the value, null where there is none.
+
+    The table is an array of slots by the key's checksum with a few entries each, so a look-up does not walk through it.
+    """
+    cells = [""] * slots
+    for key, value in pairs.items():
+        cells[zlib.crc32(key.encode()) % slots] += f"{SEP}{key}{SUB}{value}{SEP}"
+    table = F.split(F.lit(SLOT.join(cells)), SLOT)
+
+    def of(key: Column) -> Column:
+        cell = F.get(table, (F.crc32(key.cast("binary")) % slots).cast("int"))
+        return null_if_empty(F.split_part(F.split_part(cell, F.concat(F.lit(SEP), key, F.lit(SUB)), F.lit(2)), F.lit(SEP), F.lit(1)))
+
+    return of
+
+
 def settle(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
     """Add or replace columns that are computed once per row.
 
@@ -80,6 +99,45 @@ def hits_in(text: Column, needles: list[str]) -> Column:
     return F.filter(words(needles), lambda needle: F.contains(text, needle))
 
 
+def prefix_tree(phrases: list[str]) -> str:
+    """One pattern that takes the longest of the phrases at a place."""
+    tree: dict = {}
+    for phrase in phrases:
+        node = tree
+        for letter in phrase:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        ways = [(letter if letter.isalnum() or letter == " " else rf"\x{{{ord(letter):x}}}") + pattern(below) for letter, below in sorted(node.items()) if letter]
+        if not ways:
+            return ""
+        return (f"(?:{'|'.join(ways)})" if len(ways) > 1 or "" in node else ways[0]) + ("?" if "" in node else "")
+
+    return pattern(tree)
+
+
+def occurring(text: Column, phrases: list[str]) -> Column:
+    """The phrases that occur in ``text``, overlapping ones too: one pass, whatever their number.
+
+    At every place the longest phrase is taken from a prefix tree, without moving on by more than a letter; a fixed table
+    adds the phrases that begin it. Any other phrase inside it begins at a place of its own.
+    """
+    phrases = sorted(set(phrases))
+    first = "".join(sorted({p[0] for p in phrases}))
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=[{first}])(?=({prefix_tree(phrases)}))"), F.lit(1)))
+    inside = {p: [q for q in phrases if p.startswith(q)] for p in phrases}
+    longer = [x for p, own in inside.items() if len(own) > 1 for x in (F.lit(p), words(own))]
+    if longer:
+        found = F.array_distinct(F.flatten(F.transform(found, lambda p: F.coalesce(F.try_element_at(F.create_map(*longer), p), F.array(p)))))
+    return F.coalesce(found, F.array().cast("array<string>"))
+
+
+def among(found: Column, phrases: list[str]) -> Column:
+    """True when one of the phrases was found."""
+    return F.arrays_overlap(found, words(list(phrases)))
+
+
 def one_of(value: Column, values: list[str]) -> Column:
     """True when the value is in the list; false for null."""
     if not values:

@@ -88,22 +88,22 @@ def site_intel(collected: DataFrame, category: str | None = None) -> DataFrame:
     """Type, intent, shop, markets and decision-maker of each site; ``category`` names a column to keep."""
     cat = F.lit(None).cast("string") if category is None else F.col(category)
     kept = [category] if category else []
-    low = tx.settle(collected, {"_low": F.lower("text")})
+    low = tx.settle(collected, {"_found": intel.phrases(F.lower("text"))})
     typed = tx.settle(
         low,
         {
-            "site_type": intel.company_type(F.col("_low"), cat),
-            "_store": intel.has_store(F.col("_low")),
-            "markets": intel.markets(F.col("_low")),
-            "contact": intel.decision_maker(F.col("text"), F.col("emails")),
-            "signals": intel.intent_phrases(F.col("_low")),
+            "site_type": intel.company_type(F.col("_found"), cat),
+            "_store": intel.has_store(F.col("_found")),
+            "markets": intel.markets(F.col("_found")),
+            "contact": intel.decision_maker(F.col("text"), F.col("emails"), F.col("_found")),
+            "signals": intel.intent_phrases(F.col("_found")),
         },
     )
     return typed.select(
         "site", *kept, "pages_read", "emails", "phones", "whatsapp", "facebook", "linkedin", "markets", "signals",
         "site_type", "site_platform",
         intel.site_intent(
-            intel.shipping_intent(F.col("_low"), F.col("site_type")), F.col("markets"), F.col("_store")
+            intel.shipping_intent(F.col("_found"), F.col("site_type")), F.col("markets"), F.col("_store")
         ).alias("site_intent"),
         (F.col("_store") | F.col("site_platform").isNotNull()).alias("site_store"),
         F.col("contact.name").alias("site_contact_name"),

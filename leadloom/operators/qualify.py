@@ -68,15 +68,16 @@ def normalize(df: DataFrame, region: str = rules.DEFAULT_REGION, country: str =
 def classify(df: DataFrame) -> DataFrame:
     """Company type, intent and competitor flag from the description, else the category."""
     described = tx.has_value("description") | tx.has_value("category")
-    low = F.lower(F.coalesce(F.col("description"), F.lit("")))
+    found = F.col("_found")
+    df = tx.settle(df, {"_found": intel.phrases(F.lower(F.coalesce(F.col("description"), F.lit(""))))})
     df = tx.settle(
         df,
         {
-            "company_type": F.when(described, intel.company_type(low, F.col("category"))),
-            "has_online_store": F.when(intel.has_store(low), F.lit(True)).otherwise(F.col("has_online_store")),
+            "company_type": F.when(described, intel.company_type(found, F.col("category"))),
+            "has_online_store": F.when(intel.has_store(found), F.lit(True)).otherwise(F.col("has_online_store")),
         },
     )
-    return tx.settle(df, {"shipping_intent": F.when(described, intel.shipping_intent(low, F.col("company_type")))})
+    return tx.settle(df, {"shipping_intent": F.when(described, intel.shipping_intent(found, F.col("company_type")))}).drop("_found")
 
 
 ENRICHED_DEFAULTS = {

@@ -128,25 +128,25 @@ def company_intel(spark, d):
     return classified(spark, d).select(
         "pos", "company_type", "shipping_intent", F.coalesce("has_online_store", F.lit(False)).alias("store"),
         (F.col("company_type") == "Freight Forwarder").alias("is_competitor"),
-        F.array_join(intel.intent_phrases(low), ",").alias("signals"),
+        F.array_join(intel.intent_phrases(intel.phrases(low)), ",").alias("signals"),
     )
 
 
 def document_intel(spark, d):
     """Type, intent, markets and platform read from whole documents."""
     low = F.lower(F.concat_ws(" ", "text", "source"))
-    docs = table(spark, d, "documents").withColumn("low", low)
-    docs = docs.withColumn("company_type", intel.company_type(F.col("low"), F.col("source")))
+    docs = tx.settle(table(spark, d, "documents").select("doc_id", "source", low.alias("low")), {"found": intel.phrases(F.col("low"))})
+    docs = docs.withColumn("company_type", intel.company_type(F.col("found"), F.col("source")))
     return docs.select(
-        "doc_id", "company_type", intel.shipping_intent(F.col("low"), F.col("company_type")).alias("intent"),
-        F.array_join(intel.markets(F.col("low")), ",").alias("markets"), intel.store_platform(F.col("low")).alias("platform"),
+        "doc_id", "company_type", intel.shipping_intent(F.col("found"), F.col("company_type")).alias("intent"),
+        F.array_join(intel.markets(F.col("found")), ",").alias("markets"), intel.store_platform(F.col("low")).alias("platform"),
     )
 
 
 def target_markets(spark, d):
     """Markets of listings from address, category and description together."""
     blob = F.lower(F.concat_ws(" ", "description", "category", "country"))
-    return raw_listings(spark, d).select("pos", F.array_join(intel.markets(blob), ",").alias("markets"))
+    return raw_listings(spark, d).select("pos", F.array_join(intel.markets(intel.phrases(blob)), ",").alias("markets"))
 
 
 def store_platform(spark, d):

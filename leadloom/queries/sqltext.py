@@ -34,7 +34,8 @@ def e164(raw: str, region: str = rules.DEFAULT_REGION) -> str:
     code, trunk, plan = rules.NUMBERING[region]
     trunks = "|".join([c for c, t, _ in rules.NUMBERING.values() if t] + [c for c in rules.WORLD_LENGTHS if c not in rules.KEEP_ZERO])
     world = "|".join([f"{c}(?:{p})" for c, _, p in rules.NUMBERING.values()]
-                     + [f"{c}\\d{{{a},{b}}}" if c in rules.KEEP_ZERO else f"{c}[1-9]\\d{{{a - 1},{b - 1}}}" for c, (a, b) in rules.WORLD_LENGTHS.items()])
+                     + [f"{c}\\d{{{a},{b}}}" for c, (a, b) in rules.WORLD_LENGTHS.items()])
+    leading = "|".join([c for c, _, _ in rules.NUMBERING.values()] + [f"{c}(?:{rules.WORLD_LEADING.get(c, '[0-9]' if c in rules.KEEP_ZERO else '[1-9]')})" for c in rules.WORLD_LENGTHS])
     home = "regexp_replace(x.d, '^0', '')" if trunk else "x.d"
     abroad = f"regexp_replace(CASE WHEN x.w LIKE '+%' THEN x.d ELSE substr(x.d, 3) END, '^({trunks})0', '\\1')"
     bare = f"regexp_replace(x.d, '^({code})0', '\\1')"
@@ -42,7 +43,7 @@ def e164(raw: str, region: str = rules.DEFAULT_REGION) -> str:
     return (
         f"list_transform([{{'w': {written}, 'd': regexp_replace({written}, '[^0-9]', '', 'g')}}], lambda x: "
         f"CASE WHEN length(x.d) > 17 OR regexp_matches(x.w, '(?:[A-Za-z][^A-Za-z]*){{3}}') THEN NULL "
-        f"WHEN x.w LIKE '+%' OR x.d LIKE '00%' THEN CASE WHEN regexp_full_match({abroad}, '(?:{world})') THEN '+' || {abroad} END "
+        f"WHEN x.w LIKE '+%' OR x.d LIKE '00%' THEN CASE WHEN regexp_full_match({abroad}, '(?:{world})') AND regexp_matches({abroad}, '^(?:{leading})') THEN '+' || {abroad} END "
         f"WHEN regexp_full_match({home}, '(?:{plan})') THEN '+{code}' || {home} "
         f"WHEN regexp_full_match({bare}, '{code}(?:{plan})') THEN '+' || {bare} END)[1]"
     )
@@ -215,7 +216,7 @@ def visible_text(html: str) -> str:
     )
     bare = f"regexp_replace(regexp_replace({html}, '{hidden}', '', 'g'), '<[/!?a-zA-Z][^>]*>', chr(1), 'g')"
     for name in "lt gt quot apos nbsp copy reg trade middot bull hellip ndash mdash lsquo rsquo ldquo rdquo laquo raquo times deg euro pound eacute egrave agrave ouml uuml auml szlig ntilde".split():  # those the pages may hold
-        bare = f"replace({bare}, '&{name};', {q(rules.NAMED_ENTITIES[name])})"
+        bare = f"replace({bare}, '&{name};', {q(rules.NAMED_ENTITIES[name + ';'])})"
     bare = f"replace({bare}, '&amp;', '&')"
     ends = "'^[\\s\\x{00A0}]+|[\\s\\x{00A0}]+$'"
     return f"array_to_string(list_filter(list_transform(string_split({bare}, chr(1)), lambda p: regexp_replace(p, {ends}, '', 'g')), lambda p: p <> ''), ' ')"

@@ -167,7 +167,7 @@ def decision_makers(spark, d):
         "WHEN 4 THEN concat('Products of company ', k) ELSE 'the owner' END AS text",
         "IF(k % 3 = 0, array('info@x.com', concat('p', k, '@x.com')), array('Sales@x.com', 'office@x.com')) AS emails",
     )
-    rows = tx.settle(rows, {"c": intel.decision_maker(F.col("text"), F.col("emails"))})
+    rows = tx.settle(rows, {"c": intel.decision_maker(F.col("text"), F.col("emails"), intel.phrases(F.lower("text")))})
     return rows.select("k", F.col("c.name").alias("name"), F.col("c.role").alias("role"), F.col("c.email").alias("email"))
 
 

@@ -7,7 +7,7 @@ and fixed in size; nothing grows with the data.
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5
 
 # --------------------------------------------------------------------------- fixed values
 # Business categories and the search keywords of each.
@@ -356,12 +356,23 @@ WORLD_LENGTHS: dict[str, tuple[int, int]] = {
     "682": (5, 5), "683": (4, 7), "686": (5, 8), "688": (5, 7), "690": (4, 7), "691": (7, 7), "692": (7, 7), "850": (8, 10),
     "22901": (8, 8),  # the ten digits of today, beside the eight of before
 }
+# Codes of no country: freephone, shared cost, satellite, personal and premium numbers.
+WORLD_LENGTHS |= {"800": (8, 8), "808": (8, 8), "870": (9, 12), "878": (12, 12), "881": (8, 10), "882": (7, 12), "883": (7, 15), "979": (9, 9)}
+# Leading digits of national numbers, where not just any but zero will do.
+WORLD_LEADING: dict[str, str] = {
+    "1": r"[2-9][0-8]\d[2-9]", "7": "[3-9]", "27": "[1-8]", "30": "[25-9]", "31": "[1-9]", "32": "[1-9]", "33": "[1-9]", "34": "[5-9]", "36": "[1-9]", "40": "[237-9]", "41": "[2-9]",
+    "44": "[1-357-9]", "45": "[2-9]", "47": "[2-9]", "48": "[1-9]", "51": "[14-9]", "52": "[2-9]", "55": r"[1-9][1-9]|[1-9]0", "56": "[2-9]", "60": "[1-9]", "61": "[1-578]", "65": "[3689]",
+    "66": "[1-9]", "81": "[1-9]", "84": "[1-9]", "86": "1[03-9]|[2-9]", "90": "[2-58]", "91": "[1-9]", "98": "[1-9]", "212": "[5-8]", "213": "[1-9]", "216": "[2-57-9]", "233": "[235]",
+    "234": "[1-9]", "254": "[1-9]", "351": "[2-9]", "380": "[3-9]", "420": "[2-9]", "852": "[2-9]", "961": "[1-9]", "963": "[1-59]", "964": "[1-7]", "967": "[1-7]", "968": "[1-9]",
+    "970": "[2-59]|1[78]", "972": "[1-57-9]", "973": "[136-9]", "881": "[0-36-9]", "800": r"\d", "808": r"\d", "870": "[35-7]", "878": "10", "882": r"[13]", "883": r"\d", "979": r"\d",
+}
 # Codes whose national numbers keep a leading zero.
-KEEP_ZERO = ("39", "378", "225", "229", "22901", "242")
+KEEP_ZERO = ("39", "378", "225", "229", "22901", "242", "800", "808", "870", "878", "881", "882", "883", "979")
 DEFAULT_REGION = "EG"
 DEFAULT_COUNTRY = "Egypt"
 
-# Named character references decoded in page text.
-# Named character references: the standard library's table of HTML names, and the one that XML adds.
-NAMED_ENTITIES = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
+# Named character references: the standard library's table of HTML names, with ``;`` where one has to follow.
+NAMED_ENTITIES = html5
+# What the numbers 128 to 159 stand for in pages: the characters of that code page, itself where it has none.
+NUMBERED_ENTITIES = [bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)]
 # --------------------------------------------------------------------- end of fixed values

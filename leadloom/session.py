@@ -43,14 +43,14 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: computed once, lineage forgotten.
+def cut(df: DataFrame, codec: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: computed once, lineage forgotten. ``codec``: of Parquet, by default the session's.
 
     A columnar table rather than a checkpoint: it is compressed, later reads take only the columns
     they need, and its size is known when the next join is planned. It survives lost executors.
     """
     path = shared_path(df.sparkSession, "cut")
-    df.write.parquet(path)
+    (df.write if codec is None else df.write.option("compression", codec)).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out

@@ -27,7 +27,7 @@ from leadloom.session import cut, drop_cut
 
 VERSION, PART = "version=", "part="
 KEPT_VERSIONS = 2
-BUCKETS = 64   # of a new table; choose so that a bucket of the grown table is some hundred MB
+BUCKETS = 16   # of a new table; choose so that a bucket of the grown table is some hundred MB
 FANOUT = 4     # parts at the end that are merged together
 KEYS = {"phone": "p", "domain": "d", "name": "n"}
 RUN_ONLY = ("created", "sightings")

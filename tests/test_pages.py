@@ -45,6 +45,21 @@ def test_social(spark):
     assert read(spark, "<a href='https://facebook.com/plugins/like.php'>x</a>").social == {}
 
 
+def test_names_of_html(values):
+    import html
+
+    cases = ["info&commat;firm&period;com", "&copy 2020", "&copyx; &copy;", "a &amp;lt; b", "&notit; &notin; &no", "&CounterClockwiseContourIntegral;&NotEqualTilde;", "&#64;&#x40;&#64 x&#128;&#x9f;&#0;&#xD800;&#1114112;",
+             "&AMP&lt&quot", "&unknown; & &; &&amp;", "&ampamp;", "5 &lt 6 &gt 4", "&Tab;x&NewLine;y"]
+    assert values(h.decode_entities, cases) == [html.unescape(c) for c in cases]
+    links = ["/x?a=1&copy=2&amp;lt=3", "/x?a=1&copy;2", "/x?a&ampb", "/x?a&amp"]
+    assert values(lambda t: h.decode_entities(t, in_attribute=True), links) == ["/x?a=1&copy=2&lt=3", "/x?a=1\u00a92", "/x?a&ampb", "/x?a&"]
+    assert read_mail(values, "<p>info&commat;firm&period;com</p>") == ["info@firm.com"]
+
+
+def read_mail(values, page):
+    return values(lambda x: h.emails_of(x, h.anchors(x), h.visible_text(x)), [page])[0]
+
+
 def test_text_and_entities(spark):
     r = read(spark, "<html><style>p{}</style><script>var t='</p>';</script><!-- no --><p> A &amp; B </p><p>&#1605;&#x41;&nbsp;</p>&amp;lt; <b>x</b></html>")
     assert r.text == "A & B مA &lt; x"

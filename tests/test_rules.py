@@ -12,7 +12,7 @@ from leadloom.operators import qualify as ql
 
 def classify(spark, text, category=None):
     df = spark.createDataFrame([(text, category)], "description string, category string")
-    low = F.lower(F.coalesce("description", F.lit("")))
+    low = intel.phrases(F.lower(F.coalesce("description", F.lit(""))))
     df = df.withColumn("kind", intel.company_type(low, F.col("category")))
     return df.select("kind", intel.shipping_intent(low, F.col("kind")).alias("intent"), intel.has_store(low).alias("store"), intel.intent_phrases(low).alias("signals")).first()
 
@@ -28,16 +28,31 @@ def test_company_types(spark):
     assert classify(spark, "shop now").store and classify(spark, "we import and export").signals == ["export", "import", "we import"]
 
 
+def test_phrases_equal_a_search_for_each(values):
+    import random
+
+    from leadloom.functions import text as tx
+
+    rng = random.Random(1)
+    known = ["ab", "abc", "abcd", "bc", "cab", "c.b", " a", "b ", "aaa", "aa", "cabc", "d+"]
+    texts = ["".join(rng.choice("aaabbcd. +") for _ in range(rng.randint(0, 60))) for _ in range(300)] + ["abcabcd", "aaaa", ""]
+    assert [sorted(x) for x in values(lambda t: tx.occurring(t, known), texts)] == [sorted(p for p in known if p in t) for t in texts]
+    real = [*rng.choices(intel.SIGNALS, k=300), "we exportimporter", "freight forwardering", "export managerexport manager", "تخليص جمركي"]
+    glued = ["".join(rng.choices(real, k=4)) for _ in range(200)]
+    assert [sorted(x) for x in values(intel.phrases, glued)] == [sorted({p for p in intel.SIGNALS if p in f" {t} "}) for t in glued]
+    assert values(intel.phrases, [None]) == [[]]
+
+
 def test_platforms_and_markets(values):
     marks = ["<script src='cdn.shopify.com/x'>", "/wp-content/plugins/woocommerce/x.css", "powered by salla.sa", "zid.store", "plain", None]
     assert values(intel.store_platform, marks) == ["Shopify", "WooCommerce", "Salla", "Zid", None, None]
-    assert values(intel.markets, ["saudi arabia, uae, europe, egypt", "", None, "our eu office"]) == [["GCC", "Europe", "Local (Egypt)"], [], [], ["Europe"]]
+    assert values(lambda low: intel.markets(intel.phrases(low)), ["saudi arabia, uae, europe, egypt", "", None, "our eu office"]) == [["GCC", "Europe", "Local (Egypt)"], [], [], ["Europe"]]
 
 
 def test_decision_maker(spark):
     rows = [("Ahmed Hassan - Export Manager. For logistics contact Mona Ali.", ["info@co.com", "ahmed@co.com"]), ("للتواصل مع مدير التصدير", []),
             ("just a homepage", ["a@b.c"]), ("Managing Director: Sara Nabil.", ["sales@x.com"])]
-    df = spark.createDataFrame(rows, "t string, e array<string>").select(intel.decision_maker(F.col("t"), F.col("e")).alias("c"))
+    df = spark.createDataFrame(rows, "t string, e array<string>").select(intel.decision_maker(F.col("t"), F.col("e"), intel.phrases(F.lower("t"))).alias("c"))
     got = [tuple(r.c) if r.c else None for r in df.collect()]
     assert got == [("Ahmed Hassan", "Export Manager", "ahmed@co.com"), (None, "Export Manager", None), None, ("Sara Nabil.", "Owner / CEO", None)]
 

@@ -21,6 +21,13 @@ def test_phone(values):
     assert values(e164, list(cases)) == list(cases.values())
 
 
+def test_invalid_foreign_numbers(values):
+    bad = ["+1 123 456 7890", "+1 212 123 4567", "+7 1000000000", "+34 112345678", "+44 4123456789", "+90 1234567890", "+212 123456789", "+800 1234", "+999 12345678", "+888 12345678"]
+    good = ["+1 212 555 4567", "+7 9161234567", "+34 612345678", "+44 7912345678", "+90 5321234567", "+212 612345678", "+800 1234 5678", "+881 631 555 123", "+870 773 111 632", "+33 1 42 68 53 00", "+86 139 1234 5678"]
+    assert values(e164, bad) == [None] * len(bad)
+    assert values(e164, good) == ["+" + "".join(c for c in x if c.isdigit()) for x in good]
+
+
 def test_phone_of_every_calling_code(values):
     numbers = """
     +12015550123 +78123456789 +27101234567 +302123456789 +31101234567 +3212345678 +33123456789 +34810123456 +3611234567 +390212345678 +40211234567
@@ -41,7 +48,8 @@ def test_phone_of_every_calling_code(values):
     +68820123 +68940412345 +6903010 +6913201234 +6922471234 +85021123456 +85221234567 +85328212345 +85523756789 +85621212862 +88027111234 +886221234567
     +9606701234 +9611123456 +96315213456 +96412345678 +9671234567 +96823123456 +97022234567 +97221234567 +97317001234 +9752345678 +97653123456
     +97714567890 +992372123456 +99312345678 +994123123456 +995322123456 +996312123456 +998612345678 +201001234567 +966512345678 +971501234567 +96522345678
-    +97444123456 +96262001234 +218912345678 +249912345678
+    +97444123456 +96262001234 +218912345678 +249912345678 +80012345678 +80812345678 +870773111632 +878101234567890
+    +881612345678 +8823421234 +883510012345 +979123456789
     """.split()
     codes = {code for code, _, _ in rules.NUMBERING.values()} | set(rules.WORLD_LENGTHS)
     assert not [c for c in codes if not any(n.startswith("+" + c) for n in numbers)]
