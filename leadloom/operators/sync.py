@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom import rules
 from leadloom.functions import text as tx
 from leadloom.functions.phone import e164
+from leadloom.sources import key_index
 
 
 def export_table(leads: DataFrame) -> DataFrame:
@@ -145,18 +146,36 @@ def append_counts(flagged: DataFrame) -> DataFrame:
     )
 
 
+def index_feed(spark: SparkSession, feed_path: str, done: list[key_index.Part] | None = None) -> tuple[str, list[key_index.Part]]:
+    """Bring the key index beside a feed up to date and return its path and parts: only files it does not name yet are read."""
+    index = f"{feed_path.rstrip('/')}.keys"
+    done = key_index.parts(spark, index) if done is None else done
+    covered = {f for p in done for f in p.files}
+    fresh = [n for n in key_index.names(spark, feed_path, "part-") if n not in covered]
+    if fresh:
+        rows = spark.read.option("mergeSchema", "true").parquet(*[f"{feed_path}/{n}" for n in fresh])
+        done = key_index.add(spark, index, known_keys([rows]), fresh, [c for c in rows.columns if c != "lead_id"], done)
+    return index, done
+
+
+def _flagged(leads: DataFrame, index: str, done: list[key_index.Part], other_tabs: list[DataFrame]) -> DataFrame:
+    asked = leads.where(~F.coalesce("pushed_to_sheet", F.lit(False))).select(F.explode(lead_keys()).alias("key"))
+    known = key_index.known(leads.sparkSession, index, asked, done)
+    return flag_new(leads, known.union(known_keys(other_tabs)) if other_tabs else known)
+
+
+def flag_new_for(leads: DataFrame, feed_path: str, other_tabs: list[DataFrame]) -> DataFrame:
+    """``flag_new`` against a feed and other tabs: of the feed only the buckets are read that may hold the leads' keys."""
+    return _flagged(leads, *index_feed(leads.sparkSession, feed_path), other_tabs)
+
+
 def append_new(leads: DataFrame, feed_path: str, other_tabs: list[DataFrame], today: Column, header: list[str] | None = None) -> None:
-    """Append the new leads to the feed table; rows already there are never touched.
+    """Append the new leads to the feed table; rows already there are never touched, nor read.
 
-    The feed is read for its keys before writing; later columns are added at the end.
+    Keys are looked up in the index beside the feed; columns are those of the last append, later ones at the end.
     """
     spark = leads.sparkSession
-    try:
-        feed = spark.read.option("mergeSchema", "true").parquet(feed_path)
-        tabs, columns = [feed, *other_tabs], [c for c in feed.columns if c != "lead_id"]
-    except Exception as exc:  # no feed written yet
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
-        tabs, columns = other_tabs, header
-    chosen = new_leads(leads, known_keys(tabs)) if tabs else leads.where(~F.coalesce("pushed_to_sheet", F.lit(False)))
-    aligned_rows(chosen, full_header(columns), today).write.mode("append").parquet(feed_path)
+    index, done = index_feed(spark, feed_path)
+    chosen = _flagged(leads, index, done, other_tabs).where("is_new").drop("is_new")
+    aligned_rows(chosen, full_header(done[-1].columns if done else header), today).write.mode("append").parquet(feed_path)
+    index_feed(spark, feed_path, done)

@@ -13,11 +13,11 @@ from leadloom.operators.crm import mark_pushed
 from leadloom.operators.enrich import enrich, with_contact_columns
 from leadloom.operators.firsts import cap_per_source
 from leadloom.operators.qualify import RAW_FIELDS, conform, qualify
-from leadloom.operators.sync import append_new, flag_new, known_keys
+from leadloom.operators.sync import append_new, flag_new_for
 from leadloom.plans.matrix import daily_requests
 from leadloom.session import cut
 from leadloom.sources.lead_table import fold_into_table, leads_by_id, read_leads, replace_leads
-from leadloom.sources.sinks import append_run, read_if_written
+from leadloom.sources.sinks import append_run
 
 def run_search(
     listings: DataFrame,
@@ -94,11 +94,7 @@ def daily_run(
     )
     leads = read_leads(spark, leads_path)
     today = F.lit(day.isoformat())
-    tabs = list(other_tabs or [])
-    feed = read_if_written(spark, feed_path)
-    if feed is not None:
-        tabs.append(feed)
-    fresh = cut(flag_new(leads, known_keys(tabs)).where("is_new").select("lead_id") if tabs else leads.where("NOT pushed_to_sheet").select("lead_id"))
+    fresh = cut(flag_new_for(leads, feed_path, list(other_tabs or [])).where("is_new").select("lead_id"))
     append_new(leads.join(fresh, "lead_id", "left_semi"), feed_path, list(other_tabs or []), today)
     replace_leads(mark_pushed(leads_by_id(spark, leads_path, fresh), fresh, stamp), leads_path)
     return row

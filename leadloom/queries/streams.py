@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leadloom import rules
+from leadloom.operators.sync import append_new
 from leadloom.queries.base import AS_OF, COUNTS_SQL, CRM_SQL, EVENTS_SQL, FILTERS, crm_leads, raw_listings, table
 from leadloom.queries.entities import _lead_columns, leads_sql
 from leadloom.session import cut, shared_path
@@ -86,6 +87,14 @@ def streamed_feed(spark, d):
     return spark.read.parquet(feed).select("lead_id", "Company", "Phone")
 
 
+def feed_in_batches(spark, d):
+    """Contact feed after ten appends: a lead with a contact of an earlier batch is left out."""
+    feed, leads = shared_path(spark, "feed"), cut(crm_leads(spark, d))
+    for batch in range(10):
+        append_new(leads.where(F.pmod("lead_id", F.lit(10)) == batch), feed, [], F.lit(DAY).cast("date"))
+    return spark.read.parquet(feed).select("lead_id", "Company", "Phone")
+
+
 LANDINGS_SQL = f"""WITH RECURSIVE l AS (SELECT regexp_replace(url, '[?#].*$', '') AS url, page_id, html,
         TIMESTAMP '2024-01-01' + to_minutes(CAST(page_id * 7 AS INT)) + to_hours(CAST(j * (page_id % 5 + 1) * 6 AS INT)) AS fetched_at
         FROM pages, UNNEST(range(page_id % 4 + 1)) u(j)),
@@ -100,4 +109,9 @@ QUERIES = {
     "streamed_daily_progress": (streamed_daily_progress, f"WITH {EVENTS_SQL} SELECT day, source, {COUNTS_SQL} FROM ev GROUP BY ALL"),
     "streamed_leads": (streamed_leads, leads_sql(False)),
     "streamed_feed": (streamed_feed, f"""WITH {CRM_SQL} SELECT lead_id, company_name AS "Company", coalesce(phone_e164, '') AS "Phone" FROM crm WHERE NOT pushed_to_sheet"""),
+    "feed_in_batches": (feed_in_batches, f"""WITH RECURSIVE {CRM_SQL}, c AS (SELECT lead_id, company_name, phone_e164, list_filter([phone_e164, domain, lower(email)], lambda v: v <> '') AS keys FROM crm WHERE NOT pushed_to_sheet),
+        f(k, keys, ids) AS (SELECT 0, CAST([] AS VARCHAR[]), CAST([] AS BIGINT[])
+            UNION ALL SELECT k + 1, list_concat(f.keys, (SELECT coalesce(flatten(list(c.keys)), []) FROM c WHERE c.lead_id % 10 = f.k AND NOT list_has_any(c.keys, f.keys))),
+                list_concat(f.ids, (SELECT coalesce(list(c.lead_id), []) FROM c WHERE c.lead_id % 10 = f.k AND NOT list_has_any(c.keys, f.keys))) FROM f WHERE k < 10)
+        SELECT lead_id, company_name AS "Company", coalesce(phone_e164, '') AS "Phone" FROM c WHERE lead_id IN (SELECT unnest(ids) FROM f WHERE k = 10)"""),
 }

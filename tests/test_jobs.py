@@ -219,3 +219,33 @@ def test_pages_land_again_after_their_time_to_live(spark, tmp_path):
     landing("one", [row for day in days for row in day if row[1] != "2024-01-04 12:00:00"])  # one file
     ingest("one", schema, 1000)
     assert kept("one") == want
+
+
+def test_feed_keys_are_looked_up_in_few_buckets(spark, tmp_path):
+    from leadloom.sources import key_index
+
+    def keys(texts):
+        return spark.createDataFrame([(t,) for t in texts], "key string")
+
+    opened = []
+    for n in (200, 2000):
+        path = str(tmp_path / f"index{n}")
+        key_index.add(spark, path, keys([f"k{i}" for i in range(n)]), ["a"], ["Phone"])
+        found = key_index.known(spark, path, keys(["k7", "k7", "none", "k199"]))
+        assert sorted(r.key for r in found.collect()) == ["k199", "k7"]
+        opened.append(len([f for f in found.inputFiles() if "/keys/" in f]))
+    assert max(opened) <= 2
+    for k in range(6):
+        key_index.add(spark, path, keys([f"b{k}", "k1"]), [f"f{k}"], ["Phone", "Email"])
+    done = key_index.parts(spark, path)
+    assert len(done) < 6 and {f for p in done for f in p.files} == {"a", *(f"f{k}" for k in range(6))}
+    assert sorted(r.key for r in key_index.known(spark, path, keys(["b0", "b5", "k1", "x"])).collect()) == ["b0", "b5", "k1"]
+
+
+def test_feed_files_without_keys_are_read_first(spark, tmp_path):
+    feed = str(tmp_path / "feed")
+    spark.createDataFrame([("+201012345678", "By Hand")], "Phone string, Company string").write.parquet(feed)  # not written by an append
+    leads = spark.createDataFrame([(1, "+201012345678", None, None, False), (2, "+201112345678", None, None, False), (3, None, None, None, False)],
+                                  "lead_id long, phone_e164 string, domain string, email string, pushed_to_sheet boolean")
+    flagged = sync.flag_new_for(leads, feed, [])
+    assert {r.lead_id: r.is_new for r in flagged.collect()} == {1: False, 2: True, 3: True}
