@@ -35,7 +35,6 @@ from pyspark.sql import functions as F
 from leadloom.llm import common
 from leadloom.llm.common import cut, drop_cut
 
-VOCABULARY = 2000  # of the SQL; the operator's own default is every word
 STRENGTH = 50.0
 FLUSH = 1 << 20
 START, UNKNOWN = 0, 1  # numbers before those of the vocabulary
@@ -117,7 +116,22 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packed(x: np.ndarray, at: np.ndarray) -> pa.Array:
-    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * x.itemsize).astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())])
+    width = x.itemsize * (x.shape[1] if x.ndim > 1 else 1)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * width).astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())])
+
+
+def _steps(keys: np.ndarray, at: np.ndarray, starts: np.ndarray) -> list[pa.Array]:
+    """Sorted numbers by ranges as steps from one to the next: six bytes each, and two that are nearly always zero."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    steps[at[:-1]] = keys[at[:-1]] - starts
+    raw = steps.view(np.uint8).reshape(-1, 8)
+    return [_packed(np.ascontiguousarray(raw[:, a:b]), at) for a, b in ((0, 6), (6, 8))]
+
+
+def _stepped(low: bytes, high: bytes, start: int) -> np.ndarray:
+    raw = np.empty((len(high) // 2, 8), np.uint8)
+    raw[:, :6], raw[:, 6:] = np.frombuffer(low, np.uint8).reshape(-1, 6), np.frombuffer(high, np.uint8).reshape(-1, 2)
+    return np.cumsum(raw.view(np.uint64)[:, 0], dtype=np.uint64) + np.uint64(start)
 
 
 def _halves(counts: list[np.ndarray], at: np.ndarray) -> list[pa.Array]:
@@ -138,10 +152,11 @@ def _send(row, keys: np.ndarray, counts: list[np.ndarray], bits: int) -> pa.Reco
     ranges, at = np.unique(keys >> np.uint64(64 - bits), return_index=True)
     at = np.append(at, len(keys))
     chunk = np.full(len(ranges), row.column("chunk")[0].as_py(), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(ranges.astype(np.int32)), pa.array(chunk), _packed(keys, at), *_halves([x.astype(np.int64) for x in counts], at)], ["range", "chunk", "keys", *_names(len(counts))])
+    cells = [*_steps(keys, at, ranges << np.uint64(64 - bits)), *_halves([x.astype(np.int64) for x in counts], at)]
+    return pa.RecordBatch.from_arrays([pa.array(ranges.astype(np.int32)), pa.array(chunk), *cells], ["range", "chunk", "keys", "keys_high", *_names(len(counts))])
 
 
-def _sum(totals=None):
+def _sum(bits: int, totals=None):
     """Rows of one range after another -> for each chunk the sums of its numbers over all chunks; ``totals`` gives a range's
     totals from its numbers and sums, in a row of no chunk."""
 
@@ -149,10 +164,10 @@ def _sum(totals=None):
         cells = (x for b in batches for x in zip(*(c.to_pylist() for c in b.columns)))
         for key, rows in groupby(cells, lambda x: x[0]):
             rows = list(rows)
-            parts = [np.frombuffer(r[2], np.uint64) for r in rows]
+            parts = [_stepped(r[2], r[3], key << (64 - bits)) for r in rows]
             found, place = np.unique(np.concatenate(parts), return_inverse=True)
             at = np.cumsum([0] + [len(p) for p in parts])
-            sums = [np.bincount(place, _whole([r[i] for r in rows], [r[i + 1] for r in rows]), len(found)).astype(np.int64) for i in range(3, len(rows[0]), 2)]
+            sums = [np.bincount(place, _whole([r[i] for r in rows], [r[i + 1] for r in rows]), len(found)).astype(np.int64) for i in range(4, len(rows[0]), 2)]
             names = ["chunk", "range", *_names(len(sums))]
             yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([key] * len(rows), pa.int32()), *_halves([x[place] for x in sums], at)], names)
             if totals:
@@ -161,8 +176,12 @@ def _sum(totals=None):
     return run
 
 
-def _summed(sent: DataFrame, n: int, totals=None) -> DataFrame:
-    return cut(sent.repartition("range").sortWithinPartitions("range").mapInArrow(_sum(totals), "chunk long, range int, " + _binaries(n)))
+def _summed(sent: DataFrame, n: int, bits: int, totals=None) -> DataFrame:
+    return cut(sent.repartition("range").sortWithinPartitions("range").mapInArrow(_sum(bits, totals), "chunk long, range int, " + _binaries(n)))
+
+
+def _sending(n: int) -> str:
+    return "range int, chunk long, keys binary, keys_high binary, " + _binaries(n)
 
 
 def _binaries(n: int) -> str:
@@ -274,21 +293,23 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, size: int |
     those whose key is in ``target_ids`` (one column). ``size``: only so many words of the target, None: all."""
     spark = docs.sparkSession
     name = target_ids.columns[0]
-    ids = target_ids.select(F.col(name).cast("long").alias("_id")).where(F.col("_id").isNotNull()).distinct().withColumn("_in", F.lit(True))
-    # always a shuffle, never a broadcast of the ids: the target grows with the corpus
-    marked = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(ids.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
+    ids = target_ids.select(F.col(name).cast("long").alias("at")).where(F.col("at").isNotNull()).distinct().select("at", F.lit(False).alias("blank"), F.lit(True).alias("_in"))
+    # always a shuffle, never a broadcast of the ids: the target grows with the corpus; rows without an id are spread by their text
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = rows.withColumns({"at": F.coalesce("doc_id", F.xxhash64("text")), "blank": F.col("doc_id").isNull()})
+    marked = rows.join(ids.hint("merge"), ["at", "blank"], "left")
     texts = marked.select("text", "doc_id", F.coalesce("_in", F.lit(False)).alias("target"))
     encoded = cut(texts.mapInArrow(_encode, ENCODED))
     top = None if size is None else common.Words(pa.array(vocabulary_of(texts.where("target"), size), pa.string())).numbers()
     del marked, texts
     common.let_go(spark)  # the shuffled texts
-    words = _summed(encoded.select("chunk", "target", "lengths", "ids", "words").mapInArrow(_send_words, "range int, chunk long, keys binary, " + _binaries(4)), 4, _totals(top))
+    words = _summed(encoded.select("chunk", "target", "lengths", "ids", "words").mapInArrow(_send_words, _sending(4)), 4, WORD_BITS, _totals(top))
     common.let_go(spark)
     # a row for each range of words
     sums = np.array([[_whole([r[c]], [r[f"{c}_high"]]) for c in SUMS] for r in words.where("chunk is null").collect()]).reshape(-1, 4, 4).sum(axis=0)
     coded = cut(encoded.groupBy("chunk").cogroup(words.where("chunk is not null").groupBy("chunk")).applyInArrow(_code(sums[:, 1].tolist(), top), CODED))
     drop_cut(encoded, words)
     common.let_go(spark)
-    pairs = _summed(coded.select("chunk", "target", "lengths", "ids", "words").mapInArrow(_send_pairs, "range int, chunk long, keys binary, " + _binaries(2)), 2)
+    pairs = _summed(coded.select("chunk", "target", "lengths", "ids", "words").mapInArrow(_send_pairs, _sending(2)), 2, PAIR_BITS)
     common.let_go(spark)  # the packed bigrams
     return coded.groupBy("chunk").cogroup(pairs.groupBy("chunk")).applyInArrow(_score(sums[:2, 2].tolist(), 1.0 / (int(sums[0, 3]) + 1)), SCORED)

@@ -62,7 +62,7 @@ OP4_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array({FOLDED}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
     doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS target FROM documents),
 words AS (SELECT rid, target, i, w[i] AS word FROM d, UNNEST(range(1, len(w) + 1)) t(i)),
-vocab AS (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) + 1 AS id FROM words WHERE target GROUP BY word QUALIFY id <= {lm.VOCABULARY + 1}),
+vocab AS (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) + 1 AS id FROM words WHERE target GROUP BY word),
 tok AS (SELECT rid, target, i, coalesce(id, 1) AS b FROM words LEFT JOIN vocab USING (word)),
 pairs AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY i), 0) AS a FROM tok),
 pc AS (SELECT a, b, CAST(count(*) FILTER (target) AS DOUBLE) AS t, CAST(count(*) AS DOUBLE) AS g FROM pairs GROUP BY a, b),
@@ -150,9 +150,11 @@ def _as_records(rows: DataFrame) -> DataFrame:
     """Turn rows as JSON records of several layouts: prompts and instructions, replies and outputs, messages, shared turns."""
     text, role, turn = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit("")), F.coalesce("turn", F.lit(0))
 
+    meta = [F.col("conv_id").alias("id"), F.struct(F.col("turn").alias("turn"), F.lit("chat").alias("kind")).alias("meta")]  # fields no layout names
+
     def record(*fields, inside: str | None = None):
-        one = F.struct(*[value.alias(name) for name, value in fields])
-        return F.to_json(F.struct(F.array(one).alias(inside)) if inside else one)
+        one = [value.alias(name) for name, value in fields]
+        return F.to_json(F.struct(F.array(F.struct(*one)).alias(inside), *meta) if inside else F.struct(*one, *meta))
 
     return rows.select("conv_id", "turn", F.when((role == "user") & (turn % 4 == 0), record(("prompt", text)))
                        .when(role == "user", record(("instruction", text)))
@@ -170,7 +172,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
                                   F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HOSTILE).alias("text"))
-    turns = chat.canonical_turns(_as_records(rows.unionByName(extra)), keep=["conv_id", "turn"])
+    turns = chat.canonical_turns(_as_records(rows.unionByName(extra)), keep=["conv_id", "turn"], roles={})  # the table's own role names
     return chat.conversations(chat.format_turns(turns))
 
 
