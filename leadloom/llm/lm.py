@@ -177,7 +177,8 @@ def _sum(bits: int, totals=None):
 
 
 def _summed(sent: DataFrame, n: int, bits: int, totals=None) -> DataFrame:
-    return cut(sent.repartition("range").sortWithinPartitions("range").mapInArrow(_sum(bits, totals), "chunk long, range int, " + _binaries(n)))
+    # counts are mostly small: bytes of little variety, which only an entropy coder makes smaller
+    return cut(sent.repartition("range").sortWithinPartitions("range").mapInArrow(_sum(bits, totals), "chunk long, range int, " + _binaries(n)), "zstd")
 
 
 def _sending(n: int) -> str:
