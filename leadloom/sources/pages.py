@@ -64,28 +64,84 @@ def fresh_pages(pages: DataFrame, as_of: Column, ttl_seconds: int = rules.PAGE_T
 
 
 # ------------------------------------------------------------------ reading inside a block
+# Fixed values of HTML: elements whose closing tag may be left out, each with the elements that hold it and the tags that end it.
+_ROWS = ["tr", "tbody", "thead", "tfoot", "caption", "colgroup"]
+_CELLS = ["td", "th", *_ROWS]
+_TEXT_BLOCKS = [
+    "address", "article", "aside", "blockquote", "center", "dd", "dir", "div", "dl", "dt", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
+    "header", "hr", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul",
+]
+HOLDERS = {
+    "td": ["table"], "th": ["table"], "tr": ["table"], "tbody": ["table"], "thead": ["table"], "tfoot": ["table"],
+    "li": ["ul", "ol", "menu", "dir"], "dt": ["dl"], "dd": ["dl"], "option": ["select", "datalist"], "p": ["button", "object"],
+}
+ENDERS = {
+    "td": _CELLS, "th": _CELLS, "tr": _ROWS, "tbody": _ROWS[1:], "thead": _ROWS[1:], "tfoot": _ROWS[1:],
+    "li": ["li"], "dt": ["dt", "dd"], "dd": ["dt", "dd"], "option": ["option", "optgroup"], "p": _TEXT_BLOCKS,
+}
+# A tag that may hold or end one of them.
+_CUTTING = r"</?(?:" + "|".join(sorted({t for tags in [*HOLDERS.values(), *ENDERS.values()] for t in tags})) + r")[\s/>]"
+
+
+def _tags(table: dict[str, list[str]], name: Column, default: Column) -> Column:
+    """The tags of ``table`` under ``name``, parted by bars."""
+    return F.coalesce(*[F.when(name == key, F.lit("|".join(tags))) for key, tags in table.items()], default)
+
+
 def element(markup: Column) -> Column:
-    """The element that ``markup`` starts with, up to its own closing tag, which is left out.
+    """The element that ``markup`` starts with, up to its own end, which is left out.
 
-    Opening and closing tags of its kind are counted in order, so elements of the same kind inside it are
-    part of it and what follows it is not. An element that is never closed runs to the end.
+    Where nothing of its kind stands before the first closing tag, that tag is the end: two look-ups, no cutting
+    into tags. Else opening and closing tags are counted in order, so elements of the same kind inside it are part of it and what
+    follows it is not. Cells, rows, items and paragraphs that are never closed end at the next of their kind
+    in the same table or list, or where that table or list ends. Other elements that are never closed run to the end.
     """
 
     def whole(text: Column) -> Column:
-        tag = F.lower(F.regexp_extract(text, r"^<(\w[\w\-]*)", 1))
-        marked = F.regexp_replace(text, F.concat(F.lit("(?i)(</?"), tag, F.lit(r"(?=[\s/>]))")), F.lit(h.GAP + "$1"))
-        return let(F.split(marked, h.GAP), closed)
+        kind = F.lower(F.regexp_extract(text, r"^<(\w[\w\-]*)", 1))
+        return let(kind, lambda name: F.when(name == "", text).otherwise(let(F.lower(text), lambda low: placed(text, name, low))))
+
+    def placed(text: Column, name: Column, low: Column) -> Column:
+        close = F.position(F.concat(F.lit("</"), name), low)
+        again = F.position(F.concat(F.lit("<"), name), low, F.lit(2))
+        at = F.struct(close.alias("close"), again.alias("again"))
+
+        def simple(at: Column) -> Column:
+            end = at["close"]
+            own = F.rlike(F.substr(low, end + F.length(name) + 2, F.lit(1)), F.lit(r"[\s/>]"))
+            cut_short = name.isin(list(ENDERS)) & F.rlike(F.substr(low, F.lit(2), end - 2), F.lit(_CUTTING))
+            # lower case may lengthen a text; places in it are then not those of the text
+            same = F.length(low) == F.length(text)
+            return (end > 0) & ((at["again"] == 0) | (at["again"] > end)) & same & own & ~cut_short
+
+        return let(at, lambda at: F.when(simple(at), F.substr(text, F.lit(1), at["close"] - 1)).otherwise(counted(text, name)))
+
+    def counted(text: Column, name: Column) -> Column:
+        kinds = F.struct(_tags(HOLDERS, name, name).alias("hold"), _tags(ENDERS, name, F.lit(None)).alias("end"))
+
+        def cut_up(of: Column) -> Column:
+            tags = F.concat_ws("|", of["hold"], of["end"])
+            marked = F.regexp_replace(text, F.concat(F.lit("(?i)(</?(?:"), tags, F.lit(r")(?=[\s/>]))")), F.lit(h.GAP + "$1"))
+            lists = F.struct(F.split(of["hold"], r"\|").alias("hold"), F.split(F.coalesce(of["end"], F.lit("")), r"\|").alias("end"))
+            return let(lists, lambda of: let(F.split(marked, h.GAP), lambda pieces: ended(pieces, of)))
 
-    def closed(pieces: Column) -> Column:
-        none = F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), F.lit(1 << 30).alias("end"))
+        return let(kinds, cut_up)
+
+    def ended(pieces: Column, of: Column) -> Column:
+        """Pieces before the first that ends the element; the opening tag is the second piece."""
+        start = F.struct(F.lit(2).alias("i"), F.lit(0).alias("depth"), F.lit(1 << 30).alias("end"))
 
         def step(at: Column, piece: Column) -> Column:
-            turn = F.when(F.startswith(piece, F.lit("</")), -1).when(F.startswith(piece, F.lit("<")), 1).otherwise(0)
-            depth = at["depth"] + turn
-            ends = (turn == -1) & (depth == 0) & (at["end"] == 1 << 30)
-            return F.struct((at["i"] + 1).alias("i"), depth.alias("depth"), F.when(ends, at["i"]).otherwise(at["end"]).alias("end"))
+            closes = F.startswith(piece, F.lit("</"))
+            tag = F.lower(F.regexp_extract(piece, r"^</?(\w[\w\-]*)", 1))
+            return let(F.struct(closes.alias("closes"), F.array_contains(of["hold"], tag).alias("holds")), lambda t: moved(at, t, F.array_contains(of["end"], tag)))
+
+        def moved(at: Column, t: Column, may_end: Column) -> Column:
+            stops = (at["end"] == 1 << 30) & (at["depth"] == 0) & F.when(t["holds"], t["closes"]).otherwise(may_end)
+            turn = F.when(~t["holds"], 0).when(t["closes"], -1).otherwise(1)
+            return F.struct((at["i"] + 1).alias("i"), (at["depth"] + turn).alias("depth"), F.when(stops, at["i"]).otherwise(at["end"]).alias("end"))
 
-        end = F.aggregate(pieces, none, step, lambda at: at["end"])
+        end = F.aggregate(F.slice(pieces, 3, 1 << 30), start, step, lambda at: at["end"])
         return F.array_join(F.slice(pieces, F.lit(1), end), "")
 
     return let(markup, whole)
@@ -102,14 +158,27 @@ def with_class(tag: str, name: str) -> str:
     return rf"""<{tag}\b[^>]*\bclass\s*=\s*["'](?:[^"'>]*\s)?{name}(?:\s[^"'>]*)?["'][^>]*>"""
 
 
-def inner(block: Column, opening: str) -> Column:
-    """Markup inside the first element that starts with ``opening``; '' when there is none."""
-    return F.regexp_replace(element(F.regexp_extract(block, rf"(?is)({opening}.*)$", 1)), r"^<[^>]*>", "")
+def starting(block: Column, opening: str) -> Column:
+    """Markup from the first tag that matches ``opening`` on; '' when there is none."""
+    return F.regexp_extract(block, rf"(?is)({opening}.*)$", 1)
+
 
+def content(markup: Column) -> Column:
+    """Markup inside the element that ``markup`` starts with."""
+    return F.regexp_replace(element(markup), r"^<[^>]*>", "")
 
-def field(block: Column, name: str, tag: str = r"(\w+)") -> Column:
-    """Visible text of the first element of a class, null when missing or blank."""
-    return tx.null_if_empty(h.visible_text(inner(block, with_class(tag, name))))
+
+def texts(*starts: Column) -> Column:
+    """Visible texts of the elements that each markup starts with, null when missing or blank.
+
+    One expression reads them all, so a layout's plan does not grow by a reader for each of its fields.
+    """
+    return F.transform(F.array(*starts), lambda markup: tx.null_if_empty(h.visible_text(content(markup))))
+
+
+def named(name: str) -> str:
+    """Pattern of the opening tag of any element that carries a class."""
+    return with_class(r"(\w+)", name)
 
 
 def tag_attribute(block: Column, opening: str, name: str) -> Column:
@@ -121,11 +190,16 @@ def first_link(links: Column, test) -> Column:
     return tx.first_of(F.filter(links, test))
 
 
-def _exploded(pages: DataFrame, opening: str) -> DataFrame:
-    """One row per block with the position on its page."""
+def _exploded(pages: DataFrame, opening: str, inside: str | None = None, links: bool = True) -> DataFrame:
+    """One row per block with the position on its page, its ``links``, and ``_link``, the first link of its first element ``inside``."""
     keep = [c for c in pages.columns if c != "html"]
     rows = pages.select(*keep, F.posexplode(blocks(F.col("html"), opening)).alias("item", "block"))
-    return tx.settle(rows, {"links": h.anchors("block")})
+    block = F.col("block")
+    rows = tx.settle(rows, {"_anchors": F.transform(F.array(*[block] * links, *[content(starting(block, inside))] * bool(inside)), h.anchors)})
+    read = {"links": F.get("_anchors", F.lit(0))} if links else {}
+    if inside:
+        read["_link"] = tx.first_of(F.get("_anchors", F.lit(int(links))))
+    return rows.withColumns(read).drop("_anchors")
 
 
 def _request(pages: DataFrame, name: str) -> Column:
@@ -144,28 +218,29 @@ def _listing(rows: DataFrame, key: str, **cols: Column) -> DataFrame:
 @register_extractor("egydir")
 def company_cards(pages: DataFrame, base: str = "https://www.egydir.com") -> DataFrame:
     """Cards with name link, dialable or written phone, website, address and category."""
-    rows = _exploded(pages, with_class("div", "company-card"))
+    heading = named("company-name")
+    rows = _exploded(pages, with_class("div", "company-card"), heading)
     block = F.col("block")
     rows = tx.settle(
         rows,
         {
-            "_heading": inner(block, with_class(r"(\w+)", "company-name")),
+            "_texts": texts(*[starting(block, o) for o in (heading, *map(named, ("company-phone", "company-address", "company-category")))]),
             "_tel": first_link(F.col("links"), lambda a: F.startswith(a["href"], F.lit("tel:"))),
         },
     )
-    rows = tx.settle(rows, {"_link": tx.first_of(h.anchors("_heading"))})
     link, tel = F.col("_link"), F.col("_tel")
-    name = F.coalesce(tx.null_if_empty(link["text"]), tx.null_if_empty(h.visible_text("_heading")))
+    title, phone, address, category = (F.get("_texts", F.lit(i)) for i in range(4))
+    name = F.coalesce(tx.null_if_empty(link["text"]), title)
     dialled = F.coalesce(tx.null_if_empty(F.trim(F.substring(tel["href"], 5, 1 << 30))), tx.null_if_empty(tel["text"]))
     return _listing(
         rows, "egydir",
         company_name=name,
         source_url=F.when(tx.has_value(link["href"]), u.resolve(F.lit(base), link["href"])),
-        phone_raw=F.when(tel.isNotNull(), dialled).otherwise(field(block, "company-phone")),
+        phone_raw=F.when(tel.isNotNull(), dialled).otherwise(phone),
         website=tag_attribute(block, with_class("a", "company-website"), "href"),
-        address=field(block, "company-address"),
+        address=address,
         city=_request(pages, "city"),
-        category=F.coalesce(field(block, "company-category"), _request(pages, "category")),
+        category=F.coalesce(category, _request(pages, "category")),
     )
 
 
@@ -173,25 +248,19 @@ def company_cards(pages: DataFrame, base: str = "https://www.egydir.com") -> Dat
 def table_rows(pages: DataFrame, base: str = "https://forwardingcompanies.com") -> DataFrame:
     """Table rows with a name attribute or link, a location and a titled description."""
     opening = with_class("tr", "company-data")
-    rows = _exploded(pages, opening)
+    rows = _exploded(pages, opening, named("company-name"), links=False)
     block = F.col("block")
-    rows = tx.settle(
-        rows,
-        {
-            "_link": tx.first_of(h.anchors(inner(block, with_class(r"(\w+)", "company-name")))),
-            "_location": field(block, "address-wrap"),
-        },
-    )
-    link, location = F.col("_link"), F.col("_location")
+    rows = tx.settle(rows, {"_texts": texts(*[starting(block, named(c)) for c in ("address-wrap", "about-title", "about-description")])})
+    link = F.col("_link")
+    location, title, about = (F.get("_texts", F.lit(i)) for i in range(3))
     city, country = u.location_place(location)
-    about = F.concat_ws(" ", field(block, "about-title"), field(block, "about-description"))
     return _listing(
         rows, "forwarding_companies",
         company_name=F.coalesce(tag_attribute(block, opening, "data-name"), tx.null_if_empty(link["text"])),
         source_url=F.when(tx.has_value(link["href"]), u.resolve(F.lit(base), link["href"])),
         city=city, country=country, address=location,
         category=_request(pages, "category"),
-        description=tx.null_if_empty(about),
+        description=tx.null_if_empty(F.concat_ws(" ", title, about)),
     )
 
 
@@ -232,19 +301,21 @@ def onclick_cards(pages: DataFrame, own_host: str = "wsdconnect.com") -> DataFra
     block, links = F.col("block"), F.col("links")
     mail = first_link(links, lambda a: F.startswith(a["href"], F.lit("mailto:")))
     meta = F.regexp_extract(block, rf"(?is){with_class(r'(?:div|ul|p)', 'listing-meta')}(.*)$", 1)
-    item = F.regexp_replace(field(meta, "listing-item"), r"(?i)\s*\+\d+\s*more\s*$", "")
+    rows = tx.settle(rows, {"_texts": texts(starting(meta, named("listing-item")), *[starting(block, named(c)) for c in ("listing-company-name", "listing-category-tag")])})
+    item, name, category = (F.get("_texts", F.lit(i)) for i in range(3))
+    item = F.regexp_replace(item, r"(?i)\s*\+\d+\s*more\s*$", "")
     rows = tx.settle(rows, {"_place": tx.null_if_empty(F.trim(item))})
     place = F.col("_place")
     city, country = u.location_place(place)
     target = F.regexp_extract(F.regexp_extract(block, f"(?is)^{opening}", 0), r"window\.location\s*=\s*'([^']+)'", 1)
     return _listing(
         rows, "wsdconnect",
-        company_name=field(block, "listing-company-name"),
+        company_name=name,
         source_url=tx.null_if_empty(target),
         email=tx.null_if_empty(F.trim(F.split_part(F.substring(mail["href"], 8, 1 << 30), F.lit("?"), F.lit(1)))),
         website=h.first_external(links, own_host),
         city=city, country=country, address=place,
-        category=F.coalesce(field(block, "listing-category-tag"), _request(pages, "category")),
+        category=F.coalesce(category, _request(pages, "category")),
     )
 
 
@@ -279,7 +350,7 @@ def directory_table(pages: DataFrame, base: str = "https://aecegy.com", hint: st
     link = F.col("_link")
     out = _listing(
         rows, "aece",
-        company_name=tx.null_if_empty(h.visible_text(inner(F.col("block"), r"<td\b[^>]*>"))),
+        company_name=F.get(texts(starting(F.col("block"), r"<td\b[^>]*>")), F.lit(0)),
         href=link["href"],
         source_url=u.resolve(F.lit(base.rstrip("/") + "/"), link["href"]),
         category=F.lit("Garments"), country=F.lit("Egypt"),
@@ -290,16 +361,16 @@ def directory_table(pages: DataFrame, base: str = "https://aecegy.com", hint: st
 @register_extractor("yellowpages_eg")
 def result_rows(pages: DataFrame, base: str = "https://www.yellowpages.com.eg") -> DataFrame:
     """Result rows with a company id in the profile link and an address to split."""
-    rows = _exploded(pages, with_class(r"\w[\w\-]*", "item-row"))
+    rows = _exploded(pages, with_class(r"\w[\w\-]*", "item-row"), named("category"), links=False)
     block = F.col("block")
     title = with_class("a", "item-title")
-    rows = tx.settle(rows, {"_href": tag_attribute(block, title, "href"), "_address": field(block, "address-text")})
-    href, address = F.col("_href"), F.col("_address")
+    rows = tx.settle(rows, {"_href": tag_attribute(block, title, "href"), "_texts": texts(starting(block, named("address-text")), starting(block, title))})
+    href, address, name = F.col("_href"), F.get("_texts", F.lit(0)), F.get("_texts", F.lit(1))
     city, governorate = u.address_place(address)
-    category = tx.first_of(h.anchors(inner(block, with_class(r"(\w+)", "category"))))["text"]
+    category = F.col("_link")["text"]
     return _listing(
         rows, "yellowpages_eg",
-        company_name=tx.null_if_empty(h.visible_text(inner(block, title))),
+        company_name=name,
         source_url=u.listing_url(href, base),
         address=address, city=city, governorate=governorate, country=F.lit("Egypt"),
         category=F.coalesce(tx.null_if_empty(category), _request(pages, "category")),

@@ -138,10 +138,30 @@ def test_elements_end_where_they_end(values):
         "<div a><div>x</div>y</div>z": "<div a><div>x</div>y", "<p>a</p><p>b</p>": "<p>a", "<div>open <p>x</p>": "<div>open <p>x</p>",
         "<td><table><tr><td>i</td></tr></table>t</td><td>n</td>": "<td><table><tr><td>i</td></tr></table>t", "<b>x</b>": "<b>x", "<DIV><div></DIV>k</div>r": "<DIV><div></DIV>k",
         "<div><divider>q</divider></div>r": "<div><divider>q</divider>", "": "",
+        "<td>a<td>b</td>": "<td>a", "<td>a</tr><tr><td>b</td>": "<td>a", "<TD>a</TR>": "<TD>a", "<td>a<b>x</b></table>f</td>": "<td>a<b>x</b>",
+        "<td><table><tr><td>i<td>j</table>t<td>n": "<td><table><tr><td>i<td>j</table>t", "<td>a<thead2>b</td>": "<td>a<thead2>b",
+        "<tr><td>a<td>b<tr><td>c": "<tr><td>a<td>b", "<tr><td>a</td></table>foot": "<tr><td>a</td>", "<tr><td><table><tr><td>i</table>o</td></tr>z": "<tr><td><table><tr><td>i</table>o</td>",
+        "<li>a<li>b</li>": "<li>a", "<li>a<ul><li>i<li>j</ul>k</ul>z": "<li>a<ul><li>i<li>j</ul>k", "<dt>a<dd>b": "<dt>a", "<dd>a</dl>z": "<dd>a",
+        "<p>a<div>b</div>": "<p>a", "<p>a</div>z": "<p>a", "<p>a <pretty>b</pretty></p>z": "<p>a <pretty>b</pretty>", "<span>a<li>b</span>c": "<span>a<li>b",
+        "<b>\u0130\u0130</b>z": "<b>\u0130\u0130", "<link>a</link2>b</link>c": "<link>a</link2>b", "<div>a</DIV >b": "<div>a",
     }
     assert values(element, list(cases)) == list(cases.values())
 
 
+def test_unclosed_rows_cells_and_items(spark):
+    """Layouts on pages that leave out the closing tags that HTML lets them leave out."""
+    table = ("<table><tr><td>Alpha<td><a href='business-directory/a'>more</a><tr><td>Beta<table><tr><td>inner</table><td><a href='business-directory/b'>more</a></table>"
+             "<p>foot <a href='business-directory/z'>z</a>")
+    got = pg.directory_table(spark.createDataFrame([(1, table)], "page_id long, html string")).collect()
+    assert [r.company_name for r in got if r.source_url.endswith("/a")] == ["Alpha"] and not any(r.source_url.endswith("/z") for r in got)
+    card = ("<div class='listing-card'><p class='listing-company-name'>Firm<div class='listing-meta'><ul><li class='listing-item'>Cairo, Egypt +2 more<li class='listing-item'>x</ul></div></div>")
+    row = pg.onclick_cards(spark.createDataFrame([(1, card)], "page_id long, html string")).first()
+    assert (row.company_name, row.address) == ("Firm", "Cairo, Egypt")
+    grid = "<ul><li class='grid-item'><img alt='Mill A'><a href='members/a'>a</a><li class='grid-item'><img alt='Mill B'><a href='members/b'>b</a></ul><img alt='ad'><a href='members/ad'>ad</a>"
+    rows = pg.member_grid(spark.createDataFrame([(1, grid)], "page_id long, html string")).collect()
+    assert sorted(r.company_name for r in rows) == ["Mill A", "Mill B"]
+
+
 def test_last_card_ends_before_the_footer(spark):
     from leadloom.sources import pages as pg
 
