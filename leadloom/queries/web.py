@@ -15,7 +15,7 @@ from leadloom.functions import intel, urls
 from leadloom.functions import text as tx
 from leadloom.operators.firsts import pair_with_preceding
 from leadloom.queries import sqltext as s
-from leadloom.queries.base import table
+from leadloom.queries.base import spread, table
 from leadloom.sources import pages as pg
 from leadloom.sources.catalogue import extract_all
 
@@ -81,8 +81,10 @@ def document_emails(spark, d):
 
 
 # ---------------------------------------------------------------- company pages from customer
-def companies(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").selectExpr("c_custkey AS k", "lpad(string(c_custkey), 8, '0') AS k8", "lpad(string(c_custkey), 7, '0') AS k7")
+def companies(spark: SparkSession, d: str, *by: str) -> DataFrame:
+    """Keys of all companies with the listing page each stands on, spread by ``by``: only keys are shuffled, before any markup is written."""
+    keys = table(spark, d, "customer").selectExpr("c_custkey AS k", f"c_custkey div {PER_PAGE} AS page_id")
+    return spread(keys, *by).selectExpr("k", "lpad(string(k), 8, '0') AS k8", "lpad(string(k), 7, '0') AS k7", "page_id")
 
 
 def contact_pages(spark, d) -> DataFrame:
@@ -183,8 +185,8 @@ FOOTER = '<footer><a href="mailto:desk@directory.example">write</a><a href="http
 
 
 def listing_pages(spark, d, source: str, block: str, before: str = "", after: str = "") -> DataFrame:
-    """Pages of twenty companies in a layout; ``block`` is SQL text over k, k8, k7."""
-    rows = companies(spark, d).selectExpr(f"k div {PER_PAGE} AS page_id", "k", f"{block} AS block")
+    """Pages of twenty companies in a layout; ``block`` is SQL text over k, k8, k7. The companies of a page are together before it is written."""
+    rows = companies(spark, d, "page_id").selectExpr("page_id", "k", f"{block} AS block")
     grouped = rows.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("k", "block"))).alias("b"))
     body = F.array_join(F.transform("b", lambda x: x["block"]), "\n")
     return grouped.select(
