@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from leadloom.queries import web
+from leadloom.queries import leads, web
 from leadloom.queries.base import raw_listings
 
 
@@ -40,3 +40,11 @@ def test_listing_pages_shuffle_keys_only(spark, tables, capsys):
     assert sorted(r.page_id for r in pages.select("page_id").collect()) == list(range(21))
     pages.explain()
     assert capsys.readouterr().out.count("Exchange ") == 1
+
+
+def test_phrases_of_a_listing_are_read_once(spark, tables, capsys):
+    rows = leads.target_markets(spark, tables)
+    rows.explain()
+    assert capsys.readouterr().out.count("regexp_extract_all(") == 1
+    found = {r.pos: r.markets for r in rows.collect()}
+    assert "GCC" in found[8] and "Europe" in found[8]  # "We export ready-made goods to the GCC and Europe."
