@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from leadloom.queries import leads, web
+from leadloom.queries import entities, leads, web
 from leadloom.queries.base import raw_listings
 
 
@@ -48,3 +48,10 @@ def test_phrases_of_a_listing_are_read_once(spark, tables, capsys):
     assert capsys.readouterr().out.count("regexp_extract_all(") == 1
     found = {r.pos: r.markets for r in rows.collect()}
     assert "GCC" in found[8] and "Europe" in found[8]  # "We export ready-made goods to the GCC and Europe."
+
+
+def test_pages_of_websites_are_written_from_sites_found_once(spark, tables, capsys):
+    pages = entities.web_pages(spark, tables)
+    pages.explain()
+    assert "customer.parquet" not in capsys.readouterr().out
+    assert pages.where("url like '%/about'").count() > 0
