@@ -74,6 +74,16 @@ def test_rounds_narrow_to_what_may_move(spark, seed, seeds):
     assert assigned(spark, rows) == fold(rows)
 
 
+def test_a_round_writes_three_tables(spark, monkeypatch):
+    """What moved, the state and the holdings; the last round, in which nothing moves, writes no more of them than the start."""
+    rows, written, rounds = random_rows(8, 10), [], []
+    plain_cut, plain_reassign = rs.cut, rs._reassign
+    monkeypatch.setattr(rs, "cut", lambda df: written.append(df.columns) or plain_cut(df))
+    monkeypatch.setattr(rs, "_reassign", lambda *given: rounds.append(1) or plain_reassign(*given))
+    assert assigned(spark, rows) == fold(rows)
+    assert len(rounds) > 1 and len(written) <= 3 * len(rounds)
+
+
 def test_hot_keys(spark):
     """A third of all records share a phone, a third a domain, a third a name without city."""
     rnd = random.Random(5)
@@ -229,6 +239,16 @@ def test_a_batch_reads_and_writes_by_its_size(spark, tmp_path):
     assert max(opened[1]) <= 5 + 1  # a bucket a key, and one a lead
 
 
+def test_a_batch_is_written_once_before_it_is_folded(spark, tmp_path, monkeypatch):
+    path, written = str(tmp_path / "leads"), []
+    fold_into_table(rated(spark, [listing(1, phone="01012345678")]), path)
+    for module in (lt, rs):
+        monkeypatch.setattr(module, "cut", lambda df, plain=module.cut: written.append("outcome" in df.columns) or plain(df))
+    placed = fold_into_table(rated(spark, [listing(1, "Other", phone="01012345678"), listing(2, "Fresh", phone="01112345678")]), path)
+    assert sum(written) == 1 and sorted((r.pos, r.created) for r in placed.collect()) == [(1, False), (2, True)]
+    assert read_leads(spark, path).count() == 2
+
+
 def test_repeated_batch_is_skipped(spark, tmp_path):
     from leadloom.streaming import jobs
 
